@@ -19,6 +19,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.simhash import components
+
+    return components(documents(spark, sf_dir))
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.bpe import encode_texts
 
@@ -26,7 +32,10 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op3_bpe_encode_decode": op3_bpe_encode_decode}
+    return {
+        "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
+        "op3_bpe_encode_decode": op3_bpe_encode_decode,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
