@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +32,18 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), with_ids=False).drop("text")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.substrings import remove_repeats
+
+    out = remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op7_substring_dedup": op7_substring_dedup,
     }
 
 
