@@ -32,6 +32,13 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), with_ids=False).drop("text")
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.mixing import repetition_rates
+
+    out = repetition_rates(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.substrings import remove_repeats
 
@@ -43,9 +50,12 @@ def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from zonalis.llm import mixing
+
+    return {"op6_mix_sources": mixing.ORACLE}
