@@ -14,6 +14,7 @@ from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -182,7 +183,7 @@ def decode_texts(encoded: DataFrame, tokenizer: str, ids: str = "ids", to: str =
     """Adds the text of packed ids (NULL stays NULL); an existing column of that name is replaced."""
 
     @F.pandas_udf("string")
-    def text_of(packed):
+    def text_of(packed: pd.Series) -> pd.Series:
         bpe = load(tokenizer)
         return packed.map(lambda b: None if b is None else bpe.decode(bytes(b)))
 

@@ -26,6 +26,13 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(documents(spark, sf_dir))
 
 
+def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.warc import archive_and_read
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.bpe import encode_texts
 
@@ -49,6 +56,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
+        "op2_warc_round_trip": op2_warc_round_trip,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
@@ -56,6 +64,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from zonalis.llm import mixing
+    from zonalis.llm import mixing, warc
 
-    return {"op6_mix_sources": mixing.ORACLE}
+    return {"op2_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE}
