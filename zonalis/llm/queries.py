@@ -53,6 +53,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.quality_rules import judge
+
+    out = judge(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
@@ -60,6 +67,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
         "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
+        "op9_quality_rules": op9_quality_rules,
     }
 
 
