@@ -39,6 +39,12 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), with_ids=False).drop("text")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.licenses import scan
+
+    return scan(documents(spark, sf_dir))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.mixing import repetition_rates
 
@@ -65,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
         "op2_warc_round_trip": op2_warc_round_trip,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op5_license_scan": op5_license_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
         "op9_quality_rules": op9_quality_rules,
@@ -72,6 +79,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from zonalis.llm import mixing, warc
+    from zonalis.llm import licenses, mixing, warc
 
-    return {"op2_warc_round_trip": warc.ORACLE, "op6_mix_sources": mixing.ORACLE}
+    return {"op2_warc_round_trip": warc.ORACLE, "op5_license_scan": licenses.oracle(), "op6_mix_sources": mixing.ORACLE}
