@@ -59,6 +59,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.lz_fingerprints import compare_with_edits
+
+    return compare_with_edits(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.quality_rules import judge
 
@@ -74,6 +80,7 @@ def queries() -> dict[str, Query]:
         "op5_license_scan": op5_license_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_document_fingerprints": op8_document_fingerprints,
         "op9_quality_rules": op9_quality_rules,
     }
 
