@@ -39,6 +39,12 @@ def op3_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path(), with_ids=False).drop("text")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.token_counts import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), tokenizer_path())
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.licenses import scan
 
@@ -72,16 +78,24 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.site_quality import score
+
+    return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
         "op2_warc_round_trip": op2_warc_round_trip,
         "op3_bpe_encode_decode": op3_bpe_encode_decode,
+        "op4_token_counts": op4_token_counts,
         "op5_license_scan": op5_license_scan,
         "op6_mix_sources": op6_mix_sources,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_quality_rules": op9_quality_rules,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 
