@@ -36,6 +36,16 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     return judge_profiles(cut(counted)).drop("lang", "classes", "common").withColumnRenamed("id", id_col)
 
 
+def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, with the columns of ``docs``; the rejected go by an anti-join."""
+    t = F.col(f"`{text}`")
+    keys = {"__k1": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "__k2": F.hash(t, F.lit(7))}
+    keyed = docs.withColumns(keys)
+    verdict = judge(keyed.select(F.struct("__k1", "__k2").alias("k"), t.alias("text"), F.col(f"`{lang}`").alias("lang")), "k")
+    bad = verdict.where("not kept").select("k.__k1", "k.__k2").distinct()
+    return keyed.join(bad, ["__k1", "__k2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def _judged_classes() -> Column:
     """Lower, upper, blank, symbol and the rest: numbers or addresses in a short text must not tell against it."""
     at = lambda i: F.col("classes")[i]

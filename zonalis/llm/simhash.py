@@ -237,6 +237,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size
     return fps.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+    """One row of each component, with the columns of ``docs``: the one of smallest id, NULL last.
+
+    Rows go under a key of id, text hash, so repeated rows and NULL ids are told apart or fall together rightly.
+    """
+    i = F.col(f"`{id_col}`")
+    keyed = docs.withColumn("__key", F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    found = components(keyed.select("__key", F.col(f"`{text}`").alias("text")), "__key", "text", size)
+    chosen = found.where("__key = component_id").select(F.col("__key.row").alias("__row")).distinct()
+    rows = keyed.withColumn("__row", F.col("__key.row")).drop("__key").join(chosen, "__row", "left_semi")
+    return rows.dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def brute_components(rows: list[tuple]) -> dict:
     """{id: (hex, component)} of (id, text) rows by comparing all pairs; for tests."""
     fps = [(i, fingerprint(t)) for i, t in rows]
