@@ -2,16 +2,111 @@
 
 from __future__ import annotations
 
+import importlib
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+TABLES = "region nation customer supplier part orders lineitem events documents".split()
+
+#: Views over the given tables, in SQL that Spark and DuckDB both read.
+VIEWS = {
+    "areas": """select lpad(cast(c_custkey as string),5,'0') as code, lpad(cast(c_nationkey as string),2,'0') as dep,
+        -5e0 + (c_custkey*7919 % 14000)/1000e0 as lon, 41.5e0 + (c_custkey*104729 % 9500)/1000e0 as lat,
+        1 + c_custkey*7907 % 50000 as population, c_acctbal as acctbal, c_name as name from {customer}""",
+    "order_sums": """select lpad(cast(o_custkey as string),5,'0') as code, count(*) as n, sum(o_totalprice) as total from {orders} group by 1""",
+    "area_stats": """select a.code, a.dep, a.lon, a.lat, a.population, a.acctbal, coalesce(o.n,0) as n_orders,
+        case when o.n >= 8 then o.total end as spend, case when o.n >= 5 then o.total/o.n end as avg_price
+        from {areas} a left join {order_sums} o on a.code=o.code""",
+    "venues": """select s_suppkey as venue_id, case s_suppkey % 3 when 0 then 'scene' when 1 then 'musee' else 'festival' end as categorie,
+        -5e0 + (s_suppkey*6007 % 14000)/1000e0 as lon, 41.5e0 + (s_suppkey*15013 % 9500)/1000e0 as lat, cast(1 + s_suppkey % 10 as double) as poids from {supplier}""",
+    "sale_rows": """select l_orderkey as id_mutation, lpad(cast(o_custkey as string),5,'0') as code, o_totalprice as valeur,
+        l_returnflag as type_local, l_quantity as surface, cast(year(o_orderdate) as int) as annee from {lineitem} join {orders} on l_orderkey=o_orderkey""",
+    "fires": """select lpad(cast(o_custkey as string),5,'0') as code, cast(year(l_shipdate) as int) as year, l_extendedprice/10000e0 as ha
+        from {lineitem} join {orders} on l_orderkey=o_orderkey""",
+    "daily_grid": """select l_suppkey as point, cast(l_shipdate as date) as day, cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
+        max(l_quantity) as tx, max(l_discount)*100e0 as precip from {lineitem} group by 1,2,3,4""",
+    "patterns": """select l_orderkey as trip, o_orderpriority as product, cast(l_suppkey % 50 as int) as stop, cast(l_quantity as int) as minutes,
+        row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos
+        from {lineitem} join {orders} on l_orderkey=o_orderkey""",
+    "votes": """select lpad(cast(o_custkey as string),5,'0') as code, o_orderpriority as opt, count(*) as votes from {orders} group by 1,2""",
+    "squares": """select distinct 'P'||cast(cast(floor(lon*2) as int) as string)||'_'||cast(cast(floor(lat*2) as int) as string) as poly,
+        cast(floor(lon*2) as int)/2e0 as x0, cast(floor(lat*2) as int)/2e0 as y0 from {areas} where (population % 3) > 0""",
+}
+
+
+class Views:
+    """Attribute access to the given tables and the views over them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._made: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name in TABLES:
+            return self._made.setdefault(name, self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet"))
+        if name not in VIEWS:
+            raise AttributeError(name)
+        if name not in self._made:
+            self._made[name] = self.sql(VIEWS[name])
+        return self._made[name]
+
+    def sql(self, text: str) -> DataFrame:
+        return self.spark.sql(text, **{n: getattr(self, n) for n in set(re.findall(r"\{([a-z]\w*)\}", text))})
+
+
+_QUERIES: dict[str, Query] = {}
+_ORACLE: dict[str, str] = {}
+
+
+def oracle_of(sql: str) -> str:
+    """The statement with the views that it names, in order of their dependence."""
+    needed: list[str] = []
+
+    def visit(text: str) -> None:
+        for name in re.findall(r"\{([a-z]\w*)\}", text):
+            if name in VIEWS and name not in needed:
+                visit(VIEWS[name])
+                needed.append(name)
+
+    visit(sql)
+    plain = lambda text: re.sub(r"\{([a-z]\w*)\}", r"\1", text)
+    views = [f"{n} as ({plain(VIEWS[n])})" for n in needed]
+    body = plain(sql).strip()
+    if body.lower().startswith("with "):
+        views.append(body[5:])
+        return "with " + ", ".join(views)
+    return f"with {', '.join(views)} {body}" if views else body
+
+
+def query(name: str, sql: str | None = None):
+    """Registers ``fn(views)`` and, where SQL can express it, the oracle with {view} names."""
+
+    def add(fn):
+        _QUERIES[name] = lambda spark, sf_dir: fn(Views(spark, sf_dir))
+        if sql:
+            _ORACLE[name] = oracle_of(sql)
+        return fn
+
+    return add
+
+
+MODULES = ["q_scalars", "q_joins", "q_aggregates", "q_ranks", "q_scores", "q_models", "q_geometry", "q_networks", "q_contract", "q_pipelines"]
+
+
+def _load() -> None:
+    for module in MODULES:
+        importlib.import_module(f"zonalis.plans.{module}")
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_ORACLE)
