@@ -30,7 +30,7 @@ VIEWS = {
     "daily_grid": """select l_suppkey as point, cast(l_shipdate as date) as day, cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
         max(l_quantity) as tx, max(l_discount)*100e0 as precip from {lineitem} group by 1,2,3,4""",
     "patterns": """select l_orderkey as trip, o_orderpriority as product, cast(l_suppkey % 50 as int) as stop, cast(l_quantity as int) as minutes,
-        row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos
+        cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as pos
         from {lineitem} join {orders} on l_orderkey=o_orderkey""",
     "votes": """select lpad(cast(o_custkey as string),5,'0') as code, o_orderpriority as opt, count(*) as votes from {orders} group by 1,2""",
     "squares": """select distinct 'P'||cast(cast(floor(lon*2) as int) as string)||'_'||cast(cast(floor(lat*2) as int) as string) as poly,
