@@ -1 +1,90 @@
-"""Queries."""
+"""Model queries."""
+
+from pyspark.sql import functions as F
+
+from zonalis.operators import models as M
+from zonalis.plans.catalogue import query
+
+
+def fire_rows(v):
+    """Counts of large fires per area with features and exposure."""
+    counts = v.fires.where("year <= 1999").groupBy("code").agg(F.count_if(F.col("ha") > 6).alias("big"))
+    rows = v.area_stats.join(counts, "code", "left").fillna({"big": 0})
+    return rows.select("code", "lon", "lat", F.log1p("population").alias("people"), F.col("acctbal").alias("money"), F.col("n_orders").cast("double").alias("orders"), F.col("big").cast("double").alias("big"), (1.0 + F.col("population") / 10_000.0).alias("exposure"))
+
+
+@query("m25_neighbour_rate", """
+with c as (select a.code, a.lon, a.lat, 1e0+a.population/1000e0 as area, coalesce(f.n,0) as n from {areas} a left join (select code, count(*) as n from {fires} group by 1) f on a.code=f.code),
+r as (select a.code, sum(b.n)*10000e0/(sum(b.area)*7) as rate from c a join c b on a.code <> b.code and sqrt((a.lon-b.lon)**2+(a.lat-b.lat)**2) <= 0.5 group by 1) select c.code, round(coalesce(rate,0),6) as rate from c left join r on c.code=r.code
+""")
+def _(v):
+    counts = v.fires.groupBy("code").agg(F.count("*").alias("events"))
+    areas = v.areas.join(counts, "code", "left").fillna({"events": 0})
+    areas = areas.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"), "events", (1.0 + F.col("population") / 1000.0).alias("area"))
+    return M.neighbour_rate(areas, 0.5, 7).withColumn("rate", F.round("rate", 6))
+
+
+@query("m26_standardised", "with s as (select avg(acctbal) as m, stddev_samp(acctbal) as s from {areas}) select code, round((acctbal-m)/s,6) as z from {areas}, s")
+def _(v):
+    out, _ = M.standardised(v.areas.select("code", "acctbal"), ["acctbal"])
+    return out.select("code", F.round("z_acctbal", 6).alias("z"))
+
+
+@query("m27_m28_poisson_model")
+def _(v):
+    rows, _ = M.standardised(fire_rows(v), ["people", "money", "orders"])
+    features = ["z_people", "z_money", "z_orders"]
+    beta = M.fit_poisson(rows, features, "big", "exposure", 1.0)
+    out = M.with_prediction(rows, features, beta, "exposure")
+    return out.crossJoin(F.broadcast(M.dispersion(out, "big", len(beta)))).select("code", "big", F.round("expected", 6).alias("expected"), F.round("dispersion", 6).alias("dispersion"))
+
+
+@query("m29_auc_and_capture", """
+with c as (select a.code, a.acctbal, coalesce(f.n,0) as n from {areas} a left join (select code, count(*) filter (where ha > 9) as n from {fires} group by 1) f on a.code=f.code),
+r as (select *, rank() over (order by acctbal) + (count(*) over (partition by acctbal)-1)/2.0 as rk, n > 3 as hit from c)
+select round((sum(case when hit then rk end) - sum(hit::int)*(sum(hit::int)+1)/2.0)/(sum(hit::int)*sum((not hit)::int)),9) as auc, round((select sum(n) from (select n from c order by acctbal desc, code limit (select round(count(*)*0.1)::bigint from c)))/sum(n),9) as capture from r
+""")
+def _(v):
+    counts = v.fires.groupBy("code").agg(F.count_if(F.col("ha") > 9).alias("n"))
+    rows = v.areas.join(counts, "code", "left").fillna({"n": 0}).select("code", "acctbal", "n", (F.col("n") > 3).alias("hit"))
+    return M.auc(rows, "acctbal", "hit").crossJoin(M.top_capture(rows, "acctbal", "n", "code")).select(F.round("auc", 9).alias("auc"), F.round("capture", 9).alias("capture"))
+
+
+@query("m31_m32_cross_validated_lines", """
+with r as (select month, point, point % 10 as fold, precip/10e0 as x, tx as y from {daily_grid}), f as (select month, fold, count(*) as n, sum(x) as sx, sum(y) as sy, sum(x*x) as sxx, sum(x*y) as sxy from r group by 1,2),
+t as (select month, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(sxy) as sxy from f group by 1),
+h as (select f.month, f.fold, ((t.n-f.n)*(t.sxy-f.sxy)-(t.sx-f.sx)*(t.sy-f.sy))/((t.n-f.n)*(t.sxx-f.sxx)-(t.sx-f.sx)**2) as b, t.n-f.n as n, t.sx-f.sx as sx, t.sy-f.sy as sy from f join t on f.month=t.month),
+e as (select r.month, x, y - ((sy-b*sx)/n + b*x) as err from r join h on r.month=h.month and r.fold=h.fold)
+select t.month, round((t.n*t.sxy-t.sx*t.sy)/(t.n*t.sxx-t.sx**2),5) as b, t.n::bigint as n, round(q.rmse,5) as rmse, round(q.far,5) as rmse_far from t join (select month, sqrt(avg(err*err)) as rmse, sqrt(avg(case when abs(x) > 0.3 then err*err end)) as far from e group by 1) q on t.month=q.month
+""")
+def _(v):
+    rows = v.daily_grid.select("month", "point", (F.col("precip") / 10.0).alias("x"), F.col("tx").alias("y"))
+    fits, _ = M.cross_validated_line(rows, ["month"], "x", "y", F.pmod("point", F.lit(10)))
+    return fits.select("month", F.round("b", 5).alias("b"), "n", F.round("rmse", 5).alias("rmse"), F.round("rmse_far", 5).alias("rmse_far"))
+
+
+@query("m33_m35_factors_and_errors", """
+with f as (select month, quantile_cont(tx/precip,0.5) as factor, count(*) as n from {daily_grid} where precip >= 0.5 group by 1)
+select d.month, round(any_value(factor),6) as factor, any_value(f.n) as n, round(avg(precip*factor-tx),5) as bias, round(avg(abs(precip*factor-tx)),5) as mae, round(sqrt(avg((precip*factor-tx)**2)),5) as rmse, round(quantile_cont(case when tx <> 0 then abs((precip*factor-tx)/tx) end,0.5),5) as median_relative from {daily_grid} d join f on d.month=f.month group by 1
+""")
+def _(v):
+    factors = M.monthly_factors(v.daily_grid, "tx", "precip")
+    rows = v.daily_grid.join(F.broadcast(factors), "month").withColumn("err", F.col("precip") * F.col("factor") - F.col("tx"))
+    out = rows.groupBy("month").agg(F.first("factor").alias("factor"), F.first("n").alias("n"), *M.error_summary(F.col("err"), F.col("tx")))
+    return out.select("month", F.round("factor", 6).alias("factor"), "n", *[F.round(c, 5).alias(c) for c in ("bias", "mae", "rmse", "median_relative")])
+
+
+@query("m36_area_climate_table", """
+with p as (select a.code, a.population, v.venue_id as point from {areas} a join {venues} v on round_even(a.lon,0)=round_even(v.lon,0) and round_even(a.lat,0)=round_even(v.lat,0)), m as (select point, month, avg(tx) as tx, sum(precip) as precip from {daily_grid} group by 1,2),
+a as (select code, month, sum(tx*population)/sum(population) as tx, sum(precip*population)/sum(population) as precip from p join m on p.point=m.point group by 1,2)
+select code, month, round(tx,5) as tx, round(precip,4) as precip from a union all select code, 13, round(max(tx),5), round(sum(precip),4) from a group by 1
+""")
+def _(v):
+    cell = lambda c: F.rint(c) + 0.0
+    points = v.venues.select(F.col("venue_id").alias("point"), cell("lon").alias("gx"), cell("lat").alias("gy"))
+    placed = v.areas.select("code", "population", cell("lon").alias("gx"), cell("lat").alias("gy")).join(points, ["gx", "gy"])
+    monthly = v.daily_grid.groupBy("point", "month").agg(F.avg("tx").alias("tx"), F.sum("precip").alias("precip"))
+    w = F.col("population")
+    table = placed.join(monthly, "point").groupBy("code", "month").agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in ("tx", "precip")])
+    year = table.groupBy("code").agg(F.lit(13).alias("month"), F.max("tx").alias("tx"), F.sum("precip").alias("precip"))
+    return table.unionByName(year).select("code", "month", F.round("tx", 5).alias("tx"), F.round("precip", 4).alias("precip"))

@@ -1 +1,183 @@
-"""Queries."""
+"""Scoring queries."""
+
+from pyspark.sql import functions as F
+
+from zonalis.operators import composites as C
+from zonalis.operators import scoring as S
+from zonalis.operators.ranking import share_below, with_ranks
+from zonalis.plans.catalogue import query
+
+TYPED = [S.Criterion("spend", "up", 1.0, bad=200_000.0, ideal=3_000_000.0), S.Criterion("avg_price", "down", 3.0, ideal=50_000.0)]
+STRETCH = [S.Criterion("population", "up", 2.0), S.Criterion("acctbal", "up", 1.0, declared=(-1000.0, 10_000.0)), S.Criterion("avg_price", "down", 1.0)]
+
+
+def _log_or_line(col: str, x: str, lo: str, mid: str, hi: str, least: str, down: bool) -> str:
+    line = f"({x} - {lo})/({hi} - {lo})"
+    log = f"(ln(1+{x}) - ln(1+{lo}))/(ln(1+{hi}) - ln(1+{lo}))"
+    one = "1 - " if down else ""
+    return f"case when {x} is not null then greatest(least(greatest({one}(case when {least} >= 0 and {mid} > {lo} and ({hi}-{mid})/({mid}-{lo}) > 3 then {log} else {line} end),0),1),0.001) end as {col}"
+
+
+STRETCH_SQL = f"""
+with q as (select quantile_cont(population,0.01) as pl, quantile_cont(population,0.5) as pm, quantile_cont(population,0.99) as ph, min(population) as p0, quantile_cont(avg_price,0.01) as al, quantile_cont(avg_price,0.5) as am, quantile_cont(avg_price,0.99) as ah, min(avg_price) as a0 from {{area_stats}}),
+d as (select code, {_log_or_line('d0', 'population', 'pl', 'pm', 'ph', 'p0', False)}, greatest(least(greatest((acctbal+1000)/11000e0,0),1),0.001) as d1, {_log_or_line('d2', 'avg_price', 'al', 'am', 'ah', 'a0', True)} from {{area_stats}}, q),
+s as (select code, d0, d1, d2, case when d2 is not null then exp((2*ln(d0)+ln(d1)+ln(d2))/4) end as score from d)
+"""
+
+
+@query("m7_m8_m11_typed_ramps", """
+with m as (select max(avg_price) as hi from {area_stats}), d as (select code, least(greatest((spend-200000)/2800000e0,0),1) as a, least(greatest((avg_price-hi)/(50000-hi),0),1) as b, spend, avg_price from {area_stats}, m)
+select code, round(case when spend is null or avg_price is null then null when a <= 0 or b <= 0 then 0 else exp((ln(a)+3*ln(b))/4) end,9) as score from d
+""")
+def _(v):
+    scored = S.with_desirabilities(v.area_stats, TYPED, "abs")
+    return scored.select("code", F.round(S.combined(TYPED), 9).alias("score"))
+
+
+@query("m9_rank_desirability", """
+with r as (select code, acctbal, population, rank() over (order by acctbal) as la, count(*) over (partition by acctbal) as ca, rank() over (order by population) as lp, count(*) over (partition by population) as cp, count(*) over () as n from {area_stats})
+select code, round((la-1+(ca-1)/2.0+0.5)/n,9) as d0, round(1-(lp-1+(cp-1)/2.0+0.5)/n,9) as d1 from r
+""")
+def _(v):
+    out = S.with_desirabilities(v.area_stats, [S.Criterion("acctbal", "up"), S.Criterion("population", "down")], "rank")
+    return out.select("code", F.round("d0", 9).alias("d0"), F.round("d1", 9).alias("d1"))
+
+
+@query("m10_absolute_desirability", STRETCH_SQL + "select code, round(d0,9) as d0, round(d1,9) as d1, round(d2,9) as d2 from s")
+def _(v):
+    out = S.with_desirabilities(v.area_stats, STRETCH, "abs")
+    return out.select("code", *[F.round(f"d{i}", 9).alias(f"d{i}") for i in range(3)])
+
+
+@query("m11_w4_rank_classes", STRETCH_SQL + """
+, p as (select code, rank() over (order by score desc) as r, count(*) over () as n from s where score > 0)
+select s.code, round(s.score,9) as score, coalesce(p.r-1,-1) as rank, (case when p.r is null then -1 when p.r/p.n::double <= 0.01 then 0 when p.r/p.n::double <= 0.05 then 1 when p.r/p.n::double <= 0.1 then 2 when p.r/p.n::double <= 0.25 then 3 when p.r/p.n::double <= 0.5 then 4 else 5 end)::int as class from s left join p on s.code=p.code
+""")
+def _(v):
+    return S.matched(v.area_stats, STRETCH, "abs").select("code", F.round("score", 9).alias("score"), "rank", "class")
+
+
+@query("a27_score_summary", STRETCH_SQL + "select round(max(score),9) as best, count(*) filter (where score>=0.5) as at_least_50, count(*) filter (where score>=0.8) as at_least_80, count(*) filter (where score>0) as passing, count(*) filter (where score=0) as excluded, count(*) filter (where score is null) as missing from s")
+def _(v):
+    scored = S.with_desirabilities(v.area_stats, STRETCH, "abs").withColumn("score", S.combined(STRETCH))
+    return S.score_summary(scored).withColumn("best", F.round("best", 9))
+
+
+@query("m12_criterion_profile", " union all ".join(f"select '{c}' as \"column\", count({c}) as n, round(quantile_cont({c},0.05),6) as p5, round(quantile_cont({c},0.95),6) as p95, round(count({c})/count(*)::double,9) as coverage, count({c})/count(*)::double < 0.35 as low_coverage from {{area_stats}}" for c in ("spend", "avg_price", "acctbal")))
+def _(v):
+    out = S.criterion_profile(v.area_stats, ["spend", "avg_price", "acctbal"])
+    return out.select("column", "n", *[F.round(c, 6).alias(c) for c in ("p5", "p95")], F.round("coverage", 9).alias("coverage"), "low_coverage")
+
+
+@query("m13_m14_scenario_report")
+def _(v):
+    scenarios = {"cheap": [S.Criterion("avg_price", "down", 2.0), S.Criterion("population", "up")], "rich": [S.Criterion("spend", "up"), S.Criterion("acctbal", "up")]}
+    return S.scenario_report(v.area_stats, scenarios)
+
+
+INDICATORS = [
+    C.Indicator("money", "spend", sat=(0.0, 500_000.0)),
+    C.Indicator("money", "avg_price", abs=(50_000.0, 300_000.0)),
+    C.Indicator("people", "population", sat=(60_000.0, -20_000.0), worse="lower"),
+    C.Indicator("orders", "n_orders", max=40.0),
+]
+LABELS = {"money": "Money", "people": "People", "orders": "Orders"}
+EXPOSURES = """
+with e as (select code, (1-0.5**greatest(spend/500000,0))*100 as e0, case when avg_price is not null then least(greatest((avg_price-50000)/250000,0),1)*100 end as e1, (1-0.5**greatest((population-60000)/-20000e0,0))*100 as e2, n_orders/40e0*100 as e3 from {area_stats}),
+c as (select *, case when e0 is null and e1 is null then null else (coalesce(e0,0)+coalesce(e1,0))/((e0 is not null)::int+(e1 is not null)::int) end as money from e)
+"""
+
+
+@query("m15_m16_m17_composite", EXPOSURES.replace("greatest(spend/500000,0)", "(case when spend is not null then greatest(spend/500000,0) end)") + """
+select code, round(money,6) as money, round(case when money is not null then 100-(money+e2+e3)/3 end,6) as score,
+ nullif(concat_ws(', ', case when greatest(coalesce(e0,-1),coalesce(e1,-1)) >= 90 then 'Money' end, case when e2 >= 90 then 'People' end, case when e3 >= 90 then 'Orders' end),'') as alerts from c
+""")
+def _(v):
+    out = C.composite_score(v.area_stats, INDICATORS, "money", LABELS)
+    return out.select("code", F.round("money", 6).alias("money"), F.round("score", 6).alias("score"), "alerts")
+
+
+@query("m16_positional", """
+with s as (select code, 100e0*(rank() over (order by spend)-1)/(count(*) over ()-1) as e from {area_stats} where spend is not null), p as (select code, 100e0*(rank() over (order by -population)-1)/(count(*) over ()-1) as e from {area_stats})
+select p.code, round(case when s.e is not null then 100-(s.e+p.e)/2 end,6) as score from p left join s on p.code=s.code
+""")
+def _(v):
+    two = [C.Indicator("money", "spend", sat=(0.0, 1.0)), C.Indicator("people", "population", sat=(1.0, -1.0), worse="lower")]
+    return C.composite_score(v.area_stats, two, "money", LABELS, method="positional").select("code", F.round("score", 6).alias("score"))
+
+
+@query("m18_register_counts", "select a.code, case when f.code is not null then (coalesce(big,false)::int + coalesce(late,false)::int + coalesce(many,false)::int) end as registers from {areas} a left join (select code, bool_or(ha > 9.5) as big, bool_or(year >= 2001) as late, count(*) > 40 as many from {fires} group by 1) f on a.code=f.code")
+def _(v):
+    f = v.fires.groupBy("code").agg(F.bool_or(F.col("ha") > 9.5).alias("big"), F.bool_or(F.col("year") >= 2001).alias("late"), (F.count("*") > 40).alias("many"), F.lit(True).alias("listed"))
+    return v.areas.select("code").join(f, "code", "left").select("code", C.register_count([F.col("big"), F.col("late"), F.col("many")], F.coalesce("listed", F.lit(False))).alias("registers"))
+
+
+@query("m19_m20_reach_scores", """
+with r as (select a.code, v.categorie, sum(poids*0.5**(sqrt((v.lon-a.lon)**2+(v.lat-a.lat)**2)/0.4)) as reach from {areas} a join {venues} v on sqrt((v.lon-a.lon)**2+(v.lat-a.lat)**2) <= 1.2 group by 1,2)
+select a.code, round(coalesce(s.reach,0),6) as scene, round(100*(1-exp(-coalesce(s.reach,0)/(6.0/3))),6) as score from {areas} a left join r s on a.code=s.code and s.categorie='scene'
+""")
+def _(v):
+    areas = v.areas.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    venues = v.venues.where("categorie = 'scene'").select(F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("poids").alias("weight"))
+    out = C.reach(areas, venues, 0.4, 1.2)
+    return out.select("code", F.round("reach", 6).alias("scene"), F.round(C.saturating(F.col("reach"), 6.0), 6).alias("score"))
+
+
+@query("m21_location_quotient", """
+with w as (select code, coalesce(sum(case when opt='1-URGENT' then votes end),0) as a, coalesce(sum(case when opt='2-HIGH' then votes end),0) as b, sum(votes) as t from {votes} group by 1), n as (select sum(a)/sum(t) as na, sum(b)/sum(t) as nb from w),
+q as (select code, t, (a/t)/na as qa, (b/t)/nb as qb from w, n)
+select code, case when t >= 8 then (case when greatest(qa,qb) >= 1.5 then (case when qa >= qb then 'urgent' else 'high' end) else 'Mixed' end) end as distinctive, case when t >= 8 and greatest(qa,qb) >= 1.5 then round_even(greatest(qa,qb),2) end as quotient from q
+""")
+def _(v):
+    of = lambda o: F.coalesce(F.sum(F.when(F.col("opt") == o, F.col("votes"))), F.lit(0))
+    wide = v.votes.groupBy("code").agg(of("1-URGENT").alias("a"), of("2-HIGH").alias("b"), F.sum("votes").alias("t"))
+    return C.distinctive(wide, {"a": "urgent", "b": "high"}, "t", 8.0).select("code", "distinctive", "quotient")
+
+
+POSITIONS = [("1-URGENT", 1.0), ("2-HIGH", 3.0), ("3-MEDIUM", 5.0), ("5-LOW", 8.0)]
+INDEX_SQL = """
+with x(opt,x) as (values ('1-URGENT',1e0),('2-HIGH',3e0),('3-MEDIUM',5e0),('5-LOW',8e0)), i as (select code, sum(votes*x)/sum(case when x is not null then votes end) as mean,
+ sum(votes*x*x)/sum(case when x is not null then votes end) as sq, sum(case when x is not null then votes end)::bigint as n, sum(votes)::bigint as cast_votes, 100e0*sum(case when v.opt in ('1-URGENT','2-HIGH') then votes else 0 end)/sum(votes) as left_share, 100e0*sum(case when x is null then votes else 0 end)/sum(votes) as unplaced from {votes} v left join x on v.opt=x.opt group by 1)
+"""
+
+
+def _index(v):
+    positions = v.spark.createDataFrame(POSITIONS, "opt string, x double")
+    return C.vote_index(v.votes, positions, {"left_share": ["1-URGENT", "2-HIGH"]})
+
+
+@query("m22_vote_index", INDEX_SQL + "select code, round(mean,6) as mean, round(sqrt(greatest(sq-mean*mean,0)),4) as spread, n, cast_votes, round(left_share,6) as left_share, round(unplaced,6) as unplaced from i")
+def _(v):
+    return _index(v).select("code", F.round("mean", 6).alias("mean"), F.round("spread", 4).alias("spread"), "n", F.col("cast").alias("cast_votes"), F.round("left_share", 6).alias("left_share"), F.round("unplaced", 6).alias("unplaced"))
+
+
+@query("m23_named_positions", "select o_orderstatus as name, round(avg(x),6) as x from (select o_orderstatus, o_orderpriority, avg(o_totalprice) as x from {orders} group by 1,2) group by 1")
+def _(v):
+    marks = v.orders.select(F.col("o_orderstatus").alias("name"), F.col("o_orderpriority").alias("party"), F.lit(1).alias("wave"), F.col("o_totalprice").alias("x"))
+    return C.named_positions(marks).withColumn("x", F.round("x", 6))
+
+
+@query("m24_shrunk_index", INDEX_SQL + """
+, f as (select a.dep, i.code, mean, n, greatest(sq-mean*mean,0)/n as noise from i join {areas} a on i.code=a.code where mean is not null),
+g as (select dep, sum(mean*n)/sum(n) as prior, var_samp(mean) as var, avg(noise) as avg_noise from f group by 1)
+select f.code, round(case when greatest(var-avg_noise,0.1*var)+noise > 0 then greatest(var-avg_noise,0.1*var)/(greatest(var-avg_noise,0.1*var)+noise) else 1 end*mean + (1-case when greatest(var-avg_noise,0.1*var)+noise > 0 then greatest(var-avg_noise,0.1*var)/(greatest(var-avg_noise,0.1*var)+noise) else 1 end)*prior,5) as index from f join g on f.dep=g.dep
+""")
+def _(v):
+    rows = _index(v).where("mean is not null").join(v.areas.select("code", "dep"), "code").withColumn("noise", F.col("spread") * F.col("spread") / F.col("n"))
+    return C.shrunk_to_group(rows, "dep", "mean", "n", "noise").select("code", F.round("index", 5).alias("index"))
+
+
+@query("m30_m37_m38_m39_m40_expressions", """
+select code, round((n_orders+5e0)/(population+5e0),9) as factor, n_orders*2+population%50+n_orders%7*3 as bookable, population%20*5+n_orders%5*3 as seasonal,
+ round(100e0*(population%20*5+n_orders%5*3)/nullif(n_orders*2+population%50+n_orders%7*3+population%20*5+n_orders%5*3,0),6) as share, (case when acctbal >= 0 then 1 else 0 end + case when acctbal >= 5000 then 1 else 0 end + case when acctbal >= 9000 then 1 else 0 end)::int as class from {area_stats}
+""")
+def _(v):
+    n, p = F.col("n_orders"), F.col("population")
+    beds = C.bed_totals(n, p % 50, n % 7, p % 20, n % 5)
+    return v.area_stats.select("code", F.round(C.smoothed_factor(n, p, 5.0), 9).alias("factor"), beds["bookable"].alias("bookable"), beds["seasonal"].alias("seasonal"), F.round(beds["share"], 6).alias("share"), C.break_class(F.col("acctbal"), [0, 5000, 9000]).alias("class"))
+
+
+@query("m14_position_quantiles", "with r as (select 100e0*(rank() over (order by spend)-1)/(count(*) over ()-1) as b from {area_stats} where spend is not null) select round(quantile_cont(b,0.1),6) as p10, round(quantile_cont(b,0.5),6) as p50, count(*) filter (where b >= 90) as high, count(*) filter (where b < 10) as low from r")
+def _(v):
+    r = with_ranks(v.area_stats.where("spend is not null"), "spend", b=share_below())
+    return r.agg(F.round(F.percentile("b", 0.1), 6).alias("p10"), F.round(F.percentile("b", 0.5), 6).alias("p50"), F.count_if(F.col("b") >= 90).alias("high"), F.count_if(F.col("b") < 10).alias("low"))
