@@ -7,8 +7,9 @@ have equal minimisers, so all of a window's copies meet in the minimiser's bucke
 Rows of (minimiser, content hash, place) travel first. A minimiser seen once has no repeated window. One that
 several super-k-mers of one content share has only repeated ones. Only for the others does one packed string of each
 distinct content travel to the bucket, where its windows are sorted, compared word by word and counted with the
-content's multiplicity. Buckets of more than ``hot`` distinct contents are counted by a grouped aggregation over
-128-bit window hashes instead, which no single task has to hold.
+content's multiplicity. Buckets of more than ``hot`` distinct contents are dealt to blocks that sort and count on
+their own; their distinct windows then meet by a grouped aggregation over 128-bit hashes, so no task holds a
+crowded bucket.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ WINDOW = 35
 MMER = 4
 #: Windows of one super-k-mer; their marks fit one long.
 SPAN = 64
-#: Distinct contents of a minimiser that one task handles.
-HOT = 500
+#: Distinct contents of a minimiser that one task sorts at a time: some 3 MB of packed strings and, with their
+#: windows, some 30 MB of arrays.
+HOT = 8192
 BASE = 0x9E3779B97F4A7C15
 #: Bases of the two halves of a 128-bit window hash.
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -134,28 +136,29 @@ def _pack(joined: DataFrame, k: int) -> DataFrame:
     """
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mm, ch, n, rows = [], [], [], []
+        mm, ch, n, block, rows = [], [], [], [], []
         for t, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             words = split_words(t)
             for w in wanted:
                 mm.append(w["mm"])
                 ch.append(w["ch"])
                 n.append(w["n"])
+                block.append(w["block"])
                 rows.append(b" ".join(words[w["start"] : w["start"] + w["size"] + k - 1]))
-        return pa.RecordBatch.from_arrays([pa.array(mm, pa.int64()), pa.array(ch, pa.int64()), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], names=["mm", "ch", "n", "packed"])
+        return pa.RecordBatch.from_arrays([pa.array(mm, pa.int64()), pa.array(ch, pa.int64()), pa.array(n, pa.int64()), pa.array(block, pa.int32()), pa.array(rows, pa.binary())], names=["mm", "ch", "n", "block", "packed"])
 
-    return map_texts(joined.select("id", "text", "wanted"), one, "mm bigint, ch bigint, n bigint, packed binary")
+    return map_texts(joined.select("id", "text", "wanted"), one, "mm bigint, ch bigint, n bigint, block int, packed binary")
 
 
-def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Dense word numbers of all packed strings in a row, and each string's number of words."""
+def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Dense word numbers of all packed strings in a row, each string's number of words, the numbered words."""
     known: dict[bytes, int] = {}
     ids, counts = [], []
     for p in packed:
         words = p.split(b" ")
         counts.append(len(words))
         ids.extend([known.setdefault(w, len(known)) for w in words])
-    return np.array(ids, np.int64), np.array(counts, np.int64)
+    return np.array(ids, np.int64), np.array(counts, np.int64), list(known)
 
 
 def _windows(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -166,84 +169,108 @@ def _windows(counts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return row, offset, offset + np.repeat(np.cumsum(counts) - counts, per)
 
 
-def _count_sorted(mm: np.ndarray, n: np.ndarray, packed: list[bytes], k: int, spans: Spans) -> np.ndarray:
-    """Marks of each string's windows that occur twice or more in its bucket."""
-    ids, counts = _flat(packed)
-    row, offset, at = _windows(counts, k)
-    # Dealt by hash for a quick sort; equality of the words themselves then decides.
-    h = spans.of(mix(ids.astype(np.uint64) + np.uint64(1)), at, at + k)
-    order = np.lexsort((h, mm[row]))
-    row, offset, at, h = row[order], offset[order], at[order], h[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (mm[row[1:]] != mm[row[:-1]])])
-    again = np.flatnonzero(~new)
-    if len(again) and any((ids[at[again] + j] != ids[at[again - 1] + j]).any() for j in range(k)):
-        full = np.column_stack([mm[row], *(ids[at + j] for j in range(k))])
-        order = np.lexsort(full.T[::-1])
-        row, offset, full = row[order], offset[order], full[order]
-        new = np.concatenate([[True], (full[1:] != full[:-1]).any(1)])
-    group = np.cumsum(new) - 1
-    total = np.bincount(group, weights=n[row].astype(np.float64))
-    twice = total[group] >= 2
-    marks = np.zeros(len(packed), np.uint64)
-    np.bitwise_or.at(marks, row[twice], np.uint64(1) << offset[twice].astype(np.uint64))
-    return marks.view(np.int64)
+class Sorted:
+    """All windows of a run of buckets in sorted order, equal ones side by side."""
+
+    def __init__(self, bucket: np.ndarray, n: np.ndarray, packed: list[bytes], k: int, spans: Spans):
+        self.ids, counts, self.words = _flat(packed)
+        ids, (row, offset, at) = self.ids, _windows(counts, k)
+        # Dealt by hash for a quick sort; equality of the words themselves then decides.
+        h = spans.of(mix(ids.astype(np.uint64) + np.uint64(1)), at, at + k)
+        order = np.lexsort((h, bucket[row]))
+        row, offset, at, h = row[order], offset[order], at[order], h[order]
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (bucket[row[1:]] != bucket[row[:-1]])])
+        again = np.flatnonzero(~new)
+        if len(again) and any((ids[at[again] + j] != ids[at[again - 1] + j]).any() for j in range(k)):
+            full = np.column_stack([bucket[row], *(ids[at + j] for j in range(k))])
+            order = np.lexsort(full.T[::-1])
+            row, offset, at, full = row[order], offset[order], at[order], full[order]
+            new = np.concatenate([[True], (full[1:] != full[:-1]).any(1)])
+        group = np.cumsum(new) - 1
+        self.row, self.offset, self.at, self.first = row, offset, at, np.flatnonzero(new)
+        self.total = np.bincount(group, weights=n[row].astype(np.float64)).astype(np.int64)
+        self.twice = self.total[group] >= 2
+
+    def marks(self, rows: int) -> np.ndarray:
+        """For each packed string the windows that occur twice or more in its bucket."""
+        out = np.zeros(rows, np.uint64)
+        np.bitwise_or.at(out, self.row[self.twice], np.uint64(1) << self.offset[self.twice].astype(np.uint64))
+        return out.view(np.int64)
+
+
+def _buckets(batches, same: tuple[str, ...]):
+    """Tables of whole buckets, about 4,000 rows at a time, from rows sorted by ``same``; repeats of a content go."""
+    held, size = [], 0
+
+    def changes(table, names):
+        columns = [table.column(c).to_numpy() for c in names]
+        return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
+
+    def cleaned(table):
+        return table.take(pa.array(np.flatnonzero(changes(table, (*same, "ch")))))
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2000):
+            held.append(pa.Table.from_batches([batch.slice(at, 2000)]))
+            size += held[-1].num_rows
+            if size < 4000:
+                continue
+            table = pa.concat_tables(held).combine_chunks()
+            whole = int(np.flatnonzero(changes(table, same))[-1])
+            if whole:
+                yield cleaned(table.slice(0, whole))
+            held, size = [table.slice(whole)], table.num_rows - whole
+    if size:
+        yield cleaned(pa.concat_tables(held).combine_chunks())
 
 
 def _marks_by_sorting(packed: DataFrame, k: int) -> DataFrame:
     spans = Spans(BASES[0])
 
     def run(batches):
-        held, size = [], 0
-
-        def work(table):
-            mm, ch = (table.column(c).to_numpy() for c in ("mm", "ch"))
-            table = table.take(pa.array(np.flatnonzero(np.concatenate([[True], (mm[1:] != mm[:-1]) | (ch[1:] != ch[:-1])]))))
-            mm, n = table.column("mm").to_numpy(), table.column("n").to_numpy()
-            marks = _count_sorted(mm, n, table.column("packed").to_pylist(), k, spans)
+        for table in _buckets(batches, ("mm",)):
+            rows = Sorted(table.column("mm").to_numpy(), table.column("n").to_numpy(), table.column("packed").to_pylist(), k, spans)
+            marks = rows.marks(table.num_rows)
             seen = marks != 0
-            columns = [pa.array(mm[seen]), pa.array(table.column("ch").to_numpy()[seen]), pa.array(marks[seen])]
-            return pa.RecordBatch.from_arrays(columns, names=["mm", "ch", "marks"])
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                held.append(pa.Table.from_batches([batch.slice(at, 2000)]))
-                size += held[-1].num_rows
-                if size < 4000:
-                    continue
-                table = pa.concat_tables(held).combine_chunks()
-                mm = table.column("mm").to_numpy()
-                whole = int(np.searchsorted(mm, mm[-1], "left"))
-                if whole:
-                    yield work(table.slice(0, whole))
-                held, size = [table.slice(whole)], len(mm) - whole
-        if size:
-            yield work(pa.concat_tables(held).combine_chunks())
+            columns = [pa.array(table.column(c).to_numpy()[seen]) for c in ("mm", "ch")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks[seen])], names=["mm", "ch", "marks"])
 
     dealt = packed.repartition("mm").sortWithinPartitions("mm", "ch")
     return dealt.mapInArrow(run, "mm bigint, ch bigint, marks bigint")
 
 
-def _marks_by_grouping(packed: DataFrame, k: int) -> DataFrame:
-    """The same for hot buckets: windows are counted under 128-bit hashes by a partial and a final sum."""
-    cache, one_half, other_half = HashCache(), Spans(BASES[0]), Spans(BASES[1])
+def _marks_across_blocks(packed: DataFrame, k: int) -> DataFrame:
+    """The same for crowded buckets, whose contents are dealt to blocks.
+
+    A block sorts and counts its own windows. Each distinct one then leaves the block as one row under a 128-bit
+    hash; sums over the blocks tell which of those seen once in a block occur in another.
+    """
+    cache, spans, other = HashCache(), Spans(BASES[0]), Spans(BASES[1])
+    names = ["mm", "ch", "marks", "w1", "w2", "total", "offset"]
 
     def run(batches):
-        for batch in batches:
-            for piece in range(0, batch.num_rows, 1000):
-                part = batch.slice(piece, 1000)
-                strings = [p.split(b" ") for p in part.column("packed").to_pylist()]
-                counts = np.fromiter(map(len, strings), np.int64, len(strings))
-                h = cache.of([w for s in strings for w in s])
-                row, offset, at = _windows(counts, k)
-                rows = pa.array(row)
-                columns = [part.column("mm").take(rows), part.column("ch").take(rows), part.column("n").take(rows), pa.array(offset.astype(np.int32))]
-                columns += [pa.array(s.of(h, at, at + k).view(np.int64)) for s in (one_half, other_half)]
-                yield pa.RecordBatch.from_arrays(columns, names=["mm", "ch", "n", "offset", "w1", "w2"])
-
-    windows = packed.dropDuplicates(["mm", "ch"]).mapInArrow(run, "mm bigint, ch bigint, n bigint, offset int, w1 bigint, w2 bigint")
-    twice = windows.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
-    found = windows.join(twice, ["w1", "w2"], "left_semi")
-    return found.groupBy("mm", "ch").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
+        for table in _buckets(batches, ("mm", "block")):
+            mm, ch = (table.column(c).to_numpy() for c in ("mm", "ch"))
+            bucket = np.cumsum(np.concatenate([[True], (mm[1:] != mm[:-1]) | (table.column("block").to_numpy()[1:] != table.column("block").to_numpy()[:-1])]))
+            rows = Sorted(bucket, table.column("n").to_numpy(), table.column("packed").to_pylist(), k, spans)
+            marks = rows.marks(table.num_rows)
+            seen = np.flatnonzero(marks)
+            none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(mm[seen]), pa.array(ch[seen]), pa.array(marks[seen]), *none], names=names)
+            h = cache.of(rows.words)[rows.ids]
+            first = rows.first
+            at, row = rows.at[first], rows.row[first]
+            hashes = [pa.array(s.of(h, at, at + k).view(np.int64)) for s in (spans, other)]
+            columns = [pa.array(mm[row]), pa.array(ch[row]), pa.nulls(len(first), pa.int64()), *hashes, pa.array(rows.total), pa.array(rows.offset[first].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    dealt = packed.repartition("mm", "block").sortWithinPartitions("mm", "block", "ch")
+    local = dealt.mapInArrow(run, "mm bigint, ch bigint, marks bigint, w1 bigint, w2 bigint, total bigint, offset int")
+    windows = local.where("w1 is not null")
+    elsewhere = windows.groupBy("w1", "w2").agg(F.sum("total").alias("all")).where("all > 1").select("w1", "w2")
+    found = windows.where("total = 1").join(elsewhere, ["w1", "w2"], "left_semi")
+    marks = found.groupBy("mm", "ch").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
+    return local.where("w1 is null").select("mm", "ch", "marks").unionByName(marks)
 
 
 def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MMER, hot: int = HOT) -> DataFrame:
@@ -256,16 +283,17 @@ def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     mixed = shared.where("not same")
     first = F.min(F.struct("rk", "rk2", "start", "size")).alias("first")
     contents = cut(mixed.groupBy("mm", "ch").agg(F.count("*").alias("n"), first).select("mm", "ch", "n", "first.*"))
-    crowded = contents.groupBy("mm").agg(F.count("*").alias("contents")).where(F.col("contents") > hot).select("mm")
-    item = F.struct("mm", "ch", "n", "start", "size")
+    crowded = contents.groupBy("mm").agg(F.count("*").alias("contents")).where(F.col("contents") > hot)
+    block = F.pmod(F.xxhash64("ch"), F.ceil(F.col("contents") / hot)).cast("int")
+    item = F.struct("mm", "ch", "n", "start", "size", "block")
 
-    def packed(which: str) -> DataFrame:
-        wanted = contents.join(crowded, "mm", which).groupBy("rk", "rk2").agg(F.collect_list(item).alias("wanted"))
+    def packed(rows: DataFrame) -> DataFrame:
+        wanted = rows.groupBy("rk", "rk2").agg(F.collect_list(item).alias("wanted"))
         return _pack(keyed.join(wanted, ["rk", "rk2"]), k)
 
-    marks = _marks_by_sorting(packed("left_anti"), k)
+    marks = _marks_by_sorting(packed(contents.join(crowded, "mm", "left_anti").withColumn("block", F.lit(0))), k)
     if not crowded.isEmpty():
-        marks = marks.unionByName(_marks_by_grouping(packed("left_semi"), k))
+        marks = marks.unionByName(_marks_across_blocks(packed(contents.join(crowded, "mm").withColumn("block", block)), k))
     every = F.lit(-1).cast("bigint").alias("marks")
     found = shared.where("same").select("rk", "rk2", "start", "size", every)
     found = found.unionByName(mixed.join(marks, ["mm", "ch"]).select("rk", "rk2", "start", "size", "marks"))
@@ -279,9 +307,11 @@ def _keep(words: list[bytes], found: list[dict] | None, k: int) -> np.ndarray:
     return ~cover(np.concatenate(starts), k, len(words))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MMER, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MMER, hot: int = HOT, layout: bool = False) -> DataFrame:
     """``(id, n_words, n_removed, kept)`` of every row, ``kept`` being the words that stay, joined by one space.
 
+    With ``layout``, a text that loses nothing stays as it is. The id may be a struct that carries other columns.
+
     A word goes if a k-word window that covers it also starts anywhere else, in the same or another row; all
     windows are judged on the input. NULL texts have no words and give an empty ``kept``. Repeated rows count as
     separate documents and come back as often as they came; NULL ids are kept. An empty table gives no rows.
@@ -297,6 +327,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             keep = _keep(words, f, k)
             sizes.append(len(words))
             gone.append(len(words) - int(keep.sum()))
+            if layout and not gone[-1]:
+                kept.append(t)
+                continue
             kept.append(b" ".join([w for w, y in zip(words, keep.tolist()) if y] if gone[-1] else words).decode("utf-8", "surrogatepass"))
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=[id_col, "n_words", "n_removed", "kept"])
 
