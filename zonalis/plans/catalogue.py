@@ -76,6 +76,8 @@ def oracle_of(sql: str) -> str:
     plain = lambda text: re.sub(r"\{([a-z]\w*)\}", r"\1", text)
     views = [f"{n} as ({plain(VIEWS[n])})" for n in needed]
     body = plain(sql).strip()
+    if body.lower().startswith("with recursive "):
+        return "with recursive " + ", ".join([*views, body[15:]])
     if body.lower().startswith("with "):
         views.append(body[5:])
         return "with " + ", ".join(views)
