@@ -1 +1,155 @@
-"""Queries."""
+"""Source-shape, sink-shape and contract queries (S, O, Q, X)."""
+
+from pyspark.sql import functions as F
+
+from zonalis.functions.keys import METRO_BOX
+from zonalis.operators import contract as Q
+from zonalis.operators import joins as J
+from zonalis.plans.catalogue import query
+from zonalis.plans.q_joins import squares
+from zonalis.sources import readers as R
+from zonalis.sources import sinks as O
+
+
+@query("s4_repeated_blocks", """
+with l as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as pos from {lineitem}) select l_orderkey as id, pos::int as pos, l_partkey::varchar as name, l_suppkey::varchar as votes from l
+""")
+def _(v):
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    lists = v.lineitem.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("x"))
+    cells = F.concat(F.array(F.lit("prefix"), F.col("l_orderkey").cast("string")), F.flatten(F.transform("x", lambda i: F.array(i["l_partkey"].cast("string"), i["l_suppkey"].cast("string")))), F.array(F.lit(" "), F.lit("")))
+    rows = lists.select(F.col("l_orderkey").alias("id"), cells.alias("cells"))
+    return R.repeated_blocks(rows, "cells", 2, 2, ["name", "votes"]).select("id", "pos", "name", "votes")
+
+
+CUBE = """select lpad(cast(o_custkey as string),5,'0') as "GEO", 'COM' as "GEO_OBJECT", o_orderstatus as "SEX", o_orderpriority as "AGE", cast(o_totalprice as string) as "OBS_VALUE" from {orders}"""
+
+
+def _cube(v):
+    return v.orders.select(F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("GEO"), F.lit("COM").alias("GEO_OBJECT"), F.when(F.col("o_orderstatus") == "O", "_T").otherwise(F.col("o_orderstatus")).alias("SEX"), F.col("o_orderpriority").alias("AGE"), F.col("o_totalprice").cast("string").alias("OBS_VALUE"))
+
+
+@query("s5_s6_cube", "select lpad(o_custkey::varchar,5,'0') as code, count(*) as n, round(sum(o_totalprice),2) as value from {orders} where o_orderstatus = 'O' and o_orderpriority in ('1-URGENT','2-HIGH') group by 1")
+def _(v):
+    totals = R.cube_totals(_cube(v), ["GEO", "GEO_OBJECT", "AGE", "OBS_VALUE"])
+    rows = R.cube(totals, {"AGE": ["1-URGENT", "2-HIGH"]})
+    return rows.groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("value"))
+
+
+@query("s7_indicator_pivot", """
+with l as (select lpad(o_custkey::varchar,5,'0') as code, o_orderpriority as lv, o_orderstatus as st, max(o_totalprice) as v from {orders} where o_orderpriority in ('1-URGENT','5-LOW') and o_orderstatus in ('O','F') group by 1,2,3)
+select code, max(case when lv='1-URGENT' and st='O' then v end) as urgent_o, max(case when lv='5-LOW' and st='F' then v end) as low_f from l group by 1
+""")
+def _(v):
+    long = v.orders.groupBy("o_custkey", "o_orderpriority", "o_orderstatus").agg(F.max("o_totalprice").alias("r"))
+    long = long.select(F.col("o_custkey").cast("string").alias("code_territoire"), F.col("o_orderpriority").alias("rechauffement_france"), F.col("o_orderstatus").alias("statistique"), F.col("r").cast("string").alias("resultat"), F.lit("X").alias("code_indicateur"), F.lit("oui").alias("donnees_issues_territoire"))
+    wide = R.indicator_values(long, ["1-URGENT", "5-LOW"], ["O", "F"], "X")
+    return wide.select("code", F.col("`1-URGENT_O`").alias("urgent_o"), F.col("`5-LOW_F`").alias("low_f"))
+
+
+@query("s13_s14_grid_cells", """
+with c as (select floor((lat-41)/0.5)::bigint as row, floor((lon+6)/0.5)::bigint as col, max(acctbal) as v from {areas} group by 1,2) select row, col, case when v >= 5000 then v end as value from c where row between 4 and 12 and col between 2 and 20
+""")
+def _(v):
+    cells = v.areas.groupBy(F.floor((F.col("lat") - 41) / 0.5).alias("row"), F.floor((F.col("lon") + 6) / 0.5).alias("col")).agg(F.max("acctbal").alias("value"))
+    return R.grid_window(cells, (4, 12), (2, 20), 5000.0)
+
+
+@query("s8_nested_events", "select event_type, count(*) as n, sum((props::json->>'k')::bigint)::bigint as k from {events} group by 1")
+def _(v):
+    rows = v.events.select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("p.k").alias("k"))
+
+
+@query("o3_stat_columns", """
+select field, count(*) as n, count(value) as present, round(sum(value),2) as total from (select 'spend' as field, spend as value from {area_stats} union all select 'avg_price', avg_price from {area_stats} union all select 'population', population::double from {area_stats}) group by 1
+""")
+def _(v):
+    long = O.stat_columns(v.area_stats, ["spend", "avg_price", "population"])
+    return long.groupBy("field").agg(F.count("*").alias("n"), F.count("value").alias("present"), F.round(F.sum("value"), 2).alias("total"))
+
+
+@query("o3_coverage", " union all ".join(f"select '{c}' as field, count({c}) as n, count({c})/count(*)::double as share, count({c})/count(*)::double < 0.25 as thin from {{area_stats}}" for c in ("spend", "avg_price", "acctbal")))
+def _(v):
+    return O.coverage(v.area_stats, ["spend", "avg_price", "acctbal"])
+
+
+@query("o2_o4_documents", "select code, dep, len(list(year order by year)) as n, min(year) as first, round(sum(ha),6) as ha from (select f.code, a.dep, f.year, sum(ha) as ha from {fires} f join {areas} a on a.code=f.code group by 1,2,3) group by 1,2")
+def _(v):
+    yearly = v.fires.groupBy("code", "year").agg(F.sum("ha").alias("ha"))
+    docs = O.nested_documents(yearly, "code", "year", ["ha"], F.lit(None).cast("string")).drop("dep").join(v.areas.select("code", "dep"), "code")
+    total = F.aggregate("rows", F.lit(0.0), lambda a, r: a + r["ha"])
+    return docs.select("code", "dep", F.size("rows").cast("bigint").alias("n"), F.col("rows")[0]["year"].alias("first"), F.round(total, 6).alias("ha"))
+
+
+@query("o5_o6_catalogues", "select r_name as source, r_regionkey::int as z, count(*) as layers from {region} join {nation} on n_regionkey=r_regionkey group by 1,2")
+def _(v):
+    kind = F.element_at(F.array(*map(F.lit, ["fill", "raster", "line", "circle", "fill"])), F.col("r_regionkey") + 1)
+    layers = v.nation.join(v.region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("source"), F.col("r_regionkey").alias("source_order"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("layer"), kind.alias("type"), F.lit(None).cast("double").alias("opacity"), F.lit(None).cast("boolean").alias("visible"), F.lit("x").alias("attribution"))
+    return O.layer_catalogue(layers).groupBy("source", F.col("source_order").cast("int").alias("z")).agg(F.count("*").alias("layers"))
+
+
+@query("q2_key_faults", """
+with k as (select case when c_custkey % 10 = 0 then 'x'||c_custkey::varchar when c_custkey % 10 = 1 then '00001' when c_custkey % 10 = 2 then 'AB'||lpad((c_custkey%1000)::varchar,3,'0') else lpad(c_custkey::varchar,5,'0') end as k from {customer}), c as (select k, count(*) as c from k group by 1),
+b as (select k, case when not regexp_matches(k,'^([0-9]{5}|2[AB][0-9]{3})$') then case when length(k) <> 5 then 'key_length' else 'malformed_key' end when c > 1 then 'duplicate_key' end as chk from c)
+select chk as check, 'error' as level, array_to_string(list_slice(list_sort(list(k)),1,5),',') as detail, count(*) as n from b where chk is not null group by 1
+""".replace("as check", 'as "check"'))
+def _(v):
+    k = F.col("c_custkey")
+    code = F.when(k % 10 == 0, F.concat(F.lit("x"), k.cast("string"))).when(k % 10 == 1, "00001").when(k % 10 == 2, F.concat(F.lit("AB"), F.lpad((k % 1000).cast("string"), 3, "0"))).otherwise(F.lpad(k.cast("string"), 5, "0"))
+    return Q.key_faults(v.customer.select(code.alias("code")))
+
+
+@query("q1_q3_q4_table_contract", """
+select 'undeclared' as "check", 'error' as level, 'n_orders' as detail, 1::bigint as n union all select 'missing','error','ghost',1 union all select 'bad_type','error','dep',1 union all select 'no_unit','warning','spend',1
+union all select 'unparsable','error','dep', count(*) from {area_stats} where dep = '07'
+""")
+def _(v):
+    fields = v.spark.createDataFrame([("dep", "text", ""), ("spend", "numeric", " "), ("avg_price", "numeric", "EUR"), ("ghost", "ordinal", "")], "field string, type string, unit string")
+    table = v.area_stats.select("code", F.when(F.col("dep") == "07", "n/a").otherwise(F.col("dep")).alias("dep"), "spend", "avg_price", "n_orders")
+    return Q.declaration_faults(table.columns, fields).unionByName(Q.unparsable(table, ["dep", "spend"])).unionByName(Q.table_shape(table, "code", ["spend"]))
+
+
+@query("q5_q6_rates_and_collisions", """
+with t as (select lpad((c_custkey*2)::varchar,5,'0') as code from {customer}), m as (select t.code, a.code as hit from t left join {areas} a on t.code=a.code)
+select 'join_rate' as "check", 'error' as level, printf('%.4f', count(hit)/count(*)::double) as detail, count(*)-count(hit) as n from m union all select 'collision','error','total',2
+""")
+def _(v):
+    table = v.customer.select(F.lpad((F.col("c_custkey") * 2).cast("string"), 5, "0").alias("code"))
+    fields = v.spark.createDataFrame([("a", "total"), ("b", "total"), ("b", "rate")], "source string, field string")
+    return Q.join_rate(J.join_diagnostics(table, v.areas)).unionByName(Q.name_collisions(fields))
+
+
+@query("q7_feature_faults", """
+select 'outside' as "check", 'error' as level, '' as detail, count(*) as n from {squares} where x0+200 > 9.8 and poly like 'P-%' having count(*) > 0 union all select 'geometry_type','error','',count(*) from {squares} where poly like 'P1%' having count(*) > 0
+union all select 'range','error','',count(*) from {squares} where poly like 'P-%' and x0+0.5+200 > 180 having count(*) > 0
+""")
+def _(v):
+    moved = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct((p["x"] + 200).alias("x"), p["y"].alias("y"))))
+    rows = squares(v).select(F.when(F.col("poly").startswith("P1"), "Point").otherwise("Polygon").alias("geom_type"), F.when(F.col("poly").startswith("P-"), moved).otherwise(F.col("rings")).alias("rings"))
+    return Q.feature_faults(rows, ["Polygon", "MultiPolygon"], METRO_BOX)
+
+
+@query("q8_layer_faults", """
+select case n_nationkey % 4 when 0 then 'color_count' when 1 then 'stops_not_rising' when 2 then 'not_hex' else 'ordinal_without_stops' end as "check", 'error' as level, n_name as detail, 1::bigint as n from {nation}
+""")
+def _(v):
+    k = F.col("n_nationkey")
+    some = lambda *xs: F.array(*map(F.lit, xs))
+    layers = v.nation.select(
+        F.col("n_name").alias("layer"), F.when(k % 4 == 3, "ordinal").otherwise("numeric").alias("type"), F.when(k % 4 == 0, some(1.0, 2.0)).alias("breaks"),
+        F.when(k % 4 == 2, some("red")).otherwise(some("#00ff00")).alias("colors"), F.when(k % 4 == 1, some(2.0, 1.0)).when(k % 4 != 3, some(1.0, 2.0)).alias("stops"))
+    return Q.layer_faults(layers)
+
+
+@query("q11_q12_profiles", "select code, spend, 1000000e0 as published, spend-1000000e0 as spend_difference from {area_stats} where code in ('00001','00002','00004') ")
+def _(v):
+    reference = v.spark.createDataFrame([(c, 1_000_000.0) for c in ("00001", "00002", "00004")], "code string, published double")
+    return Q.reference_profile(v.area_stats, reference, "code", {"spend": "published"})
+
+
+@query("q12_reconciliation", "select code, a, b, total, off from (select code, sum(case when opt='1-URGENT' then votes else 0 end)::bigint as a, sum(case when opt='5-LOW' then votes else 0 end)::bigint as b, sum(votes)::bigint as total, abs(sum(case when opt in ('1-URGENT','5-LOW') then votes else 0 end)-sum(votes))/sum(votes)::double as off from {votes} group by 1) where off > 0.5")
+def _(v):
+    of = lambda o: F.sum(F.when(F.col("opt") == o, F.col("votes")).otherwise(0))
+    wide = v.votes.groupBy("code").agg(of("1-URGENT").alias("a"), of("5-LOW").alias("b"), F.sum("votes").alias("total"))
+    return Q.reconciliation(wide, ["a", "b"], "total", 0.5).select("code", "a", "b", "total", "off")

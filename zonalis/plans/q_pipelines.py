@@ -1 +1,238 @@
-"""Queries."""
+"""Pipeline queries (P) on inputs derived from the given tables."""
+
+from pyspark.sql import functions as F
+
+from zonalis.functions import geometry as G
+from zonalis.operators.composites import Indicator
+from zonalis.plans import area_pipelines as P
+from zonalis.plans import feature_pipelines as Q
+from zonalis.plans.catalogue import query
+from zonalis.plans.q_joins import squares
+from zonalis.plans.registry import Registry
+
+
+def facilities(v):
+    """Orders as facility counts of areas: GEO, GEO_OBJECT, FACILITY_TYPE, OBS_VALUE."""
+    rows = v.votes.select(F.col("code").alias("GEO"), F.lit("COM").alias("GEO_OBJECT"), F.col("opt").alias("FACILITY_TYPE"), (F.col("votes") - 2).cast("string").alias("OBS_VALUE"))
+    return rows
+
+
+@query("p2_population", "select code, population, round_even(population/((100+population%900)/100e0),1) as density from {areas}")
+def _(v):
+    records = v.areas.select("code", "population", (100 + F.col("population") % 900).alias("surface"))
+    return P.population(records.unionByName(records))
+
+
+@query("p3_drought", """
+select code, count(*) filter (where x >= 1) as days, count(*) filter (where x >= 3) as severe_days, max(x)::int as worst from (select code, greatest(surface::int % 5, surface::int % 3, surface::int % 4) as x from {sale_rows}) group by 1
+""")
+def _(v):
+    s = F.col("surface").cast("int")
+    item = F.struct((s % 5).alias("AEP"), (s % 3).alias("SOU"), (s % 4).alias("SUP"))
+    records = v.sale_rows.groupBy("code").agg(F.collect_list(item).alias("restrictions")).select(F.struct("code").alias("commune"), "restrictions")
+    return P.drought(records)
+
+
+@query("p4_fires", "select code, count(*) as fires, round(sum(ha),0) as ha, round_even(max(ha*10000/1e4),2) as largest_ha, max(year) as latest from {fires} group by 1")
+def _(v):
+    out = P.fires(v.fires.select(F.col("year").cast("string").alias("year"), "code", (F.col("ha") * 10_000).cast("string").alias("surface_m2")))
+    return out.withColumn("ha", F.round("ha", 0))
+
+
+@query("p5_food_access", """
+with f as (select code, opt, votes-2 as n from {votes} where votes > 2) select a.code, coalesce(sum(case when opt='1-URGENT' then n end),0)::bigint as large, coalesce(sum(case when opt='2-HIGH' then n end),0)::bigint as general, coalesce(sum(case when opt='5-LOW' then n end),0)::bigint as specialist,
+ case when coalesce(sum(case when opt='1-URGENT' then n end),0) > 0 then 'supermarche' when coalesce(sum(case when opt='2-HIGH' then n end),0) > 0 then 'proximite' when coalesce(sum(case when opt='5-LOW' then n end),0) > 0 then 'specialise' else 'aucun' end as food_class from {areas} a left join f on a.code=f.code group by 1
+""")
+def _(v):
+    return P.food_access(v.areas, facilities(v), {"large": ["1-URGENT"], "general": ["2-HIGH"], "specialist": ["5-LOW"]})
+
+
+@query("p6_services", """
+with f as (select code, opt, votes-2 as n from {votes} where votes > 2), k as (select a.code, count(distinct case when opt in ('1-URGENT','2-HIGH') then (case when opt='1-URGENT' then 'x' else 'y' end) end) as health, count(distinct case when opt in ('3-MEDIUM','5-LOW') then 'z' end) as shops, coalesce(sum(case when opt='2-HIGH' then n end),0)::bigint as doctors from {areas} a left join f on a.code=f.code group by 1)
+select code, health, shops, doctors, health+shops as basket, case when health+shops <= 0 then 'desert' when health+shops <= 1 then 'limite' else 'complet' end as service_class from k
+""")
+def _(v):
+    basket = {"health": {"x": ["1-URGENT"], "y": ["2-HIGH"]}, "shops": {"z": ["3-MEDIUM", "5-LOW"]}}
+    return P.services(v.areas, facilities(v), basket, [(0, "desert"), (1, "limite")], "2-HIGH")
+
+
+@query("p8_prices", """
+with m as (select id_mutation, max(valeur) as value, count(distinct code) as nc, count(distinct type_local) as nt, min(code) as code, min(type_local) as kind, sum(surface) as surface from {sale_rows} group by 1),
+k as (select code, kind, value/surface as p from m where value > 0 and nc=1 and nt=1 and surface >= 9 and kind in ('A','N') and value/surface between 200 and 20000)
+select code, case when count(*) >= 2 then round_even(quantile_cont(p,0.5),0) end as price, case when count(*) filter (where kind='A') >= 2 then round_even(quantile_cont(case when kind='A' then p end,0.5),0) end as house_price, case when count(*) filter (where kind='N') >= 2 then round_even(quantile_cont(case when kind='N' then p end,0.5),0) end as flat_price, count(*) as sales from k group by 1
+""")
+def _(v):
+    kind = F.when(F.col("type_local") == "A", "Maison").when(F.col("type_local") == "N", "Appartement").otherwise("Local")
+    return P.prices(v.sale_rows.withColumn("type_local", kind), 2)
+
+
+@query("p9_age_structure", """
+with h as (select lpad(l_suppkey::varchar,5,'0') as code, l_quantity::int*2 as age, count(*)::double as n from {lineitem} group by 1,2), c as (select *, sum(n) over (partition by code order by age) as cum, sum(n) over (partition by code) as total from h),
+md as (select code, round_even(age+(total/2-(cum-n))/n,1) as median from c where cum-n < total/2 and cum >= total/2)
+select h.code, round_even(sum(n),0) as people, round_even(100*sum(case when age < 20 then n else 0 end)/sum(n),1) as under_20, round_even(100*sum(case when age >= 65 then n else 0 end)/sum(n),1) as over_65, round_even(100*sum(case when age >= 75 then n else 0 end)/sum(n),1) as over_75, any_value(median) as median_age, case when sum(case when age < 20 then n else 0 end) >= 20 then round_even(100*sum(case when age >= 65 then n else 0 end)/sum(case when age < 20 then n else 0 end),1) end as ageing_index from h join md on h.code=md.code group by 1
+""")
+def _(v):
+    single = v.lineitem.groupBy("l_suppkey", (F.col("l_quantity").cast("int") * 2).alias("age")).agg(F.count("*").alias("n"))
+    code = F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("GEO")
+    age = F.when(F.col("age") == 100, "Y_GE100").otherwise(F.concat(F.lit("Y"), F.col("age").cast("string")))
+    rows = single.select(code, F.lit("COM").alias("GEO_OBJECT"), age.alias("AGE"), F.lit("_T").alias("SEX"), F.col("n").cast("string").alias("OBS_VALUE"))
+    totals = v.lineitem.groupBy(code).agg(F.count("*").alias("n")).select("GEO", F.lit("COM").alias("GEO_OBJECT"), F.lit("_T").alias("AGE"), F.lit("_T").alias("SEX"), F.col("n").cast("string").alias("OBS_VALUE"))
+    return P.age_structure(rows.unionByName(totals))
+
+
+@query("p10_presidential", """
+with r as (select code, opt, votes, round(100e0*votes/sum(votes) over (partition by code),6) as pct from {votes}), w as (select code, opt as leader, row_number() over (partition by code order by votes desc, opt) as k from r)
+select w.code, leader, p.t1_a, p.t1_e, p.turnout_t2, p.t2_a from w join (select code, max(case when opt='1-URGENT' then pct end) as t1_a, max(case when opt='5-LOW' then pct end) as t1_e, max(case when votes > 2 then 70e0 end) as turnout_t2, max(case when opt='1-URGENT' and votes > 2 then pct end) as t2_a from r group by 1) p on w.code=p.code where k = 1
+""")
+def _(v):
+    total = v.votes.groupBy("code").agg(F.sum("votes").alias("t"))
+    rows = v.votes.join(total, "code").select("code", F.lit(70.0).alias("turnout"), F.col("opt").alias("name"), "votes", F.round(100.0 * F.col("votes") / F.col("t"), 6).alias("pct"), F.substring("opt", 1, 1).cast("int").alias("pos"))
+    slugs = {"1-URGENT": "a", "2-HIGH": "b", "3-MEDIUM": "c", "4-NOT SPECIFIED": "d", "5-LOW": "e"}
+    out = P.presidential(rows, rows.where("votes > 2"), slugs, ["1-URGENT"])
+    return out.select("code", "leader", "t1_a", "t1_e", "turnout_t2", "t2_a")
+
+
+@query("p11_municipal", """
+with w as (select code, opt, row_number() over (partition by code order by votes desc, opt) as k from {votes}), s as (select code, opt, row_number() over (partition by code order by votes desc, opt) as k from {votes} where votes > 3 and opt <> '1-URGENT')
+select a.code, a.lists, case when s.code is not null then 'oui' else 'non' end as runoff, coalesce(s.opt, w.opt) as list from (select code, count(*) as lists from {votes} group by 1) a join w on a.code=w.code and w.k=1 left join s on a.code=s.code and s.k=1
+""")
+def _(v):
+    rows = v.votes.select("code", F.lit(60.0).alias("turnout"), F.substring("opt", 1, 1).cast("int").alias("pos"), F.col("opt").alias("list"), F.lit("LDIV").alias("nuance"), "votes")
+    out = P.municipal(rows, rows.where("votes > 3 and list <> '1-URGENT'"), {"LDIV": "Divers"})
+    return out.select("code", "lists", "runoff", "list")
+
+
+@query("p12_left_right")
+def _(v):
+    x = v.spark.createDataFrame([("1-URGENT", 1.0), ("2-HIGH", 3.0), ("3-MEDIUM", 5.0), ("5-LOW", 8.0)], "opt string, x double")
+    late = v.orders.where("o_orderdate >= '1997-01-01'").groupBy(F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("code"), F.col("o_orderpriority").alias("opt")).agg(F.count("*").alias("votes"))
+    return P.left_right({"all": v.votes, "late": late}, {"all": x, "late": x}, {}).select("code", *[F.round(c, 6).alias(c) for c in ("index", "raw", "n")])
+
+
+@query("p16_seasonality", """
+with m as (select lpad((point % 25)::varchar,2,'0') as dep, month, sum(tx) as v from {daily_grid} group by 1,2), p as (select dep, round_even(100*sum(case when month in (6,7,8,9) then v else 0 end)/sum(v),1) as summer, round_even(100*sum(case when month in (12,1,2,3) then v else 0 end)/sum(v),1) as winter, arg_max(month, v) as peak, round_even(12*max(v)/sum(v),2) as amplitude from m group by 1 having count(*) = 12)
+select a.code, p.* exclude (dep), substr(a.code,1,2) as dep from {areas} a left join p on substr(a.code,1,2)=p.dep
+""")
+def _(v):
+    nights = v.daily_grid.select(F.lpad((F.col("point") % 25).cast("string"), 2, "0").alias("dep"), "month", F.col("tx").alias("value"))
+    return P.seasonality(nights, v.areas)
+
+
+@query("p17_risk_registers", """
+with p as (select code, case max(case type_local when 'A' then 3 when 'N' then 2 else 1 end) when 3 then 'approuve' when 2 then 'prescrit' else 'caduque' end as plan from {sale_rows} group by 1), n as (select code, count(*) as notices from {fires} where ha > 8 group by 1),
+d as (select code, bool_or(surface = 7) as f, bool_or(surface = 9) as r from {sale_rows} group by 1)
+select coalesce(p.code,n.code,d.code) as code, coalesce(plan,'aucun') as plan, coalesce(notices,0) as notices, case when f and r then 'les_deux' when f then 'submersion' when r then 'recul' else 'aucun' end as coast from p full join n on p.code=n.code full join d on coalesce(p.code,n.code)=d.code
+""")
+def _(v):
+    stage = F.when(F.col("type_local") == "A", "Opposable").when(F.col("type_local") == "N", "Prescrit").otherwise("Caduque")
+    plans = v.sale_rows.select("code", stage.alias("stage"), F.lit("").alias("detail"))
+    return P.risk_registers(plans, v.fires.where("ha > 8").select("code"), v.sale_rows.select("code", F.col("surface").cast("int").alias("number")), {"flood": 7, "retreat": 9})
+
+
+@query("p20_nearest_heat", """
+with s as (select poly as code, x0+0.25e0 as x, y0+0.25e0 as y from {squares}), d as (select s.code, v.poids as hot, row_number() over (partition by s.code order by round(sqrt((v.lon-s.x)**2+(v.lat-s.y)**2),9), v.venue_id) as k, sqrt(((v.lon-s.x)*111.320*cos(radians(s.y)))**2+((v.lat-s.y)*110.574)**2) as km from s, {venues} v)
+select code, hot, round(km,1) as distance_km from d where k = 1
+""")
+def _(v):
+    areas = squares(v).withColumnRenamed("poly", "code")
+    grid = v.venues.select(F.col("venue_id").alias("point"), "lon", "lat", F.col("poids").alias("hot"))
+    return P.nearest_heat(areas, grid)
+
+
+@query("p22_p24_population_weighted_cells", """
+with c as (select a.code as cell, s.poly as code, a.population::double as pop, a.acctbal from {areas} a join {squares} s on floor(a.lon*2)/2e0=s.x0 and floor(a.lat*2)/2e0=s.y0), g as (select floor((lat-41)/0.25)::bigint as r, floor((lon+6)/0.25)::bigint as q, avg(acctbal) as value from {areas} group by 1,2),
+v as (select c.code, c.pop, g.value from c join {areas} a on a.code=c.cell left join g on floor((a.lat-41)/0.25)=r and floor((a.lon+6)/0.25)=q)
+select s.poly as code, round(sum(value*pop)/sum(case when value is not null then pop end),3) as value, round(max(value),3) as worst from {squares} s left join v on s.poly=v.code group by 1
+""")
+def _(v):
+    areas = squares(v).withColumnRenamed("poly", "code")
+    cells = v.areas.select(F.col("code").alias("cell"), F.col("lon").alias("x"), F.col("lat").alias("y"), F.col("population").cast("double").alias("pop"))
+    row, col = F.floor((F.col("lat") - 41) / 0.25), F.floor((F.col("lon") + 6) / 0.25)
+    grid = v.areas.groupBy(row.alias("row"), col.alias("col")).agg(F.avg("acctbal").alias("value"))
+    from zonalis.operators import aggregates as A
+    from zonalis.operators import joins as J
+
+    placed = J.sample_cells(P.cells_with_areas(cells, areas, 0.5).where("code is not null"), grid, -6.0, 41.0, 0.25, 0.25)
+    per = placed.groupBy("code").agg(F.round(A.weighted_mean(F.col("value"), F.col("pop")), 3).alias("value"), F.round(F.max("value"), 3).alias("worst"))
+    return areas.select("code").join(per, "code", "left")
+
+
+@query("p26_fire_model")
+def _(v):
+    areas = v.area_stats.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"), (1.0 + F.col("population") / 1000.0).alias("area"), F.log1p("population").alias("people"), F.col("acctbal").alias("money"))
+    count = lambda lo, hi: v.fires.where(F.col("year").between(lo, hi) & (F.col("ha") > 6)).groupBy("code").agg(F.count("*").alias("fires"))
+    rates, quality = P.fire_model(areas, count(1995, 1999), count(2000, 2001), ["people", "money"], 0.5, 5)
+    return rates.select("code", F.round("rate", 6).alias("rate")).crossJoin(F.broadcast(quality.select(F.round("auc", 6).alias("auc"), F.round("capture", 6).alias("capture"))))
+
+
+@query("p27_habitability")
+def _(v):
+    indicators = [Indicator("money", "spend", sat=(0.0, 500_000.0)), Indicator("people", "population", sat=(60_000.0, -20_000.0), worse="lower")]
+    return P.habitability(v.area_stats, indicators, "money", {"money": "Money", "people": "People"})
+
+
+@query("p28_culture_reach")
+def _(v):
+    areas = v.areas.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"))
+    venues = v.venues.select(F.col("categorie").alias("category"), F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("poids").alias("weight"))
+    return P.culture_reach(areas, venues, {"scene": 6.0, "musee": 6.0, "festival": 6.0}, 0.4, 1.2)
+
+
+@query("p29_p30_venues", """
+select case s_suppkey % 3 when 0 then 'stage' when 1 then 'museum' else 'fair' end as category, count(*) as n, round(sum(case s_suppkey % 3 when 0 then 2e0 when 1 then least(greatest(1+log10((1000+s_suppkey*700)/10000e0),0.5),6) else 1e0 end),0) as weight from {supplier} group by 1
+""")
+def _(v):
+    k = F.col("s_suppkey")
+    kind = F.when(k % 3 == 0, "T").when(k % 3 == 1, "M").otherwise("F")
+    rows = v.supplier.select(k.cast("string").alias("id"), kind.alias("kind"), (k / 1000.0).alias("lon"), (45 + k / 1000.0).alias("lat"), F.col("s_name").alias("name"))
+    visitors = v.supplier.select(k.cast("string").alias("id"), F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))).alias("year"), (1000 + k * 700).cast("double").alias("total"))
+    out = Q.venues(rows, visitors, {"T": ("stage", 2.0), "M": ("museum", None), "F": ("fair", 1.0)})
+    return out.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 0).alias("weight"))
+
+
+@query("p31_stop_service", """
+with l as (select *, max(pos) over (partition by trip) as last from {patterns}), b as (select * from l where pos < last)
+select b.stop, round_even(count(*) filter (where product <> '5-LOW')/7e0,1) as trains_day, count(distinct product) as products from b group by 1
+""")
+def _(v):
+    products = v.patterns.select("product").distinct().select("product", F.when(F.col("product") == "5-LOW", "car").otherwise("train").alias("category"), F.col("product").alias("label"))
+    out = Q.stop_service(v.patterns, products)
+    return out.select("stop", "trains_day", F.size(F.split("services", ", ")).cast("bigint").alias("products"))
+
+
+@query("p39_field_catalogue", "select n_name as field, min(n_nationkey) as first from {nation} where n_nationkey % 2 = 0 group by 1")
+def _(v):
+    k = F.col("n_nationkey")
+    fields = v.nation.select(F.col("n_name").alias("field"), F.lpad(k.cast("string"), 2, "0").alias("source"), k.alias("source_order"), F.when(k % 2 == 0, "numeric").otherwise("ordinal").alias("type"), F.lit(True).alias("choropleth"), F.lit(None).cast("boolean").alias("correlate"), F.lit("a — b").alias("label"))
+    twice = fields.unionByName(fields.withColumn("source_order", F.col("source_order") + 100))
+    return Q.field_catalogue(twice).select("field", F.col("source").cast("int").alias("first"))
+
+
+@query("p40_inspect", "select code, field, value from (select code, 'population' as field, population::varchar as value from {areas} union all select code, 'dep', dep from {areas}) where code = (select min(code) from {areas} where population % 3 > 0 and lon > 1 and lon < 2)")
+def _(v):
+    code = v.areas.where("population % 3 > 0 and lon > 1 and lon < 2").agg(F.min("code").alias("code")).first()["code"]
+    at = v.areas.where(F.col("code") == code).select("lon", "lat").first()
+    areas = v.areas.select("code", G.square(F.col("lon") - 1e-6, F.col("lat") - 1e-6, 2e-6).alias("rings"))
+    fields = v.spark.createDataFrame([("population", "base", "People"), ("dep", "base", "Department")], "field string, source string, label string")
+    places = v.venues.select(F.col("venue_id").alias("site"), F.col("lon").alias("sx"), F.col("lat").alias("sy"))
+    rows, _ = Q.inspect((at["lon"], at["lat"]), areas, v.areas.select("code", "population", "dep"), fields, places, 0.5)
+    return rows.select("code", "field", "value")
+
+
+@query("x1_registry_build", "select a.code, a.population, f.fires from {areas} a left join (select code, count(*) as fires from {fires} group by 1) f on a.code=f.code")
+def _(v):
+    registry = Registry()
+
+    @registry.source("people", "commune_table", inputs=("raw_areas",), fields={"population": "numeric"})
+    def people(raw_areas):
+        return raw_areas.select("code", "population")
+
+    @registry.source("fires", "commune_table", inputs=("raw_fires",), fields={"fires": "numeric"}, order=10)
+    def fires(raw_fires):
+        return raw_fires.groupBy("code").agg(F.count("*").alias("fires"))
+
+    @registry.source("wide", "commune_table", inputs=("people", "fires"), order=200)
+    def wide(people, fires):
+        return people.join(fires, "code", "left")
+
+    return registry.build("wide", {"raw_areas": v.areas, "raw_fires": v.fires})

@@ -206,11 +206,11 @@ def _(v):
 
 
 @query("f5_windows_of_years", """
-select case when year <= 1999 then 'train' else 'test' end as part, count(*) as n, round(sum(ha),4) as ha from {fires} where year between 1995 and 2001 group by 1
+select case when year <= 1999 then 'train' else 'test' end as part, count(*) as n, round(sum(ha),6) as ha from {fires} where year between 1995 and 2001 group by 1
 """)
 def _(v):
     rows = v.fires.where(F.col("year").between(1995, 2001))
-    return rows.groupBy(F.when(F.col("year") <= 1999, "train").otherwise("test").alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("ha"), 4).alias("ha"))
+    return rows.groupBy(F.when(F.col("year") <= 1999, "train").otherwise("test").alias("part")).agg(F.count("*").alias("n"), F.round(F.sum("ha"), 6).alias("ha"))
 
 
 @query("f8_f9_published_pairs", """
