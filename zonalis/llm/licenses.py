@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.runtime import cut
+
 CONTAINMENT = 0.8
 #: Phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -64,10 +66,10 @@ def base_columns(text: Column) -> dict[str, Column]:
 
 
 def _blocks(keyed: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(rk, rk2, tokens): the distinct template words of each line."""
+    """(rk, rk2, tokens): the distinct template words of each line that has any."""
     lines = keyed.select("rk", "rk2", F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-    words = F.regexp_extract_all("line", F.lit(WORD), 0)
-    return lines.select("rk", "rk2", F.array_intersect(words, F.array(*map(F.lit, vocabulary))).alias("tokens"))
+    words = F.filter(F.regexp_extract_all("line", F.lit(WORD), 0), lambda w: w.isin(*vocabulary))
+    return lines.select("rk", "rk2", F.array_distinct(words).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def find_templates(keyed: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
@@ -76,7 +78,8 @@ def find_templates(keyed: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     sets = [(sorted(set(t.split())), label) for t, label in templates]
     vocabulary = sorted({w for words, _ in sets for w in words})
     need = [math.ceil(containment * len(words) - 1e-9) for words, _ in sets]
-    blocks = _blocks(keyed, vocabulary)
+    # Read twice, for the frequencies and for the join; the texts are cut into words once.
+    blocks = cut(_blocks(keyed, vocabulary))
     # One row per template word at most comes to the driver.
     counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
