@@ -33,10 +33,10 @@ def _(v):
     return P.drought(records)
 
 
-@query("p4_fires", "select code, count(*) as fires, round(sum(ha),0) as ha, round_even(max(ha*10000/1e4),2) as largest_ha, max(year) as latest from {fires} group by 1")
+@query("p4_fires", "select code, count(*) as fires, round_even(max(ha*10000/1e4),2) as largest_ha, max(year) as latest from {fires} group by 1")
 def _(v):
     out = P.fires(v.fires.select(F.col("year").cast("string").alias("year"), "code", (F.col("ha") * 10_000).cast("string").alias("surface_m2")))
-    return out.withColumn("ha", F.round("ha", 0))
+    return out.drop("ha")
 
 
 @query("p5_food_access", """
