@@ -42,12 +42,16 @@ def _cone() -> tuple[float, float, float]:
 
 
 def _latitude(t: Column, e: float) -> Column:
-    """Latitude of an isometric value by six rounds of the fixed-point formula."""
-    phi = math.pi / 2 - 2 * F.atan(t)
-    for _ in range(6):
-        s = F.sin(phi)
-        phi = math.pi / 2 - 2 * F.atan(t * F.pow((1 - e * s) / (1 + e * s), F.lit(e / 2)))
-    return phi
+    """Latitude of an isometric value by the series in the conformal latitude; exact to a micrometre."""
+    chi = math.pi / 2 - 2 * F.atan(t)
+    e2, e4, e6, e8 = e**2, e**4, e**6, e**8
+    return (
+        chi
+        + (e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360) * F.sin(2 * chi)
+        + (7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520) * F.sin(4 * chi)
+        + (7 * e6 / 120 + 81 * e8 / 1120) * F.sin(6 * chi)
+        + (4279 * e8 / 161280) * F.sin(8 * chi)
+    )
 
 
 def lambert93(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -117,9 +121,8 @@ def from_lambert2e(x: Column, y: Column) -> tuple[Column, Column]:
     v = a / F.sqrt(1 - e2 * F.pow(F.sin(lat), F.lit(2)))
     px, py = v * F.cos(lat) * F.cos(lon) + NTF_SHIFT[0], v * F.cos(lat) * F.sin(lon) + NTF_SHIFT[1]
     pz = v * (1 - e2) * F.sin(lat) + NTF_SHIFT[2]
-    flat = F.hypot(px, py)
-    out = F.atan2(pz, flat * (1 - E2))
-    for _ in range(5):
-        s = F.sin(out)
-        out = F.atan2(pz + E2 * A / F.sqrt(1 - E2 * s * s) * s, flat)
+    flat, b = F.hypot(px, py), A * (1 - FLAT)
+    theta = F.atan2(pz * A, flat * b)
+    cube = lambda c: F.pow(c, F.lit(3.0))
+    out = F.atan2(pz + E2 / (1 - E2) * b * cube(F.sin(theta)), flat - E2 * A * cube(F.cos(theta)))
     return F.degrees(F.atan2(py, px)), F.degrees(out)

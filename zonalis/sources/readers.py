@@ -28,7 +28,7 @@ def read_after_preamble(spark: SparkSession, path: str, header_prefix: str, colu
     The header's place is found once per file; rows are then split in parallel over the file's lines. ``columns``
     picks header names in order.
     """
-    text = F.decode("content", F.lit(encoding))
+    text = F.decode("content", encoding)
     files = spark.read.format("binaryFile").load(path).select("path", F.split(text, "\r?\n").alias("lines"))
     at = F.array_position(F.transform("lines", lambda x: F.startswith(F.replace(x, F.lit(BOM), F.lit("")), F.lit(header_prefix))), True)
     found = files.withColumn("at", at.cast("int")).where("at > 0").withColumn("header", F.split(F.element_at("lines", F.col("at")), re.escape(sep)))
