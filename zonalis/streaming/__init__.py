@@ -1,0 +1 @@
+"""No operator of the survey (section 2.10) is a streaming one: sources are files that are replaced as a whole."""
