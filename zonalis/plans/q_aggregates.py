@@ -163,7 +163,7 @@ def _(v):
 
 
 @query("a25_pair_totals", """
-select code, point, count(*) as n, round(sum(population),6) as population, round(sum(population*(lon-gx)),6) as offset_x from (select *, round_even(lon,0)+0e0 as gx, (round_even(lon,0)*100 + round_even(lat,0))::bigint as point from {areas}) group by 1,2
+select code, point, count(*) as n, round(sum(population::double),6) as population, round(sum(population*(lon-gx)),6) as offset_x from (select *, round_even(lon,0)+0e0 as gx, (round_even(lon,0)*100 + round_even(lat,0))::bigint as point from {areas}) group by 1,2
 """)
 def _(v):
     gx = F.rint("lon") + 0.0

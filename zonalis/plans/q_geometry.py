@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import geometry as G
 from zonalis.functions import projections as P
+from zonalis.operators import spatial as S
 from zonalis.plans.catalogue import query
 from zonalis.plans.q_joins import squares
 
@@ -50,10 +51,8 @@ with e as (select poly, unnest([[x0,y0,x0+0.5,y0],[x0,y0+0.5,x0+0.5,y0+0.5],[x0,
 select count(*) as edges, count(*) filter (where n = 1) as outline from (select e, count(*) as n from e group by 1)
 """)
 def _(v):
-    s = squares(v).select(F.explode(G.segments(F.col("rings")[0])).alias("s"))
-    key = lambda p: F.struct((F.col(f"s.{p}.x") + 0.0).alias("x"), (F.col(f"s.{p}.y") + 0.0).alias("y"))
-    edges = s.groupBy(F.least(key("p"), key("q")).alias("a"), F.greatest(key("p"), key("q")).alias("b")).count()
-    return edges.agg(F.count("*").alias("edges"), F.count_if(F.col("count") == 1).alias("outline"))
+    edges = S.mosaic_edges(squares(v))
+    return edges.agg(F.count("*").alias("edges"), F.count_if(F.col("n") == 1).alias("outline"))
 
 
 @query("g13_city_labels", "select s.poly, any_value(s.x0)+0.25e0 as x, sum(population)::bigint as population from {squares} s join {areas} a on floor(a.lon*2)/2e0=s.x0 and floor(a.lat*2)/2e0=s.y0 group by 1 having sum(population) >= 100000 order by population desc")
@@ -61,8 +60,8 @@ def _(v):
     cell = lambda c: F.floor(F.col(c) * 2) / 2.0
     people = v.areas.groupBy(cell("lon").alias("x0"), cell("lat").alias("y0")).agg(F.sum("population").alias("population")).where("population >= 100000")
     b = G.bounds(F.col("rings"))
-    rows = squares(v).withColumns({"x0": b["min_x"], "y0": b["min_y"], "i": G.interior_point(F.col("rings"))}).join(people, ["x0", "y0"])
-    return rows.select("poly", F.round("i.x", 6).alias("x"), "population").orderBy(F.col("population").desc())
+    rows = squares(v).withColumns({"x0": b["min_x"], "y0": b["min_y"]}).join(people, ["x0", "y0"]).withColumnRenamed("poly", "name")
+    return S.city_labels(rows, 100_000).select(F.col("name").alias("poly"), F.round("x", 6).alias("x"), "population")
 
 
 @query("g7_projection_round_trips", "select code, round(lon,6) as lon93, round(lat,6) as lat93, round(lon,6) as lon35, round(lat,6) as lat35, round(radians(lon)*6378137,3) as mx, round(ln(tan(pi()/4+radians(lat)/2))*6378137,3) as my from {areas}")

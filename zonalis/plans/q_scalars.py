@@ -84,7 +84,7 @@ def _(v):
 
 
 @query("k14_k15_k16_weights", """
-select o_orderkey, y as year, round(reach * case when y < 1990 then 1.5 when y < 2010 then 1.2 else 1.0 end, 2) as weight,
+select o_orderkey, y as year, round(reach::double * case when y < 1990 then 1.5 when y < 2010 then 1.2 else 1.0 end, 2)::double as weight,
  round(least(greatest(1 + log10(o_totalprice / 10000), 0.5), 6.0), 9) as museum from (select o_orderkey, o_totalprice, 1980 + o_orderkey % 40 as y,
  case o_orderkey % 5 when 0 then 3.0 when 1 then 3.0 when 2 then 2.0 when 3 then 1.3 else 1.0 end as reach from {orders})
 """)
