@@ -88,3 +88,17 @@ def nearest(points: DataFrame, sites: DataFrame, size: float, rounds: int = 24)
             break
         size *= 2
     return found
+
+
+def mosaic_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:
+    """``(a, b, n)``: every edge of a mosaic in one direction and how many polygons have it; those with 1 are the
+    outline (G12). Corners must be shared exactly."""
+    s = polygons.select(F.explode(F.flatten(F.transform(rings, G.segments))).alias("s"))
+    end = lambda p: F.struct((F.col(f"s.{p}.x") + 0.0).alias("x"), (F.col(f"s.{p}.y") + 0.0).alias("y"))
+    return s.groupBy(F.least(end("p"), end("q")).alias("a"), F.greatest(end("p"), end("q")).alias("b")).agg(F.count("*").alias("n"))
+
+
+def city_labels(areas: DataFrame, least: int = 10_000, rings: str = "rings") -> DataFrame:
+    """``(name, population, x, y)``: a point inside every large area, largest first."""
+    large = areas.where(F.col("population") >= least).withColumn("__p", G.interior_point(F.col(rings)))
+    return large.select("name", "population", F.col("__p.x").alias("x"), F.col("__p.y").alias("y")).orderBy(F.col("population").desc(), "name")
