@@ -101,3 +101,68 @@ def brute_counts(text: str | None) -> tuple[int, int, int, int, int]:
         places.setdefault(tuple(words[i : i + 8]), []).append(i)
     covered = {i + j for at in places.values() if len(at) > 1 for i in at for j in range(8)}
     return len(words), sum(map(len, words)), sum(text.count(c) for c in "#*$%&|<>"), dup, len(covered)
+
+
+def oracle() -> str:
+    """DuckDB SQL for judge(), distances to four decimals."""
+    words = common_words()
+    forms = ", ".join(f"('{form}', {i})" for i, w in enumerate(words) for form in sorted({w, w.capitalize()}))
+    blank = "\\x20\\x09-\\x0D"
+
+    def distances(name: str, of: str, good: str) -> str:
+        return f"""
+{name}_ref as (
+  select h.lang, kind, bin, sum(n)::double / sum(sum(n)) over (partition by h.lang, kind) as q from hist h join {good} g on h.doc_id = g.doc_id group by 1, 2, 3
+), {name}_words as (
+  select lang, sum(n_words) as ref_words from {good} group by 1
+), {name}_terms as (
+  select h.doc_id, h.kind, sum(case when h.n > 0 then p / 2 * log2(2 * p / (p + coalesce(q, 0))) + case when q > 0 then q / 2 * log2(2 * q / (p + q)) else 0 end else 0 end) as t, sum(case when h.n > 0 then coalesce(q, 0) else 0 end) as seen
+  from shares h left join {name}_ref r on h.lang is not distinct from r.lang and h.kind = r.kind and h.bin = r.bin group by 1, 2
+), {name} as (
+  select o.doc_id, case when ref_words >= {GUARD_REFERENCE} and word_chars >= {GUARD_CHARS} then sqrt(greatest(c.t + (1 - c.seen) / 2, 0)) end as class_distance,
+    case when ref_words >= {GUARD_REFERENCE} and n_words >= {GUARD_WORDS} then sqrt(greatest(f.t + (1 - f.seen) / 2, 0)) end as word_distance
+  from {of} o left join {name}_words r on o.lang is not distinct from r.lang left join {name}_terms c on o.doc_id = c.doc_id and c.kind = 'c' left join {name}_terms f on o.doc_id = f.doc_id and f.kind = 'w'
+)"""
+
+    return f"""
+with d as (
+  select doc_id, lang, coalesce(text, '') as text from documents
+), w as (
+  select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from (select doc_id, regexp_extract_all(text, '[^{blank}]+') as l from d)
+), s as (
+  select doc_id, pos, word, string_agg(word, ' ') over f as win, count(*) over f as n from w window f as (partition by doc_id order by pos rows between current row and 7 following)
+), c as (
+  select doc_id, pos, word, n = 8 and count(*) over (partition by doc_id, n, win) > 1 as twice from s
+), g as (
+  select doc_id, word, bool_or(twice) over (partition by doc_id order by pos rows between 7 preceding and current row) as again from c
+), ws as (
+  select doc_id, count(*) as n_words, sum(length(word)) as word_chars, count(*) filter (where again) as n_repeat_words from g group by 1
+), ls as (
+  select doc_id, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from d) where regexp_matches(line, '[^{blank}]') group by 1
+), base as (
+  select d.doc_id, lang, text, coalesce(n_words, 0)::bigint as n_words, coalesce(word_chars, 0)::bigint as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::bigint as n_symbols,
+    coalesce(n_dup_lines, 0)::bigint as n_dup_lines, coalesce(n_repeat_words, 0)::bigint as n_repeat_words from d left join ws on d.doc_id = ws.doc_id left join ls on d.doc_id = ls.doc_id
+), judged as (
+  select *, n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEAT_PERCENT} * n_words as base_failed from base
+), letters as (
+  select doc_id, lang, length(text) as total, len(regexp_extract_all(text, '\\p{{L}}')) as letters, len(regexp_extract_all(text, '\\p{{Lu}}')) as upper_n, len(regexp_extract_all(text, '[{blank}]')) as blank_n, n_symbols from base
+), common(form, bin) as (values {forms}),
+hits as (
+  select doc_id, bin, count(*) as n from w join common on word = form group by 1, 2
+), hist as (
+  select doc_id, lang, 'c' as kind, 0 as bin, letters - upper_n as n from letters union all select doc_id, lang, 'c', 1, upper_n from letters union all select doc_id, lang, 'c', 2, blank_n from letters
+  union all select doc_id, lang, 'c', 3, n_symbols from letters union all select doc_id, lang, 'c', 4, total - letters - blank_n - n_symbols from letters
+  union all select h.doc_id, lang, 'w', bin, n from hits h join d on h.doc_id = d.doc_id
+  union all select b.doc_id, lang, 'w', {len(words)}, n_words - coalesce(k, 0) from base b left join (select doc_id, sum(n) as k from hits group by 1) h on b.doc_id = h.doc_id
+), shares as (
+  select *, n::double / nullif(sum(n) over (partition by doc_id, kind), 0) as p from hist
+), good as (
+  select * from judged where not base_failed
+),{distances("first", "good", "good")},
+near as (
+  select g.* from good g join first f on g.doc_id = f.doc_id where coalesce(class_distance, 0) <= {FIRST_CLASS_DISTANCE} and coalesce(word_distance, 0) <= {FIRST_WORD_DISTANCE}
+),{distances("final", "judged", "near")}
+select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and coalesce(class_distance, 0) <= {MOST_CLASS_DISTANCE} and coalesce(word_distance, 0) <= {MOST_WORD_DISTANCE} as kept, round(class_distance, 4) as class_distance, round(word_distance, 4) as word_distance
+from judged j join final f on j.doc_id = f.doc_id
+"""

@@ -75,7 +75,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.quality_rules import judge
 
     out = judge(documents(spark, sf_dir))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *[F.round(c, 4).alias(c) for c in ("class_distance", "word_distance")])
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,12 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from zonalis.llm import licenses, mixing, warc
+    from zonalis.llm import licenses, mixing, quality_rules, substrings, warc
 
-    return {"op2_warc_round_trip": warc.ORACLE, "op5_license_scan": licenses.oracle(), "op6_mix_sources": mixing.ORACLE}
+    return {
+        "op2_warc_round_trip": warc.ORACLE,
+        "op5_license_scan": licenses.oracle(),
+        "op6_mix_sources": mixing.ORACLE,
+        "op7_substring_dedup": substrings.ORACLE,
+        "op9_quality_rules": quality_rules.oracle(),
+    }

@@ -352,3 +352,21 @@ def brute_remove(texts: list[str | None], k: int = WINDOW) -> list[tuple[int, in
                 gone.update(range(i, i + k))
         out.append((len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
     return out
+
+
+ORACLE = f"""
+with w as (
+  select doc_id, unnest(l) as word, unnest(range(len(l))) as pos from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as l from documents)
+), s as (
+  select doc_id, pos, word, string_agg(word, ' ') over f as win, count(*) over f as n from w
+  window f as (partition by doc_id order by pos rows between current row and {WINDOW - 1} following)
+), c as (
+  select doc_id, pos, word, n = {WINDOW} and count(*) over (partition by case when n = {WINDOW} then win else doc_id::varchar || ':' || pos::varchar end) > 1 as twice from s
+), g as (
+  select doc_id, pos, word, bool_or(twice) over (partition by doc_id order by pos rows between {WINDOW - 1} preceding and current row) as gone from c
+), k as (
+  select doc_id, count(*) as n_words, count(*) filter (where gone) as n_removed, string_agg(word, ' ' order by pos) filter (where not gone) as kept from g group by doc_id
+)
+select d.doc_id, coalesce(n_words, 0)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join k on d.doc_id = k.doc_id
+"""
