@@ -113,7 +113,7 @@ def long_names(columns: Sequence[str], most: int = 10) -> list[str]:
 
 def reference_profile(df: DataFrame, reference: DataFrame, key: str, columns: Mapping[str, str]) -> DataFrame:
     """Known places: ours beside the published value and the difference (Q11)."""
-    joined = df.join(F.broadcast(reference), key)
+    joined = df.join(reference, key)
     return joined.select(key, *[c for pair in columns.items() for c in pair], *[(F.col(a) - F.col(b)).alias(f"{a}_difference") for a, b in columns.items()])
 
 

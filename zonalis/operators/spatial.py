@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +28,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: s
     so a polygon takes few cells and a cell few polygons.
     """
     placed = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
-    cells = polygon_cells(polygons.select("poly", "rings"), size)
-    inside = placed.join(cells, ["cx", "cy"]).where(G.in_polygon(F.col(x), F.col(y), F.col("rings"))).select(*points.columns, "poly")
-    keys = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in points.columns]
-    rest = points.alias("p").join(inside.alias("q"), reduce(lambda a, b: a & b, keys), "left_anti")
-    return inside.unionByName(rest.withColumn("poly", F.lit(None).cast("string")))
+    cells = polygon_cells(polygons.select("poly", "rings"), size).withColumnsRenamed({"cx": "__cx", "cy": "__cy", "rings": "__rings"})
+    same = (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy"))
+    return placed.join(cells, same & G.in_polygon(F.col(x), F.col(y), F.col("__rings")), "left").select(*points.columns, "poly")
 
 
 def one_polygon(matched: DataFrame, keys: list[str]) -> DataFrame:

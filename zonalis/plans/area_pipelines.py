@@ -311,7 +311,7 @@ def climate(daily: DataFrame, pairs: DataFrame, corrections: DataFrame, decimals
     """
     monthly = daily.groupBy("point", "year", "month").agg(F.avg("tx").alias("tx"), F.avg("tn").alias("tn"), F.sum("precip").alias("precip"))
     normal = monthly.groupBy("point", "month").agg(*[F.avg(c).alias(c) for c in ("tx", "tn", "precip")])
-    joined = pairs.join(normal, "point").join(F.broadcast(corrections), "month", "left")
+    joined = pairs.join(normal, "point").join(corrections, "month", "left")
     shift = F.coalesce(F.col("a") + F.col("b") * F.col("dz"), F.lit(0.0))
     joined = joined.withColumns({"tx": F.col("tx") + shift, "tn": F.col("tn") + shift})
     table = joined.groupBy("code", "month").agg(*[A.weighted_mean(F.col(c), F.col("weight")).alias(c) for c in ("tx", "tn", "precip")])

@@ -46,7 +46,7 @@ def stop_service(calls: DataFrame, products: DataFrame) -> DataFrame:
         if flag not in calls.columns:
             calls = calls.withColumn(flag, F.lit(False))
     last = calls.groupBy("trip").agg(F.max("pos").alias("last"))
-    c = calls.join(F.broadcast(products), "product").join(last, "trip").withColumn("train", F.col("category") != "car")
+    c = calls.join(products, "product").join(last, "trip").withColumn("train", F.col("category") != "car")
     boards = c.where((F.col("pos") < F.col("last")) & (~F.col("no_pickup") | (F.col("pos") == 1)))
     labels = boards.groupBy("stop", "label").agg(F.count("*").alias("n"))
     named = labels.groupBy("stop").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), lambda x: x["label"]), ", ").alias("services"))
@@ -153,8 +153,8 @@ def inspect(point: tuple[float, float], areas: DataFrame, table: DataFrame, fiel
     b = G.bounds(F.col("rings"))
     hit = areas.where((b["min_x"] <= x) & (b["max_x"] >= x) & (b["min_y"] <= y) & (b["max_y"] >= y)).where(G.in_polygon(F.lit(x), F.lit(y), F.col("rings"))).select("code")
     values = [c for c in table.columns if c != "code"]
-    row = table.join(F.broadcast(hit), "code").select("code", *[F.col(c).cast("string").alias(c) for c in values])
-    long = row.unpivot("code", values, "field", "value").join(F.broadcast(fields), "field").orderBy("source", "field")
+    row = table.join(hit, "code").select("code", *[F.col(c).cast("string").alias(c) for c in values])
+    long = row.unpivot("code", values, "field", "value").join(fields, "field").orderBy("source", "field")
     d = F.hypot(F.col("sx") - x, F.col("sy") - y)
     near = places.agg(F.min(F.struct(d.alias("distance"), "site")).alias("m")).select("m.site", "m.distance")
     return long, near

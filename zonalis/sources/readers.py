@@ -165,7 +165,7 @@ def read_archive_lines(spark: SparkSession, path: str, member: str, latest: bool
 def split_member(lines: DataFrame, columns: Sequence[str], sep: str = ",") -> DataFrame:
     """Columns of archive lines below their header, by from_csv so that quotes count."""
     header = lines.where("number = 0").select("archive", F.split(F.replace("line", F.lit(BOM), F.lit("")), re.escape(sep)).alias("h"))
-    body = lines.where("number > 0").join(F.broadcast(header), "archive")
+    body = lines.where("number > 0").join(header, "archive")
     names = [c.strip().strip('"') for c in (header.first() or {"h": []})["h"]]
     schema = ", ".join(f"`{n}` string" for n in names)
     parsed = body.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
