@@ -129,7 +129,7 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         return pd.Series(np.searchsorted(cuts, i.to_numpy(), "right"))
 
     known = F.coalesce("id", F.lit(0))
-    ranged = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(-1)).otherwise(range_of(known)))
+    ranged = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(0)).otherwise(range_of(known) + 1))
     # One number per range comes to the driver and goes out again; NULL ids are a range of their own.
     heads = {r["part"]: r["first"] for r in ranged.groupBy("part").agg(F.min("id").alias("first")).collect()}
     parts = sorted(heads)
@@ -137,14 +137,15 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
     @F.pandas_udf("int")
     def guest_of(i: pd.Series, part: pd.Series) -> pd.Series:
-        return pd.Series([before[p] if p == -1 or heads[p] == x else None for x, p in zip(i, part)], dtype="Int32")
+        return pd.Series([before[p] if p == 0 or heads[p] == x else None for x, p in zip(i, part)], dtype="Int32")
 
     own = F.struct(F.col("part").alias("to"), F.lit(0).alias("guest"))
     guest = F.col("guest_to")
     targets = F.array_compact(F.array(own, F.when(guest.isNotNull(), F.struct(guest.alias("to"), F.lit(1).alias("guest")))))
     # Both Python functions see ids alone; texts stay in the JVM until they are parsed.
     dealt = ranged.withColumn("guest_to", guest_of(known, "part")).select("id", "text", F.explode(targets).alias("t"))
-    dealt = dealt.select("t.to", "t.guest", "id", "text").repartition("to").sortWithinPartitions("to", "guest", "id", "text")
+    # One range, one partition: a hash of so few numbers would put several ranges together.
+    dealt = dealt.select("t.to", "t.guest", "id", "text").repartitionById(len(cuts) + 2, "to").sortWithinPartitions("to", "guest", "id", "text")
     names = [id_col, *(f.split(" ")[0] for f in OUT.split(", "))]
 
     def run(batches):
