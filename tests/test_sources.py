@@ -90,6 +90,12 @@ def test_writers(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "docs")).count() == 2
 
 
+def test_network_documents_have_flags_only_where_set(spark):
+    rows = [("p", [1, 2], [0, 5], 3, [0, 0]), ("q", [2, 3], [0, 7], 9, [0, 1])]
+    df = spark.createDataFrame(rows, "product string, stops array<int>, times array<int>, runs int, flags array<int>")
+    assert [(r["product"], r["flags"]) for r in O.network_documents(df).collect()] == [("q", [0, 1]), ("p", None)]
+
+
 def test_registry():
     registry = Registry()
 

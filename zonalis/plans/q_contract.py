@@ -22,9 +22,6 @@ def _(v):
     return R.repeated_blocks(rows, "cells", 2, 2, ["name", "votes"]).select("id", "pos", "name", "votes")
 
 
-CUBE = """select lpad(cast(o_custkey as string),5,'0') as "GEO", 'COM' as "GEO_OBJECT", o_orderstatus as "SEX", o_orderpriority as "AGE", cast(o_totalprice as string) as "OBS_VALUE" from {orders}"""
-
-
 def _cube(v):
     return v.orders.select(F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("GEO"), F.lit("COM").alias("GEO_OBJECT"), F.when(F.col("o_orderstatus") == "O", "_T").otherwise(F.col("o_orderstatus")).alias("SEX"), F.col("o_orderpriority").alias("AGE"), F.col("o_totalprice").cast("string").alias("OBS_VALUE"))
 

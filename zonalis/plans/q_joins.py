@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from zonalis.functions import geometry as G
-from zonalis.functions import keys as K
 from zonalis.operators import joins as J
 from zonalis.operators import spatial as S
 from zonalis.plans.catalogue import query
