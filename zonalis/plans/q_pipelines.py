@@ -102,7 +102,14 @@ def _(v):
     return out.select("code", "lists", "runoff", "list")
 
 
-@query("p12_left_right")
+@query("p12_left_right", """
+with x(opt,x) as (values ('1-URGENT',1e0),('2-HIGH',3e0),('3-MEDIUM',5e0),('5-LOW',8e0)), b as (select 'all' as e, code, opt, votes from {votes} union all select 'late', lpad(o_custkey::varchar,5,'0'), o_orderpriority, count(*) from {orders} where o_orderdate >= '1997-01-01' group by 1,2,3),
+i as (select e, code, sum(votes*x)/sum(case when x is not null then votes end) as mean, sum(votes*x*x)/sum(case when x is not null then votes end) as sq, sum(case when x is not null then votes end)::double as n from b left join x on b.opt=x.opt group by 1,2),
+p as (select code, substr(code,1,2) as dep, avg(mean) as raw, avg(n) as n, sum(greatest(sq-mean*mean,0)/n)/(count(mean)*count(mean)) as noise from i group by 1 having count(mean) > 0),
+g as (select dep, sum(raw*n)/sum(n) as prior, greatest(var_samp(raw)-avg(noise),0.1*var_samp(raw)) as tau from p group by 1),
+w as (select p.*, prior, coalesce(tau/nullif(tau+noise,0),1) as w from p join g on p.dep=g.dep)
+select code, round(w*raw+(1-w)*prior,6) as index, round(raw,6) as raw, round(n,6) as n from w
+""")
 def _(v):
     x = v.spark.createDataFrame([("1-URGENT", 1.0), ("2-HIGH", 3.0), ("3-MEDIUM", 5.0), ("5-LOW", 8.0)], "opt string, x double")
     late = v.orders.where("o_orderdate >= '1997-01-01'").groupBy(F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("code"), F.col("o_orderpriority").alias("opt")).agg(F.count("*").alias("votes"))
@@ -165,13 +172,22 @@ def _(v):
     return rates.select("code", F.round("rate", 6).alias("rate")).crossJoin(F.broadcast(quality.select(F.round("auc", 6).alias("auc"), F.round("capture", 6).alias("capture"))))
 
 
-@query("p27_habitability")
+@query("p27_habitability", """
+with e as (select code, case when spend is not null then (1-0.5**greatest(spend/500000,0))*100 end as e0, (1-0.5**greatest((population-60000)/-20000e0,0))*100 as e1 from {area_stats}),
+s as (select code, 100e0*(rank() over (order by spend)-1)/(count(*) over ()-1) as e from {area_stats} where spend is not null), p as (select code, 100e0*(rank() over (order by -population)-1)/(count(*) over ()-1) as e from {area_stats})
+select e.code, round_even(case when e0 is not null then 100-(e0+e1)/2 end,1) as score, nullif(concat_ws(', ', case when e0 >= 90 then 'Money' end, case when e1 >= 90 then 'People' end),'') as alerts, round_even(case when s.e is not null then 100-(s.e+p.e)/2 end,1) as position
+from e join p on e.code=p.code left join s on e.code=s.code
+""")
 def _(v):
     indicators = [Indicator("money", "spend", sat=(0.0, 500_000.0)), Indicator("people", "population", sat=(60_000.0, -20_000.0), worse="lower")]
     return P.habitability(v.area_stats, indicators, "money", {"money": "Money", "people": "People"})
 
 
-@query("p28_culture_reach")
+@query("p28_culture_reach", """
+with r as (select a.code, v.categorie, sum(poids*0.5**(sqrt((v.lon-a.lon)**2+(v.lat-a.lat)**2)/0.4)) as reach from {areas} a join {venues} v on sqrt((v.lon-a.lon)**2+(v.lat-a.lat)**2) <= 1.2 group by 1,2),
+w as (select a.code, 100*(1-exp(-coalesce(max(case when categorie='scene' then reach end),0)/2)) as x, 100*(1-exp(-coalesce(max(case when categorie='musee' then reach end),0)/2)) as y, 100*(1-exp(-coalesce(max(case when categorie='festival' then reach end),0)/2)) as z from {areas} a left join r on a.code=r.code group by 1)
+select code, round_even(x,1) as scene, round_even(y,1) as musee, round_even(z,1) as festival, round_even((x+y+z)/3,1) as culture from w
+""")
 def _(v):
     areas = v.areas.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"))
     venues = v.venues.select(F.col("categorie").alias("category"), F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.col("poids").alias("weight"))
