@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.operators.ranking import distributed_row_number
-from zonalis.runtime import cut
+from zonalis.runtime import broadcast_if_small, cut
 
 #: Words ``[^\x20\x09-\x0D]+`` as Spark's regular expressions write it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,7 +64,7 @@ def repetition_rates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     rows = docs.drop(*new).withColumn("size", n_words(F.col(f"`{text}`")))
     targets = source_targets(rows.select(F.col(f"`{source}`").alias("source"), "size"), **how)
     targets = targets.withColumnRenamed("source", "__source")
-    joined = rows.join(F.broadcast(targets) if _small(targets) else targets, F.col(f"`{source}`").eqNullSafe(F.col("__source"))).drop("__source")
+    joined = rows.join(broadcast_if_small(targets, BROADCAST_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col("__source"))).drop("__source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(1.0))
     draw = uniform(F.col(f"`{id_col}`") if key is None else key)
     return joined.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("bigint"))
@@ -74,9 +74,6 @@ def repetition_rates(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 BROADCAST_SOURCES = 20_000
 
 
-def _small(targets: DataFrame) -> bool:
-    return targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of ``docs``, each as often as its copies say, with the columns of ``docs``."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.profiles import BLANK, DIGIT, JOINT, LOWER, OTHER, STOP, SYMBOL, UPPER, common_words, js_distance, profile, shares, summed
-from zonalis.runtime import cut
+from zonalis.runtime import broadcast_if_small, cut
 
 LEAST_WORDS = 20
 MOST_REPEAT_PERCENT = 30
@@ -21,6 +21,8 @@ MOST_WORD_DISTANCE = 0.6
 #: The same for the documents that make the final references.
 FIRST_CLASS_DISTANCE = 0.25
 FIRST_WORD_DISTANCE = 0.6
+#: References, of about 1 KB each, go to every task up to so many languages.
+BROADCAST_LANGUAGES = 2000
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
@@ -57,7 +59,8 @@ def _with_distances(counted: DataFrame, good: DataFrame) -> DataFrame:
     n = len(common_words()) + 1
     sums = good.groupBy("lang").agg(summed("judged", 5), summed("frequent", n), F.sum("n_words").alias("ref_words"))
     reference = sums.select(F.col("lang").alias("of"), shares(F.col("judged")).alias("ref_classes"), shares(F.col("frequent")).alias("ref_common"), "ref_words")
-    joined = counted.join(reference, F.col("lang").eqNullSafe(F.col("of")), "left")
+    # Without the broadcast, rows would be dealt by language, of which one may have most of them.
+    joined = counted.join(broadcast_if_small(cut(reference), BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("of")), "left")
     known = F.coalesce(F.col("ref_words") >= GUARD_REFERENCE, F.lit(False))
     return joined.withColumns({
         "class_distance": F.when(known & (F.col("word_chars") >= GUARD_CHARS), js_distance(shares(F.col("judged")), F.col("ref_classes"))),

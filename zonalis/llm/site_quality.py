@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.profiles import DIGIT, JOINT, OTHER, STOP, SYMBOL, UPPER, profile
-from zonalis.runtime import cut
+from zonalis.runtime import broadcast_if_small, cut
 
 #: Labelled rows that the model is fitted on at most, those with the smallest id hashes.
 FIT_ROWS = 20_000
@@ -22,6 +22,8 @@ KEEP_FROM = 0.5
 #: Weight of the section's shift against the document's own log odds.
 SITE_WEIGHT = 1.0
 FEATURES = 10
+#: Sections, of some 100 bytes each, go to every task up to so many; more are joined by shuffle.
+BROADCAST_SECTIONS = 20_000
 
 
 def features() -> Column:
@@ -103,6 +105,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     joined = paths.join(hosts, F.col("__host").eqNullSafe(F.col("h"))).drop("h")
     sections = _shrunk(cut(joined), F.col("host_posterior"), "path_posterior")
     sections = sections.select(F.col("__host").alias("h"), F.col("__path").alias("p"), "host_posterior", "path_posterior")
+    sections = broadcast_if_small(cut(sections), BROADCAST_SECTIONS)
     out = judged.join(sections, F.col("__host").eqNullSafe(F.col("h")) & F.col("__path").eqNullSafe(F.col("p")))
     shift = SITE_WEIGHT * (_logit(F.col("path_posterior")) - _logit(F.lit(overall)))
     quality = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + shift)))
