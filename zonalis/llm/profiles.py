@@ -80,10 +80,10 @@ class Profiler:
             starts = np.flatnonzero(count[inverse] > 1)
             if len(starts):
                 repeat = int(cover(starts, REPEAT_WINDOW, n).sum())
-        return n, len(cps) - int(classes[BLANK]), int(classes[SYMBOL]), len(lines) - len(set(lines)), repeat, classes, common
+        return n, len(cps), len(cps) - int(classes[BLANK]), int(classes[SYMBOL]), len(lines) - len(set(lines)), repeat, classes, common
 
 
-FIELDS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, classes array<bigint>, common array<bigint>"
+FIELDS = "n_words bigint, n_chars bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, classes array<bigint>, common array<bigint>"
 
 
 def profile(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -97,8 +97,8 @@ def profile(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
         if not made:
             made.append(Profiler())
         rows = list(zip(*(made[0].counts(t) for t in batch.column("__text").to_pylist())))
-        columns = [pa.array(c, pa.int64()) for c in rows[:5]]
-        for c in rows[5:]:
+        columns = [pa.array(c, pa.int64()) for c in rows[:6]]
+        for c in rows[6:]:
             flat = np.concatenate(c).astype(np.int64)
             columns.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(c[0]), dtype=np.int32)), pa.array(flat)))
         return pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=names)
@@ -106,9 +106,13 @@ def profile(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
     return map_texts(slim, one, schema, "__text")
 
 
-def shares(counts: Column) -> Column:
-    """Counts over their sum; zeros where there is nothing."""
-    total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+def total_of(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def shares(counts: Column, total: Column) -> Column:
+    """Counts over their sum; zeros where there is nothing. ``total`` should be a column at hand: Spark evaluates it
+    for every element."""
     return F.transform(counts, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
 
 

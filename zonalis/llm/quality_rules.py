@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.profiles import BLANK, DIGIT, JOINT, LOWER, OTHER, STOP, SYMBOL, UPPER, common_words, js_distance, profile, shares, summed
+from zonalis.llm.profiles import BLANK, DIGIT, JOINT, LOWER, OTHER, STOP, SYMBOL, UPPER, common_words, js_distance, profile, shares, summed, total_of
 from zonalis.runtime import broadcast_if_small, cut
 
 LEAST_WORDS = 20
@@ -35,7 +35,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     judged alike and come back as often as they came. An empty table gives no rows.
     """
     counted = profile(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")), keep=("id", "lang"))
-    return judge_profiles(cut(counted)).drop("lang", "classes", "common").withColumnRenamed("id", id_col)
+    return judge_profiles(cut(counted)).drop("lang", "n_chars", "classes", "common").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -58,13 +58,14 @@ def _with_distances(counted: DataFrame, good: DataFrame) -> DataFrame:
     """Adds both distances from the references that ``good`` makes, one row a language."""
     n = len(common_words()) + 1
     sums = good.groupBy("lang").agg(summed("judged", 5), summed("frequent", n), F.sum("n_words").alias("ref_words"))
-    reference = sums.select(F.col("lang").alias("of"), shares(F.col("judged")).alias("ref_classes"), shares(F.col("frequent")).alias("ref_common"), "ref_words")
+    sums = cut(sums.withColumn("ref_chars", total_of(F.col("judged"))))
+    reference = sums.select(F.col("lang").alias("of"), shares(F.col("judged"), F.col("ref_chars")).alias("ref_classes"), shares(F.col("frequent"), F.col("ref_words")).alias("ref_common"), "ref_words")
     # Without the broadcast, rows would be dealt by language, of which one may have most of them.
     joined = counted.join(broadcast_if_small(cut(reference), BROADCAST_LANGUAGES), F.col("lang").eqNullSafe(F.col("of")), "left")
     known = F.coalesce(F.col("ref_words") >= GUARD_REFERENCE, F.lit(False))
     return joined.withColumns({
-        "class_distance": F.when(known & (F.col("word_chars") >= GUARD_CHARS), js_distance(shares(F.col("judged")), F.col("ref_classes"))),
-        "word_distance": F.when(known & (F.col("n_words") >= GUARD_WORDS), js_distance(shares(F.col("frequent")), F.col("ref_common"))),
+        "class_distance": F.when(known & (F.col("word_chars") >= GUARD_CHARS), js_distance(shares(F.col("judged"), F.col("n_chars")), F.col("ref_classes"))),
+        "word_distance": F.when(known & (F.col("n_words") >= GUARD_WORDS), js_distance(shares(F.col("frequent"), F.col("n_words")), F.col("ref_common"))),
     }).drop("of", "ref_classes", "ref_common", "ref_words")
 
 
@@ -79,7 +80,7 @@ def judge_profiles(counted: DataFrame) -> DataFrame:
     those of them that the first finds near, so junk doesn't blur it.
     """
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEAT_PERCENT * F.col("n_words"))
-    rest = F.col("n_words") - F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    rest = F.col("n_words") - total_of(F.col("common"))
     counted = counted.withColumns({"base_failed": failed, "judged": _judged_classes(), "frequent": F.array_append(F.col("common"), rest)})
     good = counted.where("not base_failed")
     near = _with_distances(good, good).where(_fits(FIRST_CLASS_DISTANCE, FIRST_WORD_DISTANCE)).drop("class_distance", "word_distance")

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.profiles import DIGIT, JOINT, OTHER, STOP, SYMBOL, UPPER, profile
+from zonalis.llm.profiles import DIGIT, JOINT, OTHER, STOP, SYMBOL, UPPER, profile, total_of
 from zonalis.runtime import broadcast_if_small, cut
 
 #: Labelled rows that the model is fitted on at most, those with the smallest id hashes.
@@ -28,10 +28,10 @@ BROADCAST_SECTIONS = 20_000
 
 def features() -> Column:
     """Numbers of a profile() row that tell good text from junk, each of the order of 1."""
-    chars = F.greatest(F.aggregate("classes", F.lit(0).cast("bigint"), lambda a, x: a + x), F.lit(1)).cast("double")
+    chars = F.greatest("n_chars", F.lit(1)).cast("double")
     words = F.greatest("n_words", F.lit(1)).cast("double")
     at = lambda i: 10.0 * F.col("classes")[i] / chars
-    common = F.aggregate("common", F.lit(0).cast("bigint"), lambda a, x: a + x) / words
+    common = total_of(F.col("common")) / words
     return F.array(at(UPPER), at(DIGIT), at(STOP), at(SYMBOL), at(OTHER) + at(JOINT), common, F.col("n_repeat_words") / words, F.log1p("n_words") / 5.0, F.col("word_chars") / words / 5.0, F.log1p("n_dup_lines"))
 
 
