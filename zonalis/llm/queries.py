@@ -16,8 +16,15 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table of fewer input splits than cores, such as one small file, dealt to all cores; a larger table
+    stays as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +36,7 @@ def op1_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     from zonalis.llm.warc import archive_and_read
 
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
