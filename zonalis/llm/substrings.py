@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.words import HashCache, cover, map_texts, mix, rolling, split_words
-from zonalis.runtime import cut
+from zonalis.runtime import broadcast_if_small, cut
 
 WINDOW = 35
 MMER = 4
@@ -29,6 +29,8 @@ SPAN = 64
 #: Distinct contents of a minimiser that one task sorts at a time: some 3 MB of packed strings and, with their
 #: windows, some 30 MB of arrays.
 HOT = 8192
+#: Crowded minimisers, of 16 bytes each, go to every task up to so many.
+BROADCAST_CROWDED = 100_000
 BASE = 0x9E3779B97F4A7C15
 #: Bases of the two halves of a 128-bit window hash.
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -283,7 +285,10 @@ def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     mixed = shared.where("not same")
     first = F.min(F.struct("rk", "rk2", "start", "size")).alias("first")
     contents = cut(mixed.groupBy("mm", "ch").agg(F.count("*").alias("n"), first).select("mm", "ch", "n", "first.*"))
-    crowded = contents.groupBy("mm").agg(F.count("*").alias("contents")).where(F.col("contents") > hot)
+    crowded = cut(contents.groupBy("mm").agg(F.count("*").alias("contents")).where(F.col("contents") > hot))
+    any_crowded = not crowded.isEmpty()
+    # Where they are few, contents need not be dealt by minimiser to set them apart.
+    crowded = broadcast_if_small(crowded, BROADCAST_CROWDED)
     block = F.pmod(F.xxhash64("ch"), F.ceil(F.col("contents") / hot)).cast("int")
     item = F.struct("mm", "ch", "n", "start", "size", "block")
 
@@ -292,7 +297,7 @@ def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return _pack(keyed.join(wanted, ["rk", "rk2"]), k)
 
     marks = _marks_by_sorting(packed(contents.join(crowded, "mm", "left_anti").withColumn("block", F.lit(0))), k)
-    if not crowded.isEmpty():
+    if any_crowded:
         marks = marks.unionByName(_marks_across_blocks(packed(contents.join(crowded, "mm").withColumn("block", block)), k))
     every = F.lit(-1).cast("bigint").alias("marks")
     found = shared.where("same").select("rk", "rk2", "start", "size", every)
