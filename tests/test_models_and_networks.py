@@ -114,3 +114,49 @@ def test_unconverged_fit_is_an_error(spark):
     df = spark.createDataFrame([(1.0, 1.0, 1.0), (2.0, 5.0, 1.0)], "a double, y double, e double")
     with pytest.raises(ValueError):
         M.fit_poisson(df, ["a"], "y", "e", 0.1, rounds=1)
+
+
+def test_routed_hops_query_equals_dijkstra(spark, sf):
+    from zonalis.plans import catalogue, q_networks
+
+    v = catalogue.Views(spark, sf)
+    got = {(r["grp"], r["a"], r["b"]): r for r in catalogue.queries()["r4_r5_r6_routed_hops"](spark, sf).collect()}
+    edges = [tuple(r) for r in q_networks.lattice(v).select("src", "dst", "piece", "seconds", "lgv").collect()]
+    nodes = sorted(r["poly"] for r in v.squares.collect())
+    trips = {}
+    for r in v.patterns.collect():
+        trips.setdefault((r["trip"], r["product"]), []).append((r["pos"], r["stop"]))
+    wanted = set()
+    for (_, product), calls in trips.items():
+        stops = [s for _, s in sorted(calls)]
+        if product != "5-LOW":
+            wanted |= {("fast" if product == "1-URGENT" else "rail", min(a, b), max(a, b)) for a, b in zip(stops, stops[1:]) if a != b}
+    assert set(got) == wanted and len({a for _, a, _ in wanted}) > 3
+    near = {}
+    for a, b, piece, seconds, lgv in edges:
+        near.setdefault(a, []).append((b, seconds, lgv))
+        near.setdefault(b, []).append((a, seconds, lgv))
+    ways = {}
+    for grp, a, _ in wanted:
+        if (grp, a) in ways or a >= len(nodes):
+            continue
+        best, heap = {nodes[a]: 0.0}, [(0.0, nodes[a])]
+        while heap:
+            cost, node = heapq.heappop(heap)
+            for to, s, lgv in near.get(node, []) if cost <= best[node] else []:
+                c = cost + s * (4 if lgv and grp == "rail" else 1)
+                if c < best.get(to, float("inf")):
+                    best[to] = c
+                    heapq.heappush(heap, (c, to))
+        ways[grp, a] = best
+    for (grp, a, b), r in got.items():
+        if b >= len(nodes):
+            assert r["outcome"] == "stop off the network"
+        elif nodes[b] not in ways[grp, a]:
+            assert r["outcome"] == "no connected track"
+        elif r["outcome"] == "routed":
+            assert abs(r["cost"] - ways[grp, a][nodes[b]]) < 1e-6 and r["metres"] == 50_000.0 * len(r["numbers"])
+        else:
+            assert r["outcome"] == "route far longer than the crow flies"
+    used = {n for r in got.values() for n in r["numbers"] or []}
+    assert used == set(range(len(used))) and used
