@@ -116,6 +116,13 @@ def test_unconverged_fit_is_an_error(spark):
         M.fit_poisson(df, ["a"], "y", "e", 0.1, rounds=1)
 
 
+def test_nearest_returns_every_point(spark):
+    points = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0), ("c", 3e9, 0.0), ("d", float("nan"), 0.0)], "id string, x double, y double")
+    sites = spark.createDataFrame([(1, 3.0, 4.0), (2, None, 0.0)], "site bigint, sx double, sy double")
+    got = {r["id"]: r["site"] for r in S.nearest(points, sites, 0.5).collect()}
+    assert got == {"a": 1, "b": None, "c": 1, "d": None}
+
+
 def test_routed_hops_query_equals_dijkstra(spark, sf):
     from zonalis.plans import catalogue, q_networks
 

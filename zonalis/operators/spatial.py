@@ -62,17 +62,21 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, scale_x: floa
     return near.where(F.col("distance") <= radius).drop("cx", "cy")
 
 
-def nearest(points: DataFrame, sites: DataFrame, size: float, rounds: int = 24) -> DataFrame:
+def nearest(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     """``(id, site, distance)``: the nearest of ``sites(site, sx, sy)`` for each ``points(id, x, y)``.
 
     A point whose best site in the 3 x 3 cells is within one cell width is settled; the others try again with
-    cells twice as wide, so a dense area never compares with far sites. Ties go to the smaller site.
+    cells twice as wide, so a dense area never compares with far sites. Ties go to the smaller site. Every point
+    returns a row; ``site`` is NULL for a point without finite coordinates and where there are no sites.
     """
     found = None
-    rest = cut(points.select("id", "x", "y"))
-    if sites.limit(1).count() == 0:
-        return points.select("id", F.lit(None).cast("bigint").alias("site"), F.lit(None).cast("double").alias("distance"))
-    for _ in range(rounds):
+    finite = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))
+    rest = cut(points.select("id", "x", "y").where(finite("x") & finite("y")))
+    sites = sites.where(finite("sx") & finite("sy"))
+    if sites.isEmpty() or rest.isEmpty():
+        return points.select("id", F.lit(None).cast(sites.schema["site"].dataType).alias("site"), F.lit(None).cast("double").alias("distance"))
+    # Ends when a cell is as wide as the data's extent, if not before.
+    while not rest.isEmpty():
         a = _neighbourhood(rest, _cell(F.col("x"), size), _cell(F.col("y"), size))
         b = sites.withColumns({"cx": _cell(F.col("sx"), size), "cy": _cell(F.col("sy"), size)})
         d = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
@@ -80,10 +84,8 @@ def nearest(points: DataFrame, sites: DataFrame, size: float, rounds: int = 24)
         best = cut(best.where(F.col("best.distance") <= size).select("id", "best.site", "best.distance"))
         found = best if found is None else found.unionByName(best)
         rest = cut(rest.join(best, "id", "left_anti"))
-        if rest.isEmpty():
-            break
         size *= 2
-    return found
+    return points.select("id").join(found, "id", "left")
 
 
 def mosaic_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:

@@ -245,7 +245,7 @@ def nearest_heat(areas: DataFrame, grid: DataFrame, size: float = 0.25) -> DataF
     points = inside.select(F.col("code").alias("id"), F.col("p.x").alias("x"), F.col("p.y").alias("y"))
     near = S.nearest(points, grid.select(F.col("point").alias("site"), F.col("lon").alias("sx"), F.col("lat").alias("sy")), size)
     values = [c for c in grid.columns if c not in ("point", "lon", "lat")]
-    joined = near.join(grid, near["site"] == grid["point"]).join(points.withColumnRenamed("id", "code"), F.col("id") == F.col("code"))
+    joined = near.join(grid, near["site"] == grid["point"], "left").join(points.withColumnRenamed("id", "code"), F.col("id") == F.col("code"))
     return joined.select("code", *values, F.round(G.flat_km(F.col("x"), F.col("y"), F.col("lon"), F.col("lat")), 1).alias("distance_km"))
 
 
