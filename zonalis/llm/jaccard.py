@@ -1,15 +1,21 @@
-"""Near-duplicates by exact Jaccard similarity of word shingle sets (the pipeline's second stage).
-
-Equal sets are one row throughout. Sets of similarity ``least`` share a token within their first
-n - ceil(least n) + 1 tokens of any common order (prefix filter); the order puts tokens that a sample shows to be
-frequent last. Sizes and positions rule out further pairs, and what is left is compared as whole sets by joins.
-In buckets of many sets, rounds of one pivot each link what they can first, and only sets that are still in
-different components are compared with each other at the end.
+"""Near-duplicate groups by exact Jaccard similarity of word shingle sets (the pipeline's second stage).
+
+Equal sets are one row throughout. Candidates come from two searches. SimHash fingerprints of the sets, linked by
+anchor-point covering (operator 1), find the closest texts. Within 3 of 64 bits few texts of similarity 0.8 lie, so
+prefix tokens find the rest: sets of similarity ``least`` share a token within their first n - ceil(least n) + 1
+tokens of any common order; the order puts tokens that a sample shows to be frequent last. Sets that share a prefix
+token are compared by size, place of the token and a histogram of 128 bins, whose distance never exceeds the number
+of shingles in which two sets differ. None of these drops a similar pair.
+
+Candidates form families. The whole sets of a family then travel once to its task (a large family's blocks to one task
+for each pair of blocks), where products of membership matrices count the shingles that every two sets share. Tasks
+return forests of links, so a group of n copies never becomes its n * n pairs.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -19,19 +25,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from zonalis.llm.simhash import LOWER
-from zonalis.llm.words import HashCache, map_texts, rolling, split_words
+from zonalis.llm.words import LOWER, HashCache, map_texts, rolling, split_words
 from zonalis.operators.graph_components import connected_components
-from zonalis.runtime import cut
+from zonalis.runtime import broadcast_if_small, cut
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BASE = 0x9E3779B97F4A7C15
-#: A bucket of more sets goes through the pivot rounds.
-WIDE = 16
-ROUNDS = 4
+#: Rows of a bucket, rows and shingles of a family that go to one block; block meets block in a task of its own.
+BLOCK, FAMILY, FAMILY_TOKENS = 1024, 1024, 1 << 20
 #: Share of sets whose tokens are counted for the order, and how often a frequent token stands there.
 SAMPLE, FREQUENT, MOST = 16, 4, 200_000
+#: Rows whose sets are to be compared, of 8 bytes each, go to every task up to so many.
+BROADCAST_ROWS = 500_000
 
 
 def shingles(text: str | None, size: int, cache: HashCache) -> np.ndarray:
@@ -67,8 +73,29 @@ def _frequent(keyed: DataFrame, size: int) -> np.ndarray:
     return np.array([r["h"] for r in reversed(rows)], np.int64)
 
 
-def prefixes(keyed: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
-    """``(key, sig, n, prefix)`` of every row of ``keyed(key, text)``; equal sets have equal ``sig``."""
+def set_fingerprint(s: np.ndarray) -> int:
+    """SimHash of a set of 64-bit shingle hashes, as a signed number."""
+    total = np.zeros(64, np.int64)
+    for at in range(0, len(s), 65536):
+        total += np.unpackbits(s[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * total > len(s), bitorder="little").view("<i8")[0])
+
+
+def histogram(s: np.ndarray) -> bytes:
+    """Counts of 128 bins of the hashes, modulo 16, two to a byte."""
+    n = (np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 15).astype(np.uint8)
+    return (n[:64] | n[64:] << np.uint8(4)).tobytes()
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the number of shingles in which two sets differ, from rows of their histograms."""
+    low = ((a & 15) - (b & 15)) & 15
+    high = ((a >> 4) - (b >> 4)) & 15
+    return np.minimum(low, 16 - low).sum(-1, dtype=np.int64) + np.minimum(high, 16 - high).sum(-1, dtype=np.int64)
+
+
+def sketches(keyed: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
+    """``(key, sig, n, fp, bins, prefix)`` of every row of ``keyed(key, text)``; equal sets have equal ``sig``."""
     last = _frequent(keyed, size)
     order = np.argsort(last)
     known, rank = last[order], order + 1
@@ -85,11 +112,12 @@ def prefixes(keyed: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -
         cache = HashCache(1)
         sets = [shingles(t, size, cache) for t in batch.column(1).to_pylist()]
         sig = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        n = pa.array([len(s) for s in sets], pa.int32())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig), n, _lists([first(s) for s in sets])], names=["key", "sig", "n", "prefix"])
+        columns = [pa.array(sig), pa.array([len(s) for s in sets], pa.int32()), pa.array([set_fingerprint(s) for s in sets], pa.int64())]
+        columns += [pa.array([histogram(s) for s in sets], pa.binary()), _lists([first(s) for s in sets])]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["key", "sig", "n", "fp", "bins", "prefix"])
 
     kind = keyed.schema["key"].dataType.simpleString()
-    return map_texts(keyed.select("key", "text"), one, f"key {kind}, sig bigint, n int, prefix array<bigint>")
+    return map_texts(keyed.select("key", "text"), one, f"key {kind}, sig bigint, n int, fp bigint, bins binary, prefix array<bigint>")
 
 
 def _buckets(sets: DataFrame, least: float) -> DataFrame:
@@ -101,74 +129,201 @@ def _buckets(sets: DataFrame, least: float) -> DataFrame:
     return rows.where(near).select("h", "sig", "n", "pos", "size")
 
 
-def _fits(least: float, a: str, b: str) -> Column:
-    """Length and positional filter of rows ``a`` and ``b`` with n, pos."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    most = 1 + F.least(na - F.col(f"{a}.pos"), nb - F.col(f"{b}.pos")) - 1
-    return (F.least(na, nb) >= least * F.greatest(na, nb) - 1e-9) & (most >= least / (1 + least) * (na + nb) - 1e-9)
+def _grid(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """``rows`` under ``cell``: a group's rows are dealt to blocks by ``sig``, and each pair of blocks is a cell.
 
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Those of ``pairs(src, dst)`` whose whole sets have the similarity."""
-    a = sets.select(F.col("sig").alias("src"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("sig").alias("dst"), F.col("tokens").alias("tb"))
-    common = F.size(F.array_intersect("ta", "tb"))
-    both = pairs.join(a, "src").join(b, "dst").withColumn("common", common)
-    return both.where(F.col("common") >= least * (F.size("ta") + F.size("tb") - F.col("common")) - 1e-9).select("src", "dst")
+    Two rows of a group share at least one cell. Cells whose hashes collide are compared together, which adds nothing
+    but work.
+    """
+    own, other = F.pmod(F.xxhash64("sig"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    dealt = rows.withColumn("__own", own).withColumn("__other", other)
+    cell = F.xxhash64(group, F.least("__own", "__other"), F.greatest("__own", "__other"))
+    return dealt.withColumn("cell", cell).drop("__own", "__other").repartition("cell").sortWithinPartitions("cell")
+
+
+def _cells(batches: Iterator[pa.RecordBatch], most: int, weight: Callable[[pa.RecordBatch], int]) -> Iterator[pa.Table]:
+    """Tables of whole cells (the first column, sorted), closed once they weigh ``most``."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            held.append(batch.slice(at, 1000))
+            total += weight(held[-1])
+            if total < most:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cell = table.column(0).to_numpy()
+            whole = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on in the next batch
+            if whole:
+                yield table.slice(0, whole)
+                table = table.slice(whole)
+            held = table.combine_chunks().to_batches()
+            total = sum(map(weight, held))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _starts(cell: np.ndarray) -> np.ndarray:
+    return np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
+
+
+def _forests(batches, most: int, weight, edges_of) -> Iterator[pa.RecordBatch]:
+    """One forest of a task's links, as (src, dst)."""
+    kept = np.array([], np.int64), np.array([], np.int64)
+    for table in _cells(batches, most, weight):
+        a, b = edges_of(table)
+        if len(a):
+            kept = forest(np.concatenate([kept[0], a]), np.concatenate([kept[1], b]))
+    for at in range(0, len(kept[0]), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in kept], names=["src", "dst"])
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each end's smallest reachable end, for the edges a-b: one row per end that isn't its own root."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(ends))
+    while True:
+        low = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], low)
+        np.minimum.at(new, root[y], low)
+        new = new[new]
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    moved = root != np.arange(len(ends))
+    return ends[moved], ends[root[moved]]
+
+
+def _may_be_similar(n: np.ndarray, pos: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which of the rows a, b can have the similarity, by length, position and histogram filter."""
+    both = n[a] + n[b]
+    fits = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
+    fits &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least / (1 + least) * both - 1e-9
+    at = np.flatnonzero(fits)
+    fits[at] = least_difference(bins[a[at]], bins[b[at]]) <= (1 - least) / (1 + least) * both[at] + 1e-9
+    return fits
+
+
+def _bucket_edges(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of rows that share a prefix token and may be similar, at least a forest of each bucket's."""
+    cell, sig, n, pos = (table.column(c).to_numpy() for c in ("cell", "sig", "n", "pos"))
+    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, 64)
+    starts = _starts(cell)
+    size = np.diff(starts)
+    out_a, out_b = [sig[:0]], [sig[:0]]
+    index = np.flatnonzero(np.repeat(size <= 16, size))
+    for d in range(1, 16):
+        a, b = index[:-d], index[d:]
+        same = cell[a] == cell[b]
+        if not same.any():
+            break
+        a, b = a[same], b[same]
+        may = _may_be_similar(n, pos, bins, a, b, least)
+        out_a.append(sig[a[may]])
+        out_b.append(sig[b[may]])
+    for g in np.flatnonzero(size > 16).tolist():
+        # A row is compared with those that are not in its component yet.
+        at = np.arange(starts[g], starts[g + 1])
+        label = np.arange(len(at))
+        for i in range(len(at) - 1):
+            open_ = np.flatnonzero(label != label[i])
+            open_ = open_[open_ > i]
+            if not len(open_):
+                continue
+            found = open_[_may_be_similar(n, pos, bins, np.full(len(open_), at[i]), at[open_], least)]
+            out_a.append(np.full(len(found), sig[at[i]]))
+            out_b.append(sig[at[found]])
+            if len(found):
+                label[np.isin(label, label[found])] = label[i]
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _similar_edges(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between a cell's sets that have the similarity, each link between two such sets."""
+    cell, sig = table.column("cell").to_numpy(), table.column("sig").to_numpy()
+    lists = table.column("tokens").combine_chunks()
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    starts = _starts(cell)
+    out_a, out_b = [sig[:0]], [sig[:0]]
+    for g, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if e - g < 2:
+            continue
+        n = np.diff(ends[g : e + 1]).astype(np.int64)
+        tokens, number, times = np.unique(flat[ends[g] : ends[e]], return_inverse=True, return_counts=True)
+        shared = times[number] > 1
+        column = np.cumsum(times > 1)[number[shared]] - 1
+        row = np.repeat(np.arange(e - g), n)[shared]
+        common = np.zeros((e - g, e - g), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            lo, hi = np.searchsorted(column, [first, first + 4096])
+            member = np.zeros((e - g, min(4096, int(column[-1]) + 1 - first)), np.float32)
+            member[row[lo:hi], column[lo:hi] - first] = 1
+            common += member @ member.T
+        a, b = np.nonzero(np.triu(common >= least * (n[:, None] + n[None, :] - common) - 1e-9, 1))
+        if len(a):
+            a, b = forest(sig[g:e][a], sig[g:e][b]) if len(a) > e - g else (sig[g:e][a], sig[g:e][b])
+        else:
+            a, b = sig[:0], sig[:0]
+        out_a.append(a)
+        out_b.append(b)
+    return np.concatenate(out_a), np.concatenate(out_b)
+
+
+def _families(sets: DataFrame, least: float) -> DataFrame:
+    """``(sig, family)`` of the sets that may be similar to another; similar sets are of one family."""
+    from zonalis.llm.simhash import links
+
+    low = cut(sets.groupBy("fp").agg(F.min("sig").alias("low")))
+    same = sets.join(low, "fp").where("sig <> low").select(F.col("sig").alias("src"), F.col("low").alias("dst"))
+    ends = lambda c: low.select(F.col("fp").alias(c), F.col("low").alias("__" + c))
+    close = links(low.select("fp")).join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"))
+    rows = _buckets(sets, least).join(sets.select("sig", "bins"), "sig").select("h", "sig", "n", "pos", "bins", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    dealt = _grid(rows, "h", F.col("blocks")).select("cell", "sig", "n", "pos", "bins")
+    bucketed = dealt.mapInArrow(lambda batches: _forests(batches, 100_000, lambda b: b.num_rows, lambda t: _bucket_edges(t, least)), "src bigint, dst bigint")
+    return connected_components(same.unionByName(close).unionByName(bucketed)).withColumnsRenamed({"node": "sig", "component": "family"})
 
 
 def components(keyed: DataFrame, sets: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``(sig, component)`` of the sets that a similarity of ``least`` links to another one.
 
-    ``keyed(key, text)``, ``sets`` from prefixes(). Whole sets are made again from the texts that have a bucket.
+    ``keyed(key, text)`` with a ``row`` number in the key, ``sets`` from sketches(). The whole sets of families are made
+    again from their texts.
     """
-    one = cut(sets.groupBy("sig").agg(F.min("key").alias("key")))
-    buckets = cut(_buckets(sets.join(one.select("key"), "key", "left_semi").dropDuplicates(["key"]), least))
-    used = one.join(buckets.select("sig").distinct(), "sig", "left_semi")
-    held = cut(_token_sets(keyed.join(used, "key").dropDuplicates(["key"]).select("sig", "text"), ["sig"], size))
-    edges, found = None, None
-
-    def named(rows: DataFrame) -> DataFrame:
-        if found is None:
-            return rows.withColumn("c", F.col("sig"))
-        return rows.join(found, "sig", "left").withColumn("c", F.coalesce("component", "sig")).drop("component")
-
-    def link(pairs: DataFrame) -> bool:
-        nonlocal edges, found
-        ends = pairs.select(F.least("a.sig", "b.sig").alias("src"), F.greatest("a.sig", "b.sig").alias("dst")).distinct()
-        new = cut(_similar(ends, held, least))
-        if new.isEmpty():
-            return False
-        edges = new if edges is None else edges.unionByName(new)
-        found = cut(connected_components(edges).withColumnRenamed("node", "sig"))
-        return True
-
-    differ = _fits(least, "a", "b") & (F.col("a.c") != F.col("b.c"))
-    wide = buckets.where(F.col("size") > WIDE)
-    for r in range(ROUNDS):
-        rows = cut(named(wide))
-        if rows.isEmpty():
-            break
-        pivot = rows.groupBy("h").agg(F.min_by(F.struct("sig", "n", "pos", "c"), F.xxhash64("sig", F.lit(r))).alias("p")).select("h", "p.*")
-        if not link(rows.alias("a").join(pivot.alias("b"), "h").where(differ)):
-            break
-    rows = cut(named(buckets))
-    link(rows.alias("a").join(rows.alias("b"), "h").where(differ & (F.col("a.sig") < F.col("b.sig"))))
-    return found if found is not None else held.select("sig", F.col("sig").alias("component")).limit(0)
+    one = cut(sets.groupBy("sig").agg(*[F.min_by(c, "key").alias(c) for c in ("n", "fp", "bins", "prefix")], F.min("key").alias("key")))
+    families = cut(_families(one.where("n > 0"), least))
+    used = families.join(one.select("sig", "n", "key"), "sig")
+    weights = families.join(one.select("sig", "n"), "sig").groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    blocks = F.ceil(F.greatest(F.col("rows") / FAMILY, F.col("tokens") / FAMILY_TOKENS)).cast("bigint")
+    used = cut(used.join(weights.select("family", blocks.alias("blocks")), "family").select("sig", "family", "blocks", "key"))
+    rows = broadcast_if_small(used.select(F.col("key.row").alias("__row")).distinct(), BROADCAST_ROWS)
+    texts = keyed.join(rows, F.col("key.row") == F.col("__row"), "left_semi")
+    held = _token_sets(texts, ["key"], size).join(used, "key").dropDuplicates(["sig"])
+    dealt = _grid(held.select("sig", "family", "blocks", "tokens"), "family", F.col("blocks")).select("cell", "sig", "tokens")
+    weight = lambda b: len(b.column(2).flatten())
+    similar = dealt.mapInArrow(lambda batches: _forests(batches, 2 * FAMILY_TOKENS, weight, lambda t: _similar_edges(t, least)), "src bigint, dst bigint")
+    return connected_components(similar).withColumnRenamed("node", "sig")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the one of smallest id, NULL last.
 
-    Texts without words (NULL too) are equal to each other and to nothing else.
+    Texts without words (NULL too) are equal to each other and to nothing else. Of repeated rows one stays; rows that
+    share an id but differ are told apart. Other columns may have any name. An empty table gives no rows.
     """
     i = F.col(f"`{id_col}`")
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
-    keyed = docs.select(F.struct(i.isNull().alias("none"), i.alias("id"), row.alias("row")).alias("key"), F.col(f"`{text}`").alias("text"))
-    sets = cut(prefixes(keyed, size, least))
+    key = F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keyed = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
+    sets = cut(sketches(keyed, size, least))
     classes = sets.select("key", "sig").join(components(keyed, sets, size, least), "sig", "left")
-    chosen = classes.groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("key").alias("key")).select(F.col("key.row").alias("__row"))
-    return docs.withColumn("__row", row).join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    chosen = classes.groupBy(F.coalesce("component", "sig").alias("c")).agg(F.min("key").alias("__key")).select("__key")
+    rows = docs.select(key.alias("__key"), F.struct("*").alias("__cells")).join(chosen, "__key", "left_semi").dropDuplicates(["__key"])
+    return rows.select(*[F.col(f"__cells.`{c}`") for c in docs.columns])
 
 
 def brute_kept(rows: list[tuple], size: int = SHINGLE, least: float = SIMILARITY) -> list:

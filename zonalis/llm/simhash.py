@@ -13,6 +13,7 @@ of n fingerprints adds fewer than n links per task and never its pairs. Anchors
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 import numpy as np
@@ -21,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.words import map_texts
+from zonalis.llm.jaccard import forest
+from zonalis.llm.words import LOWER, map_texts
 from zonalis.operators.graph_components import connected_components
 from zonalis.runtime import cut
 
 SHINGLE = 3
 THRESHOLD = 3
 SEED = 42
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Fingerprints of one anchor that one task compares with each other.
 BLOCK = 4096
 
@@ -103,26 +104,6 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys), np.concatenate(home)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each end's smallest reachable end, for the edges a-b: one row per end that isn't its own root."""
-    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(ends))
-    while True:
-        low = np.minimum(root[x], root[y])
-        new = root.copy()
-        np.minimum.at(new, root[x], low)
-        np.minimum.at(new, root[y], low)
-        new = new[new]
-        while (new[new] != new).any():
-            new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    moved = root != np.arange(len(ends))
-    return ends[moved], ends[root[moved]]
-
-
 def _close(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)) <= THRESHOLD
 
@@ -151,7 +132,7 @@ def _group_edges(key: np.ndarray, fp: np.ndarray, home: np.ndarray) -> tuple[np.
         step = max(1, (1 << 21) // len(every))
         for i in range(0, len(mine), step):
             x, y = np.nonzero(_close(mine[i : i + step, None], every[None, :]))
-            a, b = _forest(mine[i : i + step][x], every[y]) if len(x) else (fp[:0], fp[:0])
+            a, b = forest(mine[i : i + step][x], every[y]) if len(x) else (fp[:0], fp[:0])
             out_a.append(a)
             out_b.append(b)
     return np.concatenate(out_a), np.concatenate(out_b)
@@ -166,7 +147,7 @@ def _task_edges(batches):
         nonlocal kept_a, kept_b
         a, b = _group_edges(*(table.column(i).to_numpy() for i in range(3)))
         if len(a):
-            kept_a, kept_b = _forest(np.concatenate([kept_a, a]), np.concatenate([kept_b, b]))
+            kept_a, kept_b = forest(np.concatenate([kept_a, a]), np.concatenate([kept_b, b]))
 
     rows = 0
     for batch in batches:
@@ -237,11 +218,19 @@ def components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size
     return fps.join(classes, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """One row of each component, with the columns of ``docs``: the one of smallest id, NULL last.
 
+    Components are those of components(), or, with ``similarity``, of texts whose sets of ``size``-word shingles have
+    that Jaccard similarity or more: fingerprint links are then candidates beside those of prefix tokens, and whole
+    sets decide (jaccard.py).
+
     Rows go under a key of id, text hash, so repeated rows and NULL ids are told apart or fall together rightly.
     """
+    if similarity is not None:
+        from zonalis.llm import jaccard
+
+        return jaccard.keep_one(docs, id_col, text, size, similarity)
     i = F.col(f"`{id_col}`")
     keyed = docs.withColumn("__key", F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
     found = components(keyed.select("__key", F.col(f"`{text}`").alias("text")), "__key", "text", size)
@@ -251,8 +240,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
 
 
 def brute_components(rows: list[tuple]) -> dict:
-    """{id: (hex, component)} of (id, text) rows by comparing all pairs; for tests."""
-    fps = [(i, fingerprint(t)) for i, t in rows]
+    """{id: (hex, component)} of (id, text) rows by counting bits one by one and comparing all pairs; for tests."""
+
+    def bits(text: str | None) -> int:
+        words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or ""))
+        runs = [" ".join(words[i : i + 3]) for i in range(max(len(words) - 2, 1))] if words else []
+        hashes = [xxhash.xxh64(r.encode("utf-8"), seed=42).intdigest() for r in runs]
+        return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+    fps = [(i, bits(t)) for i, t in rows]
     up = {i: i for i, _ in fps}
 
     def top(i):
@@ -261,7 +257,7 @@ def brute_components(rows: list[tuple]) -> dict:
         return i
 
     for (i, a), (j, b) in combinations(fps, 2):
-        if (a ^ b).bit_count() <= THRESHOLD:
+        if bin(a ^ b).count("1") <= 3:
             x, y = sorted((top(i), top(j)))
             up[y] = x
     return {i: (f"{f:016x}", top(i)) for i, f in fps}

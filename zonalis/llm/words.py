@@ -10,6 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: A-Z to a-z and nothing else.
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def split_words(text: str | None) -> list[bytes]:
