@@ -6,8 +6,8 @@ its length, zero for every member under 16 MiB, and serves as that separator. A
 empty member, which ends in zero as well.
 
 The index sorts captures by reversed-host URL key into compressed blocks and keeps one directory line per block.
-A lookup deals its keys to the index's shards, finds blocks by binary search in the shard's directory, unpacks
-only these, finds the lines by binary search again and then reads the records' byte ranges.
+A lookup reads the directory alone, deals its keys to the shards, finds their blocks by binary search, then reads and
+unpacks only these blocks, finds the lines by binary search again and reads the records' byte ranges.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.llm.words import map_texts
-from zonalis.runtime import cut, fresh_path, shuffle_partitions
+from zonalis.runtime import broadcast_if_small, cut, fresh_path, shuffle_partitions
 
 #: Payloads shorter than this are never revisits.
 LEAST_REVISIT = 100
@@ -47,6 +47,11 @@ def surt(url: str | None) -> str:
     return re.sub(r"\s", "%20", key)
 
 
+def capture_key(url: str | None, page_id: int | None) -> str:
+    """The index key: surt() of the URL; a record without one stands under its own number."""
+    return surt(url) or f"urn,page){'' if page_id is None else page_id}"
+
+
 def _header_value(value: str) -> str:
     return value.replace("\r", "%0D").replace("\n", "%0A")
 
@@ -99,19 +104,33 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     return path
 
 
-def _members(content: memoryview):
-    """Offset, length and bytes of each non-empty gzip member."""
-    at, size = 0, len(content)
-    while at < size:
-        inflate, fed, out = zlib.decompressobj(31), at, []
-        while not inflate.eof and fed < size:
-            out.append(inflate.decompress(content[fed : fed + 65536]))
-            fed = min(fed + 65536, size)
-        end = fed - len(inflate.unused_data)
+def _members(stream):
+    """Offset, length and bytes of each non-empty gzip member of a file, read piece by piece."""
+    at, held, ended = 0, b"", False
+    while True:
+        inflate, size, out = zlib.decompressobj(31), 0, []
+        while not inflate.eof:
+            if not held and not ended:
+                held = stream.read(1 << 16)
+                ended = not held
+            if not held:
+                break
+            out.append(inflate.decompress(held))
+            size += len(held) - len(inflate.unused_data)
+            held = inflate.unused_data
+        if not size:
+            return
         raw = b"".join(out)
         if raw:
-            yield at, end - at, raw
-        at = end
+            yield at, size, raw
+        at += size
+
+
+def _open(uri: str):
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "file:///", uri)))
+    return store.open_input_file(inner)
 
 
 def parse(raw: bytes) -> dict:
@@ -137,7 +156,8 @@ CAPTURE = "page_id bigint, type string, url string, digest string, refers_to big
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """A row for each record: headers, payload size and digest as read, and where it stands (file, offset, length).
 
-    ``payload_bytes`` and ``payload_digest`` are NULL for revisits, which carry no payload.
+    ``payload_bytes`` and ``payload_digest`` are NULL for revisits, which carry no payload. Spark lists the files and
+    deals them to tasks; a task reads its files as streams and holds one record and up to 2,000 result rows.
     """
     names = [f.split(" ")[0] for f in CAPTURE.split(", ")]
 
@@ -148,27 +168,29 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for i in range(batch.num_rows):
-                file, rows = batch.column(0)[i].as_py(), []
-                for offset, length, raw in _members(memoryview(batch.column(1)[i].as_buffer())):
-                    r = parse(raw)
-                    full = r["type"] == "response"
-                    rows.append((r["page_id"], r["type"], r["url"], r["digest"], r["refers_to"], r["refers_url"], len(r["payload"]) if full else None, hashlib.sha256(r["payload"]).hexdigest() if full else None, file, offset, length, surt(r["url"])))
-                    if len(rows) == 2000:
-                        yield batch_of(rows)
-                        rows = []
+            for file in batch.column(0).to_pylist():
+                rows = []
+                with _open(file) as stream:
+                    for offset, length, raw in _members(stream):
+                        r = parse(raw)
+                        full = r["type"] == "response"
+                        rows.append((r["page_id"], r["type"], r["url"], r["digest"], r["refers_to"], r["refers_url"], len(r["payload"]) if full else None, hashlib.sha256(r["payload"]).hexdigest() if full else None, file, offset, length, capture_key(r["url"], r["page_id"])))
+                        if len(rows) == 2000:
+                            yield batch_of(rows)
+                            rows = []
                 if rows:
                     yield batch_of(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path", "content")
-    return files.mapInArrow(run, CAPTURE)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select("path")
+    return files.repartition(shuffle_partitions(spark), "path").mapInArrow(run, CAPTURE)
 
 
 def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES) -> DataFrame:
-    """Writes the index of ``captures(surt, page_id, file, offset, length)`` and returns its blocks.
+    """Writes the index of ``captures(surt, page_id, type, digest, file, offset, length)`` and returns its blocks.
 
     Range partitioning on key, file and offset splits even a single URL's captures over shards. A block row has
-    its shard, first and last key and the packed lines; the first three make the sparse directory.
+    its shard, first and last key and the packed lines; all but the lines make the sparse directory. The table is
+    partitioned by shard, so a lookup that needs few blocks reads few shards.
     """
 
     def run(batches):
@@ -193,23 +215,29 @@ def build_index(captures: DataFrame, path: str, block_lines: int = BLOCK_LINES)
             yield flush()
 
     order = ["surt", "file", "offset"]
-    lines = captures.select("surt", "page_id", "file", "offset", "length").repartitionByRange(shuffle_partitions(captures.sparkSession), *order).sortWithinPartitions(*order)
-    blocks = lines.mapInArrow(run, "block bigint, first_key string, last_key string, n bigint, lines binary").withColumn("shard", F.spark_partition_id())
-    blocks.write.parquet(path)
-    return captures.sparkSession.read.parquet(path)
+    lines = captures.select("surt", *LINE).repartitionByRange(shuffle_partitions(captures.sparkSession), *order).sortWithinPartitions(*order)
+    blocks = lines.mapInArrow(run, BLOCK).withColumn("shard", F.spark_partition_id())
+    blocks.write.partitionBy("shard").parquet(path)
+    return captures.sparkSession.read.schema(BLOCK + ", shard int").parquet(path)
 
 
-FOUND = "key string, page_id bigint, file string, offset bigint, length bigint"
+#: A capture's line in the index after its key, and a block's row.
+LINE = ["page_id", "type", "digest", "file", "offset", "length"]
+BLOCK = "block bigint, first_key string, last_key string, n bigint, lines binary"
+FOUND = "key string, page_id bigint, type string, digest string, file string, offset bigint, length bigint"
+#: Wanted blocks, of some 50 bytes each and their keys, go to every task up to so many.
+BROADCAST_BLOCKS = 10_000
 
 
 def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
-    """Captures of each distinct ``keys(key)``: ``(key, page_id, file, offset, length)``.
+    """Captures of each distinct ``keys(key)``: ``(key, page_id, type, digest, file, offset, length)``.
 
     Shard bounds, one row per shard, go to the driver and out to the tasks; a key goes to every shard whose
-    range holds it, so a URL that spans shards is found whole. In a shard's task, which holds the shard's packed
-    blocks and the keys of its range, blocks are found by binary search and only these are unpacked.
+    range holds it, so a URL that spans shards is found whole. A shard's task holds its directory lines and the keys
+    of its range, and finds blocks by binary search. Only then are the wanted blocks joined with their packed lines.
     """
-    bounds = [(r["shard"], r["lo"], r["hi"]) for r in index.groupBy("shard").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).orderBy("lo", "shard").collect()]
+    directory = index.select("shard", "block", "first_key", "last_key")
+    bounds = [(r["shard"], r["lo"], r["hi"]) for r in directory.groupBy("shard").agg(F.min("first_key").alias("lo"), F.max("last_key").alias("hi")).orderBy("lo", "shard").collect()]
     lows = [b[1] for b in bounds]
 
     @F.pandas_udf("array<int>")
@@ -225,40 +253,48 @@ def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
 
     def search(blocks: pa.Table, wanted: pa.Table) -> pa.Table:
         blocks = blocks.sort_by("block")
-        directory, last, lines = blocks.column("first_key").to_pylist(), blocks.column("last_key").to_pylist(), blocks.column("lines")
-        rows: list[tuple] = []
-        open_at, opened, heads = -1, [], []
+        first, last, number = (blocks.column(c).to_pylist() for c in ("first_key", "last_key", "block"))
+        shard = blocks.column("shard")[0].as_py() if number else None
+        rows = []
         for key in sorted(wanted.column("key").to_pylist()):
-            i = max(bisect.bisect_left(directory, key) - 1, 0)
-            while i < len(directory) and directory[i] <= key:
-                if last[i] >= key:
-                    if open_at != i:
-                        opened = [x.split("\t") for x in zlib.decompress(lines[i].as_py()).decode("utf-8", "surrogatepass").split("\n")]
-                        heads, open_at = [x[0] for x in opened], i
-                    for k, p, f, o, n in opened[bisect.bisect_left(heads, key) : bisect.bisect_right(heads, key)]:
-                        rows.append((k, int(p) if p else None, f, int(o), int(n)))
+            # Blocks stand in order of their first keys, and so of their last ones.
+            i = bisect.bisect_left(last, key)
+            while i < len(first) and first[i] <= key:
+                rows.append((shard, number[i], key))
                 i += 1
-        kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-        names = [f.split(" ")[0] for f in FOUND.split(", ")]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=names)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows) if rows else ([], [], []), (pa.int32(), pa.int64(), pa.string()))], names=["shard", "block", "key"])
+
+    def unpack(batches):
+        kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+        for batch in batches:
+            for lines, wanted in zip(batch.column(0), batch.column(1).to_pylist()):
+                opened = [x.split("\t") for x in zlib.decompress(lines.as_py()).decode("utf-8", "surrogatepass").split("\n")]
+                heads = [x[0] for x in opened]
+                rows = [(k, int(p) if p else None, t, d, f, int(o), int(n)) for key in wanted for k, p, t, d, f, o, n in opened[bisect.bisect_left(heads, key) : bisect.bisect_right(heads, key)]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[f.split(" ")[0] for f in FOUND.split(", ")])
 
     dealt = keys.select("key").distinct().withColumn("shard", F.explode(shards("key")))
-    return index.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(search, FOUND)
+    places = directory.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(search, "shard int, block bigint, key string")
+    # A block has block_lines lines, so its list of keys is bounded.
+    wanted = cut(places.groupBy("shard", "block").agg(F.collect_list("key").alias("keys")))
+    blocks = index.select("shard", "block", "lines").join(broadcast_if_small(wanted, BROADCAST_BLOCKS), ["shard", "block"])
+    return blocks.select("lines", "keys").mapInArrow(unpack, FOUND)
 
 
 def fetch(found: DataFrame) -> DataFrame:
-    """Reads the byte range of every ``found(page_id, file, offset, length)`` and returns the record's payload."""
+    """Reads the byte range of every ``found(page_id, file, offset, length)`` and returns the record's payload size and
+    digest as read."""
 
     def run(batches):
-        from pyarrow import fs
-
         name, stream = None, None
         for batch in batches:
             rows = []
             for page, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if file != name:
-                    store, inner = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", file))
-                    name, stream = file, store.open_input_file(inner)
+                    if stream is not None:
+                        stream.close()
+                    name, stream = file, _open(file)
                 stream.seek(offset)
                 payload = parse(zlib.decompress(stream.read(length), 31))["payload"]
                 rows.append((page, len(payload), hashlib.sha256(payload).hexdigest()))
@@ -273,8 +309,10 @@ def archive_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:
     """Writes ``pages`` as WARC, reads the archives back and resolves revisits through the index.
 
     ``(page_id, payload_bytes, payload_digest, record_type, refers_to, file, offset, length)`` per row of
-    ``pages``. A revisit's size and digest are those of the response it refers to, found by its URL key and read
-    as a byte range. An empty table gives no rows.
+    ``pages``. A revisit's size and digest are those of the response record of the page it refers to that has the
+    digest in the revisit's header; it is found by its URL key, read as a byte range, and its digest as read must be
+    that of the header (else both are NULL). So a page_id that occurs with several payloads does no harm, whichever of
+    them are revisits. An empty table gives no rows.
     """
     spark = pages.sparkSession
     root = path or fresh_path(spark, "warc")
@@ -282,11 +320,16 @@ def archive_and_read(pages: DataFrame, path: str | None = None) -> DataFrame:
     captures = cut(read_archives(spark, f"{root}/archive"))
     index = build_index(captures, f"{root}/index")
     revisits = captures.where("type = 'revisit'")
-    keyed = F.udf(lambda url: surt(url), "string")
-    targets = cut(revisits.groupBy("refers_to", "refers_url").count().withColumn("key", keyed(F.col("refers_url"))))
-    found = lookup(index, targets).join(targets.select("key", F.col("refers_to").alias("page_id")), ["key", "page_id"], "left_semi")
-    read = fetch(found).dropDuplicates(["page_id"]).withColumnsRenamed({"page_id": "refers_to", "payload_bytes": "b", "payload_digest": "d"})
-    resolved = revisits.join(read, "refers_to", "left").withColumns({"payload_bytes": F.col("b"), "payload_digest": F.col("d")}).drop("b", "d")
+
+    @F.pandas_udf("string")
+    def key_of(url: pd.Series, page_id: pd.Series) -> pd.Series:
+        return pd.Series([capture_key(u, p) for u, p in zip(url, page_id)], dtype="object")
+
+    targets = cut(revisits.select("refers_to", "refers_url", "digest").distinct().withColumn("key", key_of("refers_url", "refers_to")))
+    wanted = targets.select("key", F.col("refers_to").alias("page_id"), "digest")
+    found = lookup(index, targets).where("type = 'response'").join(wanted, ["key", "page_id", "digest"], "left_semi").dropDuplicates(["page_id", "digest"])
+    read = fetch(found).withColumnsRenamed({"page_id": "refers_to", "payload_bytes": "b", "payload_digest": "digest"})
+    resolved = revisits.join(read, ["refers_to", "digest"], "left").withColumns({"payload_bytes": F.col("b"), "payload_digest": F.when(F.col("b").isNotNull(), F.col("digest"))}).drop("b")
     every = captures.where("type <> 'revisit'").unionByName(resolved)
     return every.select("page_id", "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to", "file", "offset", "length")
 
