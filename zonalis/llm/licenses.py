@@ -1,16 +1,19 @@
 r"""License scans: exact phrases, and an exact set-similarity join of text blocks with notice templates.
 
-All of it is DataFrame expressions. A block is a line of a text. A template is found in a block when the block
-holds at least ``CONTAINMENT`` of the template's distinct words. Words that no template has can't count, so
-blocks are cut to the template vocabulary, whose tokens are put in one global order, rarest over all blocks
-first. A qualifying block then shares a token with the template within both prefixes (prefix filter), has enough
-tokens (length filter), and enough tokens after the first shared one (positional filter); what passes the join
-on prefix tokens is counted exactly.
+All of it is DataFrame expressions. A text is a row of words, whatever its line ends; a block is the 2 * STEP words
+from every STEP-th word on, so any STEP words in a row lie whole in a block. Tokens are pairs of neighbouring words:
+scattered words of a notice don't make one. A template is found in a block when the block holds at least
+``CONTAINMENT`` of the template's pairs. Pairs that no template has can't count, so blocks are cut to the template
+vocabulary, whose tokens are put in one global order, rarest over all blocks first. A qualifying block then shares a
+token with the template within both prefixes (prefix filter), has enough tokens (length filter), and enough tokens
+after the first shared one (positional filter); what passes the join on prefix tokens is counted exactly.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,19 +23,27 @@ from zonalis.runtime import cut
 CONTAINMENT = 0.8
 #: Phrase and label.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+#: A block is twice as many words; templates are shorter than STEP.
+STEP = 96
 #: Notice texts and labels.
 TEMPLATES = [
-    ("released under the mit license", "mit"),
-    ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit"),
-    ("licensed under the apache license version 2 0", "apache-2.0"),
-    ("this work is licensed under the gnu general public license version 3", "gpl-3.0"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2.0"),
-    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
-    ("no rights reserved this work is dedicated to the public domain cc0", "cc0"),
+    ("released under the MIT license", "mit"),
+    ("licensed under the MIT license", "mit"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "mit"),
+    ("licensed under the Apache License, Version 2.0", "apache-2.0"),
+    ("you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "apache-2.0"),
+    ("this work is licensed under the GNU General Public License, version 3", "gpl-3.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation", "gpl"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation", "lgpl"),
+    ("licensed under CC BY-NC 4.0", "cc-by-nc"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("no rights reserved this work is dedicated to the public domain CC0", "cc0"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "bsd"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mpl-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("This is free and unencumbered software released into the public domain", "unlicense"),
 ]
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -48,81 +59,120 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("bigint")
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """n_words, n_base, first_word, last_word and base_labels of a text column.
+def words_line(text: Column) -> Column:
+    """All words of a text in one line, between single spaces."""
+    return F.trim(F.regexp_replace(lowered(text), BETWEEN, " "))
 
-    Words stand in one line between single spaces, so a phrase is a substring, and its place the number of
-    spaces before it.
+
+def base_columns(line: Column) -> dict[str, Column]:
+    """n_words, n_base, first_word, last_word and base labels of a words_line() column.
+
+    A phrase is a substring of the line, and its place the number of spaces before it. Only lines that hold a phrase
+    are searched with regular expressions.
     """
-    line = F.trim(F.regexp_replace(lowered(text), BETWEEN, " "))
     padded = F.concat(F.lit(" "), line, F.lit(" "))
-    n = F.regexp_count(padded, F.lit(ANY_PHRASE)).cast("bigint")
-    before = lambda how: F.when(n > 0, _spaces(F.regexp_extract(padded, f"(?s)^(.{how}){ANY_PHRASE}", 1)))
-    found = F.array_compact(F.array(*[F.when(F.contains(padded, F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items()]))
+    holds = [F.contains(padded, F.lit(f" {p} ")) for p in PHRASES]
+    some = functools.reduce(lambda a, b: a | b, holds)
+    before = lambda how: F.when(some, _spaces(F.regexp_extract(padded, f"(?s)^(.{how}){ANY_PHRASE}", 1)))
+    found = F.array_compact(F.array(*[F.when(h, F.lit(label)) for h, label in zip(holds, PHRASES.values())]))
     return {
         "n_words": F.when(line == "", F.lit(0)).otherwise(_spaces(line) + 1).cast("bigint"),
-        "n_base": n, "first_word": before("*?"), "last_word": before("*"), "base": F.array_sort(found),
+        "n_base": F.when(some, F.regexp_count(padded, F.lit(ANY_PHRASE)).cast("bigint")).otherwise(F.lit(0).cast("bigint")),
+        "first_word": before("*?"), "last_word": before("*"), "base": F.array_sort(found),
     }
 
 
-def _blocks(keyed: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """(rk, rk2, tokens): the distinct template words of each line that has any."""
-    lines = keyed.select("rk", "rk2", F.explode(F.split(lowered(F.col("text")), "\n")).alias("line"))
-    words = F.filter(F.regexp_extract_all("line", F.lit(WORD), 0), lambda w: w.isin(*vocabulary))
-    return lines.select("rk", "rk2", F.array_distinct(words).alias("tokens")).where(F.size("tokens") > 0)
+def template_pairs(templates: list[tuple[str, str]]) -> list[tuple[list[str], str]]:
+    """The distinct pairs of neighbouring words of each template, and its label."""
+    out = []
+    for text, label in templates:
+        words = re.findall("[a-z0-9]+", text.lower())
+        out.append((sorted({f"{a} {b}" for a, b in zip(words, words[1:])}), label))
+    return out
+
+
+def _hits(pairs: Column, vocabulary: list[str], least: int) -> Column:
+    """(pos, pair) of every template pair of a text, by first word; NULL where fewer than ``least`` different ones stand."""
+    present = F.size(F.array_intersect(pairs, F.array(*map(F.lit, vocabulary))))
+    placed = F.transform(pairs, lambda p, i: F.struct(i.alias("pos"), p.alias("pair")))
+    return F.when(present >= least, F.filter(placed, lambda h: h["pair"].isin(*vocabulary)))
 
 
-def find_templates(keyed: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """``(rk, rk2, label, score)`` for each block of ``keyed(rk, rk2, text)`` and template that it contains."""
-    spark = keyed.sparkSession
-    sets = [(sorted(set(t.split())), label) for t, label in templates]
-    vocabulary = sorted({w for words, _ in sets for w in words})
-    need = [math.ceil(containment * len(words) - 1e-9) for words, _ in sets]
-    # Read twice, for the frequencies and for the join; the texts are cut into words once.
-    blocks = cut(_blocks(keyed, vocabulary))
-    # One row per template word at most comes to the driver.
+def find_templates(hits: DataFrame, sets: list[tuple[list[str], str]], containment: float = CONTAINMENT) -> DataFrame:
+    """``(rk, rk2, label, score)`` for each block of ``hits(rk, rk2, hits)`` and template that it contains."""
+    spark = hits.sparkSession
+    vocabulary = sorted({p for pairs, _ in sets for p in pairs})
+    need = [math.ceil(containment * len(pairs) - 1e-9) for pairs, _ in sets]
+    least = min(need)
+    at = F.floor(F.col("h.pos") / STEP)
+    placed = hits.where("hits is not null").select("rk", "rk2", F.explode("hits").alias("h")).select("rk", "rk2", F.col("h.pair").alias("pair"), F.explode(F.array(at, at - 1)).alias("block"))
+    blocks = placed.where("block >= 0").groupBy("rk", "rk2", "block").agg(F.collect_set("pair").alias("tokens"))
+    # Read twice, for the frequencies and for the join.
+    blocks = cut(blocks.where(F.size("tokens") >= least))
+    # One row per template pair at most comes to the driver.
     counted = {r["token"]: r["n"] for r in blocks.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).collect()}
     order = sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     rows = []
-    for number, ((words, label), o) in enumerate(zip(sets, need)):
-        ranks = sorted(rank[w] for w in words)
+    for number, ((pairs, label), o) in enumerate(zip(sets, need)):
+        ranks = sorted(rank[w] for w in pairs)
         for j, r in enumerate(ranks[: len(ranks) - o + 1]):
             rows.append(f"({r}, {number}, {j}, {len(ranks)}, {o}, array({', '.join(map(str, ranks))}), '{label}')")
     prefixes = spark.sql(f"select * from values {', '.join(rows)} as t(rank, template, j, n, need, template_ranks, label)")
     numbered = F.array_sort(F.transform("tokens", lambda w: F.array_position(F.array(*map(F.lit, order)), w).cast("int") - 1))
-    least = min(need)
-    sized = blocks.where(F.size("tokens") >= least).select("rk", "rk2", numbered.alias("ranks"))
+    sized = blocks.select("rk", "rk2", numbered.alias("ranks"))
     prefix = F.slice("ranks", 1, F.size("ranks") - least + 1)
     probes = sized.select("rk", "rk2", "ranks", F.posexplode(prefix).alias("i", "rank"))
     b = F.size("ranks")
     fits = (b >= F.col("need")) & (F.col("i") < b - F.col("need") + 1) & (1 + F.least(F.col("n") - F.col("j") - 1, b - F.col("i") - 1) >= F.col("need"))
+    # The templates' prefixes are a few hundred rows.
     near = probes.join(F.broadcast(prefixes), "rank").where(fits)
     overlap = F.size(F.array_intersect("ranks", "template_ranks"))
     return near.withColumn("overlap", overlap).where("overlap >= need").select("rk", "rk2", "label", (F.col("overlap") / F.col("n")).alias("score"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``(id, n_words, n_base, first_word, last_word, base_labels, labels, score)`` per row.
 
-    ``score`` is the best containment of a template, 1 where a base phrase stands, else 0. NULL texts count as
-    empty: no words, empty labels, score 0. Repeated rows are scanned alike and come back as often as they came;
-    NULL ids are kept. An empty table gives no rows. No text is shuffled.
+    ``score`` is the best containment of a template, 1 where a base phrase stands, else 0. Templates that differ in
+    few words (Attribution with and without ShareAlike) may both be found. NULL texts count as empty: no words, empty
+    labels, score 0. Repeated rows are scanned alike and come back as often as they came; NULL ids are kept. An empty
+    table gives no rows. Texts are read and cut into words once; no text is shuffled.
     """
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text}`")
-    keyed = docs.select(i.alias("id"), F.xxhash64(i, t).alias("rk"), F.hash(i, t, F.lit(7)).alias("rk2"), t.alias("text"))
-    base = keyed.select("id", "rk", "rk2", *[c.alias(name) for name, c in base_columns(F.col("text")).items()])
-    found = find_templates(keyed.select("rk", "rk2", "text"))
+    sets = template_pairs(templates)
+    vocabulary = sorted({p for pairs, _ in sets for p in pairs})
+    least = min(math.ceil(CONTAINMENT * len(pairs) - 1e-9) for pairs, _ in sets)
+    keys = ["id", "rk", "rk2"]
+    lines = docs.select(i.alias("id"), F.xxhash64(i, t).alias("rk"), F.hash(i, t, F.lit(7)).alias("rk2"), words_line(t).alias("line"))
+    words = lines.select(*keys, "line", F.split("line", " ").alias("words"))
+    pairs = words.select(*keys, "line", F.zip_with("words", F.slice("words", 2, F.size("words")), lambda a, b: F.concat(a, F.lit(" "), b)).alias("pairs"))
+    seen = cut(pairs.select(*keys, *[c.alias(name) for name, c in base_columns(F.col("line")).items()], _hits(F.col("pairs"), vocabulary, least).alias("hits")))
+    found = find_templates(seen.select("rk", "rk2", "hits"), sets)
     found = found.groupBy("rk", "rk2").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
-    out = base.join(found, ["rk", "rk2"], "left")
+    out = seen.drop("hits").join(found, ["rk", "rk2"], "left")
     every = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", F.array().cast("array<string>")))))
     score = F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
     return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), score.alias("score"))
 
 
+def brute_labels(text: str | None) -> dict[str, float]:
+    """Each template label found in a text and its best containment, by plain loops; for tests."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: chr(ord(m[0]) + 32), text or ""))
+    pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+    found: dict[str, float] = {}
+    for start in range(0, max(len(pairs), 1), STEP):
+        block = set(pairs[start : start + 2 * STEP])
+        for notice, label in template_pairs(TEMPLATES):
+            share = len(block & set(notice)) / len(notice)
+            if share >= CONTAINMENT - 1e-9:
+                found[label] = max(found.get(label, 0.0), share)
+    return found
+
+
 def oracle() -> str:
-    """DuckDB SQL that compares every line with every template."""
-    listed = ", ".join(f"({i}, {sorted(set(t.split()))!r}, '{label}')" for i, (t, label) in enumerate(TEMPLATES))
+    """DuckDB SQL that compares every block with every template."""
+    listed = ", ".join(f"({i}, {pairs!r}, '{label}')" for i, (pairs, label) in enumerate(template_pairs(TEMPLATES)))
     phrases = ", ".join(f"({p.split()!r}, '{label}')" for p, label in PHRASES.items())
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     return f"""
@@ -138,12 +188,15 @@ places as (
 ), bases as (
   select doc_id, count(*)::bigint as n_base, min(i)::bigint as first_word, max(i)::bigint as last_word,
     list_sort(list(distinct label)) as base from base group by doc_id
-), template(id, words, label) as (values {listed}),
-lines as (
-  select doc_id, regexp_extract_all(unnest(string_split(text, chr(10))), '{WORD}') as words from t
+), template(id, pairs, label) as (values {listed}),
+token as (
+  select id, label, len(pairs) as n, unnest(pairs) as pair from template
+), pairs as (
+  select doc_id, i, words[i + 1] || ' ' || words[i + 2] as pair from places where i + 1 < len(words)
+), hits as (
+  select doc_id, i // {STEP} - back as block, pair from pairs, (values (0), (1)) s(back) where pair in (select pair from token) and i // {STEP} >= back
 ), found as (
-  select l.doc_id, m.label, len(list_intersect(list_distinct(l.words), m.words))::double / len(m.words) as score
-  from lines l, template m
+  select h.doc_id, k.label, count(distinct h.pair)::double / k.n as score from hits h join token k on h.pair = k.pair group by h.doc_id, h.block, k.id, k.label, k.n
 ), best as (
   select doc_id, list(distinct label) as labels, max(score) as score from found where score >= {CONTAINMENT} - 1e-9 group by doc_id
 )
