@@ -8,8 +8,10 @@ Rows of (minimiser, content hash, place) travel first. A minimiser seen once has
 several super-k-mers of one content share has only repeated ones. Only for the others does one packed string of each
 distinct content travel to the bucket, where its windows are sorted, compared word by word and counted with the
 content's multiplicity. Buckets of more than ``hot`` distinct contents are dealt to blocks that sort and count on
-their own; their distinct windows then meet by a grouped aggregation over 128-bit hashes, so no task holds a
-crowded bucket.
+their own; their distinct windows, as words, then meet by a grouped aggregation, so no task holds a crowded bucket.
+
+What decides: whether two whole super-k-mers are the same content, 128 bits of hash over the 64-bit hashes of their
+words (within one minimiser); whether windows of different contents are equal, their words, in buckets of any size.
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ WINDOW = 35
 MMER = 4
 #: Windows of one super-k-mer; their marks fit one long.
 SPAN = 64
-#: Distinct contents of a minimiser that one task sorts at a time: some 3 MB of packed strings and, with their
-#: windows, some 30 MB of arrays.
-HOT = 8192
+#: Distinct contents of a minimiser that one task sorts at a time: some 200 KB of packed strings and, with their
+#: windows, some 2 MB of arrays.
+HOT = 512
 #: Crowded minimisers, of 16 bytes each, go to every task up to so many.
 BROADCAST_CROWDED = 100_000
 BASE = 0x9E3779B97F4A7C15
-#: Bases of the two halves of a 128-bit window hash.
+#: Bases of the two halves of a 128-bit content hash.
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
@@ -103,10 +105,10 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _places(keyed: DataFrame, k: int, m: int) -> DataFrame:
     """A slim row for each super-k-mer."""
-    cache, spans = HashCache(), Spans(BASES[0])
+    cache, spans = HashCache(), [Spans(b) for b in BASES]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        mins, contents, rows, starts, sizes, twice = [], [], [], [], [], []
+        mins, contents, rows, starts, sizes, twice = [], ([], []), [], [], [], []
         for i, t in enumerate(batch.column("text").to_pylist()):
             words = split_words(t)
             if len(words) < k:
@@ -114,7 +116,8 @@ def _places(keyed: DataFrame, k: int, m: int) -> DataFrame:
             h = cache.of(words)
             mm, start, size, again = super_kmers(h, k, m)
             mins.append(mm)
-            contents.append(spans.of(h, start, start + size + k - 1))
+            for found, s in zip(contents, spans):
+                found.append(s.of(h, start, start + size + k - 1))
             rows.append(np.full(len(mm), i))
             starts.append(start)
             sizes.append(size)
@@ -122,12 +125,12 @@ def _places(keyed: DataFrame, k: int, m: int) -> DataFrame:
         if not rows:
             return None
         at = pa.array(np.concatenate(rows))
-        columns = [pa.array(np.concatenate(mins).view(np.int64)), pa.array(np.concatenate(contents).view(np.int64)), batch.column("rk").take(at), batch.column("rk2").take(at)]
+        columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (mins, *contents)] + [batch.column("rk").take(at), batch.column("rk2").take(at)]
         columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, sizes)]
         columns.append(pa.array(np.concatenate(twice)))
-        return pa.RecordBatch.from_arrays(columns, names=["mm", "ch", "rk", "rk2", "start", "size", "twice"])
+        return pa.RecordBatch.from_arrays(columns, names=["mm", "ch", "ch2", "rk", "rk2", "start", "size", "twice"])
 
-    return map_texts(keyed.drop("id"), one, "mm bigint, ch bigint, rk bigint, rk2 int, start int, size int, twice boolean")
+    return map_texts(keyed.drop("id"), one, "mm bigint, ch bigint, ch2 bigint, rk bigint, rk2 int, start int, size int, twice boolean")
 
 
 def _pack(joined: DataFrame, k: int) -> DataFrame:
@@ -137,19 +140,18 @@ def _pack(joined: DataFrame, k: int) -> DataFrame:
     runs it once. A text of repeated rows packs its super-k-mers as often; readers drop the repeats.
     """
 
+    names, kinds = ["mm", "ch", "ch2", "n", "block"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        mm, ch, n, block, rows = [], [], [], [], []
+        items, rows = [], []
         for t, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
             words = split_words(t)
-            for w in wanted:
-                mm.append(w["mm"])
-                ch.append(w["ch"])
-                n.append(w["n"])
-                block.append(w["block"])
-                rows.append(b" ".join(words[w["start"] : w["start"] + w["size"] + k - 1]))
-        return pa.RecordBatch.from_arrays([pa.array(mm, pa.int64()), pa.array(ch, pa.int64()), pa.array(n, pa.int64()), pa.array(block, pa.int32()), pa.array(rows, pa.binary())], names=["mm", "ch", "n", "block", "packed"])
+            items.extend(wanted)
+            rows.extend([b" ".join(words[w["start"] : w["start"] + w["size"] + k - 1]) for w in wanted])
+        columns = [pa.array([w[c] for w in items], kind) for c, kind in zip(names, kinds)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.binary())], names=[*names, "packed"])
 
-    return map_texts(joined.select("id", "text", "wanted"), one, "mm bigint, ch bigint, n bigint, block int, packed binary")
+    return map_texts(joined.select("id", "text", "wanted"), one, "mm bigint, ch bigint, ch2 bigint, n bigint, block int, packed binary")
 
 
 def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -209,7 +211,7 @@ def _buckets(batches, same: tuple[str, ...]):
         return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
 
     def cleaned(table):
-        return table.take(pa.array(np.flatnonzero(changes(table, (*same, "ch")))))
+        return table.take(pa.array(np.flatnonzero(changes(table, (*same, "ch", "ch2")))))
 
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -234,63 +236,65 @@ def _marks_by_sorting(packed: DataFrame, k: int) -> DataFrame:
             rows = Sorted(table.column("mm").to_numpy(), table.column("n").to_numpy(), table.column("packed").to_pylist(), k, spans)
             marks = rows.marks(table.num_rows)
             seen = marks != 0
-            columns = [pa.array(table.column(c).to_numpy()[seen]) for c in ("mm", "ch")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks[seen])], names=["mm", "ch", "marks"])
+            columns = [pa.array(table.column(c).to_numpy()[seen]) for c in ("mm", "ch", "ch2")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks[seen])], names=["mm", "ch", "ch2", "marks"])
 
-    dealt = packed.repartition("mm").sortWithinPartitions("mm", "ch")
-    return dealt.mapInArrow(run, "mm bigint, ch bigint, marks bigint")
+    dealt = packed.repartition("mm").sortWithinPartitions("mm", "ch", "ch2")
+    return dealt.mapInArrow(run, "mm bigint, ch bigint, ch2 bigint, marks bigint")
 
 
 def _marks_across_blocks(packed: DataFrame, k: int) -> DataFrame:
     """The same for crowded buckets, whose contents are dealt to blocks.
 
-    A block sorts and counts its own windows. Each distinct one then leaves the block as one row under a 128-bit
-    hash; sums over the blocks tell which of those seen once in a block occur in another.
+    A block sorts and counts its own windows. Each distinct one then leaves the block as one row with its words; sums
+    over the blocks tell which of those seen once in a block occur in another.
     """
-    cache, spans, other = HashCache(), Spans(BASES[0]), Spans(BASES[1])
-    names = ["mm", "ch", "marks", "w1", "w2", "total", "offset"]
+    spans = Spans(BASES[0])
+    names = ["mm", "ch", "ch2", "marks", "window", "total", "offset"]
 
     def run(batches):
         for table in _buckets(batches, ("mm", "block")):
-            mm, ch = (table.column(c).to_numpy() for c in ("mm", "ch"))
-            bucket = np.cumsum(np.concatenate([[True], (mm[1:] != mm[:-1]) | (table.column("block").to_numpy()[1:] != table.column("block").to_numpy()[:-1])]))
+            mm, ch, ch2, block = (table.column(c).to_numpy() for c in ("mm", "ch", "ch2", "block"))
+            bucket = np.cumsum(np.concatenate([[True], (mm[1:] != mm[:-1]) | (block[1:] != block[:-1])]))
             rows = Sorted(bucket, table.column("n").to_numpy(), table.column("packed").to_pylist(), k, spans)
             marks = rows.marks(table.num_rows)
             seen = np.flatnonzero(marks)
-            none = [pa.nulls(len(seen), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(mm[seen]), pa.array(ch[seen]), pa.array(marks[seen]), *none], names=names)
-            h = cache.of(rows.words)[rows.ids]
-            first = rows.first
-            at, row = rows.at[first], rows.row[first]
-            hashes = [pa.array(s.of(h, at, at + k).view(np.int64)) for s in (spans, other)]
-            columns = [pa.array(mm[row]), pa.array(ch[row]), pa.nulls(len(first), pa.int64()), *hashes, pa.array(rows.total), pa.array(rows.offset[first].astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    dealt = packed.repartition("mm", "block").sortWithinPartitions("mm", "block", "ch")
-    local = dealt.mapInArrow(run, "mm bigint, ch bigint, marks bigint, w1 bigint, w2 bigint, total bigint, offset int")
-    windows = local.where("w1 is not null")
-    elsewhere = windows.groupBy("w1", "w2").agg(F.sum("total").alias("all")).where("all > 1").select("w1", "w2")
-    found = windows.where("total = 1").join(elsewhere, ["w1", "w2"], "left_semi")
-    marks = found.groupBy("mm", "ch").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
-    return local.where("w1 is null").select("mm", "ch", "marks").unionByName(marks)
+            none = [pa.nulls(len(seen), t) for t in (pa.binary(), pa.int64(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[seen]) for c in (mm, ch, ch2)), pa.array(marks[seen]), *none], names=names)
+            words, ids = rows.words, rows.ids.tolist()
+            for part in range(0, len(rows.first), 20_000):
+                first = rows.first[part : part + 20_000]
+                row = rows.row[first]
+                windows = [b" ".join([words[i] for i in ids[at : at + k]]) for at in rows.at[first].tolist()]
+                columns = [*(pa.array(c[row]) for c in (mm, ch, ch2)), pa.nulls(len(first), pa.int64()), pa.array(windows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows.total[part : part + 20_000]), pa.array(rows.offset[first].astype(np.int32))], names=names)
+
+    dealt = packed.repartition("mm", "block").sortWithinPartitions("mm", "block", "ch", "ch2")
+    local = cut(dealt.mapInArrow(run, "mm bigint, ch bigint, ch2 bigint, marks bigint, window binary, total bigint, offset int"))
+    windows = local.where("window is not null")
+    elsewhere = windows.groupBy("window").agg(F.sum("total").alias("all")).where("all > 1").select("window")
+    found = windows.where("total = 1").join(elsewhere, "window", "left_semi")
+    marks = found.groupBy("mm", "ch", "ch2").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
+    return local.where("window is null").select("mm", "ch", "ch2", "marks").unionByName(marks)
 
 
 def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MMER, hot: int = HOT) -> DataFrame:
     """``(rk, rk2, found)``: for each keyed row with repeated windows, its (start, size, marks) structs."""
     keyed = _keyed(docs, id_col, text)
     places = cut(_places(keyed, k, m))
-    buckets = places.groupBy("mm").agg(F.count("*").alias("c"), F.min("ch").alias("lo"), F.max("ch").alias("hi"), F.bool_or("twice").alias("any_twice"))
-    buckets = buckets.where("c > 1 or any_twice").select("mm", F.expr("c > 1 and lo = hi").alias("same"))
+    ends = [f(c).alias(f"{n}{c}") for c in ("ch", "ch2") for n, f in (("lo_", F.min), ("hi_", F.max))]
+    buckets = places.groupBy("mm").agg(F.count("*").alias("c"), *ends, F.bool_or("twice").alias("any_twice"))
+    buckets = buckets.where("c > 1 or any_twice").select("mm", F.expr("c > 1 and lo_ch = hi_ch and lo_ch2 = hi_ch2").alias("same"))
     shared = cut(places.drop("twice").join(buckets, "mm"))
     mixed = shared.where("not same")
     first = F.min(F.struct("rk", "rk2", "start", "size")).alias("first")
-    contents = cut(mixed.groupBy("mm", "ch").agg(F.count("*").alias("n"), first).select("mm", "ch", "n", "first.*"))
+    contents = cut(mixed.groupBy("mm", "ch", "ch2").agg(F.count("*").alias("n"), first).select("mm", "ch", "ch2", "n", "first.*"))
     crowded = cut(contents.groupBy("mm").agg(F.count("*").alias("contents")).where(F.col("contents") > hot))
     any_crowded = not crowded.isEmpty()
     # Where they are few, contents need not be dealt by minimiser to set them apart.
     crowded = broadcast_if_small(crowded, BROADCAST_CROWDED)
-    block = F.pmod(F.xxhash64("ch"), F.ceil(F.col("contents") / hot)).cast("int")
-    item = F.struct("mm", "ch", "n", "start", "size", "block")
+    block = F.pmod(F.xxhash64("ch", "ch2"), F.ceil(F.col("contents") / hot)).cast("int")
+    item = F.struct("mm", "ch", "ch2", "n", "start", "size", "block")
 
     def packed(rows: DataFrame) -> DataFrame:
         wanted = rows.groupBy("rk", "rk2").agg(F.collect_list(item).alias("wanted"))
@@ -301,7 +305,7 @@ def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         marks = marks.unionByName(_marks_across_blocks(packed(contents.join(crowded, "mm").withColumn("block", block)), k))
     every = F.lit(-1).cast("bigint").alias("marks")
     found = shared.where("same").select("rk", "rk2", "start", "size", every)
-    found = found.unionByName(mixed.join(marks, ["mm", "ch"]).select("rk", "rk2", "start", "size", "marks"))
+    found = found.unionByName(mixed.join(marks, ["mm", "ch", "ch2"]).select("rk", "rk2", "start", "size", "marks"))
     return found.groupBy("rk", "rk2").agg(F.collect_set(F.struct("start", "size", "marks")).alias("found"))
 
 
