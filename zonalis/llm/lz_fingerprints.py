@@ -7,6 +7,7 @@ sets follows compression; a signature of minimum hashes estimates it.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 
 import numpy as np
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.words import mix
-from zonalis.runtime import shuffle_partitions
+from zonalis.runtime import cut, shuffle_partitions
 
 SLOTS = 64
+#: Keys sampled for each range of ids.
+SAMPLE_ROWS = 100
 EMPTY = 0xFFFF
 _RANDOM = np.random.default_rng(20240229)
 _TIMES = _RANDOM.integers(1, 1 << 32, SLOTS, dtype=np.uint32) | np.uint32(1)
@@ -110,42 +113,48 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     """``(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)`` per row.
 
     The edited text has the last floor(n / 2) code points replaced by the first as many, or all, of the next
-    row's text in order of id (NULL ids first, equal ids by text); the last row's next is the first. NULL texts
-    are empty; two empty texts are alike (1.0). Repeated rows follow each other. An empty table gives no rows.
+    row's text in order of id (NULL ids first, rows of equal id by a hash of their text); the last row's next is the
+    first. Ids are integers or strings, each in their own order. NULL texts are empty; two empty texts are alike
+    (1.0). Repeated rows follow each other. An empty table gives no rows.
 
-    Rows are dealt to ranges of (integer) ids; the rows with a range's first id also go to the range before it as
-    guests, so every task finds all next rows in its own sorted stream and hardly a text moves twice. Of several
-    guests the first in order is the next row.
+    Rows are dealt to ranges of (id, text hash), so NULL ids or one repeated id fill as many ranges as they need; the
+    first row of a range also goes to the range before it as a guest (with its exact repeats, if any), so every task
+    finds all next rows in its own sorted stream and hardly a text moves twice.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    known = F.coalesce("id", F.lit("") if kind == "string" else F.lit(0).cast(kind))
+    rows = rows.select("id", "text", F.col("id").isNotNull().alias("has"), known.alias("known"), F.xxhash64("text").alias("th"))
     n = shuffle_partitions(spark)
-    found = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 1000 * n)).first()[0] or []
-    cuts = np.array(sorted(set(found)), np.int64)
+    slim = cut(rows.select("has", "known", "th"))
+    # Some SAMPLE_ROWS distinct keys of each range come to the driver to choose the bounds.
+    share = min(1.0, SAMPLE_ROWS * n / max(slim.count(), 1))
+    sample = slim.where(F.pmod(F.xxhash64("has", "known", "th", F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).distinct().collect()
+    keys = sorted(tuple(r) for r in sample)
+    cuts = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
 
     @F.pandas_udf("int")
-    def range_of(i: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, i.to_numpy(), "right"))
+    def range_of(has: pd.Series, i: pd.Series, th: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(cuts, k) for k in zip(has.tolist(), i.tolist(), th.tolist())], dtype="int32")
 
-    known = F.coalesce("id", F.lit(0))
-    ranged = rows.withColumn("part", F.when(F.col("id").isNull(), F.lit(0)).otherwise(range_of(known) + 1))
-    # One number per range comes to the driver and goes out again; NULL ids are a range of their own.
-    heads = {r["part"]: r["first"] for r in ranged.groupBy("part").agg(F.min("id").alias("first")).collect()}
+    # One key per range comes to the driver and goes out again.
+    heads = {r["part"]: tuple(r["first"]) for r in slim.withColumn("part", range_of("has", "known", "th")).groupBy("part").agg(F.min(F.struct("has", "known", "th")).alias("first")).collect()}
     parts = sorted(heads)
-    before = {p: parts[i - 1] for i, p in enumerate(parts)}
+    to_of = {heads[p]: parts[i - 1] for i, p in enumerate(parts)}
 
     @F.pandas_udf("int")
-    def guest_of(i: pd.Series, part: pd.Series) -> pd.Series:
-        return pd.Series([before[p] if p == 0 or heads[p] == x else None for x, p in zip(i, part)], dtype="Int32")
+    def guest_of(has: pd.Series, i: pd.Series, th: pd.Series) -> pd.Series:
+        return pd.Series([to_of.get(k) for k in zip(has.tolist(), i.tolist(), th.tolist())], dtype="Int32")
 
     own = F.struct(F.col("part").alias("to"), F.lit(0).alias("guest"))
     guest = F.col("guest_to")
     targets = F.array_compact(F.array(own, F.when(guest.isNotNull(), F.struct(guest.alias("to"), F.lit(1).alias("guest")))))
-    # Both Python functions see ids alone; texts stay in the JVM until they are parsed.
-    dealt = ranged.withColumn("guest_to", guest_of(known, "part")).select("id", "text", F.explode(targets).alias("t"))
+    # Both Python functions see keys alone; texts stay in the JVM until they are parsed.
+    dealt = rows.withColumns({"part": range_of("has", "known", "th"), "guest_to": guest_of("has", "known", "th")})
+    dealt = dealt.select("id", "text", "has", "known", "th", F.explode(targets).alias("t"))
     # One range, one partition: a hash of so few numbers would put several ranges together.
-    dealt = dealt.select("t.to", "t.guest", "id", "text").repartitionById(len(cuts) + 2, "to").sortWithinPartitions("to", "guest", "id", "text")
+    dealt = dealt.select("t.to", "t.guest", "id", "text", "has", "known", "th").repartitionById(len(cuts) + 1, "to").sortWithinPartitions("to", "guest", "has", "known", "th", "text").select("to", "guest", "id", "text")
     names = [id_col, *(f.split(" ")[0] for f in OUT.split(", "))]
 
     def run(batches):
@@ -180,12 +189,39 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
 
 
 def brute(rows: list[tuple]) -> dict:
-    """Results of (id, text) rows with distinct ids; for tests."""
+    """Results of (id, text) rows with distinct ids, phrase by phrase in plain Python; for tests."""
+    wide, narrow = (1 << 64) - 1, (1 << 32) - 1
+
+    def print_of(text: str) -> list[int]:
+        if not text:
+            return [0xFFFF] * 64
+        phrases, at = set(), 0
+        while at < len(text):
+            end = at + 1
+            while end <= len(text) and text[at:end] in phrases:
+                end += 1
+            if end > len(text):
+                break
+            phrases.add(text[at:end])
+            at = end
+        hashes = []
+        for p in phrases:
+            h = 0x243F6A8885A308D3
+            for c in p:
+                h = (h * 0x9E3779B97F4A7C15 + ord(c) + 1) & wide
+            for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ h >> 33) * factor & wide
+            hashes.append((h ^ h >> 33) & narrow)
+        slots = [min(int(t) * h + int(p) & narrow for h in hashes) for t, p in zip(_TIMES, _PLUS)]
+        return [(v * 0x9E3779B1 & narrow) >> 16 for v in slots]
+
     rows = sorted(rows)
     out = {}
+    hexed = lambda sig: "".join(f"{v:04x}" for v in sig)
+    alike = lambda x, y: sum(u == v for u, v in zip(x, y)) / 64
     for (i, t), (_, following) in zip(rows, rows[1:] + rows[:1]):
         t, following = t or "", following or ""
         edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
-        a, e, b = map(fingerprint, (t, edited, following))
-        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), text_of(a), text_of(e), likeness(a, e), likeness(a, b))
+        a, e, b = map(print_of, (t, edited, following))
+        out[i] = (len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(e), alike(a, e), alike(a, b))
     return out
