@@ -30,7 +30,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     word_distance, kept)`` per row.
 
     The references are the summed histograms of every document of a language that passes the base limits; NULL
-    is a language of its own. Where a text or its language's reference is below a length guard, the distance is
+    is a language of its own. Repeated windows within a text are told by 64-bit hashes of their words. Where a text or its language's reference is below a length guard, the distance is
     NULL and counts for nothing. NULL and empty texts have no words and fail the base limits. Repeated rows are
     judged alike and come back as often as they came. An empty table gives no rows.
     """

@@ -3,7 +3,9 @@
 A logistic model of text counts gives each document's evidence. Sites (``host``) and their sections (``path``
 within the site) get posterior means of that evidence: a section's mean is shrunk to its site's, a site's to the
 global mean, the more the fewer documents it has and the less sites differ. A document's quality adds to its own
-log odds the shift that its section's posterior makes against the global mean.
+log odds the shift that its section's posterior makes against the global mean. A section's mean contains the
+document's own evidence, once among all its documents', as a group mean does in empirical Bayes: for a section of one
+document the shrinkage leaves little of it.
 """
 
 from __future__ import annotations
@@ -51,10 +53,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, rounds: int
 
 
 def fit(profiled: DataFrame, labels: DataFrame, id_col: str = "doc_id", label: str = "quality", rows: int = FIT_ROWS) -> np.ndarray:
-    """Weights from a bounded sample of labelled rows; without two classes, the evidence is the share of good ones."""
-    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(id_col, F.col(label).alias("y"))
+    """Weights from a bounded sample of labelled rows; without two classes, the evidence is the share of good ones.
+
+    An id that is labelled both ways counts as 0; of rows that share an id, the one of smallest features is taken. So
+    the sample has ``rows`` rows at most, the same ones in every run.
+    """
+    known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(label).alias("y"))
     chosen = known.orderBy(F.xxhash64(id_col, F.lit("fit")), id_col).limit(rows)
-    sample = profiled.join(chosen, id_col).select(features().alias("x"), "y").limit(rows).collect()
+    sample = profiled.join(chosen, id_col).groupBy(id_col).agg(F.min(F.struct(features().alias("x"), "y")).alias("r")).orderBy(id_col).select("r.*").collect()
     x, y = np.array([r["x"] for r in sample], float).reshape(-1, FEATURES), np.array([r["y"] for r in sample], float)
     if len(set(y.tolist())) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
