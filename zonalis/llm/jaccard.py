@@ -4,8 +4,8 @@ Equal sets are one row throughout. Candidates come from two searches. SimHash fi
 anchor-point covering (operator 1), find the closest texts. Within 3 of 64 bits few texts of similarity 0.8 lie, so
 prefix tokens find the rest: sets of similarity ``least`` share a token within their first n - ceil(least n) + 1
 tokens of any common order; the order puts tokens that a sample shows to be frequent last. Sets that share a prefix
-token are compared by size, place of the token and a histogram of 128 bins, whose distance never exceeds the number
-of shingles in which two sets differ. None of these drops a similar pair.
+token are compared by size, place of the token and a histogram of their hashes, whose distance never exceeds the
+number of shingles in which two sets differ. None of these drops a similar pair.
 
 Candidates form families. The whole sets of a family then travel once to its task (a large family's blocks to one task
 for each pair of blocks), where products of membership matrices count the shingles that every two sets share. Tasks
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.llm.words import LOWER, HashCache, map_texts, rolling, split_words
@@ -36,8 +35,8 @@ BASE = 0x9E3779B97F4A7C15
 BLOCK, FAMILY, FAMILY_TOKENS = 1024, 1024, 1 << 20
 #: Share of sets whose tokens are counted for the order, and how often a frequent token stands there.
 SAMPLE, FREQUENT, MOST = 16, 4, 200_000
-#: Rows whose sets are to be compared, of 8 bytes each, go to every task up to so many.
-BROADCAST_ROWS = 500_000
+#: Keys of copies, or of rows whose sets are to be compared, of some 50 bytes each, go to every task up to so many.
+BROADCAST_ROWS = 200_000
 
 
 def shingles(text: str | None, size: int, cache: HashCache) -> np.ndarray:
@@ -82,16 +81,46 @@ def set_fingerprint(s: np.ndarray) -> int:
 
 
 def histogram(s: np.ndarray) -> bytes:
-    """Counts of 128 bins of the hashes, modulo 16, two to a byte."""
-    n = (np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 15).astype(np.uint8)
-    return (n[:64] | n[64:] << np.uint8(4)).tobytes()
-
-
-def least_difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A lower bound of the number of shingles in which two sets differ, from rows of their histograms."""
-    low = ((a & 15) - (b & 15)) & 15
-    high = ((a >> 4) - (b >> 4)) & 15
-    return np.minimum(low, 16 - low).sum(-1, dtype=np.int64) + np.minimum(high, 16 - high).sum(-1, dtype=np.int64)
+    """Counts of the hashes' low bits, modulo 16, two to a byte: 128 bins, or as many more as leave 8 hashes to a bin."""
+    bins = max(128, 1 << (max(len(s), 1) - 1 >> 3).bit_length())
+    n = (np.bincount((s & np.uint64(bins - 1)).astype(np.int64), minlength=bins) & 15).astype(np.uint8)
+    return (n[: bins // 2] | n[bins // 2 :] << np.uint8(4)).tobytes()
+
+
+class Histograms:
+    """Many sets' histograms; two are compared on the bins of the smaller one."""
+
+    def __init__(self, packed: list[bytes]):
+        sizes = np.array([len(p) for p in packed], np.int64)
+        self.size, self.place, self.rows = sizes, np.zeros(len(packed), np.int64), {}
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            half = np.frombuffer(b"".join([packed[i] for i in at.tolist()]), np.uint8).reshape(len(at), size)
+            self.rows[size] = np.concatenate([half & 15, half >> 4], axis=1)
+            self.place[at] = np.arange(len(at))
+
+    def _of(self, at: np.ndarray, size: int) -> np.ndarray:
+        out = np.empty((len(at), 2 * size), np.uint8)
+        for own in np.unique(self.size[at]).tolist():
+            mine = np.flatnonzero(self.size[at] == own)
+            rows = self.rows[own][self.place[at[mine]]]
+            while rows.shape[1] > 2 * size:
+                half = rows.shape[1] // 2
+                rows = rows[:, :half] + rows[:, half:] & 15
+            out[mine] = rows
+        return out
+
+    def least_difference(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """A lower bound of the number of hashes in which the sets of rows a and b differ."""
+        out = np.zeros(len(a), np.int64)
+        smaller = np.minimum(self.size[a], self.size[b])
+        for size in np.unique(smaller).tolist():
+            at = np.flatnonzero(smaller == size)
+            for i in range(0, len(at), 20_000):
+                part = at[i : i + 20_000]
+                d = self._of(a[part], size) - self._of(b[part], size) & 15
+                out[part] = np.minimum(d, 16 - d).sum(-1, dtype=np.int64)
+        return out
 
 
 def sketches(keyed: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
@@ -120,13 +149,27 @@ def sketches(keyed: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -
     return map_texts(keyed.select("key", "text"), one, f"key {kind}, sig bigint, n int, fp bigint, bins binary, prefix array<bigint>")
 
 
-def _buckets(sets: DataFrame, least: float) -> DataFrame:
-    """``(h, sig, n, pos, size)``: prefix tokens that ``size`` > 1 sets share, without sets that no other is near in size."""
-    w = W.partitionBy("h").orderBy("n", "sig")
-    rows = sets.select("sig", "n", F.posexplode("prefix").alias("pos", "h"))
-    rows = rows.withColumns({"size": F.count("*").over(W.partitionBy("h")), "low": F.lag("n").over(w), "high": F.lead("n").over(w)})
-    near = (F.col("low") >= least * F.col("n") - 1e-9) | (F.col("n") >= least * F.col("high") - 1e-9)
-    return rows.where(near).select("h", "sig", "n", "pos", "size")
+def _buckets(sets: DataFrame) -> DataFrame:
+    """``(h, sig, pos, size)``: prefix tokens, by 48 bits of them, that ``size`` > 1 sets share.
+
+    Most tokens have one set and go where they arrive, so what travels is no more than token, place and set.
+    """
+    rows = sets.select("sig", F.posexplode("prefix").alias("pos", "h"))
+    place = F.shiftleft(F.shiftrightunsigned("h", 16), 16).bitwiseOR(F.least("pos", F.lit(65_535)).cast("bigint"))
+    rows = rows.select(place.alias("a"), "sig").repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a")
+
+    def run(batches):
+        for table in _cells(batches, 200_000, lambda b: b.num_rows, lambda a: a.view(np.uint64) >> np.uint64(16)):
+            a = table.column("a").to_numpy().view(np.uint64)
+            starts = _starts(a >> np.uint64(16))
+            size = np.repeat(np.diff(starts), np.diff(starts))
+            at = np.flatnonzero(size > 1)
+            if len(at):
+                columns = [(a >> np.uint64(16))[at].view(np.int64), table.column("sig").to_numpy()[at], (a & np.uint64(65_535))[at].astype(np.int32), size[at].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sig", "pos", "size"])
+
+    # Negative numbers sort before positive ones, but the sets of a token stay together.
+    return rows.mapInArrow(run, "h bigint, sig bigint, pos int, size bigint")
 
 
 def _grid(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
@@ -141,8 +184,8 @@ def _grid(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     return dealt.withColumn("cell", cell).drop("__own", "__other").repartition("cell").sortWithinPartitions("cell")
 
 
-def _cells(batches: Iterator[pa.RecordBatch], most: int, weight: Callable[[pa.RecordBatch], int]) -> Iterator[pa.Table]:
-    """Tables of whole cells (the first column, sorted), closed once they weigh ``most``."""
+def _cells(batches: Iterator[pa.RecordBatch], most: int, weight: Callable[[pa.RecordBatch], int], cell_of: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> Iterator[pa.Table]:
+    """Tables of whole cells, which the sorted first column tells, closed once they weigh ``most``."""
     held: list[pa.RecordBatch] = []
     total = 0
     for batch in batches:
@@ -152,8 +195,8 @@ def _cells(batches: Iterator[pa.RecordBatch], most: int, weight: Callable[[pa.Re
             if total < most:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            cell = table.column(0).to_numpy()
-            whole = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on in the next batch
+            cell = cell_of(table.column(0).to_numpy())
+            whole = int(_starts(cell)[-2])  # the last cell may go on in the next batch
             if whole:
                 yield table.slice(0, whole)
                 table = table.slice(whole)
@@ -198,20 +241,20 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends[moved], ends[root[moved]]
 
 
-def _may_be_similar(n: np.ndarray, pos: np.ndarray, bins: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+def _may_be_similar(n: np.ndarray, pos: np.ndarray, bins: Histograms, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     """Which of the rows a, b can have the similarity, by length, position and histogram filter."""
     both = n[a] + n[b]
     fits = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
     fits &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least / (1 + least) * both - 1e-9
     at = np.flatnonzero(fits)
-    fits[at] = least_difference(bins[a[at]], bins[b[at]]) <= (1 - least) / (1 + least) * both[at] + 1e-9
+    fits[at] = bins.least_difference(a[at], b[at]) <= (1 - least) / (1 + least) * both[at] + 1e-9
     return fits
 
 
 def _bucket_edges(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of rows that share a prefix token and may be similar, at least a forest of each bucket's."""
     cell, sig, n, pos = (table.column(c).to_numpy() for c in ("cell", "sig", "n", "pos"))
-    bins = np.frombuffer(b"".join(table.column("bins").to_pylist()), np.uint8).reshape(-1, 64)
+    bins = Histograms(table.column("bins").to_pylist())
     starts = _starts(cell)
     size = np.diff(starts)
     out_a, out_b = [sig[:0]], [sig[:0]]
@@ -275,15 +318,18 @@ def _similar_edges(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _families(sets: DataFrame, least: float) -> DataFrame:
-    """``(sig, family)`` of the sets that may be similar to another; similar sets are of one family."""
+def _families(one: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``(sig, family)`` of the sets that may be similar to another; similar sets are of one family.
+
+    ``one(sig, fp)``, ``sets(sig, n, bins, prefix)``, either a row for each set.
+    """
     from zonalis.llm.simhash import links
 
-    low = cut(sets.groupBy("fp").agg(F.min("sig").alias("low")))
-    same = sets.join(low, "fp").where("sig <> low").select(F.col("sig").alias("src"), F.col("low").alias("dst"))
+    low = cut(one.groupBy("fp").agg(F.min("sig").alias("low")))
+    same = one.join(low, "fp").where("sig <> low").select(F.col("sig").alias("src"), F.col("low").alias("dst"))
     ends = lambda c: low.select(F.col("fp").alias(c), F.col("low").alias("__" + c))
     close = links(low.select("fp")).join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"))
-    rows = _buckets(sets, least).join(sets.select("sig", "bins"), "sig").select("h", "sig", "n", "pos", "bins", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    rows = _buckets(sets).join(sets.select("sig", "n", "bins"), "sig").select("h", "sig", "n", "pos", "bins", F.ceil(F.col("size") / BLOCK).alias("blocks"))
     dealt = _grid(rows, "h", F.col("blocks")).select("cell", "sig", "n", "pos", "bins")
     bucketed = dealt.mapInArrow(lambda batches: _forests(batches, 100_000, lambda b: b.num_rows, lambda t: _bucket_edges(t, least)), "src bigint, dst bigint")
     return connected_components(same.unionByName(close).unionByName(bucketed)).withColumnsRenamed({"node": "sig", "component": "family"})
@@ -292,19 +338,20 @@ def _families(sets: DataFrame, least: float) -> DataFrame:
 def components(keyed: DataFrame, sets: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -> DataFrame:
     """``(sig, component)`` of the sets that a similarity of ``least`` links to another one.
 
-    ``keyed(key, text)`` with a ``row`` number in the key, ``sets`` from sketches(). The whole sets of families are made
-    again from their texts.
+    ``keyed(key, text)``, ``sets`` from sketches(). The whole sets of families are made again from their texts.
     """
-    one = cut(sets.groupBy("sig").agg(*[F.min_by(c, "key").alias(c) for c in ("n", "fp", "bins", "prefix")], F.min("key").alias("key")))
-    families = cut(_families(one.where("n > 0"), least))
+    one = cut(sets.where("n > 0").groupBy("sig").agg(F.min("key").alias("key"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    # The first row of each set carries its prefix; the others, which exact copies make, are left out by their keys.
+    others = sets.where("n > 0").select("sig", "key").join(one.select("sig", F.col("key").alias("first")), "sig").where("key <> first").select(F.col("key").alias("other"))
+    first = sets.where("n > 0").join(broadcast_if_small(cut(others), BROADCAST_ROWS), F.col("key") == F.col("other"), "left_anti")
+    families = cut(_families(one.select("sig", "fp"), first.select("sig", "n", "bins", "prefix"), least))
     used = families.join(one.select("sig", "n", "key"), "sig")
-    weights = families.join(one.select("sig", "n"), "sig").groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
+    weights = used.groupBy("family").agg(F.count("*").alias("rows"), F.sum("n").alias("tokens"))
     blocks = F.ceil(F.greatest(F.col("rows") / FAMILY, F.col("tokens") / FAMILY_TOKENS)).cast("bigint")
-    used = cut(used.join(weights.select("family", blocks.alias("blocks")), "family").select("sig", "family", "blocks", "key"))
-    rows = broadcast_if_small(used.select(F.col("key.row").alias("__row")).distinct(), BROADCAST_ROWS)
-    texts = keyed.join(rows, F.col("key.row") == F.col("__row"), "left_semi")
-    held = _token_sets(texts, ["key"], size).join(used, "key").dropDuplicates(["sig"])
-    dealt = _grid(held.select("sig", "family", "blocks", "tokens"), "family", F.col("blocks")).select("cell", "sig", "tokens")
+    used = cut(used.join(weights.select("family", blocks.alias("blocks")), "family").select("sig", "family", "blocks", F.col("key").alias("wanted")))
+    texts = keyed.join(broadcast_if_small(used, BROADCAST_ROWS), F.col("key") == F.col("wanted")).select("sig", "family", "blocks", "text")
+    held = _token_sets(texts, ["sig", "family", "blocks"], size)
+    dealt = _grid(held, "family", F.col("blocks")).select("cell", "sig", "tokens")
     weight = lambda b: len(b.column(2).flatten())
     similar = dealt.mapInArrow(lambda batches: _forests(batches, 2 * FAMILY_TOKENS, weight, lambda t: _similar_edges(t, least)), "src bigint, dst bigint")
     return connected_components(similar).withColumnRenamed("node", "sig")
