@@ -11,6 +11,8 @@ from zonalis.functions import geometry as G
 from zonalis.functions.keys import CODE
 
 ROWS = "check string, level string, detail string, n bigint"
+#: Kinds of map layers.
+LAYER_KINDS = ("choropleth", "polygon", "point", "line")
 TYPES = ("numeric", "ordinal", "categorical")
 
 
@@ -83,9 +85,10 @@ def feature_faults(df: DataFrame, allowed: Sequence[str], box: tuple[float, floa
 
 
 def layer_faults(layers: DataFrame) -> DataFrame:
-    """Colours against breaks, rising stops, hex colours, ordinals without stops (Q8).
+    """Required keys, colours against breaks, rising stops, hex colours, ordinals without stops, bare ranks (Q8).
 
-    ``layers(layer, type, breaks array<double>, colors array<string>, stops array<double>)``.
+    ``layers(layer, type, breaks array<double>, colors array<string>, stops array<double>)``, and, where they exist,
+    ``label, group, kind`` (one of LAYER_KINDS), ``ranked, band, note``.
     """
     rising = F.forall(F.zip_with(F.slice("stops", 1, F.greatest(F.size("stops") - 1, F.lit(0))), F.slice("stops", 2, F.greatest(F.size("stops") - 1, F.lit(0))), lambda a, b: a < b), lambda ok: ok)
     checks = [
@@ -95,6 +98,11 @@ def layer_faults(layers: DataFrame) -> DataFrame:
         ("not_hex", F.exists("colors", lambda c: ~c.rlike("^#[0-9A-Fa-f]{6}$"))),
         ("ordinal_without_stops", (F.col("type") == "ordinal") & F.col("stops").isNull()),
     ]
+    checks += [(f"no_{c}", F.col(c).isNull()) for c in ("label", "group", "kind") if c in layers.columns]
+    if "kind" in layers.columns:
+        checks.append(("bad_kind", ~F.col("kind").isin(*LAYER_KINDS)))
+    if "ranked" in layers.columns:
+        checks.append(("bare_rank", F.col("ranked") & F.col("band").isNull() & F.col("note").isNull()))
     names = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks]))
     return layers.select(F.explode(names).alias("check"), F.lit("error").alias("level"), F.coalesce("layer", F.lit("")).alias("detail"), F.lit(1).cast("bigint").alias("n"))
 

@@ -7,11 +7,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions import keys as K
+
 
 def wide_join(base: DataFrame, tables: Sequence[DataFrame], key: str = "code", numeric: Mapping[str, str] | None = None) -> DataFrame:
     """Left-joins every table into the base; a later table's column wins over an earlier one of the same name.
 
-    Declared numerics are rounded to four decimals as published. Small tables are broadcast by Spark's own size
+    Declared numerics are rounded to four decimals as published; text that is no number becomes NULL (K23). Small tables are broadcast by Spark's own size
     check; the rest share the base's partitioning by key, so the base is shuffled once.
     """
     out = base
@@ -19,7 +21,7 @@ def wide_join(base: DataFrame, tables: Sequence[DataFrame], key: str = "code", n
         clash = [c for c in table.columns if c in out.columns and c != key]
         out = out.drop(*clash).join(table, key, "left")
     for column in numeric or ():
-        out = out.withColumn(column, F.bround(F.col(column).cast("double"), 4))
+        out = out.withColumn(column, K.declared_number(F.col(column).cast("string")))
     return out
 
 
@@ -73,6 +75,19 @@ def sample_cells(points: DataFrame, cells: DataFrame, x0: float, y0: float, dx:
     return placed.join(cells, ["row", "col"], "left")
 
 
+def sample_tiles(points: DataFrame, tiles: DataFrame, per_side: int) -> DataFrame:
+    """Value of the pixel under each point in one-degree tiles, NULL where a tile is missing.
+
+    ``points(lon, lat, ...)``, ``tiles(tile, row, col, value)`` with rows from the north and columns from the west,
+    ``per_side`` of each. A point on a tile's far edge takes the edge pixel. Points and pixels meet on (tile, row, col).
+    """
+    clip = lambda v: F.greatest(F.least(v, F.lit(per_side - 1)), F.lit(0)).cast("int")
+    row = clip(F.floor((F.floor("lat") + 1 - F.col("lat")) * per_side))
+    col = clip(F.floor((F.col("lon") - F.floor("lon")) * per_side))
+    placed = points.withColumns({"tile": K.tile_key(F.col("lon"), F.col("lat")), "row": row, "col": col})
+    return placed.join(tiles, ["tile", "row", "col"], "left")
+
+
 def fallback(columns: Mapping[str, Column]) -> tuple[Column, Column]:
     """First value present and the name of its method."""
     value = F.coalesce(*columns.values())

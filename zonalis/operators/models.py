@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.operators.ranking import average_rank, with_ranks
+from zonalis.operators.ranking import average_rank, distributed_row_number, with_ranks
 from zonalis.operators.spatial import pairs_within
 from zonalis.runtime import cut
 
@@ -98,9 +98,10 @@ def auc(df: DataFrame, score: str, hit: str) -> DataFrame:
 
 def top_capture(df: DataFrame, score: str, count: str, key: str, share: float = 0.1) -> DataFrame:
     """Share of all counts among the top rows by score; one row."""
-    n = df.count()
-    top = df.orderBy(F.col(score).desc(), key).limit(max(1, round(n * share))).agg(F.sum(count).alias("__t"))
-    return df.agg(F.sum(count).alias("__a")).crossJoin(top).select(F.try_divide("__t", "__a").alias("capture"))
+    rows = distributed_row_number(df.select(score, count, key), [F.col(score).desc(), F.col(key)], "__rn")
+    most = F.greatest(F.lit(1), F.rint(F.col("__n") * share))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.count("*").alias("__n"))))
+    return rows.agg(F.try_divide(F.sum(F.when(F.col("__rn") <= most, F.col(count))), F.sum(count)).alias("capture"))
 
 
 def _ols(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple[Column, Column]:

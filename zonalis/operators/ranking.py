@@ -48,6 +48,40 @@ def value_ranks(df: DataFrame, column: str) -> DataFrame:
     return out.select("value", "cnt", (F.col("__in") + F.col("__before")).alias("before"), "total")
 
 
+def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """``(column, n, lo, hi, q)`` of each numeric column that has a value: ``q`` are its exact quantiles, interpolated.
+
+    Distinct values are counted, dealt to ranges of (column, value) and numbered there, so no task holds a column's
+    values and nothing grows with them but the ranges.
+    """
+    spark = df.sparkSession
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(F.explode(cells).alias("c")).select("c.*").where("value is not null")
+    counts = long.groupBy("column", "value").agg(F.count("*").alias("cnt"))
+    ranged = cut(counts.repartitionByRange(shuffle_partitions(spark), "column", "value").withColumn("__part", F.spark_partition_id()))
+    over = W.partitionBy("__part", "column").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
+    within = ranged.withColumn("__in", F.coalesce(F.sum("cnt").over(over), F.lit(0)))
+    # One row per column and partition at most.
+    sums = ranged.groupBy("column", "__part").agg(F.sum("cnt").alias("__n"))
+    earlier = F.coalesce(F.sum("__n").over(W.partitionBy("column").orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.withColumns({"__before": earlier, "__total": F.sum("__n").over(W.partitionBy("column"))}).drop("__n")
+    placed = within.join(F.broadcast(sums), ["column", "__part"]).withColumn("__at", F.col("__in") + F.col("__before"))
+    picks = []
+    for share in shares:
+        place = F.lit(float(share)) * (F.col("__total") - 1)
+        for end in (F.floor(place), F.ceil(place)):
+            picks.append(F.max(F.when((F.col("__at") <= end) & (end < F.col("__at") + F.col("cnt")), F.col("value"))))
+    names = [f"__q{i}" for i in range(len(picks))]
+    row = placed.groupBy("column").agg(F.sum("cnt").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"), *[p.alias(n) for p, n in zip(picks, names)])
+
+    def at(i: int) -> Column:
+        place = F.lit(float(shares[i])) * (F.col("n") - 1)
+        low, high = F.col(names[2 * i]), F.col(names[2 * i + 1])
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return row.select("column", "n", "lo", "hi", F.array(*[at(i) for i in range(len(shares))]).alias("q"))
+
+
 def with_ranks(df: DataFrame, column: str, **rules: Column) -> DataFrame:
     """Adds rank columns computed from ``cnt``, ``before`` and ``total``; NULL values have NULL ranks."""
     ranks = value_ranks(df, column).withColumnRenamed("value", "__value")
