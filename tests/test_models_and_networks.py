@@ -11,7 +11,7 @@ from zonalis.operators import network as N
 from zonalis.operators import spatial as S
 from zonalis.operators.graph_components import connected_components
 from zonalis.operators.stats import local_correlation
-from zonalis.operators.thinning import keep_mask
+from zonalis.operators.thinning import keep_mask, thinned
 
 
 def test_poisson_fit(spark):
@@ -110,6 +110,37 @@ def test_thinning():
     assert keep_mask(x, y, 0.5)[50] and keep_mask(x, y, 0.5).sum() == 5
 
 
+@pytest.mark.parametrize("part", [5, 60, 100_000])
+def test_long_lines_are_thinned_like_short_ones(spark, part):
+    rng = np.random.default_rng(8)
+    lines = {n: (np.cumsum(rng.uniform(0, 2, size)), np.cumsum(rng.normal(size=size))) for n, size in (("a", 300), ("b", 40), ("c", 2), ("d", 1))}
+    df = spark.createDataFrame([(n, i, float(a), float(b)) for n, (x, y) in lines.items() for i, (a, b) in enumerate(zip(x, y))], "line string, pos int, x double, y double")
+    got = {(r["line"], r["pos"]) for r in thinned(df.repartition(3), 1.5, part).collect()}
+    assert got == {(n, int(i)) for n, (x, y) in lines.items() for i in (np.flatnonzero(keep_mask(x, y, 1.5)) if len(x) > 1 else [0])}
+    assert thinned(df.where("pos < 0"), 1.5).count() == 0
+
+
+def test_close_cuts_are_one_node(spark):
+    cuts = spark.createDataFrame([(1, 0.0, "A"), (1, 0.3, "B"), (1, 0.6, "C"), (1, 10.0, "D")], "lid int, s double, node string")
+    speeds = spark.createDataFrame([(1, 36.0, False)], "lid int, kmh double, lgv boolean")
+    assert [(r["src"], r["dst"], round(r["length"], 6), round(r["seconds"], 6)) for r in N.cut_edges(cuts, speeds).collect()] == [("A", "D", 9.4, 0.94)]
+
+
+def test_points_skip_their_own_line(spark):
+    lines = spark.createDataFrame([("a", 0.0, 0.0, 10.0, 0.0, True), ("b", 0.0, 1.0, 10.0, 1.0, False), ("c", 0.0, 2.0, 10.0, 2.0, False), ("d", 0.0, 2.1, 10.0, 2.1, True)], "lid string, x0 double, y0 double, x1 double, y1 double, lgv boolean")
+    ends = spark.createDataFrame([(1, 5.0, 0.0, "a")], "pid int, x double, y double, own string")
+    assert [(r["lid"], r["away"]) for r in N.snapped_points(ends, lines, 3.0).collect()] == [("b", 1.0)]
+    stop = spark.createDataFrame([(1, 5.0, 0.4)], "pid int, x double, y double")
+    assert {(r["lid"], r["home"]) for r in N.station_lines(stop, lines, 3.0, 0.5).collect()} == {("a", True), ("b", False)}
+    assert {r["lid"] for r in N.station_lines(stop, lines, 3.0, 2.0).collect()} == {"a", "b", "c"}
+
+
+def test_negative_seconds_are_an_error(spark):
+    edges = spark.createDataFrame([(1, 2, 1, -1.0, False, 1.0)], "src int, dst int, piece int, seconds double, lgv boolean, length double")
+    with pytest.raises(ValueError, match="less than no time"):
+        N.quickest(edges, spark.createDataFrame([(1,)], "source int"))
+
+
 def test_unconverged_fit_is_an_error(spark):
     df = spark.createDataFrame([(1.0, 1.0, 1.0), (2.0, 5.0, 1.0)], "a double, y double, e double")
     with pytest.raises(ValueError):

@@ -16,13 +16,16 @@ def merged_nodes(unions: DataFrame) -> DataFrame:
     return connected_components(unions, "a", "b")
 
 
-def snapped_points(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
-    """Nearest line within ``limit`` of each point and the distance along it (R2).
+def nearby_lines(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
+    """``(pid, lid, away, along, px, py)``: every line within ``limit`` of each point, and its place nearest to it.
 
-    ``points(pid, x, y)``, ``lines(lid, x0, y0, x1, y1)``: straight pieces. Each piece goes to the cells of its box
-    widened by the limit; a point looks in its own cell.
+    ``points(pid, x, y)``, with ``own`` naming a line to skip; ``lines(lid, x0, y0, x1, y1)``: straight pieces, with
+    ``s0`` the piece's start along its line. Each piece goes to the cells of its box widened by the limit; a point
+    looks in its own cell.
     """
     size = limit * 4
+    if "s0" not in lines.columns:
+        lines = lines.withColumn("s0", F.lit(0.0))
     low = lambda a, b: F.floor((F.least(a, b) - limit) / size)
     high = lambda a, b: F.floor((F.greatest(a, b) + limit) / size)
     boxed = lines.withColumn("cx", F.explode(F.sequence(low("x0", "x1"), high("x0", "x1")))).withColumn("cy", F.explode(F.sequence(low("y0", "y1"), high("y0", "y1"))))
@@ -31,47 +34,119 @@ def snapped_points(points: DataFrame, lines: DataFrame, limit: float) -> DataFra
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.least(F.greatest(((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
     near = placed.join(boxed, ["cx", "cy"]).withColumn("t", t)
-    away = F.hypot(F.col("x") - (F.col("x0") + F.col("t") * dx), F.col("y") - (F.col("y0") + F.col("t") * dy))
-    near = near.withColumns({"away": away, "along": F.col("t") * F.sqrt(square)}).where(F.col("away") <= limit)
-    return near.groupBy("pid").agg(F.min(F.struct("away", "lid", "along")).alias("m")).select("pid", "m.lid", "m.away", "m.along")
+    if "own" in points.columns:
+        near = near.where(~F.col("lid").eqNullSafe(F.col("own")))
+    near = near.withColumns({"px": F.col("x0") + F.col("t") * dx, "py": F.col("y0") + F.col("t") * dy, "along": F.col("s0") + F.col("t") * F.sqrt(square)})
+    near = near.withColumn("away", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("away") <= limit)
+    return near.groupBy("pid", "lid").agg(F.min(F.struct("away", "along", "px", "py")).alias("m")).select("pid", "lid", "m.*")
+
+
+def snapped_points(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
+    """The nearest of nearby_lines() of each point, ties to the smaller line (R2)."""
+    near = nearby_lines(points, lines, limit)
+    return near.groupBy("pid").agg(F.min(F.struct("away", "lid", "along", "px", "py")).alias("m")).select("pid", "m.lid", "m.away", "m.along", "m.px", "m.py")
+
+
+def station_lines(stops: DataFrame, lines: DataFrame, limit: float, extra: float) -> DataFrame:
+    """``(pid, lid, away, along, px, py, home)``: a stop's nearest line (``home``) and every classic line at most
+    ``extra`` farther away than that (R2). ``lines`` carry ``lgv``; a passing high-speed line is only joined as home.
+    """
+    near = nearby_lines(stops, lines, limit)
+    home = near.groupBy("pid").agg(F.min(F.struct("away", "lid")).alias("h"))
+    kind = lines.groupBy("lid").agg(F.bool_or("lgv").alias("lgv"))
+    both = near.join(home, "pid").join(kind, "lid").withColumn("home", F.col("lid") == F.col("h.lid"))
+    kept = both.where(F.col("home") | ((F.col("away") <= F.col("h.away") + extra) & ~F.coalesce("lgv", F.lit(False))))
+    return kept.select("pid", "lid", "away", "along", "px", "py", "home")
+
+
+def close_cuts(cuts: DataFrame, merge: float = 0.5) -> DataFrame:
+    """``(a, b)``: nodes of neighbouring cuts of a line closer than ``merge``, which are one."""
+    return _pieces(cuts).where(F.col("length") < merge).select(F.col("node").alias("a"), F.col("dst").alias("b"))
+
+
+def _pieces(cuts: DataFrame) -> DataFrame:
+    w = W.partitionBy("lid").orderBy("s", "node")
+    rows = cuts.withColumns({"to_s": F.lead("s").over(w), "dst": F.lead("node").over(w)}).where("to_s is not null")
+    return rows.withColumn("length", F.col("to_s") - F.col("s"))
+
 
+def united(nodes: DataFrame, column: str, merged: DataFrame) -> DataFrame:
+    """``nodes`` with ``column`` replaced by its junction in ``merged(node, component)``, where it has one."""
+    names = merged.select(F.col("node").alias("__n"), "component")
+    return nodes.join(names, F.col(column) == F.col("__n"), "left").withColumn(column, F.coalesce("component", column)).drop("__n", "component")
 
-def cut_edges(cuts: DataFrame, speeds: DataFrame, default: float = 80.0, merge: float = 0.5) -> DataFrame:
+
+def cut_edges(cuts: DataFrame, speeds: DataFrame, default: float = 80.0, merge: float = 0.5, merged: DataFrame | None = None) -> DataFrame:
     """Edges between consecutive cut positions of each line with travel seconds.
 
-    ``cuts(lid, s, node)``, ``speeds(lid, kmh, lgv)``. Cuts closer than ``merge`` fall together.
+    ``cuts(lid, s, node)``, ``speeds(lid, kmh, lgv)``. Nodes of cuts closer than ``merge`` to the one before are united
+    and have no edge between them, so every node stays on the network under its junction's name; ``merged`` may give
+    the junctions, close_cuts() among them.
     """
-    w = W.partitionBy("lid").orderBy("s")
-    kept = cuts.withColumn("__b", F.lag("s").over(w)).where("__b is null or s - __b >= " + str(merge)).drop("__b")
-    pieces = kept.withColumns({"to_s": F.lead("s").over(w), "dst": F.lead("node").over(w)}).where("to_s is not null")
-    joined = pieces.join(speeds, "lid", "left").withColumn("length", F.col("to_s") - F.col("s"))
+    if merged is None:
+        merged = merged_nodes(close_cuts(cuts, merge))
+    joined = _pieces(cuts).where(F.col("length") >= merge).join(speeds, "lid", "left")
     seconds = F.col("length") / (F.coalesce("kmh", F.lit(default)) / 3.6)
-    return joined.select("lid", F.col("node").alias("src"), "dst", "length", seconds.alias("seconds"), F.coalesce("lgv", F.lit(False)).alias("lgv"))
+    rows = joined.select("lid", "s", F.col("node").alias("src"), "dst", "length", seconds.alias("seconds"), F.coalesce("lgv", F.lit(False)).alias("lgv"))
+    return united(united(rows, "src", merged), "dst", merged)
+
+
+def grid_node(x: Column, y: Column) -> Column:
+    """Name of the metre square that a node lies in."""
+    return F.concat_ws(":", F.rint(x).cast("bigint").cast("string"), F.rint(y).cast("bigint").cast("string"))
 
 
-def quickest(edges: DataFrame, sources: DataFrame, penalty: float = 1.0, rounds: int = 10_000) -> DataFrame:
+def track_graph(lines: DataFrame, stops: DataFrame, speeds: DataFrame, junction: float, station: float, extra: float, default: float = 80.0) -> tuple[DataFrame, DataFrame]:
+    """``(edges, at)``: the network cut at every junction and stop, and ``(stop, node)`` of the stops on it.
+
+    ``lines(lid, x0, y0, x1, y1, s0, lgv)`` in metres, ``stops(pid, x, y)``, ``speeds(lid, kmh, lgv)``. A line's ends
+    join the nearest other line within ``junction``; a stop joins those of station_lines().
+    """
+    first = F.min_by(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y"), F.col("s0").alias("s")), "s0")
+    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    last = F.max_by(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), (F.col("s0") + length).alias("s")), "s0")
+    ends = lines.groupBy("lid").agg(F.array(first, last).alias("e")).select("lid", F.posexplode("e").alias("side", "p"))
+    ends = cut(ends.select(F.struct("lid", "side").alias("pid"), F.col("lid").alias("own"), "p.x", "p.y", "p.s"))
+    loose = cut(snapped_points(ends.select("pid", "x", "y", "own"), lines, junction).select("pid", "lid", F.col("along").alias("s"), grid_node(F.col("px"), F.col("py")).alias("node")))
+    near = station_lines(stops, lines, station, extra)
+    near = cut(near.select("pid", "lid", F.col("along").alias("s"), grid_node(F.col("px"), F.col("py")).alias("node"), "home"))
+    here = ends.select("pid", "own", "s", grid_node(F.col("x"), F.col("y")).alias("end"))
+    cuts = here.select(F.col("own").alias("lid"), "s", F.col("end").alias("node")).unionByName(loose.select("lid", "s", "node")).unionByName(near.select("lid", "s", "node"))
+    cuts = cut(cuts.dropDuplicates(["lid", "s", "node"]))
+    home = near.where("home").select("pid", F.col("node").alias("home_node"))
+    unions = loose.join(here, "pid").select(F.col("end").alias("a"), F.col("node").alias("b"))
+    unions = unions.unionByName(near.where("not home").join(home, "pid").select(F.col("node").alias("a"), F.col("home_node").alias("b")))
+    merged = cut(merged_nodes(unions.unionByName(close_cuts(cuts))))
+    edges = cut_edges(cuts, speeds, default, merged=merged).withColumn("piece", F.pmod(F.xxhash64("lid", "s"), F.lit(1 << 62)))
+    at = united(home.select(F.col("pid").alias("stop"), F.col("home_node").alias("node")), "node", merged)
+    return cut(edges), at
+
+
+def quickest(edges: DataFrame, sources: DataFrame, penalty: float = 1.0) -> DataFrame:
     """``(source, node, cost, metres, path)``: quickest way from every source over undirected edges.
 
     ``edges(src, dst, piece, seconds, lgv, length)``, ``sources(source)``. All sources relax at once; only nodes that
-    got quicker in a round spread in the next, until none does. Ties go to the shorter list of pieces.
+    got quicker in a round spread in the next, until none does, which takes as many rounds as the quickest way of most
+    pieces has. Ties go to the shorter list of pieces. Negative seconds are an error, since rounds might never end.
     """
     cost = F.col("seconds") * F.when(F.col("lgv"), F.lit(penalty)).otherwise(F.lit(1.0))
     one_way = edges.select("src", "dst", "piece", cost.alias("w"), "length")
     both = cut(one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "piece", "w", "length")))
+    if not both.where("w < 0").isEmpty():
+        raise ValueError("an edge takes less than no time")
     none = F.array().cast("array<bigint>")
-    best = cut(sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0.0).alias("metres"), none.alias("path")))
-    front = best
-    for _ in range(rounds):
-        step = front.join(both, front["node"] == both["src"]).select(
-            "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("metres") + F.col("length")).alias("metres"), F.array_append("path", F.col("piece").cast("bigint")).alias("path"))
-        order = F.struct("cost", F.size("path").alias("n"), "path", "metres")
-        step = step.groupBy("source", "node").agg(F.min(order).alias("m")).select("source", "node", F.col("m.cost").alias("new"), "m.metres", "m.path")
-        old = best.select("source", "node", F.col("cost").alias("old"))
-        front = cut(step.join(old, ["source", "node"], "left").where("old is null or new < old").select("source", "node", F.col("new").alias("cost"), "metres", "path"))
+    start = sources.select("source", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("n"), none.alias("path"), F.lit(0.0).alias("metres"), F.lit(True).alias("fresh"))
+    best = cut(start)
+    order = F.struct("cost", "n", "path", "metres", "fresh")
+    while True:
+        front = best.where("fresh")
         if front.isEmpty():
-            break
-        best = cut(best.join(front, ["source", "node"], "left_anti").unionByName(front))
-    return best
+            return best.select("source", "node", "cost", "metres", "path")
+        step = front.join(both, front["node"] == both["src"]).select(
+            "source", F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("n") + 1).alias("n"), F.array_append("path", F.col("piece").cast("bigint")).alias("path"),
+            (F.col("metres") + F.col("length")).alias("metres"), F.lit(True).alias("fresh"))
+        every = best.withColumn("fresh", F.lit(False)).unionByName(step)
+        best = cut(every.groupBy("source", "node").agg(F.min(order).alias("m")).select("source", "node", "m.*"))
 
 
 def judged_hops(hops: DataFrame, routes: DataFrame, detour: float = 2.5, slack: float = 20_000.0) -> DataFrame:
@@ -85,6 +160,34 @@ def judged_hops(hops: DataFrame, routes: DataFrame, detour: float = 2.5, slack:
     return joined.withColumn("straight", reason)
 
 
+def routed_hops(edges: DataFrame, calls: DataFrame, stops: DataFrame, fast: str, car: str, penalty: float = 4.0) -> DataFrame:
+    """Hops between consecutive stops of all trips but ``car``, along the track.
+
+    ``calls(trip, product, pos, stop)``, ``stops(stop, node, x, y)``. Trips of product ``fast`` take high-speed track
+    as it is, the others pay the penalty. ``numbers`` are the pieces of the way as renumbered by used_pieces().
+    """
+    w = W.partitionBy("trip").orderBy("pos")
+    group = F.when(F.col("product") == fast, "fast").otherwise("rail")
+    pairs = calls.where(F.col("product") != car).select(group.alias("grp"), "stop", F.lead("stop").over(w).alias("to")).where("to <> stop")
+    pairs = pairs.select("grp", F.least("stop", "to").alias("a"), F.greatest("stop", "to").alias("b")).distinct()
+    here = stops.select(F.col("stop").alias("a"), F.col("node").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    there = stops.select(F.col("stop").alias("b"), "node", F.col("x").alias("bx"), F.col("y").alias("by"))
+    hops = pairs.join(here, "a", "left").join(there, "b", "left").withColumn("crow", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    hops = cut(hops.select("grp", "a", "b", "source", "node", "crow"))
+    judged = None
+    for name, factor in (("fast", 1.0), ("rail", penalty)):
+        mine = hops.where(F.col("grp") == name)
+        part = judged_hops(mine, quickest(edges, mine.select("source").where("source is not null").distinct(), factor))
+        judged = part if judged is None else judged.unionByName(part)
+    off = F.when(F.col("source").isNull() | F.col("node").isNull(), F.lit("stop off the network"))
+    judged = cut(judged.withColumn("straight", F.coalesce(off, "straight")))
+    steps = judged.where("straight is null").select("grp", "a", "b", F.posexplode("path").alias("at", "piece")).join(used_pieces(judged), "piece")
+    steps = steps.groupBy("grp", "a", "b").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("steps"))
+    out = judged.join(steps, ["grp", "a", "b"], "left")
+    along = lambda c: F.when(F.col("straight").isNull(), F.col(c))
+    return out.select("grp", "a", "b", F.coalesce("straight", F.lit("routed")).alias("outcome"), F.round(along("cost"), 6).alias("cost"), along("metres").alias("metres"), F.col("steps.number").alias("numbers"))
+
+
 def used_pieces(hops: DataFrame) -> DataFrame:
     """``(piece, number)``: pieces that routed hops use, numbered from 0."""
     from zonalis.operators.ranking import distributed_row_number

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.operators.ranking import distributed_row_number
+from zonalis.runtime import cut
+
 
 def keep_mask(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     """Points that stay: ends, and recursively the farthest from the chord while beyond the tolerance."""
@@ -29,21 +32,54 @@ def keep_mask(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
-#: Points of one line that one task thins together; a longer line is thinned in consecutive parts whose ends stay.
+#: Points between the ends of a chord that one task thins; longer chords are halved by distributed rounds.
 PART = 100_000
 
 
 def thinned(points: DataFrame, tolerance: float, part: int = PART) -> DataFrame:
-    """``points(line, pos, x, y)`` without those that lie within the tolerance of their line."""
-    from pyspark.sql import Window as W
+    """``points(line, pos, x, y)`` without those that lie within the tolerance of their line, as ``(line, pos, x, y)``.
 
-    at = F.row_number().over(W.partitionBy("line").orderBy("pos")) - 1
-    split = points.withColumn("part", F.floor(at / part).cast("bigint"))
+    ``pos``, of any type that has an order, is not repeated in a line. A chord with more than ``part`` points between its ends is split
+    at its farthest point, found by a grouped maximum; what is left is thinned a chord to a task. Both do what thinning
+    the whole line at once does, whatever its length. Points without coordinates go.
+    """
+    kind = points.schema["line"].dataType.simpleString()
+    placed = points.select("line", F.col("pos").alias("__pos"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    rows = cut(distributed_row_number(placed, [F.col("line"), F.col("__pos")], "pos"))
+    names_of = rows.select("line", "pos", "__pos")
+    rows = rows.drop("__pos")
+    ends = rows.groupBy("line").agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"))
+    rows = cut(rows.join(ends, "line"))
+    kept = ends.select("line", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("pos"))
+    inner = rows.where("pos > lo and pos < hi")
+    while True:
+        long = cut(inner.groupBy("line", "lo", "hi").agg(F.count("*").alias("n")).where(F.col("n") > part).select("line", "lo", "hi"))
+        if long.isEmpty():
+            break
+        corner = lambda at: rows.select(F.col("line").alias("line"), F.col("pos").alias(at), F.struct("x", "y").alias(at + "_p"))
+        chords = long.join(corner("lo"), ["line", "lo"]).join(corner("hi"), ["line", "hi"])
+        dx, dy = F.col("hi_p.x") - F.col("lo_p.x"), F.col("hi_p.y") - F.col("lo_p.y")
+        px, py = F.col("x") - F.col("lo_p.x"), F.col("y") - F.col("lo_p.y")
+        length = F.hypot(dx, dy)
+        away = F.when(length > 0, F.abs(px * dy - py * dx) / length).otherwise(F.hypot(px, py))
+        measured = inner.join(chords, ["line", "lo", "hi"]).select("line", "lo", "hi", "pos", away.alias("away"))
+        top = measured.groupBy("line", "lo", "hi").agg(F.max("away").alias("far"), F.min_by("pos", F.struct((-F.col("away")).alias("a"), "pos")).alias("mid"))
+        top = cut(top)
+        split = top.where(F.col("far") > tolerance).select("line", "lo", "hi", "mid")
+        kept = kept.unionByName(split.select("line", F.col("mid").alias("pos")))
+        whole = inner.join(long, ["line", "lo", "hi"], "left_anti")
+        parts = inner.join(split, ["line", "lo", "hi"]).where("pos <> mid")
+        parts = parts.select("line", "pos", "x", "y", F.when(F.col("pos") < F.col("mid"), F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(F.col("pos") < F.col("mid"), F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+        inner = cut(whole.select("line", "pos", "x", "y", "lo", "hi").unionByName(parts))
+    # The ends of a chord are thinned with its inner points.
+    spans = inner.select("line", "lo", "hi").distinct()
+    at = lambda end: spans.withColumn("pos", F.col(end)).join(rows.select("line", "pos", "x", "y"), ["line", "pos"])
+    names = ["line", "lo", "hi", "pos", "x", "y"]
+    whole = inner.select(*names).unionByName(at("lo").select(*names)).unionByName(at("hi").select(*names))
 
-    def thin(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("at")
-        return rows[keep_mask(rows["x"].to_numpy(float), rows["y"].to_numpy(float), tolerance)]
+    def thin(chord: pd.DataFrame) -> pd.DataFrame:
+        chord = chord.sort_values("pos")
+        return chord[keep_mask(chord["x"].to_numpy(float), chord["y"].to_numpy(float), tolerance)][["line", "pos"]]
 
-    kind = points.schema["line"].dataType.simpleString()
-    slim = split.withColumn("at", at.cast("bigint")).select("line", "part", "at", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
-    return slim.groupBy("line", "part").applyInPandas(thin, f"line {kind}, part bigint, at bigint, x double, y double")
+    stay = kept.unionByName(whole.groupBy("line", "lo", "hi").applyInPandas(thin, f"line {kind}, pos bigint")).distinct()
+    return rows.select("line", "pos", "x", "y").join(stay, ["line", "pos"], "left_semi").join(names_of, ["line", "pos"]).select("line", F.col("__pos").alias("pos"), "x", "y")

@@ -65,21 +65,14 @@ def stations(rows: DataFrame, footfall: DataFrame, service: DataFrame) -> DataFr
     return out.withColumn("trend", F.bround(F.try_divide(100.0 * (F.col("now") - F.col("before")), F.col("before")), 1))
 
 
-def rail_network(calls: DataFrame, edges: DataFrame, stops: DataFrame, penalty: float = 4.0) -> DataFrame:
-    """P32. Hops between consecutive stops with their route or the reason for none.
+def rail_network(calls: DataFrame, lines: DataFrame, stops: DataFrame, speeds: DataFrame, fast: str, car: str, junction: float = 60.0, station: float = 500.0, extra: float = 150.0, penalty: float = 4.0) -> DataFrame:
+    """P32. Hops between consecutive stops with their way along the track or the reason for none.
 
-    ``calls`` as in N.rides, ``edges`` as in N.quickest, ``stops(stop, node, x, y)`` in metres.
+    ``calls`` as in N.rides, ``lines``, ``stops`` and ``speeds`` as in N.track_graph, in metres. Coaches (``car``) are
+    left out; only trips of product ``fast`` take high-speed track without a penalty.
     """
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("trip").orderBy("pos")
-    pairs = calls.select("stop", F.lead("stop").over(w).alias("to")).where("to is not null and to <> stop")
-    pairs = pairs.select(F.least("stop", "to").alias("a"), F.greatest("stop", "to").alias("b")).distinct()
-    here = stops.select(F.col("stop").alias("a"), F.col("node").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    there = stops.select(F.col("stop").alias("b"), "node", F.col("x").alias("bx"), F.col("y").alias("by"))
-    hops = pairs.join(here, "a").join(there, "b").withColumn("crow", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    routes = N.quickest(edges, hops.select("source").distinct(), penalty)
-    return N.judged_hops(hops.select("a", "b", "source", "node", "crow"), routes)
+    edges, at = N.track_graph(lines, stops, speeds, junction, station, extra)
+    return N.routed_hops(edges, calls, at.join(stops.withColumnRenamed("pid", "stop"), "stop"), fast, car, penalty)
 
 
 def rail_lines(features: DataFrame, speeds: DataFrame, status: DataFrame, classes: Mapping[str, str]) -> DataFrame:

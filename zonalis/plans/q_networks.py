@@ -1,12 +1,10 @@
 """Graph and sequence queries (R)."""
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.operators import network as N
 from zonalis.operators.ranking import distributed_row_number
 from zonalis.plans.catalogue import query
-from zonalis.runtime import cut
 
 
 def lattice(v):
@@ -47,40 +45,12 @@ def _(v):
     return N.cut_edges(cuts, speeds).select("lid", "src", "dst", "length", F.round("seconds", 9).alias("seconds"))
 
 
-def routed_hops(edges, calls, stops, fast, car, penalty=4.0):
-    """Hops between consecutive stops of all trips but ``car``, along the track.
-
-    ``calls(trip, product, pos, stop)``, ``stops(stop, node, x, y)``. Trips of product ``fast`` take high-speed track
-    as it is, the others pay the penalty. ``numbers`` are the pieces of the way as renumbered by used_pieces().
-    """
-    w = W.partitionBy("trip").orderBy("pos")
-    group = F.when(F.col("product") == fast, "fast").otherwise("rail")
-    pairs = calls.where(F.col("product") != car).select(group.alias("grp"), "stop", F.lead("stop").over(w).alias("to")).where("to <> stop")
-    pairs = pairs.select("grp", F.least("stop", "to").alias("a"), F.greatest("stop", "to").alias("b")).distinct()
-    here = stops.select(F.col("stop").alias("a"), F.col("node").alias("source"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    there = stops.select(F.col("stop").alias("b"), "node", F.col("x").alias("bx"), F.col("y").alias("by"))
-    hops = pairs.join(here, "a", "left").join(there, "b", "left").withColumn("crow", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
-    hops = cut(hops.select("grp", "a", "b", "source", "node", "crow"))
-    judged = None
-    for name, factor in (("fast", 1.0), ("rail", penalty)):
-        mine = hops.where(F.col("grp") == name)
-        part = N.judged_hops(mine, N.quickest(edges, mine.select("source").where("source is not null").distinct(), factor))
-        judged = part if judged is None else judged.unionByName(part)
-    off = F.when(F.col("source").isNull() | F.col("node").isNull(), F.lit("stop off the network"))
-    judged = cut(judged.withColumn("straight", F.coalesce(off, "straight")))
-    steps = judged.where("straight is null").select("grp", "a", "b", F.posexplode("path").alias("at", "piece")).join(N.used_pieces(judged), "piece")
-    steps = steps.groupBy("grp", "a", "b").agg(F.array_sort(F.collect_list(F.struct("at", "number"))).alias("steps"))
-    out = judged.join(steps, ["grp", "a", "b"], "left")
-    along = lambda c: F.when(F.col("straight").isNull(), F.col(c))
-    return out.select("grp", "a", "b", F.coalesce("straight", F.lit("routed")).alias("outcome"), F.round(along("cost"), 6).alias("cost"), along("metres").alias("metres"), F.col("steps.number").alias("numbers"))
-
-
 @query("r4_r5_r6_routed_hops")
 def _(v):
     # The stops stand on the squares in the order of their codes.
     squares = distributed_row_number(v.squares.select("poly", "x0", "y0"), [F.col("poly")], "number")
     stops = squares.select((F.col("number") - 1).alias("stop"), F.col("poly").alias("node"), (F.col("x0") * 100_000.0).alias("x"), (F.col("y0") * 100_000.0).alias("y"))
-    return routed_hops(lattice(v), v.patterns, stops, "1-URGENT", "5-LOW")
+    return N.routed_hops(lattice(v), v.patterns, stops, "1-URGENT", "5-LOW")
 
 
 @query("r7_direct_reach", """
