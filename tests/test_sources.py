@@ -56,6 +56,41 @@ def test_archive_members(spark, tmp_path):
         R.read_archive_lines(spark, str(tmp_path / "*.zip"), r"^data_").collect()
 
 
+def test_archives_with_columns_in_another_order(spark, tmp_path):
+    for n, text in ((1, "a,b\n1,2\n"), (2, "b,a\n3,4\n"), (3, 'c,"b",a\n0,5,6\n')):
+        with zipfile.ZipFile(tmp_path / f"z{n}.zip", "w") as z:
+            z.writestr("data.csv", text)
+    lines = R.read_archive_lines(spark, str(tmp_path / "*.zip"), r"^data")
+    assert sorted(map(tuple, R.split_member(lines, ["a", "b"]).collect())) == [("1", "2"), ("4", "3"), ("6", "5")]
+    with pytest.raises(ValueError, match="lacks a column"):
+        R.split_member(lines, ["c"])
+
+
+def test_timetable_and_pages(spark, tmp_path):
+    for name, text in {"feed_info": "feed_version\n7\n", "calendar_dates": "service_id,date\ns,20240101\n", "trips": "trip_id,route_id\nt,r\n", "stops": "stop_id,stop_name\n1,A\n", "stop_times": "trip_id,stop_id\nt,1\n"}.items():
+        (tmp_path / f"{name}.txt").write_text(text)
+    feed = R.read_timetable(spark, str(tmp_path))
+    assert set(feed) == {"feed_info", "calendar_dates", "trips", "stops", "stop_times"} and feed["stops"].first()["stop_name"] == "A"
+    (tmp_path / "p1.json").write_text('[{"a": 1}, {"a": 2}]')
+    (tmp_path / "p2.json").write_text('[\n{"a": 3}\n]')
+    assert sorted(r["a"] for r in R.read_json_array(spark, str(tmp_path / "p*.json"), "a int").collect()) == [1, 2, 3]
+
+
+def test_wide_join_turns_text_that_is_no_number_into_null(spark):
+    from zonalis.operators import joins as J
+
+    base = spark.createDataFrame([("a",), ("b",)], "code string")
+    table = spark.createDataFrame([("a", "1.23456"), ("b", "n/a")], "code string, v string")
+    assert {r["code"]: r["v"] for r in J.wide_join(base, [table], numeric={"v": "numeric"}).collect()} == {"a": 1.2346, "b": None}
+
+
+def test_cut_tables_can_be_released(spark):
+    from zonalis import runtime
+
+    kept = runtime.cut(spark.range(3))
+    assert kept.count() == 3 and runtime.release(spark) >= 1 and runtime.release(spark) == 0
+
+
 def test_cells_and_stacked_blocks(spark):
     cells = spark.createDataFrame([("CRS3035RES200mN2029800E4254200", "10.5"), ("CRS3035RES200mN0E0", "0")], "idcar_200m string, ind string")
     assert [tuple(r) for r in R.population_cells(cells).collect()] == [("CRS3035RES200mN2029800E4254200", 4254300.0, 2029900.0, 10.5)]

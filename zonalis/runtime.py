@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder the cluster shares, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests on one machine) a local folder takes its place.
+    Only where that setting is absent and Spark runs on this machine alone (tests), a local folder takes its place;
+    on a cluster, where executors don't see each other's disks, that is an error.
     """
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = sc.getCheckpointDir()
         if not at:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             at = "file://" + tempfile.mkdtemp(prefix="zonalis-")
             sc.setCheckpointDir(at)
     elif sc.getCheckpointDir() is None:
@@ -31,6 +34,24 @@ def fresh_path(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+#: Tables that cut() has written in this process.
+_CUTS: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes every table that cut() has written so far and returns their number.
+
+    Results that still read them can't be computed again; call it once they are written or collected.
+    """
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    done = 0
+    while _CUTS:
+        path = hadoop(_CUTS.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done += 1
+    return done
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared folder and read it back.
 
@@ -38,6 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, "cut")
     df.write.parquet(path)
+    _CUTS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
@@ -163,13 +164,22 @@ def read_archive_lines(spark: SparkSession, path: str, member: str, latest: bool
 
 
 def split_member(lines: DataFrame, columns: Sequence[str], sep: str = ",") -> DataFrame:
-    """Columns of archive lines below their header, by from_csv so that quotes count."""
-    header = lines.where("number = 0").select("archive", F.split(F.replace("line", F.lit(BOM), F.lit("")), re.escape(sep)).alias("h"))
-    body = lines.where("number > 0").join(header, "archive")
-    names = [c.strip().strip('"') for c in (header.first() or {"h": []})["h"]]
-    schema = ", ".join(f"`{n}` string" for n in names)
-    parsed = body.select(F.from_csv("line", schema, {"sep": sep}).alias("r")).select("r.*")
-    return parsed.select(*columns)
+    """Columns of archive lines below their header, by from_csv so that quotes count.
+
+    Every archive is read by its own header, whatever the order of its columns; one that lacks a column is an error.
+    """
+    plain = F.replace("line", F.lit(BOM), F.lit(""))
+    # One row per archive; the widest header sets the number of cells.
+    width = lines.where("number = 0").agg(F.max(F.size(F.split(plain, re.escape(sep))))).first()[0] or 1
+    cells = F.from_csv(plain, ", ".join(f"c{i} string" for i in range(width)), {"sep": sep})
+    parsed = lines.select("archive", "number", cells.alias("c"))
+    listed = F.array(*[F.col(f"c.c{i}") for i in range(width)])
+    header = parsed.where("number = 0").select("archive", F.transform(listed, lambda h: F.trim(h)).alias("h"))
+    lacking = header.where(functools.reduce(lambda a, b: a | b, [~F.coalesce(F.array_contains("h", c), F.lit(False)) for c in columns])).limit(1).collect()
+    if lacking:
+        raise ValueError(f"{lacking[0]['archive']} lacks a column of {list(columns)}")
+    body = parsed.where("number > 0").join(header, "archive")
+    return body.select(*[F.get(listed, F.array_position("h", c).cast("int") - 1).alias(c) for c in columns])
 
 
 def read_timetable(spark: SparkSession, folder: str) -> dict[str, DataFrame]:

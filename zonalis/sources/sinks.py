@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.operators.ranking import distributed_row_number
+from zonalis.runtime import shuffle_partitions
+
 
 def write_area_table(df: DataFrame, path: str, key: str = "code") -> None:
     """Parquet, globally sorted by key (O1)."""
@@ -44,9 +47,13 @@ def coverage(df: DataFrame, columns: Sequence[str], thin: float = 0.25) -> DataF
 
 
 def write_stat_columns(df: DataFrame, columns: Sequence[str], path: str, key: str = "code") -> None:
-    """One folder per column, rows in key order within files, so a reader fetches the columns it needs (O3)."""
+    """One folder per column, in files of consecutive keys, so a reader fetches the columns it needs (O3).
+
+    Rows are dealt to ranges of (column, key): a column of many rows is several tasks' work and several files.
+    """
     long = stat_columns(df, columns, key)
-    long.repartition("field").sortWithinPartitions("field", key).write.partitionBy("field").parquet(path)
+    ordered = long.repartitionByRange(shuffle_partitions(df.sparkSession), "field", key).sortWithinPartitions("field", key)
+    ordered.write.partitionBy("field").parquet(path)
 
 
 def nested_documents(rows: DataFrame, key: str, order: str, values: Sequence[str], dep: Column) -> DataFrame:
@@ -56,7 +63,9 @@ def nested_documents(rows: DataFrame, key: str, order: str, values: Sequence[str
 
 
 def write_nested_documents(documents: DataFrame, path: str) -> None:
-    documents.repartition("dep").write.partitionBy("dep").json(path)
+    """One folder per department, in files of consecutive keys."""
+    keys = [c for c in documents.columns if c not in ("dep", "rows")]
+    documents.repartitionByRange(shuffle_partitions(documents.sparkSession), "dep", *keys).write.partitionBy("dep").json(path)
 
 
 def network_documents(patterns: DataFrame) -> DataFrame:
@@ -65,6 +74,27 @@ def network_documents(patterns: DataFrame) -> DataFrame:
     return patterns.select("product", "stops", "times", "runs", flags.alias("flags")).orderBy(F.col("runs").desc(), "product", "stops")
 
 
+def network_stops(patterns: DataFrame, areas: DataFrame, names: DataFrame) -> DataFrame:
+    """``(number, stop, name, lon, lat)``: every stop of the patterns numbered from 0 in order of its code.
+
+    ``areas(stop, name, lon, lat)``, ``names(stop, name)`` whose names go first. A stop without an area has its code
+    for a name and no place.
+    """
+    stops = patterns.select(F.explode("stops").alias("stop")).distinct()
+    numbered = distributed_row_number(stops, [F.col("stop")], "number").withColumn("number", F.col("number") - 1)
+    joined = numbered.join(areas.withColumnRenamed("name", "area"), "stop", "left").join(names, "stop", "left")
+    name = F.when(F.col("lon").isNull(), F.col("stop").cast("string")).otherwise(F.coalesce("name", "area"))
+    return joined.select("number", "stop", name.alias("name"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
+
+
+def numbered_patterns(documents: DataFrame, stops: DataFrame) -> DataFrame:
+    """network_documents() rows with ``stops`` as numbers of network_stops()."""
+    placed = documents.withColumn("__d", F.xxhash64("product", "stops")).select("*", F.posexplode("stops").alias("__at", "stop")).join(stops.select("stop", "number"), "stop")
+    keys = ["__d", "product", "times", "runs", "flags"]
+    rows = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "number"))).alias("s"))
+    return rows.select("product", F.col("s.number").alias("stops"), "times", "runs", "flags").orderBy(F.col("runs").desc(), "product", "stops")
+
+
 #: Draw order of layer types.
 DRAW_ORDER = {"fill": 10, "raster": 20, "line": 30, "circle": 40}
 
