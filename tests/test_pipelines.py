@@ -53,9 +53,27 @@ def test_sectors(spark):
 
 def test_beds(spark):
     base = spark.createDataFrame([("a", 10), ("b", 5)], "code string, population int")
-    c = spark.createDataFrame([("a", 4, 2, 1, 2)], "code string, rooms int, beds int, passing int, annual int")
-    h = spark.createDataFrame([("a", 3)], "code string, second_homes int")
-    assert rows(P.tourist_beds(base, c, h)) == [("a", 13, 21, 3.4, 61.8), ("b", 0, 0, 0.0, None)]
+    c = spark.createDataFrame([("a", 4, 2, 3, 2)], "code string, rooms int, beds int, pitches int, annual int")
+    h = spark.createDataFrame([("a", 3, 12)], "code string, second_homes int, dwellings int")
+    beds = P.tourist_beds(base, c, h)
+    assert rows(beds) == [("a", 34, 3.4, 13, 21, 38.24, 4, 3, 2, 2, 3, 25.0), ("b", 0, 0.0, 0, 0, None, 0, 0, 0, 0, None, None)]
+    assert rows(P.seasonal_bed_share(beds, {"pitches": True})) == [("a", 23.1), ("b", None)]
+    with pytest.raises(ValueError, match="parts"):
+        P.seasonal_bed_share(beds.withColumn("bookable", F.col("bookable") + 5), {})
+    with pytest.raises(ValueError, match="no kind"):
+        P.seasonal_bed_share(beds, {"tents": True})
+
+
+def test_registers(spark):
+    notices = spark.createDataFrame([("1001", "Inondations", "2001-02-03"), ("1001", "Inondations", "1999-01-01"), ("1002", "Feux", "2003-01-01")], "code string, label string, start string")
+    dossiers = spark.createDataFrame([("1001", "11"), ("1003", " 12 "), ("1003", "13")], "code string, number string")
+    plans = spark.createDataFrame([("1001", "Prescrit", "", "Inondation", None), ("1001", "Opposable", "", "Feu", "Recul"), ("1004", "Caduque", "", "Inondation", "x"), ("1005", "Opposable", "", "Feu", "x")], "code string, stage string, detail string, family string, label string")
+    atlas = spark.createDataFrame([("1006",)], "code string")
+    out = P.risk_registers(notices, dossiers, plans, atlas, ["Inondations"], {"flood": "11", "submersion": "12", "retreat": "13"}, "Inondation", ["Recul"])
+    assert rows(out) == [
+        ("01001", 2, 2001, "prescrit", "non", "oui", "aucun", "approuve"), ("01003", 0, None, "aucun", "non", "non", "les_deux", "aucun"),
+        ("01004", 0, None, "caduque", "non", "non", "aucun", "aucun"), ("01006", 0, None, "aucun", "oui", "non", "aucun", "aucun"),
+    ]
 
 
 def test_indicator_files(spark):
@@ -72,17 +90,40 @@ def test_population_weighted_grids(spark):
     grid = spark.createDataFrame([(1, 0.25, 0.2, 10.0), (2, 0.75, 0.2, 20.0), (3, 1.5, 0.5, 30.0)], "point bigint, x double, y double, hot double")
     assert rows(P.projected_heat(areas(spark), cells, grid, ["hot"], 1.0)) == [("01001", 12.5, "population"), ("01002", 30.0, "point")]
     grids = spark.createDataFrame([(y, 0, c, v) for y in (1, 2) for c, v in ((0, 4.0), (1, 8.0))] + [(1, 0, 2, 5.0)], "year int, row bigint, col bigint, value double")
-    assert rows(P.air_quality(areas(spark), cells, grids, (0.0, 0.0), 0.5, 1.0)) == [("01001", 5.0, 8.0, "population"), ("01002", None, None, None)]
+    assert rows(P.air_quality(areas(spark), cells, grids, (0.0, 0.0), 0.5, 1.0)) == [("01001", 5.0, 5.0, 5.0, 8.0, "population"), ("01002", 5.0, 5.0, 5.0, None, "surface")]
     assert P.air_cells(grids, (0.0, 0.0), 0.5).count() == 2
     zone = spark.createDataFrame([("z", 0.5, 0.0, 3)], "poly string, x0 double, y0 double, class int").select("poly", G.square(F.col("x0"), F.col("y0"), 0.5).alias("rings"), "class")
     assert rows(P.clay(areas(spark), cells, zone, 1.0)) == [("01001", 25.0, 0.75), ("01002", None, None)]
 
 
 def test_climate(spark):
-    daily = spark.createDataFrame([(1, 2020, m, 10.0 * m, float(m), 2.0) for m in (1, 7)], "point int, year int, month int, tx double, tn double, precip double")
-    pairs = spark.createDataFrame([("a", 1, 5.0, 0.1)], "code string, point int, weight double, dz double")
-    fixes = spark.createDataFrame([(1, 1.0, -5.0)], "month int, a double, b double")
-    assert rows(P.climate(daily, pairs, fixes)) == [("a", 1, 10.5, 1.5, 2.0), ("a", 7, 70.0, 7.0, 2.0), ("a", 13, 70.0, 1.5, 4.0)]
+    days = [(p, f"{y}-{m:02d}-{d:02d}", y, m, 10.0 * m + d + p, 1.0 * m - d, 5.0 * m, 2.0 if d == 1 else 0.5, 60.0, 360.0) for p in (1, 2, 3) for y in (2020, 2021) for m in range(1, 13) for d in (1, 2)]
+    daily = spark.createDataFrame(days, "point int, day string, year int, month int, tx double, tn double, t double, precip double, hu double, ssi double")
+    monthly = P.month_summaries(daily)
+    # Stations read 1 - 5 dz above the grid in everything, and see nine tenths of the rainy days.
+    stations = spark.createDataFrame([(f"s{p}", p, 0.1 * p) for p in (1, 2, 3)], "post string, point int, dz double")
+    off = 1 - 5 * F.col("dz")
+    obs = monthly.where("month <= 12").join(stations, "point").select("post", "year", "month", *[(F.col(c) + off).alias(c) for c in P.CORRECTED], (F.col("rainy") * 0.9).alias("rainy"))
+    pairs = spark.createDataFrame([("a", 1, 5.0, 0.2), ("a", 2, 15.0, 0.2)], "code string, point int, weight double, dz double")
+    table = {r["month"]: r for r in P.climate(daily, obs, stations, pairs, least_years=2).collect()}
+    assert len(table) == 13 and table[1].asDict() == {
+        "code": "a", "month": 1, "record_high": 13.8, "mean_max": 13.8, "tx": 13.2, "tm": 5.0, "tn": -0.5, "mean_min": -1.0, "record_low": -1.0, "precip": 2.5, "rainy": 0.9, "snow": 1.0, "hu": 60.0, "solar": 2.0,
+    }
+    assert (table[3]["snow"], table[13]["snow"]) == (0.0, 1.0) and table[13]["precip"] == 30.0 and table[13]["solar"] == 24.0
+    assert (table[13]["record_high"], table[13]["mean_max"], table[13]["mean_min"], table[13]["tm"]) == (123.8, 123.8, -1.0, 32.5)
+    fits, _ = P.calibration(P.station_errors(monthly, obs, stations, 2))
+    assert {(r["key"], r["month"]) for r in fits.collect()} == {(k, m) for k in P.CORRECTED for m in range(1, 13)} | {("tx_max", 13), ("tn_min", 13)}
+    noisy = obs.withColumn("hu", F.col("hu") + F.when(F.col("post") == "s2", 50.0).otherwise(0.0))
+    with pytest.raises(ValueError, match="beyond their limits"):
+        P.climate(daily, noisy, stations, pairs, least_years=2, limits={"hu": 3.0})
+
+
+def test_wind_days_need_every_year(spark):
+    rows_ = [(1, 0.0, 0.0, y, 7, w) for y in (2020, 2021) for w in (4.0, 6.0, 7.0)]
+    daily = spark.createDataFrame(rows_ + [(1, 0.0, 0.0, 2020, 1, 9.0)], "point int, x double, y double, year int, month int, wind double")
+    assert rows(P.wind_days(daily, [6, 7], 5.0), "point", "days") == [(1, 2.0)]
+    with pytest.raises(ValueError, match="lacks"):
+        P.wind_days(daily.unionByName(daily.withColumn("point", F.lit(2)).where("year = 2020")), [6, 7], 5.0)
 
 
 def test_festivals_and_stations(spark):
@@ -100,10 +141,14 @@ def test_rail(spark):
     speeds = spark.createDataFrame([("l1", 300), ("l1", 160)], "line string, kmh int")
     status = spark.createDataFrame([("l1", "Exploitée")], "line string, state string")
     assert rows(Q.rail_lines(lines, speeds, status, {"LGV": "lgv"}), "line", "class", "kmh", "live", "km") == [("l1", "lgv", 300, True, 5.0)]
-    calls = spark.createDataFrame([(1, 1, 10), (1, 2, 20), (1, 3, 30)], "trip int, pos int, stop int")
-    edges = spark.createDataFrame([("n1", "n2", 5, 60.0, False, 1000.0)], "src string, dst string, piece int, seconds double, lgv boolean, length double")
-    stops = spark.createDataFrame([(10, "n1", 0.0, 0.0), (20, "n2", 900.0, 0.0), (30, "n3", 5.0, 5.0)], "stop int, node string, x double, y double")
-    assert rows(Q.rail_network(calls, edges, stops), "a", "b", "straight") == [(10, 20, None), (20, 30, "no connected track")]
+    track = spark.createDataFrame([("m", 0.0, 0.0, 10_000.0, 0.0, 0.0, False), ("n", 10_000.0, 30.0, 10_000.0, 5000.0, 0.0, False), ("g", 0.0, 120.0, 10_000.0, 120.0, 0.0, True)], "lid string, x0 double, y0 double, x1 double, y1 double, s0 double, lgv boolean")
+    calls = spark.createDataFrame([(1, "ter", 1, 10), (1, "ter", 2, 20), (1, "ter", 3, 40), (2, "bus", 1, 10), (2, "bus", 2, 30)], "trip int, product string, pos int, stop int")
+    stops = spark.createDataFrame([(10, 0.3, 0.0), (20, 10_000.0, 4000.0), (40, 90_000.0, 0.0)], "pid int, x double, y double")
+    out = Q.rail_network(calls, track, stops, spark.createDataFrame([("m", 100.0, False), ("n", 100.0, False)], "lid string, kmh double, lgv boolean"), "tgv", "bus")
+    # The stop 0.3 m from the line's end stays on the network; line n's end 30 m off joins line m.
+    got = {(r["a"], r["b"]): r for r in out.collect()}
+    assert set(got) == {(10, 20), (20, 40)} and got[20, 40]["outcome"] == "stop off the network"
+    assert got[10, 20]["outcome"] == "routed" and abs(got[10, 20]["metres"] - (10_000 - 0.3 + 3970)) < 0.5
 
 
 def test_waters_parks_and_aerodromes(spark):

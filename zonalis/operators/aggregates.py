@@ -20,7 +20,7 @@ def complete(aggregate: Column, column: Column, expected: int) -> Column:
 
 
 def sales(rows: DataFrame, wanted: Sequence[str], least_surface: float, price: tuple[float, float]) -> DataFrame:
-    """``(code, kind, per_m2)`` of usable sales.
+    """``(code, kind, value, per_m2)`` of usable sales.
 
     A sale's rows carry its value each time: it counts once, surfaces add up. Usable is a positive value in one
     area and of one wanted kind, with enough surface and a price within bounds.
@@ -29,7 +29,7 @@ def sales(rows: DataFrame, wanted: Sequence[str], least_surface: float, price: t
         F.max("valeur").alias("value"), F.collect_set("code").alias("codes"), F.collect_set("type_local").alias("kinds"), F.sum("surface").alias("surface")
     )
     usable = one.where((F.col("value") > 0) & (F.size("codes") == 1) & (F.size("kinds") == 1) & (F.col("surface") >= least_surface))
-    out = usable.select(F.col("codes")[0].alias("code"), F.col("kinds")[0].alias("kind"), (F.col("value") / F.col("surface")).alias("per_m2"))
+    out = usable.select(F.col("codes")[0].alias("code"), F.col("kinds")[0].alias("kind"), "value", (F.col("value") / F.col("surface")).alias("per_m2"))
     return out.where(F.col("kind").isin(*wanted) & F.col("per_m2").between(*price))
 
 

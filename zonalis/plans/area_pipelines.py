@@ -15,6 +15,7 @@ from zonalis.operators import dedup as D
 from zonalis.operators import joins as J
 from zonalis.operators import models as M
 from zonalis.operators import spatial as S
+from zonalis.runtime import cut
 from zonalis.sources import readers as R
 
 
@@ -96,32 +97,40 @@ def income(median: DataFrame, deciles: DataFrame, marker: str = "s") -> DataFram
 
 
 def prices(rows: DataFrame, least_sales: int = 5, price: tuple[float, float] = (200.0, 20_000.0), least_surface: float = 9.0) -> DataFrame:
-    """P8. ``rows(id_mutation, code, valeur, type_local, surface)`` -> medians per m2 overall, of houses and flats,
-    and sales; districts count for their city; blank below ``least_sales``."""
+    """P8. ``rows(id_mutation, code, valeur, type_local, surface)`` -> medians per m2 overall, of houses and flats, the
+    median price of a whole house (in hundreds), and sales; districts count for their city; blank below ``least_sales``."""
     kept = A.sales(rows, ["Maison", "Appartement"], least_surface, price).withColumn("code", K.parent_code(F.col("code")))
 
-    def median(kind: str | None) -> Column:
-        v = F.col("per_m2") if kind is None else F.when(F.col("kind") == kind, F.col("per_m2"))
-        return F.when(F.count(v) >= least_sales, F.bround(F.percentile(v, 0.5), 0))
+    def median(column: str, kind: str | None, digits: int) -> Column:
+        v = F.col(column) if kind is None else F.when(F.col("kind") == kind, F.col(column))
+        return F.when(F.count(v) >= least_sales, F.bround(F.percentile(v, 0.5), digits))
 
-    return kept.groupBy("code").agg(median(None).alias("price"), median("Maison").alias("house_price"), median("Appartement").alias("flat_price"), F.count("*").alias("sales"))
+    return kept.groupBy("code").agg(
+        median("per_m2", None, 0).alias("price"), median("per_m2", "Maison", 0).alias("house_price"), median("per_m2", "Appartement", 0).alias("flat_price"),
+        median("value", "Maison", -2).alias("house_value"), F.count("*").alias("sales"))
 
 
-def age_structure(cube: DataFrame, least_young: float = 20.0) -> DataFrame:
-    """P9. ``cube(GEO, GEO_OBJECT, AGE, SEX, OBS_VALUE)`` -> people, shares, median age, ageing index.
+#: Published age bands, ends included.
+AGE_BANDS = {"age_0_14": (0, 14), "age_15_29": (15, 29), "age_30_44": (30, 44), "age_45_59": (45, 59), "age_60_74": (60, 74), "age_75_plus": (75, 120)}
+
+
+def age_structure(cube: DataFrame, least_young: float = 20.0, bands: Mapping[str, tuple[int, int]] = AGE_BANDS) -> DataFrame:
+    """P9. ``cube(GEO, GEO_OBJECT, AGE, SEX, OBS_VALUE)`` -> people, people by band, shares, median age, ageing index.
 
     The published total stands unless single years differ from it by over 1 %.
     """
     rows = metropolitan(cube.where("GEO_OBJECT = 'COM' and SEX = '_T'"), F.col("GEO"))
     rows = rows.select("code", F.col("AGE").alias("band"), K.age_index(F.col("AGE")).alias("age"), F.col("OBS_VALUE").try_cast("double").alias("n")).where("n is not null")
     band = lambda lo, hi=200: F.coalesce(F.sum(F.when(F.col("age").between(lo, hi), F.col("n"))), F.lit(0.0))
-    sums = rows.groupBy("code").agg(band(0).alias("summed"), F.max(F.when(F.col("band") == "_T", F.col("n"))).alias("published"), band(0, 19).alias("young"), band(65).alias("old"), band(75).alias("very_old"))
+    sums = rows.groupBy("code").agg(
+        band(0).alias("summed"), F.max(F.when(F.col("band") == "_T", F.col("n"))).alias("published"), band(0, 19).alias("young"), band(65).alias("old"), band(75).alias("very_old"),
+        *[F.bround(band(lo, hi), 0).alias(name) for name, (lo, hi) in bands.items()])
     total = F.when(F.abs(F.col("summed") - F.col("published")) / F.col("published") > 0.01, F.col("summed")).otherwise(F.coalesce("published", "summed"))
     sums = sums.withColumn("total", total).where("total > 0")
     single = rows.where("age is not null").groupBy("code", "age").agg(F.sum("n").alias("n"))
     out = sums.join(A.histogram_median(single, ["code"], "age", "n"), "code", "left")
     return out.select(
-        "code", F.bround("total", 0).alias("people"), share(F.col("young"), F.col("total")).alias("under_20"), share(F.col("old"), F.col("total")).alias("over_65"),
+        "code", F.bround("total", 0).alias("people"), *bands, share(F.col("young"), F.col("total")).alias("under_20"), share(F.col("old"), F.col("total")).alias("over_65"),
         share(F.col("very_old"), F.col("total")).alias("over_75"), F.col("median").alias("median_age"), share(F.col("old"), F.col("young"), least_young).alias("ageing_index"))
 
 
@@ -157,20 +166,30 @@ def municipal(first: DataFrame, second: DataFrame, nuances: Mapping[str, str]) -
     return both.select("code", "turnout", F.coalesce("lists", F.lit(0)).alias("lists"), F.when(F.col("w2").isNotNull(), "oui").otherwise("non").alias("runoff"), K.class_lookup(F.col("w.nuance"), nuances).alias("nuance"), F.col("w.list").alias("list"))
 
 
-def left_right(elections: Mapping[str, DataFrame], positions: Mapping[str, DataFrame], blocs: Mapping[str, Mapping[str, Sequence[str]]], shrink: bool = True) -> DataFrame:
-    """P12. Per election ``votes(code, opt, votes)`` and ``positions(opt, x)`` -> raw and shrunk index per area.
+def left_right(elections: Mapping[str, DataFrame], positions: Mapping[str, DataFrame], blocs: Mapping[str, Mapping[str, Sequence[str]]], shrink: bool = True, digits: tuple[int, int] = (2, 1)) -> DataFrame:
+    """P12. Per election ``votes(code, opt, votes)`` and ``positions(opt, x)`` -> shrunk and raw index per area, each
+    election's mean position, mean spread, mean share of each bloc and of votes without a position.
 
-    Elections count equally; noise is the mean of spread squared over votes, over the number of elections.
+    ``blocs`` names the same blocs for every election. Elections count equally; noise is the mean of spread squared
+    over votes, over the number of elections. ``n`` is the mean number of placed votes. ``digits`` are those of positions
+    and of shares.
     """
+    names = list(dict.fromkeys(b for members in blocs.values() for b in members))
     long = None
     for name, votes in elections.items():
-        one = C.vote_index(votes, positions[name], blocs.get(name, {})).select("code", F.lit(name).alias("election"), "mean", "spread", "n")
+        one = C.vote_index(votes, positions[name], blocs.get(name, {}))
+        shares = [F.col(b) if b in blocs.get(name, {}) else F.lit(None).cast("double").alias(b) for b in names]
+        one = one.select("code", F.lit(name).alias("election"), "mean", "spread", "n", "unplaced", *shares)
         long = one if long is None else long.unionByName(one)
     k = F.count("mean")
-    per = long.groupBy("code").agg(F.avg("mean").alias("raw"), F.avg("n").alias("n"), (F.sum(F.col("spread") * F.col("spread") / F.col("n")) / (k * k)).alias("noise"), F.max("spread").alias("spread"))
-    per = per.where("raw is not null").withColumn("dep", F.substring("code", 1, 2))
+    per = long.groupBy("code").agg(
+        F.avg("mean").alias("raw"), F.avg("n").alias("n"), (F.sum(F.col("spread") * F.col("spread") / F.col("n")) / (k * k)).alias("noise"), F.avg("spread").alias("spread"), F.avg("unplaced").alias("unplaced"),
+        *[F.max(F.when(F.col("election") == e, F.col("mean"))).alias(f"index_{e}") for e in elections], *[F.avg(b).alias(b) for b in names])
+    per = per.withColumn("dep", F.substring("code", 1, 2))
     out = C.shrunk_to_group(per, "dep", "raw", "n", "noise") if shrink else per.withColumn("index", F.col("raw"))
-    return out.select("code", "index", "raw", "spread", "n")
+    rest = per.join(out.select("code", "index"), "code", "left")
+    two = ["index", "raw", *(f"index_{e}" for e in elections), "spread"]
+    return rest.select("code", *[F.bround(c, digits[0]).alias(c) for c in two], *[F.bround(c, digits[1]).alias(c) for c in (*names, "unplaced")], "n")
 
 
 def employment(residents: DataFrame, forms: DataFrame, jobs: DataFrame, least: float = 30.0) -> DataFrame:
@@ -193,35 +212,78 @@ def sectors(workers: DataFrame, groups: Mapping[str, Sequence[str]], labels: Map
 
 
 def tourist_beds(base: DataFrame, capacity: DataFrame, homes: DataFrame) -> DataFrame:
-    """P15. ``capacity(code, rooms, beds, passing, annual)``, ``homes(code, second_homes)``, base with population."""
-    zero = {"rooms": 0, "beds": 0, "passing": 0, "annual": 0}
-    d = J.filled_join(J.filled_join(base.select("code", "population"), capacity, zero), homes, {"second_homes": 0})
-    t = C.bed_totals(F.col("rooms"), F.col("beds"), F.col("passing"), F.col("second_homes"), F.col("annual"))
+    """P15. ``capacity(code, rooms, beds, pitches, annual)``, ``homes(code, second_homes, dwellings)``, base with
+    population -> beds of all kinds, bookable ones and second homes', shares, and the counts they come from.
+
+    ``beds`` are those of group lodgings; ``annual`` pitches, kept by the year, are part of ``pitches``.
+    """
+    zero = {"rooms": 0, "beds": 0, "pitches": 0, "annual": 0}
+    d = J.filled_join(base.select("code", "population"), capacity, zero).join(homes, "code", "left")
+    second = F.coalesce("second_homes", F.lit(0))
+    t = C.bed_totals(F.col("rooms"), F.col("beds"), F.col("pitches") - F.col("annual"), second, F.col("annual"))
     total = t["bookable"] + t["seasonal"]
-    return d.select("code", t["bookable"].alias("bookable"), t["seasonal"].alias("seasonal"), F.bround(F.try_divide(total, F.col("population")), 2).alias("beds_per_resident"), F.bround(t["share"], 1).alias("seasonal_share"))
+    whole = lambda c: F.bround(c, 0).cast("bigint")
+    part = lambda a, b: F.bround(F.when(b > 0, 100.0 * a / b), 2)
+    return d.select(
+        "code", whole(total).alias("all_beds"), F.bround(F.when(F.col("population") > 0, total / F.col("population")), 2).alias("beds_per_resident"), whole(t["bookable"]).alias("bookable"),
+        whole(t["seasonal"]).alias("second_home_beds"), part(t["bookable"], total).alias("bookable_share"), whole(F.col("rooms")).alias("rooms"), whole(F.col("pitches")).alias("pitches"),
+        whole(F.col("annual")).alias("annual"), whole(F.col("beds")).alias("group_beds"), whole(F.col("second_homes")).alias("second_homes"), part(F.col("second_homes"), F.col("dwellings")).alias("second_home_share"))
+
 
+def seasonal_bed_share(beds: DataFrame, flags: Mapping[str, bool]) -> DataFrame:
+    """``(code, seasonal_bed_share)``: share of bookable beds of the kinds that close out of season.
+
+    ``beds`` are tourist_beds() rows; ``flags`` may name rooms, pitches and group_beds. An error where the parts miss
+    the published bookable beds by more than one (J18).
+    """
+    parts = {"rooms": F.col("rooms") * 2, "pitches": (F.col("pitches") - F.col("annual")) * 3, "group_beds": F.col("group_beds")}
+    unknown = set(flags) - set(parts)
+    if unknown:
+        raise ValueError(f"no kind of bed {sorted(unknown)}")
+    total = sum(parts.values(), F.lit(0))
+    off = J.disagreements(beds.select("code", total.alias("parts")), beds.select("code", "bookable"), ["code"], "parts", "bookable", 1).limit(1).collect()
+    if off:
+        raise ValueError(f"{off[0]['code']}: parts {off[0]['parts']}, bookable {off[0]['bookable']}")
+    closing = sum((c for name, c in parts.items() if flags.get(name)), F.lit(0))
+    return beds.select("code", F.bround(F.when(total > 0, 100.0 * closing / total), 1).alias("seasonal_bed_share"))
 
-def seasonality(nights: DataFrame, base: DataFrame, summer: Sequence[int] = (6, 7, 8, 9), winter: Sequence[int] = (12, 1, 2, 3)) -> DataFrame:
-    """P16. ``nights(dep, month, value)`` -> each area's department curve: season shares, peak month, amplitude.
+
+def seasonality(nights: DataFrame, base: DataFrame, beds: DataFrame | None = None, flags: Mapping[str, bool] | None = None, summer: Sequence[int] = (6, 7, 8, 9), winter: Sequence[int] = (12, 1, 2, 3)) -> DataFrame:
+    """P16. ``nights(dep, month, value)`` -> each area's department curve: season shares, peak month, amplitude; with
+    tourist_beds() rows also the area's share of seasonal beds.
 
     Departments without all twelve months are left out.
     """
     m = nights.where("value is not null").groupBy("dep", "month").agg(F.sum("value").alias("v"))
     part = lambda months: F.bround(100.0 * F.sum(F.when(F.col("month").isin(*months), F.col("v")).otherwise(0.0)) / F.sum("v"), 1)
     per = m.groupBy("dep").agg(F.count("*").alias("k"), part(summer).alias("summer"), part(winter).alias("winter"), F.max_by("month", F.struct("v", -F.col("month"))).alias("peak"), F.bround(12 * F.max("v") / F.sum("v"), 2).alias("amplitude"))
-    return J.downward(base.select("code"), per.where("k = 12").drop("k"), K.department(F.col("code")), "dep")
+    out = J.downward(base.select("code"), per.where("k = 12").drop("k"), K.department(F.col("code")), "dep")
+    return out if beds is None else out.join(seasonal_bed_share(beds, flags or {}), "code", "left")
+
 
+def risk_registers(notices: DataFrame, dossiers: DataFrame, plans: DataFrame, atlas: DataFrame, flood_labels: Sequence[str], numbers: Mapping[str, str], flood_plan: str, coast_plans: Sequence[str]) -> DataFrame:
+    """P17. Flood notices and their latest year, strongest flood and coast plan, flood atlas, flood register and coast
+    hazard of every area in any register.
 
-def risk_registers(plans: DataFrame, notices: DataFrame, dossiers: DataFrame, numbers: Mapping[str, int]) -> DataFrame:
-    """P17. ``plans(code, stage, detail)``, ``notices(code, label)``, ``dossiers(code, number)`` -> strongest plan,
-    notices, coast class; areas in any register."""
+    ``notices(code, label, start)``, ``dossiers(code, number)``, ``plans(code, stage, detail, family, label)``,
+    ``atlas(code)``; ``numbers`` has the register's numbers of flood, submersion and retreat.
+    """
+    n = metropolitan(notices.where(F.col("label").isin(*flood_labels)), F.col("code")).groupBy("code")
+    n = n.agg(F.count("*").alias("notices"), F.max(F.substring("start", 1, 4).try_cast("int")).alias("latest"))
+    listed = lambda k: F.coalesce(F.bool_or(F.trim(F.col("number").cast("string")) == str(numbers[k])), F.lit(False))
+    d = metropolitan(dossiers, F.col("code")).groupBy("code").agg(listed("flood").alias("register"), K.coast_class(listed("submersion"), listed("retreat")).alias("coast"))
     rank = F.when(F.col("state") == "approuve", 3).when(F.col("state") == "prescrit", 2).otherwise(1)
-    p = metropolitan(plans, F.col("code")).withColumn("state", K.plan_state(F.col("stage"), F.col("detail"))).where("state is not null").groupBy("code").agg(F.max_by("state", rank).alias("plan"))
-    n = metropolitan(notices, F.col("code")).groupBy("code").agg(F.count("*").alias("notices"))
-    has = lambda k: F.coalesce(F.bool_or(F.col("number") == numbers[k]), F.lit(False))
-    d = metropolitan(dossiers, F.col("code")).groupBy("code").agg(K.coast_class(has("flood"), has("retreat")).alias("coast"))
-    out = p.join(n, "code", "full_outer").join(d, "code", "full_outer")
-    return out.select("code", F.coalesce("plan", F.lit("aucun")).alias("plan"), F.coalesce("notices", F.lit(0)).alias("notices"), F.coalesce("coast", F.lit("aucun")).alias("coast"))
+    p = metropolitan(plans, F.col("code")).withColumn("state", K.plan_state(F.col("stage"), F.col("detail"))).where("state is not null")
+    strongest = lambda on: F.max_by(F.when(on, F.col("state")), F.when(on, rank))
+    flood, coast = F.trim("family") == flood_plan, F.trim("label").isin(*coast_plans)
+    p = p.where(flood | coast).groupBy("code").agg(strongest(flood).alias("flood_plan"), strongest(coast).alias("coast_plan"))
+    a = metropolitan(atlas, F.col("code")).select("code").distinct().withColumn("atlas", F.lit(True))
+    out = n.join(d, "code", "full_outer").join(p, "code", "full_outer").join(a, "code", "full_outer")
+    yes = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "oui").otherwise("non")
+    none = lambda c: F.coalesce(c, F.lit("aucun"))
+    return out.select(
+        "code", F.coalesce("notices", F.lit(0)).alias("notices"), "latest", none("flood_plan").alias("flood_plan"), yes("atlas").alias("atlas"), yes("register").alias("register"),
+        none("coast").alias("coast"), none("coast_plan").alias("coast_plan"))
 
 
 def low_flows(depth: DataFrame, duration: DataFrame, levels: Sequence[str], indicators: tuple[str, str]) -> DataFrame:
@@ -270,19 +332,34 @@ def projected_heat(areas: DataFrame, cells: DataFrame, grid: DataFrame, values:
     return out.select("code", *[F.bround(F.coalesce(f"w_{c}", f"d_{c}"), 1).alias(c) for c in values], method.alias("method"))
 
 
-def air_quality(areas: DataFrame, cells: DataFrame, grids: DataFrame, origin: tuple[float, float], step: float, size: float) -> DataFrame:
-    """P22. ``grids(year, row, col, value)`` -> population-weighted mean over the years, worst cell, method.
+def air_quality(areas: DataFrame, cells: DataFrame, grids: DataFrame, origin: tuple[float, float], step: float, size: float, digits: int = 1) -> DataFrame:
+    """P22. ``grids(year, row, col, value)`` -> each area's mean over the years, lowest and highest year, worst cell,
+    method.
 
-    A cell counts if it has every year; an area without valid people takes its cells' plain mean.
+    A year's value is weighted by people; without valid people it is the mean of the grid cells whose centres lie in
+    the area, without these the value under a point inside it. The worst is the highest mean of a populated cell that
+    has every year.
     """
+    valid = grids.where("value is not null")
     years = grids.select("year").distinct().count()
-    means = grids.where("value is not null").groupBy("row", "col").agg(F.avg("value").alias("value"), F.count("*").alias("k")).where(F.col("k") == years).drop("k")
-    placed = cells_with_areas(cells, areas, size).where("code is not null")
-    sampled = J.sample_cells(placed, means, *origin, step, step)
-    v = F.col("value")
-    per = sampled.groupBy("code").agg(A.weighted_mean(v, F.col("pop")).alias("weighted"), F.avg(v).alias("plain"), F.max(v).alias("worst"))
-    value, method = J.fallback({"population": F.col("weighted"), "area": F.col("plain")})
-    return areas.select("code").join(per, "code", "left").select("code", F.bround(value, 1).alias("value"), F.bround("worst", 1).alias("worst"), method.alias("method"))
+    at = lambda df: df.withColumns({"row": F.floor((F.col("y") - origin[1]) / step), "col": F.floor((F.col("x") - origin[0]) / step)})
+    people = cut(at(cells_with_areas(cells, areas, size).where("code is not null")).select("cell", "code", "pop", "row", "col"))
+    centres = grids.select("row", "col").distinct().withColumns({"x": origin[0] + (F.col("col") + 0.5) * step, "y": origin[1] + (F.col("row") + 0.5) * step})
+    inside = S.one_polygon(S.points_in_polygons(centres, areas.select(F.col("code").alias("poly"), "rings"), size), ["row", "col"]).where("poly is not null").withColumnRenamed("poly", "code")
+    inside = cut(inside)
+    points = areas.select("code", G.interior_point(F.col("rings")).alias("p")).select("code", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    by_people = people.join(valid, ["row", "col"]).groupBy("code", "year").agg(A.weighted_mean(F.col("value"), F.col("pop")).alias("weighted"))
+    by_area = inside.join(valid, ["row", "col"]).groupBy("code", "year").agg(F.avg("value").alias("plain"))
+    by_point = at(points).join(valid, ["row", "col"]).select("code", "year", F.col("value").alias("under"))
+    yearly = by_people.join(by_area, ["code", "year"], "full_outer").join(by_point, ["code", "year"], "full_outer")
+    value = F.coalesce("weighted", "plain", "under")
+    per = yearly.groupBy("code").agg(F.avg(value).alias("value"), F.min(value).alias("lowest"), F.max(value).alias("highest"))
+    worst = people.join(valid, ["row", "col"]).groupBy("cell", "code").agg(F.avg("value").alias("v"), F.count("*").alias("k")).where(F.col("k") == years)
+    worst = worst.groupBy("code").agg(F.max("v").alias("worst"))
+    has = lambda df, name: df.select("code").distinct().withColumn(name, F.lit(True))
+    out = areas.select("code").join(per, "code", "left").join(worst, "code", "left").join(has(people, "__p"), "code", "left").join(has(inside, "__a"), "code", "left")
+    method = F.when(F.col("__p"), "population").when(F.col("__a"), "surface").otherwise("point")
+    return out.select("code", *[F.bround(c, digits).alias(c) for c in ("value", "lowest", "highest", "worst")], method.alias("method"))
 
 
 def air_cells(grids: DataFrame, origin: tuple[float, float], step: float) -> DataFrame:
@@ -303,42 +380,169 @@ def clay(areas: DataFrame, cells: DataFrame, zones: DataFrame, size: float) -> D
     return areas.select("code").join(per, "code", "left")
 
 
-def climate(daily: DataFrame, pairs: DataFrame, corrections: DataFrame, decimals: int = 1) -> DataFrame:
-    """P25. ``daily(point, year, month, tx, tn, precip)``, ``pairs(code, point, weight, dz)`` with dz in km,
-    ``corrections(month, a, b)`` -> ``(code, month, tx, tn, precip)``, month 13 being the year.
+#: Grid columns that get a monthly correction from stations, rows of the climate table and how each forms
+#: its year (mean: weighted by days; fit: from yearly extremes with a correction of their own).
+CORRECTED = ("tx", "tm", "tn", "tx_max", "tn_min", "hu")
+TABLE_ROWS = {
+    "record_high": "max", "mean_max": "fit", "tx": "mean", "tm": "mean", "tn": "mean", "mean_min": "fit", "record_low": "min",
+    "precip": "sum", "rainy": "sum", "snow": "sum", "hu": "mean", "solar": "sum",
+}
+WHOLE_ROWS = ("hu", "solar")
+SHIFT_STEP, SHIFT_REACH = 0.25, 12.0
+
+
+def month_summaries(daily: DataFrame, rainy: float = 1.0, energy: float = 360.0) -> DataFrame:
+    """``(point, year, month, tx, tm, tn, tx_max, tn_min, precip, rainy, hu, ssi)`` of ``daily(point, year, month, tx, tn,
+    t, precip, hu, ssi)``; month 13 has the year's extremes (A15-A17, A19)."""
+    mean = lambda a, b: F.avg(a).alias(b)
+    months = daily.groupBy("point", "year", "month").agg(
+        mean("tx", "tx"), mean("t", "tm"), mean("tn", "tn"), F.max("tx").alias("tx_max"), F.min("tn").alias("tn_min"), F.sum("precip").alias("precip"),
+        F.count_if(F.col("precip") >= rainy).cast("double").alias("rainy"), mean("hu", "hu"), (F.sum("ssi") / energy).alias("ssi"))
+    whole = months.groupBy("point", "year").agg(F.max("tx_max").alias("tx_max"), F.min("tn_min").alias("tn_min")).withColumn("month", F.lit(13).cast(months.schema["month"].dataType))
+    return months.unionByName(whole, allowMissingColumns=True)
+
+
+def station_errors(monthly: DataFrame, obs: DataFrame, stations: DataFrame, least_years: int) -> DataFrame:
+    """``(key, month, post, dz, obs, grid)``: each station's mean over the years beside its grid point's, of months with
+    enough years; month 13 compares the extremes of years observed in all twelve months.
 
-    Point months are averaged over years, corrected by a + b dz, and weighted by people.
+    ``obs(post, year, month, tx, tm, tn, tx_max, tn_min, hu, rainy)``, ``stations(post, point, dz)`` with dz in km.
     """
-    monthly = daily.groupBy("point", "year", "month").agg(F.avg("tx").alias("tx"), F.avg("tn").alias("tn"), F.sum("precip").alias("precip"))
-    normal = monthly.groupBy("point", "month").agg(*[F.avg(c).alias(c) for c in ("tx", "tn", "precip")])
-    joined = pairs.join(normal, "point").join(corrections, "month", "left")
-    shift = F.coalesce(F.col("a") + F.col("b") * F.col("dz"), F.lit(0.0))
-    joined = joined.withColumns({"tx": F.col("tx") + shift, "tn": F.col("tn") + shift})
-    table = joined.groupBy("code", "month").agg(*[A.weighted_mean(F.col(c), F.col("weight")).alias(c) for c in ("tx", "tn", "precip")])
-    year = table.groupBy("code").agg(F.lit(13).alias("month"), F.max("tx").alias("tx"), F.min("tn").alias("tn"), F.sum("precip").alias("precip"))
-    return table.unionByName(year).select("code", "month", *[F.bround(c, decimals).alias(c) for c in ("tx", "tn", "precip")])
-
-
-def fire_model(areas: DataFrame, train: DataFrame, test: DataFrame, features: Sequence[str], radius: float, years: int, ridge: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """P26. ``areas(code, x, y, area, features...)``, ``train`` and ``test(code, fires)`` -> rates per area, and one
-    row of quality: dispersion, AUC of the model and of past fires alone, top-decile capture."""
-    d = areas.join(train.withColumnRenamed("fires", "events"), "code", "left").fillna({"events": 0})
-    d = d.join(M.neighbour_rate(d, radius, years), "code").withColumnRenamed("rate", "neighbours")
-    d = d.withColumns({"near": F.log1p("neighbours"), "exposure": F.col("area") * years})
-    scaled, _ = M.standardised(d, [*features, "near"])
-    z = [f"z_{c}" for c in (*features, "near")]
+    keys = (*CORRECTED, "rainy")
+    year = obs.groupBy("post", "year").agg(
+        A.complete(F.max("tx_max"), F.col("tx_max"), 12).alias("tx_max"), A.complete(F.min("tn_min"), F.col("tn_min"), 12).alias("tn_min")).withColumn("month", F.lit(13).cast(obs.schema["month"].dataType))
+    seen = obs.select("post", "year", "month", *keys).unionByName(year, allowMissingColumns=True).unpivot(["post", "year", "month"], list(keys), "key", "obs").where("obs is not null")
+    grid = monthly.unpivot(["point", "year", "month"], list(keys), "key", "grid").where("grid is not null")
+    both = seen.join(stations, "post").join(grid, ["point", "year", "month", "key"])
+    per = both.groupBy("key", "month", "post").agg(F.first("dz").alias("dz"), F.avg("obs").alias("obs"), F.avg("grid").alias("grid"), F.count("*").alias("years"))
+    return per.where(F.col("years") >= least_years).drop("years")
+
+
+def calibration(errors: DataFrame, folds: int = 10, limits: Mapping[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Corrections obs - grid = a + b dz by key and month with out-of-fold errors, the 13th month being the yearly
+    extremes' (M31, M32), and the rainy-day factors by month (M33). An error where a month misses its key's limit."""
+    rows = errors.where(F.col("key").isin(*CORRECTED)).withColumn("err", F.col("obs") - F.col("grid"))
+    fits, _ = M.cross_validated_line(rows, ["key", "month"], "dz", "err", F.pmod(F.xxhash64("post"), F.lit(folds)))
+    fits = cut(fits)
+    if limits:
+        worst = fits.where("month <= 12").groupBy("key").agg(F.max("rmse").alias("rmse")).collect()
+        off = {r["key"]: r["rmse"] for r in worst if r["rmse"] is not None and r["rmse"] > limits.get(r["key"], float("inf"))}
+        if off:
+            raise ValueError(f"cross-validated errors beyond their limits: {off}")
+    return fits, M.monthly_factors(errors.where("key = 'rainy' and month <= 12"), "obs", "grid")
+
+
+def climate(daily: DataFrame, obs: DataFrame, stations: DataFrame, pairs: DataFrame, least_years: int = 8, wet: float = 1.0, freezing: float = 0.0, limits: Mapping[str, float] | None = None, more_digits: int = 0) -> DataFrame:
+    """P25. The climate table: TABLE_ROWS as columns of ``(code, month)``, month 13 being the year.
+
+    ``daily(point, day, year, month, tx, tn, t, precip, hu, ssi)``, ``obs`` and ``stations`` as in station_errors(),
+    ``pairs(code, point, weight, dz)`` with dz in km. Temperatures and humidity are corrected by month and height from
+    stations, rainy days scaled, snowy days counted at the corrected height; an area's value is weighted by people.
+    ``more_digits`` than the published ones may be kept.
+    """
+    monthly = cut(month_summaries(daily, wet))
+    years = daily.select("year").distinct().count()
+    fits, factors = calibration(station_errors(monthly, obs, stations, least_years), limits=limits)
+    of = lambda key: fits.where(F.col("key") == key).select("month", F.col("a").alias(f"a_{key}"), F.col("b").alias(f"b_{key}"))
+    normal = monthly.groupBy("point", "month").agg(*[F.avg(c).alias(c) for c in (*CORRECTED, "precip", "rainy", "ssi")], F.max("tx_max").alias("highest"), F.min("tn_min").alias("lowest"))
+    rows = pairs.join(normal, "point")
+    for key in CORRECTED:
+        rows = rows.join(F.broadcast(of(key)), "month", "left")
+    rows = rows.join(F.broadcast(factors.select("month", "factor")), "month", "left")
+    shift = lambda key: F.col(f"a_{key}") + F.col(f"b_{key}") * F.col("dz")
+    # A wet day is snowy if its low plus the shift is at or below freezing: a count of -low at the opposite shift.
+    cold = daily.where(F.col("precip") >= wet).select("point", "month", (-F.col("tn")).alias("cold"))
+    low, high = -SHIFT_REACH, SHIFT_REACH
+    counts = A.shift_counts(cold, ["point", "month"], "cold", SHIFT_STEP, [low, high], -freezing)
+    wanted = rows.where("month <= 12").select("code", "point", "month", (-shift("tn")).alias("shift"))
+    snow = A.interpolated_counts(counts, wanted.where("shift is not null"), ["point", "month"], SHIFT_STEP, low, high)
+    rows = rows.join(snow.select("code", "point", "month", (F.col("days") / years).alias("snow")), ["code", "point", "month"], "left")
+    # A point that never has a wet day in a month has no counts there, and no snow.
+    rows = rows.withColumn("snow", F.coalesce("snow", F.when(F.col("a_tn").isNotNull() & (F.col("month") <= 12), F.lit(0.0))))
+    values = {
+        "record_high": F.col("highest") + shift("tx_max"), "mean_max": F.col("tx_max") + shift("tx_max"), "tx": F.col("tx") + shift("tx"), "tm": F.col("tm") + shift("tm"),
+        "tn": F.col("tn") + shift("tn"), "mean_min": F.col("tn_min") + shift("tn_min"), "record_low": F.col("lowest") + shift("tn_min"), "precip": F.col("precip"),
+        "rainy": F.col("rainy") * F.col("factor"), "snow": F.col("snow"), "hu": F.col("hu") + shift("hu"), "solar": F.col("ssi"),
+    }
+    table = cut(rows.groupBy("code", "month").agg(*[A.weighted_mean(v, F.col("weight")).alias(name) for name, v in values.items()]))
+    days = daily.groupBy("month").agg((F.count_distinct("day") / F.lit(years)).alias("days"))
+    months = table.where("month <= 12").join(F.broadcast(days), "month")
+    how = {"max": F.max, "min": F.min, "sum": F.sum, "mean": lambda c: A.weighted_mean(F.col(c), F.col("days"))}
+    year = months.groupBy("code").agg(*[how[rule](name).alias(name) for name, rule in TABLE_ROWS.items() if rule != "fit"])
+    fitted = table.where("month = 13").select("code", *[name for name, rule in TABLE_ROWS.items() if rule == "fit"])
+    year = year.join(fitted, "code", "left").withColumn("month", F.lit(13).cast(table.schema["month"].dataType))
+    digits = lambda name: more_digits + (0 if name in WHOLE_ROWS else 1)
+    return table.where("month <= 12").unionByName(year).select("code", "month", *[F.bround(name, digits(name)).alias(name) for name in TABLE_ROWS])
+
+
+def wind_days(daily: DataFrame, months: Sequence[int], least: float) -> DataFrame:
+    """``(point, x, y, days)``: mean number of days a year, within ``months``, whose wind reaches ``least``; an error
+    where a point lacks a year. ``daily(point, x, y, year, month, wind)``."""
+    season = daily.where(F.col("month").isin(*months))
+    per = season.groupBy("point", "x", "y", "year").agg(F.count_if(F.col("wind") >= least).alias("d"))
+    years = season.select("year").distinct().count()
+    points = cut(per.groupBy("point", "x", "y").agg(F.avg("d").alias("days"), F.count("*").alias("k")))
+    short = points.where(F.col("k") < years).limit(1).collect()
+    if short:
+        raise ValueError(f"point {short[0]['point']} lacks {years - short[0]['k']} years")
+    return points.select("point", "x", "y", "days")
+
+
+def fire_model(areas: DataFrame, train: DataFrame, test: DataFrame, wind: DataFrame, regimes: Mapping[str, Sequence[str]], radius: float, years: int, size: float, smoothing: float = 5.0, ridge: float = 1.0, other: str = "nord") -> tuple[DataFrame, DataFrame]:
+    """P26. ``areas(code, x, y, area, density, weather, weather_2050)``, ``train`` and ``test(code, fires, small)``, ``wind`` of
+    wind_days(), regime -> its departments -> per area: rate now and in 2050, the factor between them, large fires,
+    neighbours' rate, wind days and regime; and one row of quality: dispersion, AUC of the model and of past fires
+    alone, top-decile capture.
+
+    ``fires`` are large ones and ``small`` all. Features are the neighbours' rates of both, fire weather, wind, density
+    and its square about the mean, and the regimes.
+    """
+    fires = train.select("code", F.col("fires").alias("events"), F.col("small").alias("every"))
+    d = areas.join(fires, "code", "left").fillna({"events": 0, "every": 0})
+    near = S.nearest(d.select(F.col("code").alias("id"), "x", "y"), wind.select(F.col("point").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy")), size)
+    d = d.join(near.join(wind.select(F.col("point").alias("site"), "days"), "site").select(F.col("id").alias("code"), F.col("days").alias("wind")), "code")
+    label = F.coalesce(*[F.when(K.department(F.col("code")).isin(*deps), F.lit(name)) for name, deps in regimes.items()], F.lit(other))
+    d = cut(d.withColumn("regime", label))
+    big = M.neighbour_rate(d, radius, years).withColumnRenamed("rate", "neighbours")
+    small = M.neighbour_rate(d.drop("events").withColumnRenamed("every", "events"), radius, years).withColumnRenamed("rate", "all_neighbours")
+    d = d.join(big, "code").join(small, "code").withColumns({"dense": F.log1p("density"), "exposure": F.col("area") * years})
+    mean = d.agg(F.avg("dense")).first()[0]
+    d = d.withColumns({
+        "f_big": F.log(F.col("neighbours") + 1), "f_all": F.log(F.col("all_neighbours") + 10), "f_weather": F.log1p("weather"), "f_wind": F.log1p("wind"), "f_dense": F.col("dense"),
+        "f_dense2": F.pow(F.col("dense") - mean, 2), **{f"f_r{i}": (F.col("regime") == name).cast("double") for i, name in enumerate(regimes)},
+    })
+    names = [c for c in d.columns if c.startswith("f_")]
+    scaled, _ = M.standardised(cut(d), names)
+    z = [f"z_{c}" for c in names]
     beta = M.fit_poisson(scaled, z, "events", "exposure", ridge)
-    out = M.with_prediction(scaled, z, beta, "exposure")
-    judged = out.join(test.withColumnRenamed("fires", "later"), "code", "left").fillna({"later": 0}).withColumn("hit", F.col("later") > 0)
+    out = cut(M.with_prediction(scaled, z, beta, "exposure"))
+    judged = out.join(test.withColumnRenamed("fires", "later").select("code", "later"), "code", "left").fillna({"later": 0}).withColumn("hit", F.col("later") > 0)
     past = judged.withColumn("past", F.col("events") / F.col("area"))
     quality = M.dispersion(out, "events", len(beta)).crossJoin(M.auc(judged, "rate", "hit")).crossJoin(M.auc(past, "past", "hit").withColumnRenamed("auc", "auc_past")).crossJoin(M.top_capture(judged, "rate", "later", "code"))
-    return out.select("code", "events", "rate", "expected"), quality
+    factor = C.smoothed_factor(F.col("weather_2050"), F.col("weather"), smoothing)
+    rate = F.col("rate") * PER_KM2_DECADE
+    published = out.select(
+        "code", F.round(rate * factor, 3).alias("rate_2050"), F.round(rate, 3).alias("rate"), F.round(factor, 2).alias("factor"), F.col("events").cast("bigint").alias("fires"),
+        F.round("neighbours", 2).alias("neighbours"), F.round("wind", 1).alias("wind_days"), "regime")
+    return published, quality
+
+
+#: Published fire rates are per 1,000 km2 and decade.
+PER_KM2_DECADE = 10_000.0
 
 
 def habitability(df: DataFrame, indicators: Sequence[C.Indicator], required: str, labels: Mapping[str, str]) -> DataFrame:
-    """P27. Absolute and positional scores and the alerts."""
-    a = C.composite_score(df, indicators, required, labels, method="absolute").select("code", F.bround("score", 1).alias("score"), "alerts")
-    p = C.composite_score(df, indicators, required, labels, method="positional").select("code", F.bround("score", 1).alias("position"))
+    """P27. Absolute and positional score, each category's intensity by either (``_pos``), and the alerts.
+
+    Categories are blank where the area has no score.
+    """
+    names = list(labels)
+    kept = lambda c: F.bround(F.when(F.col("score").isNotNull(), F.col(c)), 1)
+    a = C.composite_score(df, indicators, required, labels, method="absolute")
+    a = a.select("code", F.bround("score", 0).alias("score"), *[kept(c).alias(c) for c in names])
+    p = C.composite_score(df, indicators, required, labels, method="positional")
+    alerts = F.when(F.col("score").isNotNull(), F.col("alerts"))
+    p = p.select("code", F.bround("score", 0).alias("position"), *[kept(c).alias(f"{c}_pos") for c in names], alerts.alias("alerts"))
     return a.join(p, "code")
 
 

@@ -29,6 +29,7 @@ VIEWS = {
         from {lineitem} join {orders} on l_orderkey=o_orderkey""",
     "daily_grid": """select l_suppkey as point, cast(l_shipdate as date) as day, cast(year(l_shipdate) as int) as year, cast(month(l_shipdate) as int) as month,
         max(l_quantity) as tx, max(l_discount)*100e0 as precip from {lineitem} group by 1,2,3,4""",
+    "climate_days": """select point, day, year, month, cast(tx as double) as tx, tx - 12e0 - precip/10 as tn, tx - 5e0 as t, precip, 40e0 + tx/2 as hu, tx*20e0 as ssi from {daily_grid}""",
     "patterns": """select l_orderkey as trip, o_orderpriority as product, cast(l_suppkey % 50 as int) as stop, cast(l_quantity as int) as minutes,
         cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) as int) as pos
         from {lineitem} join {orders} on l_orderkey=o_orderkey""",
@@ -96,7 +97,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ["q_scalars", "q_joins", "q_aggregates", "q_ranks", "q_scores", "q_models", "q_geometry", "q_networks", "q_contract", "q_pipelines"]
+MODULES = ["q_scalars", "q_joins", "q_aggregates", "q_ranks", "q_scores", "q_models", "q_geometry", "q_networks", "q_contract", "q_sources", "q_more", "q_pipelines", "q_pipelines_more"]
 
 
 def _load() -> None:

@@ -33,10 +33,10 @@ def _(v):
     return P.drought(records)
 
 
-@query("p4_fires", "select code, count(*) as fires, round_even(max(ha*10000/1e4),2) as largest_ha, max(year) as latest from {fires} group by 1")
+@query("p4_fires", "select code, count(*) as fires, round(round_even(sum(ha*10000/1e4),2),1) as ha, round_even(max(ha*10000/1e4),2) as largest_ha, max(year) as latest from {fires} group by 1")
 def _(v):
     out = P.fires(v.fires.select(F.col("year").cast("string").alias("year"), "code", (F.col("ha") * 10_000).cast("string").alias("surface_m2")))
-    return out.drop("ha")
+    return out.withColumn("ha", F.round("ha", 1))
 
 
 @query("p5_food_access", """
@@ -58,8 +58,8 @@ def _(v):
 
 @query("p8_prices", """
 with m as (select id_mutation, max(valeur) as value, count(distinct code) as nc, count(distinct type_local) as nt, min(code) as code, min(type_local) as kind, sum(surface) as surface from {sale_rows} group by 1),
-k as (select code, kind, value/surface as p from m where value > 0 and nc=1 and nt=1 and surface >= 9 and kind in ('A','N') and value/surface between 200 and 20000)
-select code, case when count(*) >= 2 then round_even(quantile_cont(p,0.5),0) end as price, case when count(*) filter (where kind='A') >= 2 then round_even(quantile_cont(case when kind='A' then p end,0.5),0) end as house_price, case when count(*) filter (where kind='N') >= 2 then round_even(quantile_cont(case when kind='N' then p end,0.5),0) end as flat_price, count(*) as sales from k group by 1
+k as (select code, kind, value, value/surface as p from m where value > 0 and nc=1 and nt=1 and surface >= 9 and kind in ('A','N') and value/surface between 200 and 20000)
+select code, case when count(*) >= 2 then round_even(quantile_cont(p,0.5),0) end as price, case when count(*) filter (where kind='A') >= 2 then round_even(quantile_cont(case when kind='A' then p end,0.5),0) end as house_price, case when count(*) filter (where kind='N') >= 2 then round_even(quantile_cont(case when kind='N' then p end,0.5),0) end as flat_price, case when count(*) filter (where kind='A') >= 2 then round_even(quantile_cont(case when kind='A' then value end,0.5)/100,0)*100 end as house_value, count(*) as sales from k group by 1
 """)
 def _(v):
     kind = F.when(F.col("type_local") == "A", "Maison").when(F.col("type_local") == "N", "Appartement").otherwise("Local")
@@ -69,7 +69,8 @@ def _(v):
 @query("p9_age_structure", """
 with h as (select lpad(l_suppkey::varchar,5,'0') as code, l_quantity::int*2 as age, count(*)::double as n from {lineitem} group by 1,2), c as (select *, sum(n) over (partition by code order by age) as cum, sum(n) over (partition by code) as total from h),
 md as (select code, round_even(age+(total/2-(cum-n))/n,1) as median from c where cum-n < total/2 and cum >= total/2)
-select h.code, round_even(sum(n),0) as people, round_even(100*sum(case when age < 20 then n else 0 end)/sum(n),1) as under_20, round_even(100*sum(case when age >= 65 then n else 0 end)/sum(n),1) as over_65, round_even(100*sum(case when age >= 75 then n else 0 end)/sum(n),1) as over_75, any_value(median) as median_age, case when sum(case when age < 20 then n else 0 end) >= 20 then round_even(100*sum(case when age >= 65 then n else 0 end)/sum(case when age < 20 then n else 0 end),1) end as ageing_index from h join md on h.code=md.code group by 1
+select h.code, round_even(sum(n),0) as people, sum(case when age <= 14 then n else 0 end) as age_0_14, sum(case when age between 15 and 29 then n else 0 end) as age_15_29, sum(case when age between 30 and 44 then n else 0 end) as age_30_44, sum(case when age between 45 and 59 then n else 0 end) as age_45_59,
+ sum(case when age between 60 and 74 then n else 0 end) as age_60_74, sum(case when age >= 75 then n else 0 end) as age_75_plus, round_even(100*sum(case when age < 20 then n else 0 end)/sum(n),1) as under_20, round_even(100*sum(case when age >= 65 then n else 0 end)/sum(n),1) as over_65, round_even(100*sum(case when age >= 75 then n else 0 end)/sum(n),1) as over_75, any_value(median) as median_age, case when sum(case when age < 20 then n else 0 end) >= 20 then round_even(100*sum(case when age >= 65 then n else 0 end)/sum(case when age < 20 then n else 0 end),1) end as ageing_index from h join md on h.code=md.code group by 1
 """)
 def _(v):
     single = v.lineitem.groupBy("l_suppkey", (F.col("l_quantity").cast("int") * 2).alias("age")).agg(F.count("*").alias("n"))
@@ -82,58 +83,69 @@ def _(v):
 
 @query("p10_presidential", """
 with r as (select code, opt, votes, round(100e0*votes/sum(votes) over (partition by code),6) as pct from {votes}), w as (select code, opt as leader, row_number() over (partition by code order by votes desc, opt) as k from r)
-select w.code, leader, p.t1_a, p.t1_e, p.turnout_t2, p.t2_a from w join (select code, max(case when opt='1-URGENT' then pct end) as t1_a, max(case when opt='5-LOW' then pct end) as t1_e, max(case when votes > 2 then 70e0 end) as turnout_t2, max(case when opt='1-URGENT' and votes > 2 then pct end) as t2_a from r group by 1) p on w.code=p.code where k = 1
+select w.code, leader, p.* exclude (code) from w join (select code, max(case when opt='1-URGENT' then pct end) as t1_a, max(case when opt='2-HIGH' then pct end) as t1_b, max(case when opt='3-MEDIUM' then pct end) as t1_c, max(case when opt='4-NOT SPECIFIED' then pct end) as t1_d, max(case when opt='5-LOW' then pct end) as t1_e, max(case when votes > 2 then 70e0 end) as turnout_t2, max(case when opt='1-URGENT' and votes > 2 then pct end) as t2_a from r group by 1) p on w.code=p.code where k = 1
 """)
 def _(v):
     total = v.votes.groupBy("code").agg(F.sum("votes").alias("t"))
     rows = v.votes.join(total, "code").select("code", F.lit(70.0).alias("turnout"), F.col("opt").alias("name"), "votes", F.round(100.0 * F.col("votes") / F.col("t"), 6).alias("pct"), F.substring("opt", 1, 1).cast("int").alias("pos"))
     slugs = {"1-URGENT": "a", "2-HIGH": "b", "3-MEDIUM": "c", "4-NOT SPECIFIED": "d", "5-LOW": "e"}
     out = P.presidential(rows, rows.where("votes > 2"), slugs, ["1-URGENT"])
-    return out.select("code", "leader", "t1_a", "t1_e", "turnout_t2", "t2_a")
+    return out
 
 
 @query("p11_municipal", """
 with w as (select code, opt, row_number() over (partition by code order by votes desc, opt) as k from {votes}), s as (select code, opt, row_number() over (partition by code order by votes desc, opt) as k from {votes} where votes > 3 and opt <> '1-URGENT')
-select a.code, a.lists, case when s.code is not null then 'oui' else 'non' end as runoff, coalesce(s.opt, w.opt) as list from (select code, count(*) as lists from {votes} group by 1) a join w on a.code=w.code and w.k=1 left join s on a.code=s.code and s.k=1
+select a.code, a.lists, case when s.code is not null then 'oui' else 'non' end as runoff, coalesce(s.opt, w.opt) as list, case when coalesce(s.opt, w.opt) like '%M%' then 'Divers' else 'Gauche' end as nuance, 60e0 as turnout from (select code, count(*) as lists from {votes} group by 1) a join w on a.code=w.code and w.k=1 left join s on a.code=s.code and s.k=1
 """)
 def _(v):
-    rows = v.votes.select("code", F.lit(60.0).alias("turnout"), F.substring("opt", 1, 1).cast("int").alias("pos"), F.col("opt").alias("list"), F.lit("LDIV").alias("nuance"), "votes")
-    out = P.municipal(rows, rows.where("votes > 3 and list <> '1-URGENT'"), {"LDIV": "Divers"})
-    return out.select("code", "lists", "runoff", "list")
+    rows = v.votes.select("code", F.lit(60.0).alias("turnout"), F.substring("opt", 1, 1).cast("int").alias("pos"), F.col("opt").alias("list"), F.when(F.col("opt").contains("M"), "LDIV").otherwise("LDVG").alias("nuance"), "votes")
+    return P.municipal(rows, rows.where("votes > 3 and list <> '1-URGENT'"), {"LDIV": "Divers", "LDVG": "Gauche"})
 
 
 @query("p12_left_right", """
 with x(opt,x) as (values ('1-URGENT',1e0),('2-HIGH',3e0),('3-MEDIUM',5e0),('5-LOW',8e0)), b as (select 'all' as e, code, opt, votes from {votes} union all select 'late', lpad(o_custkey::varchar,5,'0'), o_orderpriority, count(*) from {orders} where o_orderdate >= '1997-01-01' group by 1,2,3),
-i as (select e, code, sum(votes*x)/sum(case when x is not null then votes end) as mean, sum(votes*x*x)/sum(case when x is not null then votes end) as sq, sum(case when x is not null then votes end)::double as n from b left join x on b.opt=x.opt group by 1,2),
-p as (select code, substr(code,1,2) as dep, avg(mean) as raw, avg(n) as n, sum(greatest(sq-mean*mean,0)/n)/(count(mean)*count(mean)) as noise from i group by 1 having count(mean) > 0),
-g as (select dep, sum(raw*n)/sum(n) as prior, greatest(var_samp(raw)-avg(noise),0.1*var_samp(raw)) as tau from p group by 1),
-w as (select p.*, prior, coalesce(tau/nullif(tau+noise,0),1) as w from p join g on p.dep=g.dep)
-select code, round(w*raw+(1-w)*prior,6) as index, round(raw,6) as raw, round(n,6) as n from w
+i as (select e, code, sum(votes*x)/sum(case when x is not null then votes end) as mean, sum(votes*x*x)/sum(case when x is not null then votes end) as sq, sum(case when x is not null then votes end)::double as n, 100e0*sum(case when b.opt in ('1-URGENT','2-HIGH') then votes else 0 end)/sum(votes) as lft, 100e0*sum(case when b.opt='5-LOW' then votes else 0 end)/sum(votes) as rgt, 100e0*sum(case when x is null then votes else 0 end)/sum(votes) as unplaced from b left join x on b.opt=x.opt group by 1,2),
+p as (select code, substr(code,1,2) as dep, avg(mean) as raw, avg(n) as n, sum(greatest(sq-mean*mean,0)/n)/nullif(count(mean)*count(mean),0) as noise, avg(case when mean is not null then sqrt(greatest(sq-mean*mean,0)) end) as spread, max(case when e='all' then mean end) as index_all, max(case when e='late' then mean end) as index_late, avg(lft) as lft, avg(rgt) as rgt, avg(unplaced) as unplaced from i group by 1),
+g as (select dep, sum(raw*n)/sum(n) as prior, greatest(var_samp(raw)-avg(noise),0.1*var_samp(raw)) as tau from p where raw is not null group by 1),
+w as (select p.*, prior, coalesce(tau/nullif(tau+noise,0),1) as w from p left join g on p.dep=g.dep)
+select code, round(w*raw+(1-w)*prior,5) as index, round(raw,5) as raw, round(index_all,5) as index_all, round(index_late,5) as index_late, round(spread,4) as spread, round(lft,5) as lft, round(rgt,5) as rgt, round(unplaced,5) as unplaced, round(n,5) as n from w
 """)
 def _(v):
     x = v.spark.createDataFrame([("1-URGENT", 1.0), ("2-HIGH", 3.0), ("3-MEDIUM", 5.0), ("5-LOW", 8.0)], "opt string, x double")
     late = v.orders.where("o_orderdate >= '1997-01-01'").groupBy(F.lpad(F.col("o_custkey").cast("string"), 5, "0").alias("code"), F.col("o_orderpriority").alias("opt")).agg(F.count("*").alias("votes"))
-    return P.left_right({"all": v.votes, "late": late}, {"all": x, "late": x}, {}).select("code", *[F.round(c, 6).alias(c) for c in ("index", "raw", "n")])
+    blocs = {"lft": ["1-URGENT", "2-HIGH"], "rgt": ["5-LOW"]}
+    out = P.left_right({"all": v.votes, "late": late}, {"all": x, "late": x}, {"all": blocs, "late": blocs}, digits=(9, 9))
+    return out.select("code", *[F.round(c, 4 if c == "spread" else 5).alias(c) for c in out.columns[1:]])
 
 
 @query("p16_seasonality", """
 with m as (select lpad((point % 25)::varchar,2,'0') as dep, month, sum(tx) as v from {daily_grid} group by 1,2), p as (select dep, round_even(100*sum(case when month in (6,7,8,9) then v else 0 end)/sum(v),1) as summer, round_even(100*sum(case when month in (12,1,2,3) then v else 0 end)/sum(v),1) as winter, arg_max(month, v) as peak, round_even(12*max(v)/sum(v),2) as amplitude from m group by 1 having count(*) = 12)
-select a.code, p.* exclude (dep), substr(a.code,1,2) as dep from {areas} a left join p on substr(a.code,1,2)=p.dep
+select a.code, p.* exclude (dep), substr(a.code,1,2) as dep, round_even(case when population%5*2+population%4*3+population%9 > 0 then 100e0*(population%4*3)/(population%5*2+population%4*3+population%9) end,1) as seasonal_bed_share from {areas} a left join p on substr(a.code,1,2)=p.dep
 """)
 def _(v):
     nights = v.daily_grid.select(F.lpad((F.col("point") % 25).cast("string"), 2, "0").alias("dep"), "month", F.col("tx").alias("value"))
-    return P.seasonality(nights, v.areas)
+    n = F.col("population")
+    capacity = v.areas.select("code", (n % 5).alias("rooms"), (n % 9).alias("beds"), (n % 4 + n % 3).alias("pitches"), (n % 3).alias("annual"))
+    beds = P.tourist_beds(v.areas, capacity, v.areas.select("code", (n % 7).alias("second_homes"), (n % 7 + 10).alias("dwellings")))
+    return P.seasonality(nights, v.areas, beds, {"pitches": True})
 
 
 @query("p17_risk_registers", """
-with p as (select code, case max(case type_local when 'A' then 3 when 'N' then 2 else 1 end) when 3 then 'approuve' when 2 then 'prescrit' else 'caduque' end as plan from {sale_rows} group by 1), n as (select code, count(*) as notices from {fires} where ha > 8 group by 1),
-d as (select code, bool_or(surface = 7) as f, bool_or(surface = 9) as r from {sale_rows} group by 1)
-select coalesce(p.code,n.code,d.code) as code, coalesce(plan,'aucun') as plan, coalesce(notices,0) as notices, case when f and r then 'les_deux' when f then 'submersion' when r then 'recul' else 'aucun' end as coast from p full join n on p.code=n.code full join d on coalesce(p.code,n.code)=d.code
+with n as (select code, count(*) as notices, max(year) as latest from {fires} where ha > 8 group by 1), r as (select code, type_local, surface::int as s, case type_local when 'A' then 3 when 'N' then 2 else 1 end as k from {sale_rows}),
+p as (select code, max(case when s % 2 = 0 then k end) as f, max(case when s % 3 = 0 then k end) as c from r where s % 2 = 0 or s % 3 = 0 group by 1), d as (select code, bool_or(s = 5) as reg, bool_or(s = 7) as sub, bool_or(s = 9) as ret from r group by 1), a as (select distinct code from r where s = 11),
+u as (select code from n union select code from p union select code from d union select code from a)
+select u.code, coalesce(notices,0) as notices, latest, case f when 3 then 'approuve' when 2 then 'prescrit' when 1 then 'caduque' else 'aucun' end as flood_plan, case when a.code is not null then 'oui' else 'non' end as atlas, case when reg then 'oui' else 'non' end as register,
+ case when sub and ret then 'les_deux' when sub then 'submersion' when ret then 'recul' else 'aucun' end as coast, case c when 3 then 'approuve' when 2 then 'prescrit' when 1 then 'caduque' else 'aucun' end as coast_plan
+from u left join n on u.code=n.code left join p on u.code=p.code left join d on u.code=d.code left join a on u.code=a.code
 """)
 def _(v):
+    s = F.col("surface").cast("int")
     stage = F.when(F.col("type_local") == "A", "Opposable").when(F.col("type_local") == "N", "Prescrit").otherwise("Caduque")
-    plans = v.sale_rows.select("code", stage.alias("stage"), F.lit("").alias("detail"))
-    return P.risk_registers(plans, v.fires.where("ha > 8").select("code"), v.sale_rows.select("code", F.col("surface").cast("int").alias("number")), {"flood": 7, "retreat": 9})
+    plans = v.sale_rows.select("code", stage.alias("stage"), F.lit("").alias("detail"), F.when(s % 2 == 0, "Inondation").alias("family"), F.when(s % 3 == 0, "Recul").alias("label"))
+    notices = v.fires.select("code", F.when(F.col("ha") > 8, "Inondations").otherwise("Feux").alias("label"), F.concat(F.col("year").cast("string"), F.lit("-05-01")).alias("start"))
+    dossiers = v.sale_rows.select("code", s.cast("string").alias("number"))
+    atlas = v.sale_rows.where(s == 11).select("code")
+    return P.risk_registers(notices, dossiers, plans, atlas, ["Inondations"], {"flood": "5", "submersion": "7", "retreat": "9"}, "Inondation", ["Recul"])
 
 
 @query("p20_nearest_heat", """
@@ -164,18 +176,11 @@ def _(v):
     return areas.select("code").join(per, "code", "left")
 
 
-@query("p26_fire_model")
-def _(v):
-    areas = v.area_stats.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"), (1.0 + F.col("population") / 1000.0).alias("area"), F.log1p("population").alias("people"), F.col("acctbal").alias("money"))
-    count = lambda lo, hi: v.fires.where(F.col("year").between(lo, hi) & (F.col("ha") > 6)).groupBy("code").agg(F.count("*").alias("fires"))
-    rates, quality = P.fire_model(areas, count(1995, 1999), count(2000, 2001), ["people", "money"], 0.5, 5)
-    return rates.select("code", F.round("rate", 6).alias("rate")).crossJoin(F.broadcast(quality.select(F.round("auc", 6).alias("auc"), F.round("capture", 6).alias("capture"))))
-
-
 @query("p27_habitability", """
 with e as (select code, case when spend is not null then (1-0.5**greatest(spend/500000,0))*100 end as e0, (1-0.5**greatest((population-60000)/-20000e0,0))*100 as e1 from {area_stats}),
 s as (select code, 100e0*(rank() over (order by spend)-1)/(count(*) over ()-1) as e from {area_stats} where spend is not null), p as (select code, 100e0*(rank() over (order by -population)-1)/(count(*) over ()-1) as e from {area_stats})
-select e.code, round_even(case when e0 is not null then 100-(e0+e1)/2 end,1) as score, nullif(concat_ws(', ', case when e0 >= 90 then 'Money' end, case when e1 >= 90 then 'People' end),'') as alerts, round_even(case when s.e is not null then 100-(s.e+p.e)/2 end,1) as position
+select e.code, round_even(case when e0 is not null then 100-(e0+e1)/2 end,0) as score, round_even(e0,1) as money, round_even(case when e0 is not null then e1 end,1) as people, round_even(case when s.e is not null then 100-(s.e+p.e)/2 end,0) as position,
+ round_even(s.e,1) as money_pos, round_even(case when s.e is not null then p.e end,1) as people_pos, case when s.e is not null then nullif(concat_ws(', ', case when s.e >= 90 then 'Money' end, case when p.e >= 90 then 'People' end),'') end as alerts
 from e join p on e.code=p.code left join s on e.code=s.code
 """)
 def _(v):
@@ -207,32 +212,35 @@ def _(v):
 
 
 @query("p31_stop_service", """
-with l as (select *, max(pos) over (partition by trip) as last from {patterns}), b as (select * from l where pos < last)
-select b.stop, round_even(count(*) filter (where product <> '5-LOW')/7e0,1) as trains_day, count(distinct product) as products from b group by 1
+with l as (select *, max(pos) over (partition by trip) as last from {patterns}), b as (select * from l where pos < last), n as (select stop, product, count(*) as n from b group by 1,2),
+d as (select b.stop, count(distinct t.stop) as k from b join l t on b.trip=t.trip and t.pos > b.pos and t.stop <> b.stop where b.product <> '5-LOW' group by 1)
+select r.stop, r.trains_day, coalesce(d.k,0) as destinations, s.services from (select stop, round_even(count(*) filter (where product <> '5-LOW')/7e0,1) as trains_day from b group by 1) r join (select stop, string_agg(product, ', ' order by n desc, product) as services from n group by 1) s on r.stop=s.stop left join d on r.stop=d.stop
 """)
 def _(v):
     products = v.patterns.select("product").distinct().select("product", F.when(F.col("product") == "5-LOW", "car").otherwise("train").alias("category"), F.col("product").alias("label"))
-    out = Q.stop_service(v.patterns, products)
-    return out.select("stop", "trains_day", F.size(F.split("services", ", ")).cast("bigint").alias("products"))
+    return Q.stop_service(v.patterns, products).select("stop", "trains_day", "destinations", "services")
 
 
-@query("p39_field_catalogue", "select n_name as field, min(n_nationkey) as first from {nation} where n_nationkey % 2 = 0 group by 1")
+@query("p39_field_catalogue", "select n_name as field, min(n_nationkey) as first, 'Label ' || n_name as label from {nation} where n_nationkey % 2 = 0 group by 1, 3")
 def _(v):
     k = F.col("n_nationkey")
-    fields = v.nation.select(F.col("n_name").alias("field"), F.lpad(k.cast("string"), 2, "0").alias("source"), k.alias("source_order"), F.when(k % 2 == 0, "numeric").otherwise("ordinal").alias("type"), F.lit(True).alias("choropleth"), F.lit(None).cast("boolean").alias("correlate"), F.lit("a — b").alias("label"))
+    fields = v.nation.select(F.col("n_name").alias("field"), F.lpad(k.cast("string"), 2, "0").alias("source"), k.alias("source_order"), F.when(k % 2 == 0, "numeric").otherwise("ordinal").alias("type"), F.lit(True).alias("choropleth"), F.lit(None).cast("boolean").alias("correlate"), F.concat(F.lit("Label "), F.col("n_name"), F.lit(" — more (unit)")).alias("label"))
     twice = fields.unionByName(fields.withColumn("source_order", F.col("source_order") + 100))
-    return Q.field_catalogue(twice).select("field", F.col("source").cast("int").alias("first"))
+    return Q.field_catalogue(twice).select("field", F.col("source").cast("int").alias("first"), "label")
 
 
-@query("p40_inspect", "select code, field, value from (select code, 'population' as field, population::varchar as value from {areas} union all select code, 'dep', dep from {areas}) where code = (select min(code) from {areas} where population % 3 > 0 and lon > 1 and lon < 2)")
+@query("p40_inspect", """
+with a as (select * from {areas} where code = (select min(code) from {areas} where population % 3 > 0 and lon > 1 and lon < 2)), n as (select venue_id, sqrt((v.lon-a.lon)**2+(v.lat-a.lat)**2) as d from {venues} v, a order by 2, 1 limit 1)
+select code, field, value, venue_id as site, round(d,6) as distance from (select code, 'population' as field, population::varchar as value from a union all select code, 'dep', dep from a), n
+""")
 def _(v):
     code = v.areas.where("population % 3 > 0 and lon > 1 and lon < 2").agg(F.min("code").alias("code")).first()["code"]
     at = v.areas.where(F.col("code") == code).select("lon", "lat").first()
     areas = v.areas.select("code", G.square(F.col("lon") - 1e-6, F.col("lat") - 1e-6, 2e-6).alias("rings"))
     fields = v.spark.createDataFrame([("population", "base", "People"), ("dep", "base", "Department")], "field string, source string, label string")
     places = v.venues.select(F.col("venue_id").alias("site"), F.col("lon").alias("sx"), F.col("lat").alias("sy"))
-    rows, _ = Q.inspect((at["lon"], at["lat"]), areas, v.areas.select("code", "population", "dep"), fields, places, 0.5)
-    return rows.select("code", "field", "value")
+    rows, near = Q.inspect((at["lon"], at["lat"]), areas, v.areas.select("code", "population", "dep"), fields, places, 0.5)
+    return rows.select("code", "field", "value").crossJoin(F.broadcast(near)).withColumn("distance", F.round("distance", 6))
 
 
 @query("x1_registry_build", "select a.code, a.population, f.fires from {areas} a left join (select code, count(*) as fires from {fires} group by 1) f on a.code=f.code")
