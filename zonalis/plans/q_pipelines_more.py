@@ -123,11 +123,11 @@ def air_grid(v):
 with g as ({GRID}), c as (select s.poly as code, a.code as cell, a.population::double as pop, floor((a.lat-41)/0.25)::bigint as r, floor((a.lon+6)/0.25)::bigint as q from {{areas}} a join {{squares}} s on floor(a.lon*2)/2e0=s.x0 and floor(a.lat*2)/2e0=s.y0),
 w as (select code, year, sum(value*pop)/sum(pop) as v from c join g on r=row and q=col where value is not null group by 1,2), m as (select s.poly as code, year, avg(value) as v from {{squares}} s join g on row between floor((s.y0-41)/0.25)::bigint and floor((s.y0-41)/0.25)::bigint+1 and col between floor((s.x0+6)/0.25)::bigint and floor((s.x0+6)/0.25)::bigint+1 where value is not null group by 1,2),
 y as (select coalesce(w.code,m.code) as code, coalesce(w.v,m.v) as v from w full join m on w.code=m.code and w.year=m.year), z as (select code, cell, avg(value) as v from c join g on r=row and q=col where value is not null group by 1,2 having count(*) = 2)
-select s.poly as code, round(avg(v),4) as value, round(min(v),4) as lowest, round(max(v),4) as highest, round((select max(v) from z where z.code=s.poly),4) as worst, 'population' as method from {{squares}} s left join y on y.code=s.poly group by s.poly
+select s.poly as code, round(avg(v),2) as value, round(min(v),2) as lowest, round(max(v),2) as highest, round((select max(v) from z where z.code=s.poly),2) as worst, 'population' as method from {{squares}} s left join y on y.code=s.poly group by s.poly
 """)
 def _(v):
-    out = P.air_quality(areas_of(v), people_of(v), air_grid(v), (-6.0, 41.0), 0.25, 0.5, digits=6)
-    return out.select("code", *[F.round(c, 4).alias(c) for c in ("value", "lowest", "highest", "worst")], "method")
+    out = P.air_quality(areas_of(v), people_of(v), air_grid(v), (-6.0, 41.0), 0.25, 0.5, digits=9)
+    return out.select("code", *[F.round(c, 2).alias(c) for c in ("value", "lowest", "highest", "worst")], "method")
 
 
 @query("p23_air_cells", f"""
@@ -142,13 +142,12 @@ def _(v):
 @query("p24_clay", """
 with c as (select s.poly as code, a.code as cell, a.population::double as pop, a.lon, a.lat from {areas} a join {squares} s on floor(a.lon*2)/2e0=s.x0 and floor(a.lat*2)/2e0=s.y0),
 k as (select c.code, c.cell, c.pop, coalesce(max(case when z.poly is not null then abs(floor(z.x0*2)::int+floor(z.y0*2)::int) % 4 end),0) as cls from c left join {squares} z on c.lon >= z.x0 and c.lon < z.x0+0.3 and c.lat >= z.y0 and c.lat < z.y0+0.3 group by 1,2,3)
-select s.poly as code, round(100*sum(case when cls >= 2 then pop else 0 end)/sum(pop),0) as exposed, round(sum(cls*pop)/sum(pop),1) as index from {squares} s left join k on s.poly=k.code group by s.poly
+select s.poly as code, round_even(100*sum(case when cls >= 2 then pop else 0 end)/sum(pop),1) as exposed, round_even(sum(cls*pop)/sum(pop),2) as index from {squares} s left join k on s.poly=k.code group by s.poly
 """)
 def _(v):
     kind = F.abs(F.floor(F.col("x0") * 2).cast("int") + F.floor(F.col("y0") * 2).cast("int")) % 4
     zones = v.squares.select("poly", G.square(F.col("x0"), F.col("y0"), 0.3).alias("rings"), kind.alias("class"))
-    out = P.clay(areas_of(v), people_of(v), zones, 0.5)
-    return out.select("code", F.round("exposed", 0).alias("exposed"), F.round("index", 1).alias("index"))
+    return P.clay(areas_of(v), people_of(v), zones, 0.5)
 
 
 @query("p30_festivals", """
@@ -270,8 +269,8 @@ def _(v):
 @query("p25_climate_table", """
 with d as (select * from {climate_days}), m as (select point, year, month, avg(tx) as tx, avg(t) as tm, avg(tn) as tn, max(tx) as tx_max, min(tn) as tn_min, sum(precip) as precip, count(*) filter (where precip >= 1)::double as rainy, avg(hu) as hu, sum(ssi)/360 as ssi from d group by 1,2,3),
 st as (select point, point as post, (point % 7)/10e0 - 0.3 as dz from (select distinct point from d)), o as (select m.*, post, dz, (point*31+month*7+year) % 5/10e0 as e from m join st using (point)),
-g as (select month, dz, post, avg(1.5-6*dz+e) as err from o group by 1,2,3 having count(*) >= 3), f as (select month, regr_slope(err,dz) as b, regr_intercept(err,dz) as a from g group by 1),
-y as (select point, dz, post, year, max(tx_max) as gx, max(tx_max+1.5-6*dz+e) as ox, min(tn_min) as gn, min(tn_min+1.5-6*dz+e) as nn, count(*) as k from o group by 1,2,3,4), yx as (select post, dz, avg(ox)-avg(gx) as ex, avg(nn)-avg(gn) as en from y where k = 12 group by 1,2 having count(*) >= 3),
+g as (select month, dz, post, avg(1.5012347e0-6*dz+e) as err from o group by 1,2,3 having count(*) >= 3), f as (select month, regr_slope(err,dz) as b, regr_intercept(err,dz) as a from g group by 1),
+y as (select point, dz, post, year, max(tx_max) as gx, max(tx_max+1.5012347e0-6*dz+e) as ox, min(tn_min) as gn, min(tn_min+1.5012347e0-6*dz+e) as nn, count(*) as k from o group by 1,2,3,4), yx as (select post, dz, avg(ox)-avg(gx) as ex, avg(nn)-avg(gn) as en from y where k = 12 group by 1,2 having count(*) >= 3),
 fx as (select regr_slope(ex,dz) as bx, regr_intercept(ex,dz) as ax, regr_slope(en,dz) as bn, regr_intercept(en,dz) as an from yx),
 rr as (select month, post, avg(rainy*0.9) as ob, avg(rainy) as gr from o group by 1,2 having count(*) >= 3), rf as (select month, quantile_cont(case when gr >= 0.5 then ob/gr end,0.5) as k from rr group by 1),
 n as (select point, month, avg(tx) as tx, avg(tm) as tm, avg(tn) as tn, avg(tx_max) as tx_max, avg(tn_min) as tn_min, max(tx_max) as hi, min(tn_min) as lo, avg(precip) as precip, avg(rainy) as rainy, avg(hu) as hu, avg(ssi) as ssi from m group by 1,2),
@@ -288,13 +287,13 @@ def _(v):
     monthly = P.month_summaries(daily).where("month <= 12")
     stations = daily.select("point").distinct().select(F.col("point").alias("post"), "point", ((F.col("point") % 7) / 10.0 - 0.3).alias("dz"))
     noise = ((F.col("point") * 31 + F.col("month") * 7 + F.col("year")) % 5) / 10.0
-    off = 1.5 - 6 * F.col("dz") + noise
+    off = 1.5012347 - 6 * F.col("dz") + noise
     obs = monthly.join(stations, "point").select("post", "year", "month", *[(F.col(c) + off).alias(c) for c in P.CORRECTED], (F.col("rainy") * 0.9).alias("rainy"))
     cell = lambda c: F.rint(c) + 0.0
     points = v.venues.select(F.col("venue_id").alias("point"), cell("lon").alias("gx"), cell("lat").alias("gy"))
     pairs = v.areas.select("code", "population", cell("lon").alias("gx"), cell("lat").alias("gy")).join(points, ["gx", "gy"])
     pairs = pairs.select("code", "point", F.col("population").cast("double").alias("weight"), ((F.col("population") % 9) / 10.0 - 0.4).alias("dz"))
-    out = P.climate(daily, obs, stations, pairs, least_years=3, more_digits=6)
+    out = P.climate(daily, obs, stations, pairs, least_years=3, more_digits=11)
     names = [c for c in out.columns if c not in ("code", "month", "snow")]
     return out.select("code", "month", *[F.round(c, 2 if c == "precip" else 3).alias(c) for c in names])
 
