@@ -105,3 +105,83 @@ def collapsed_sequences(calls: DataFrame, trip: str = "trip") -> DataFrame:
     lists = lists.select(trip, "product", F.transform("c", lambda x: x["stop"]).alias("stops"), F.transform("c", lambda x: x["minutes"]).alias("times"))
     total = F.aggregate("times", F.lit(0), lambda a, x: a + x)
     return lists.groupBy("product", "stops").agg(F.count("*").alias("runs"), F.min(F.struct(total.alias("t"), F.col("times"))).alias("best")).select("product", "stops", "runs", "best.times")
+
+
+def distinct_slots(rows: DataFrame, themes: Mapping[str, str], key: str = "code") -> DataFrame:
+    """``(key, basket, ...)``: how many different slots are filled in all and per theme (A9). ``rows(key, theme, slot)``,
+    ``themes``: theme to column name."""
+    slots = rows.select(key, "theme", "slot").distinct().groupBy(key, "theme").agg(F.count("*").alias("__k"))
+    of = lambda t: F.coalesce(F.sum(F.when(F.col("theme") == t, F.col("__k"))), F.lit(0))
+    return slots.groupBy(key).agg(F.sum("__k").alias("basket"), *[of(t).alias(n) for t, n in themes.items()])
+
+
+def strongest(state: Column, order: Sequence[str]) -> Column:
+    """The strongest state present, ``order`` naming them strongest first; others are the weakest (A10)."""
+    rank = F.lit(0)
+    for n, name in enumerate(reversed(order), 1):
+        rank = F.when(state == name, F.lit(n)).otherwise(rank)
+    return F.max_by(state, rank)
+
+
+def sorted_set(value: Column, sep: str = ",") -> Column:
+    """Distinct values in order, joined."""
+    return F.array_join(F.array_sort(F.collect_set(value)), sep)
+
+
+def day_counts(days: DataFrame, restrictions: str, levels: Sequence[str], severe: int, key: str = "code") -> DataFrame:
+    """``(key, days, severe, worst)`` of one row a day with an array of structs (A13): a day's level is the highest of its
+    structs' ``levels``."""
+    worst = F.array_max(F.transform(restrictions, lambda r: F.greatest(*[r[c] for c in levels])))
+    flat = days.select(key, worst.alias("worst"))
+    return flat.groupBy(key).agg(F.count("*").alias("days"), F.count_if(F.col("worst") >= severe).alias("severe"), F.max("worst").alias("worst"))
+
+
+def in_months(value: Column, month: Column, months: Sequence[int]) -> Column:
+    """The value in the months of a season, NULL in others."""
+    return F.when(month.isin(*months), value)
+
+
+def season_shares(monthly: DataFrame, key: str, value: str, months: Sequence[int]) -> DataFrame:
+    """``(key, share, peak, amplitude)`` of groups with all twelve months: percentage of the months, the strongest month
+    (the earlier of equals to six decimals), and the strongest over the mean (A20). ``monthly(key, month, value)``."""
+    per = monthly.groupBy(key).agg(
+        F.count("*").alias("__k"), F.sum(value).alias("__t"), F.sum(in_months(F.col(value), F.col("month"), months)).alias("__s"),
+        F.max_by("month", F.struct(F.round(value, 6), -F.col("month"))).alias("peak"), F.max(value).alias("__m"))
+    return per.where("__k = 12").select(key, (100 * F.col("__s") / F.col("__t")).alias("share"), "peak", (12 * F.col("__m") / F.col("__t")).alias("amplitude"))
+
+
+def share_where(condition: Column, n: Column) -> Column:
+    """Percentage of the sum of ``n`` in rows that meet a condition."""
+    return 100.0 * F.sum(F.when(condition, n).otherwise(0)) / F.sum(n)
+
+
+def national_profile(df: DataFrame, value: str, weight: str, column: str, shares: Sequence[float]) -> DataFrame:
+    """``(national, present, q)``, one row: weighted mean of ``value``, percentage of rows with ``column`` and its exact
+    quantiles (A23, A24)."""
+    from zonalis.operators.ranking import quantiles
+
+    one = df.agg(weighted_mean(F.col(value), F.col(weight)).alias("national"), (100.0 * F.count(column) / F.count("*")).alias("present"))
+    return one.join(quantiles(df, [column], shares).select("q"), F.lit(True), "left")
+
+
+def pair_totals(rows: DataFrame, keys: Sequence[str], weight: str, offset: Column) -> DataFrame:
+    """Rows, weight and weighted offset of each pair of keys."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(weight).cast("double").alias("weight"), F.sum(F.col(weight) * offset).alias("offset"))
+
+
+def measures_by_class(rows: DataFrame, by: str, area: Column, length: Column) -> DataFrame:
+    """Features, area and length of each class."""
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.sum(area).alias("area"), F.sum(length).alias("length"))
+
+
+def threshold_days(daily: DataFrame, key: str, hit: Column) -> DataFrame:
+    """``(key, days)``: mean number of days a year that meet a condition, of groups with every year of the data."""
+    yearly = daily.groupBy(key, "year").agg(F.count_if(hit).alias("__d"))
+    years = daily.agg(F.count_distinct("year").alias("__years"))
+    per = yearly.groupBy(key).agg(F.avg("__d").alias("days"), F.count("*").alias("__n"))
+    return per.crossJoin(F.broadcast(years)).where("__n = __years").select(key, "days")
+
+
+def cell_mean(points: DataFrame, value: Column, size: float = 1.0, x: str = "lon", y: str = "lat") -> DataFrame:
+    """``(cx, cy, mean)`` of each cell, a missing value counting 0 as sea does."""
+    return points.groupBy(F.floor(F.col(x) / size).alias("cx"), F.floor(F.col(y) / size).alias("cy")).agg(F.avg(F.coalesce(value, F.lit(0.0))).alias("mean"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +89,33 @@ def sample_tiles(points: DataFrame, tiles: DataFrame, per_side: int) -> DataFram
     return placed.join(tiles, ["tile", "row", "col"], "left")
 
 
+def lattice_join(rows: DataFrame, sites: DataFrame, value: str, step: float = 1.0, x: str = "lon", y: str = "lat") -> DataFrame:
+    """Adds ``grid``: mean of the sites' ``value`` at the lattice point nearest to each row, NULL without a site."""
+    at = lambda c: K.snapped(F.col(c), step)
+    grid = sites.groupBy(at(x).alias("__gx"), at(y).alias("__gy")).agg(F.avg(value).alias("grid"))
+    placed = rows.withColumns({"__gx": at(x), "__gy": at(y)})
+    return placed.join(grid, ["__gx", "__gy"], "left").drop("__gx", "__gy")
+
+
+def stacked(tables: Mapping[str, DataFrame], columns: Sequence[str]) -> DataFrame:
+    """All rows of several tables with their origin as ``src``."""
+    parts = [t.select(F.lit(name).alias("src"), *columns) for name, t in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def key_sets(a: DataFrame, b: DataFrame, every: DataFrame, names: tuple[str, str, str] = ("both", "first", "neither"), key: str = "code") -> DataFrame:
+    """``(key, kind)``: keys in both tables, only in the first, and those of ``every`` in neither."""
+    one, two = a.select(key).distinct(), b.select(key).distinct()
+    kinds = [one.join(two, key, "left_semi"), one.join(two, key, "left_anti"), every.select(key).join(one, key, "left_anti").join(two, key, "left_anti")]
+    return functools.reduce(DataFrame.unionByName, [df.withColumn("kind", F.lit(name)) for df, name in zip(kinds, names)])
+
+
+def top_overlap(df: DataFrame, a: str, b: str, k: int, key: str = "code") -> DataFrame:
+    """One row: how many keys are among the ``k`` largest of both columns (U4)."""
+    top = lambda c: df.where(F.col(c).isNotNull()).orderBy(F.col(c).desc(), key).limit(k).select(key)
+    return top(a).intersect(top(b)).agg(F.count("*").alias("shared"))
+
+
 def fallback(columns: Mapping[str, Column]) -> tuple[Column, Column]:
     """First value present and the name of its method."""
     value = F.coalesce(*columns.values())

@@ -105,3 +105,47 @@ def first_rank() -> Column:
 def share_below() -> Column:
     """Share strictly below, times 100, over n - 1; NULL for a single value."""
     return F.when(F.col("total") > 1, 100.0 * F.col("before") / (F.col("total") - 1))
+
+
+def group_position(df: DataFrame, column: str, group: str, weight: str) -> DataFrame:
+    """``(group, position, n)``: weighted mean position (share_below) of a group's rows among all."""
+    ranked = with_ranks(df.where(F.col(column).isNotNull()), column, __b=share_below())
+    return ranked.groupBy(group).agg((F.sum(F.col("__b") * F.col(weight)) / F.sum(weight)).alias("position"), F.count("*").alias("n"))
+
+
+def running(value: Column, keys: Sequence[str], order: str) -> Column:
+    """Aggregate of a group's rows up to each one (W6); a group's rows go to one task."""
+    return value.over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+
+
+def consecutive(df: DataFrame, keys: Sequence[str], order: str, column: str, name: str) -> DataFrame:
+    """Adds the next row's ``column`` within the group; last rows go."""
+    return df.withColumn(name, F.lead(column).over(W.partitionBy(*keys).orderBy(order))).where(F.col(name).isNotNull())
+
+
+def fold(key: Column, folds: int = 10) -> Column:
+    """A row's fold by its number."""
+    return F.pmod(key, F.lit(folds))
+
+
+def top_share(df: DataFrame, column: str, key: str, k: int) -> DataFrame:
+    """``(key, column, share)``: the ``k`` largest rows, ties by key, and their percentage of the whole."""
+    rows = df.where(F.col(column).isNotNull()).select(key, column)
+    top = rows.orderBy(F.col(column).desc(), key).limit(k)
+    whole, part = rows.agg(F.sum(column).alias("__w")), top.agg(F.sum(column).alias("__p"))
+    out = top.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(part))
+    return out.select(key, column, (100 * F.col("__p") / F.col("__w")).alias("share"))
+
+
+def movers(df: DataFrame, a: str, b: str, key: str, k: int, digits: int = 6) -> DataFrame:
+    """``(key, move)``: the ``k`` rows whose positions by two columns differ most, ties by key."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b)
+    ranked = with_ranks(with_ranks(both, a, __a=share_below()), b, __b=share_below())
+    return ranked.select(key, F.round(F.col("__a") - F.col("__b"), digits).alias("move")).orderBy(F.abs("move").desc(), key).limit(k)
+
+
+def position_profile(df: DataFrame, column: str, shares: Sequence[float], cuts: tuple[float, float] = (90.0, 10.0)) -> DataFrame:
+    """``(q, high, low)``, one row: quantiles of the positions, and how many rows stand at or above and below the cuts."""
+    ranked = with_ranks(df.where(F.col(column).isNotNull()), column, __b=share_below())
+    one = ranked.agg(F.count_if(F.col("__b") >= cuts[0]).alias("high"), F.count_if(F.col("__b") < cuts[1]).alias("low"))
+    return quantiles(ranked, ["__b"], shares).select("q").crossJoin(F.broadcast(one))

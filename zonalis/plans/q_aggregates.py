@@ -63,9 +63,7 @@ select code, count(distinct slot) as basket, count(distinct case when theme='A'
 """)
 def _(v):
     rows = v.sale_rows.select("code", F.col("type_local").alias("theme"), F.concat("type_local", (F.col("surface").cast("int") % 7).cast("string")).alias("slot"))
-    slots = rows.distinct().groupBy("code", "theme").agg(F.count("*").alias("k"))
-    of = lambda t: F.coalesce(F.sum(F.when(F.col("theme") == t, F.col("k"))), F.lit(0))
-    return slots.groupBy("code").agg(F.sum("k").alias("basket"), of("A").alias("a"), of("N").alias("n"))
+    return A.distinct_slots(rows, {"A": "a", "N": "n"})
 
 
 @query("a10_a11_a12_strongest_and_flags", """
@@ -73,10 +71,9 @@ select code, case max(case type_local when 'A' then 3 when 'N' then 2 else 1 end
  array_to_string(list_sort(list(distinct type_local)),',') as kinds from {sale_rows} group by 1
 """)
 def _(v):
-    rank = F.when(F.col("type_local") == "A", 3).when(F.col("type_local") == "N", 2).otherwise(1)
     return v.sale_rows.groupBy("code").agg(
-        F.max_by("type_local", rank).alias("state"), F.bool_or(F.col("surface") > 49).alias("large"), F.max("surface").alias("most"),
-        F.array_join(F.array_sort(F.collect_set("type_local")), ",").alias("kinds"))
+        A.strongest(F.col("type_local"), ["A", "N"]).alias("state"), F.bool_or(F.col("surface") > 49).alias("large"), F.max("surface").alias("most"),
+        A.sorted_set(F.col("type_local")).alias("kinds"))
 
 
 @query("a13_nested_day_counts", """
@@ -87,9 +84,7 @@ def _(v):
     s = F.col("surface").cast("int")
     item = F.struct((s % 5).alias("a"), (s % 3).alias("b"), (s % 4).alias("c"))
     nested = v.sale_rows.groupBy("code", "annee", "id_mutation").agg(F.collect_list(item).alias("restrictions"))
-    worst = F.array_max(F.transform("restrictions", lambda r: F.greatest(r["a"], r["b"], r["c"])))
-    days = nested.select("code", worst.alias("worst"))
-    return days.groupBy("code").agg(F.count("*").alias("days"), F.count_if(F.col("worst") >= 3).alias("severe"), F.max("worst").alias("worst"))
+    return A.day_counts(nested, "restrictions", ["a", "b", "c"], 3)
 
 
 @query("a14_winners", """
@@ -106,7 +101,7 @@ select point, year, case when count(*) = 12 then round(sum(precip),6) end as pre
 """)
 def _(v):
     m = v.daily_grid.groupBy("point", "year", "month").agg(F.avg("tx").alias("tx"), F.sum("precip").alias("precip"))
-    summer = F.when(F.col("month").between(6, 8), F.col("tx"))
+    summer = A.in_months(F.col("tx"), F.col("month"), [6, 7, 8])
     return m.groupBy("point", "year").agg(A.complete(F.round(F.sum("precip"), 6), F.col("precip"), 12).alias("precip"), A.complete(F.round(F.avg(summer), 6), summer, 3).alias("summer"))
 
 
@@ -133,10 +128,8 @@ select m.point, round(100*sum(case when month between 6 and 9 then n else 0 end)
 """)
 def _(v):
     m = v.daily_grid.groupBy("point", "month").agg(F.sum("tx").alias("n"))
-    per = m.groupBy("point").agg(
-        F.count("*").alias("k"), F.sum("n").alias("total"), F.sum(F.when(F.col("month").between(6, 9), F.col("n"))).alias("s"),
-        F.max_by("month", F.struct(F.round("n", 6), -F.col("month"))).alias("peak"), F.max("n").alias("top"))
-    return per.where("k = 12").select("point", F.round(100 * F.col("s") / F.col("total"), 6).alias("summer"), "peak", F.round(12 * F.col("top") / F.col("total"), 6).alias("amplitude"))
+    out = A.season_shares(m, "point", "n", [6, 7, 8, 9])
+    return out.select("point", F.round("share", 6).alias("summer"), "peak", F.round("amplitude", 6).alias("amplitude"))
 
 
 @query("a21_a22_age_bands_and_median", """
@@ -147,7 +140,7 @@ select h.code, round(100e0*sum(case when age < 20 then n else 0 end)/sum(n),6) a
 """)
 def _(v):
     h = v.lineitem.groupBy(F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("code"), F.col("l_quantity").cast("int").alias("age")).agg(F.count("*").alias("n"))
-    share = lambda c: F.round(100.0 * F.sum(F.when(c, F.col("n")).otherwise(0)) / F.sum("n"), 6)
+    share = lambda c: F.round(A.share_where(c, F.col("n")), 6)
     bands = h.groupBy("code").agg(share(F.col("age") < 20).alias("young"), share(F.col("age") >= 40).alias("old"))
     return bands.join(A.histogram_median(h, ["code"], "age", "n"), "code")
 
@@ -157,8 +150,7 @@ select round(sum(avg_price*population)/sum(case when avg_price is not null then
  round(quantile_cont(spend,0.1),6) as d1, round(quantile_cont(spend,0.5),6) as d5, round(quantile_cont(spend,0.9),6) as d9 from {area_stats}
 """)
 def _(v):
-    q = F.percentile("spend", [0.1, 0.5, 0.9])
-    out = v.area_stats.agg(A.weighted_mean(F.col("avg_price"), F.col("population")).alias("national"), (100.0 * F.count("spend") / F.count("*")).alias("present"), q.alias("q"))
+    out = A.national_profile(v.area_stats, "avg_price", "population", "spend", [0.1, 0.5, 0.9])
     return out.select(F.round("national", 6).alias("national"), F.round("present", 6).alias("present"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("d1", "d5", "d9"))])
 
 
@@ -168,7 +160,8 @@ select code, point, count(*) as n, round(sum(population::double),6) as populatio
 def _(v):
     gx = F.rint("lon") + 0.0
     rows = v.areas.withColumns({"gx": gx, "point": (F.rint("lon") * 100 + F.rint("lat")).cast("bigint")})
-    return rows.groupBy("code", "point").agg(F.count("*").alias("n"), F.round(F.sum("population").cast("double"), 6).alias("population"), F.round(F.sum(F.col("population") * (F.col("lon") - F.col("gx"))), 6).alias("offset_x"))
+    out = A.pair_totals(rows, ["code", "point"], "population", F.col("lon") - F.col("gx"))
+    return out.select("code", "point", "n", F.round("weight", 6).alias("population"), F.round("offset", 6).alias("offset_x"))
 
 
 @query("a26_describe", "select count(spend) as n, round(avg(spend),4) as mean, round(stddev_pop(spend),4) as sd, min(spend) as min, max(spend) as max from {area_stats}")
@@ -204,7 +197,8 @@ select case when x0 < 0 then 'west' else 'east' end as side, count(*) as n, roun
 """)
 def _(v):
     rows = squares(v).select(F.when(G.bounds(F.col("rings"))["min_x"] < 0, "west").otherwise("east").alias("side"), G.polygon_area(F.col("rings")).alias("a"), G.line_length(F.col("rings")[0]).alias("l"))
-    return rows.groupBy("side").agg(F.count("*").alias("n"), F.round(F.sum("a"), 6).alias("area"), F.round(F.sum("l"), 6).alias("outline"))
+    out = A.measures_by_class(rows, "side", F.col("a"), F.col("l"))
+    return out.select("side", "n", F.round("area", 6).alias("area"), F.round("length", 6).alias("outline"))
 
 
 @query("a31_threshold_days", """
@@ -212,18 +206,16 @@ with y as (select point, year, count(*) filter (where tx >= 30 and month between
 select point, round(avg(days),6) as days from y group by 1 having count(*) = (select k from k)
 """)
 def _(v):
-    yearly = v.daily_grid.groupBy("point", "year").agg(F.count_if((F.col("tx") >= 30) & F.col("month").between(6, 9)).alias("days"))
-    years = v.daily_grid.agg(F.count_distinct("year").alias("k"))
-    per = yearly.groupBy("point").agg(F.round(F.avg("days"), 6).alias("days"), F.count("*").alias("n"))
-    return per.crossJoin(F.broadcast(years)).where("n = k").select("point", "days")
+    out = A.threshold_days(v.daily_grid, "point", (F.col("tx") >= 30) & F.col("month").between(6, 9))
+    return out.withColumn("days", F.round("days", 6))
 
 
 @query("a32_cell_mean_height", """
 select floor(lon)::bigint as cx, floor(lat)::bigint as cy, round(avg(coalesce(case when population > 10000 then acctbal end,0)),6) as height from {areas} group by 1,2
 """)
 def _(v):
-    height = F.coalesce(F.when(F.col("population") > 10000, F.col("acctbal")), F.lit(0.0))
-    return v.areas.groupBy(F.floor("lon").alias("cx"), F.floor("lat").alias("cy")).agg(F.round(F.avg(height), 6).alias("height"))
+    out = A.cell_mean(v.areas, F.when(F.col("population") > 10000, F.col("acctbal")))
+    return out.select("cx", "cy", F.round("mean", 6).alias("height"))
 
 
 @query("m34_interpolated_counts", """

@@ -125,10 +125,8 @@ select a.code, round(coalesce(s.poids, case when a.population > 25000 then 0.5 e
 from {areas} a left join s on round_even(a.lon,0)=s.gx and round_even(a.lat,0)=s.gy, d
 """)
 def _(v):
-    key = lambda c: (F.rint(c) + 0.0)
-    grid = v.venues.groupBy(key("lon").alias("gx"), key("lat").alias("gy")).agg(F.avg("poids").alias("grid"))
     mean = v.venues.agg(F.avg("poids").alias("mean"))
-    rows = v.areas.withColumns({"gx": key("lon"), "gy": key("lat")}).join(grid, ["gx", "gy"], "left").crossJoin(F.broadcast(mean))
+    rows = J.lattice_join(v.areas, v.venues, "poids").crossJoin(F.broadcast(mean))
     value, method = J.fallback({"grid": F.col("grid"), "area": F.when(F.col("population") > 25000, F.lit(0.5)), "mean": F.col("mean")})
     return rows.select("code", F.round(value, 9).alias("value"), method.alias("method"))
 
@@ -159,8 +157,7 @@ select src, count(*) as n, count(distinct code) as codes from (select 'fires' as
 union all select 'all', count(*), count(*) from (select code from {fires} union select code from {sale_rows} union select code from {areas})
 """)
 def _(v):
-    parts = [t.select(F.lit(n).alias("src"), "code") for n, t in (("fires", v.fires), ("sales", v.sale_rows), ("areas", v.areas))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    every = J.stacked({"fires": v.fires, "sales": v.sale_rows, "areas": v.areas}, ["code"])
     keys = every.select("code").distinct().agg(F.lit("all").alias("src"), F.count("*").alias("n"), F.count("*").alias("codes"))
     return every.groupBy("src").agg(F.count("*").alias("n"), F.count_distinct("code").alias("codes")).unionByName(keys)
 
@@ -172,14 +169,11 @@ union all select code, 'neither' from {areas} where code not in (select code fro
 """)
 def _(v):
     f, s = v.fires.where("year = 1995").select("code"), v.sale_rows.where("annee = 1997").select("code")
-    out = f.intersect(s).withColumn("kind", F.lit("both")).unionByName(f.exceptAll(f.join(s, "code", "left_semi")).distinct().withColumn("kind", F.lit("fires")))
-    rest = v.areas.select("code").join(f, "code", "left_anti").join(s, "code", "left_anti")
-    return out.unionByName(rest.withColumn("kind", F.lit("neither")))
+    return J.key_sets(f, s, v.areas, ("both", "fires", "neither"))
 
 
 @query("u4_top_overlap", """
 select count(*) as shared from (select code from (select code from {area_stats} where spend is not null order by spend desc, code limit 100) intersect select code from (select code from {area_stats} where avg_price is not null order by avg_price desc, code limit 100))
 """)
 def _(v):
-    top = lambda c: v.area_stats.where(F.col(c).isNotNull()).orderBy(F.col(c).desc(), "code").limit(100).select("code")
-    return top("spend").intersect(top("avg_price")).agg(F.count("*").alias("shared"))
+    return J.top_overlap(v.area_stats, "spend", "avg_price", 100)

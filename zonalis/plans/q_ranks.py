@@ -1,6 +1,5 @@
 """Rank, window and correlation queries (W, M1-M6)."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from zonalis.functions import keys as K
@@ -31,14 +30,13 @@ def _(v):
 with r as (select dep, population, 100e0*(rank() over (order by spend)-1)/(count(*) over ()-1) as below {SPEND}) select dep, round(sum(below*population)/sum(population),6) as position, count(*) as n from r group by 1
 """)
 def _(v):
-    ranked = R.with_ranks(v.area_stats.where("spend is not null"), "spend", below=R.share_below())
-    return ranked.groupBy("dep").agg(F.round(F.sum(F.col("below") * F.col("population")) / F.sum("population"), 6).alias("position"), F.count("*").alias("n"))
+    return R.group_position(v.area_stats, "spend", "dep", "population").withColumn("position", F.round("position", 6))
 
 
 @query("w6_running_totals", "select point, day::varchar as day, sum(tx) over (partition by point order by day) as running, count(*) over (partition by point order by day) as days from {daily_grid}")
 def _(v):
-    w = Window.partitionBy("point").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    return v.daily_grid.select("point", F.col("day").cast("string").alias("day"), F.sum("tx").over(w).alias("running"), F.count("*").over(w).alias("days"))
+    total = lambda c: R.running(c, ["point"], "day")
+    return v.daily_grid.select("point", F.col("day").cast("string").alias("day"), total(F.sum("tx")).alias("running"), total(F.count("*")).alias("days"))
 
 
 @query("w7_consecutive_hops", """
@@ -46,23 +44,22 @@ with h as (select trip, pos, stop, lead(stop) over (partition by trip order by p
 select trip, pos, stop, nxt as next_stop, since from h where nxt is not null
 """)
 def _(v):
-    w = Window.partitionBy("trip").orderBy("pos")
-    out = v.patterns.select("trip", "pos", "stop", F.lead("stop").over(w).alias("next_stop"), (F.col("minutes") - F.first("minutes").over(w)).alias("since"))
-    return out.where("next_stop is not null")
+    since = F.col("minutes") - R.running(F.first("minutes"), ["trip"], "pos")
+    out = R.consecutive(v.patterns.withColumn("since", since), ["trip"], "pos", "stop", "next_stop")
+    return out.select("trip", "pos", "stop", "next_stop", "since")
 
 
 @query("w8_cut_pieces", """
 with c as (select point, tx as s, lead(tx) over (partition by point order by tx) as t from (select distinct point, tx from {daily_grid})) select point, count(*) as pieces, max(t - s) as longest from c where t - s >= 0.5 group by 1
 """)
 def _(v):
-    w = Window.partitionBy("point").orderBy("s")
-    cuts = v.daily_grid.select("point", F.col("tx").alias("s")).distinct().withColumn("t", F.lead("s").over(w))
+    cuts = R.consecutive(v.daily_grid.select("point", F.col("tx").alias("s")).distinct(), ["point"], "s", "s", "t")
     return cuts.where(F.col("t") - F.col("s") >= 0.5).groupBy("point").agg(F.count("*").alias("pieces"), F.max(F.col("t") - F.col("s")).alias("longest"))
 
 
 @query("w9_folds", "select s_suppkey % 10 as fold, count(*) as n, min(s_suppkey) as first from {supplier} group by 1")
 def _(v):
-    return v.supplier.groupBy(F.pmod("s_suppkey", F.lit(10)).alias("fold")).agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
+    return v.supplier.groupBy(R.fold(F.col("s_suppkey")).alias("fold")).agg(F.count("*").alias("n"), F.min("s_suppkey").alias("first"))
 
 
 @query("w10_top_k_and_share", f"""
@@ -70,11 +67,7 @@ with t as (select code, spend {SPEND} order by spend desc, code limit 50), a as
 select code, spend, round(100*(select sum(spend) from t)/total,6) as share from t, a
 """)
 def _(v):
-    rows = v.area_stats.where("spend is not null").select("code", "spend")
-    top = rows.orderBy(F.col("spend").desc(), "code").limit(50)
-    total, part = rows.agg(F.sum("spend").alias("total")), top.agg(F.sum("spend").alias("part"))
-    out = top.crossJoin(F.broadcast(total)).crossJoin(F.broadcast(part))
-    return out.select("code", "spend", F.round(100 * F.col("part") / F.col("total"), 6).alias("share"))
+    return R.top_share(v.area_stats, "spend", "code", 50).withColumn("share", F.round("share", 6))
 
 
 @query("w11_total_order", "select code, spend, row_number() over (order by spend desc, code) as place from {area_stats} where spend is not null")
@@ -98,9 +91,7 @@ with b as (select code, spend, avg_price from {area_stats} where spend is not nu
 select code, round(a-b,6) as move from r order by abs(round(a-b,6)) desc, code limit 20
 """)
 def _(v):
-    rows = S.both_present(v.area_stats, "spend", "avg_price").select("code", "spend", "avg_price")
-    ranked = R.with_ranks(R.with_ranks(rows, "spend", a=R.share_below()), "avg_price", b=R.share_below())
-    return ranked.select("code", F.round(F.col("a") - F.col("b"), 6).alias("move")).orderBy(F.abs("move").desc(), "code").limit(20)
+    return R.movers(v.area_stats, "spend", "avg_price", "code", 20)
 
 
 @query("w14_scatter_sample", """

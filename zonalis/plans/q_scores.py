@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from zonalis.operators import composites as C
 from zonalis.operators import scoring as S
-from zonalis.operators.ranking import share_below, with_ranks
+from zonalis.operators.ranking import position_profile
 from zonalis.plans.catalogue import query
 
 TYPED = [S.Criterion("spend", "up", 1.0, bad=200_000.0, ideal=3_000_000.0), S.Criterion("avg_price", "down", 3.0, ideal=50_000.0)]
@@ -179,5 +179,5 @@ def _(v):
 
 @query("m14_position_quantiles", "with r as (select 100e0*(rank() over (order by spend)-1)/(count(*) over ()-1) as b from {area_stats} where spend is not null) select round(quantile_cont(b,0.1),6) as p10, round(quantile_cont(b,0.5),6) as p50, count(*) filter (where b >= 90) as high, count(*) filter (where b < 10) as low from r")
 def _(v):
-    r = with_ranks(v.area_stats.where("spend is not null"), "spend", b=share_below())
-    return r.agg(F.round(F.percentile("b", 0.1), 6).alias("p10"), F.round(F.percentile("b", 0.5), 6).alias("p50"), F.count_if(F.col("b") >= 90).alias("high"), F.count_if(F.col("b") < 10).alias("low"))
+    out = position_profile(v.area_stats, "spend", [0.1, 0.5])
+    return out.select(F.round(F.col("q")[0], 6).alias("p10"), F.round(F.col("q")[1], 6).alias("p50"), "high", "low")
