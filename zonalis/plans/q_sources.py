@@ -19,7 +19,9 @@ from zonalis.runtime import fresh_path
 from zonalis.sources import readers as R
 from zonalis.sources import sinks as O
 
-PAGE = F.floor((F.col("c_custkey") - 1) / 500)
+
+def page_of(key, size=500):
+    return F.floor((F.col(key) - 1) / size)
 
 
 def paged(rows, kind, first, last=()):
@@ -45,7 +47,7 @@ def _(v):
 def _(v):
     k = F.col("c_custkey")
     line = F.concat_ws(";", (1990 + k % 9).cast("string"), F.lit("01001"), (k * 3).cast("string"))
-    path = paged(v.customer.select(PAGE.alias("page"), k.cast("bigint").alias("ord"), line.alias("value")), "preamble", ["Titre", "", "Année;Code INSEE;Surface (m2)"])
+    path = paged(v.customer.select(page_of("c_custkey").alias("page"), k.cast("bigint").alias("ord"), line.alias("value")), "preamble", ["Titre", "", "Année;Code INSEE;Surface (m2)"])
     rows = R.read_after_preamble(v.spark, path, "Année;", ["Année", "Surface (m2)"])
     return rows.toDF("annee", "surface")
 
@@ -55,7 +57,7 @@ def _(v):
     k = F.col("c_custkey")
     full = F.concat_ws(";", (k % 100).cast("string"), (k % 31).cast("string"), F.col("c_acctbal").cast("string"), F.lit(";"))
     line = F.when(k % 5 == 0, "x;1;2;").when(k % 7 == 0, "1;2;").otherwise(full)
-    path = paged(v.customer.select(PAGE.alias("page"), k.cast("bigint").alias("ord"), line.alias("value")), "grid", ["# lon;lat;value"])
+    path = paged(v.customer.select(page_of("c_custkey").alias("page"), k.cast("bigint").alias("ord"), line.alias("value")), "grid", ["# lon;lat;value"])
     return R.read_commented_grid(v.spark, path, {"lon": 0, "lat": 1, "value": 2}, 3)
 
 
@@ -82,7 +84,7 @@ def _(v):
     last = F.when(k % 3 == 0, "2019-01-01").otherwise(F.concat(F.lit("2023-0"), (1 + k % 9).cast("string"), F.lit("-01")))
     both = v.supplier.withColumn("date_fin_mesure", F.explode(F.array(F.lit("2015-01-01"), last)))
     item = F.to_json(F.struct(F.concat(F.lit("B"), k.cast("string")).alias("code_bss"), "date_fin_mesure", F.when(k % 7 == 0, -60.0).otherwise(2.0).alias("x"), (45.0 + k / 1e6).alias("y")))
-    page = F.floor((k - 1) / 300)
+    page = page_of("s_suppkey", 300)
     at = F.row_number().over(W.partitionBy("page").orderBy("k", "date_fin_mesure"))
     rows = both.select(page.alias("page"), k.alias("k"), "date_fin_mesure", item.alias("value")).withColumn("ord", at.cast("bigint"))
     rows = rows.select("page", "ord", F.when(F.col("ord") > 1, F.concat(F.lit(","), F.col("value"))).otherwise(F.col("value")).alias("value"))
