@@ -91,6 +91,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.spelling import group_variants
+
+    return group_variants(documents(spark, sf_dir))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.whitening import entries, whiten
+
+    out = whiten(entries(spread(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))))
+    return out.withColumn("deviation", F.col("deviation").cast("bigint"))
+
+
+def op13_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from zonalis.llm.chat import format_windows, read_back, with_probe
+
+    return read_back(format_windows(with_probe(spread(spark.read.parquet(f"{sf_dir}/conversations.parquet")))))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_simhash_near_duplicates": op1_simhash_near_duplicates,
@@ -103,11 +122,14 @@ def queries() -> dict[str, Query]:
         "op8_document_fingerprints": op8_document_fingerprints,
         "op9_quality_rules": op9_quality_rules,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_embedding_whitening": op12_embedding_whitening,
+        "op13_chat_windows": op13_chat_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from zonalis.llm import licenses, mixing, quality_rules, substrings, warc
+    from zonalis.llm import chat, licenses, mixing, quality_rules, spelling, substrings, warc
 
     return {
         "op2_warc_round_trip": warc.ORACLE,
@@ -115,4 +137,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_mix_sources": mixing.ORACLE,
         "op7_substring_dedup": substrings.ORACLE,
         "op9_quality_rules": quality_rules.oracle(),
+        "op11_spelling_variants": spelling.oracle(),
+        "op13_chat_windows": chat.oracle(),
     }
