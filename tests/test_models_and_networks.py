@@ -69,6 +69,41 @@ def test_quickest_ways(spark):
         assert all(got[source, n]["metres"] == 10.0 * len(got[source, n]["path"]) for n in best)
 
 
+def test_large_networks_are_searched_like_small_ones(spark):
+    """Chains between few crossings, a ring without any, a part of its own, parallel and looping pieces."""
+    rng = np.random.default_rng(1)
+    edges, node = [], 1000
+    for i in range(30):
+        a, b = (int(x) for x in rng.integers(0, 12, 2))
+        for _ in range(int(rng.integers(0, 6))):
+            edges.append((a, node, float(rng.integers(1, 5)), bool(rng.random() < 0.4)))
+            a, node = node, node + 1
+        edges.append((a, b, float(rng.integers(1, 5)), bool(rng.random() < 0.4)))
+    edges += [(500, 501, 1.0, False), (501, 502, 1.0, False), (502, 500, 1.0, False), (600, 601, 2.0, True), (601, 602, 2.0, False)]
+    df = spark.createDataFrame([(a, b, i, s, lgv, 7.0 + i) for i, (a, b, s, lgv) in enumerate(edges)], "src int, dst int, piece int, seconds double, lgv boolean, length double")
+    asked = spark.createDataFrame([(0, 1.0, 5), (0, 1.0, 7), (0, 4.0, 11), (3, 4.0, 3), (3, 4.0, 602), (600, 1.0, 602), (9, 4.0, 2), (9, 4.0, 1003)], "source int, penalty double, node int")
+    rows = lambda **how: {(r["source"], r["penalty"], r["node"]): (r["cost"], r["metres"], r["path"]) for r in N.quickest(df, asked.select("source", "penalty").distinct(), **how).collect()}
+    small, large = rows(wanted=asked), rows(wanted=asked, most=0)
+    assert small == large and {(0, 1.0, 5), (3, 4.0, 3), (600, 1.0, 602)} <= set(small) and (3, 4.0, 602) not in small
+    every, spread = rows(), rows(most=0)
+    assert every == spread and all(every[k] == v for k, v in small.items())
+    lengths = {i: 7.0 + i for i in range(len(edges))}
+    assert all(abs(m - sum(lengths[p] for p in path)) < 1e-9 for _, m, path in every.values())
+
+
+def test_contracted_chains_hold_every_piece_in_order(spark):
+    from zonalis.operators.routing import contracted
+
+    edges = [(i, i + 1, 100 + i, 1.0, i % 3 == 0, 2.0) for i in range(70)] + [(0, 200, 300, 1.0, False, 1.0), (70, 201, 301, 1.0, False, 1.0), (0, 202, 302, 1.0, False, 1.0)]
+    df = spark.createDataFrame(edges, "src int, dst int, piece int, seconds double, lgv boolean, length double")
+    shortcuts, parts = contracted(df, spark.createDataFrame([(40,)], "node int"))
+    ways = {(r["src"], r["dst"]): r for r in shortcuts.collect()}
+    assert (0, 40) in ways and (40, 0) in ways and ways[0, 40]["k"] == 40 and ways[40, 201]["k"] == 31
+    assert ways[0, 40]["plain"] + ways[0, 40]["fast"] == 40.0 and ways[0, 40]["fast"] == 14.0
+    pieces = [r["piece"] for r in parts.where(F.col("chain") == ways[40, 0]["chain"]).orderBy("at").collect()]
+    assert pieces == [100 + i for i in range(39, -1, -1)]
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (None, 3), (9, 9)], "src bigint, dst bigint")
     got = {r["node"]: r["component"] for r in connected_components(edges).collect()}
@@ -147,6 +182,58 @@ def test_unconverged_fit_is_an_error(spark):
         M.fit_poisson(df, ["a"], "y", "e", 0.1, rounds=1)
 
 
+def newton(x, y, offset, ridge):
+    a = np.column_stack([np.ones(len(x)), x])
+    pen, beta = np.array([0.0] + [ridge] * x.shape[1]), np.zeros(x.shape[1] + 1)
+    beta[0] = np.log(y.sum() / np.exp(offset).sum())
+    loss = lambda b: (np.exp(a @ b + offset) - y * (a @ b + offset)).sum() + 0.5 * (pen * b * b).sum()
+    for _ in range(200):
+        mu = np.exp(a @ beta + offset)
+        step = np.linalg.solve((a.T * mu) @ a + np.diag(pen), a.T @ (y - mu) - pen * beta)
+        t = 1.0
+        while not loss(beta + t * step) <= loss(beta) + 1e-9 and t > 1e-9:
+            t /= 2
+        beta = beta + t * step
+    return beta
+
+
+def test_poisson_fit_from_starts_that_overshoot(spark):
+    rng = np.random.default_rng(11)
+    x = np.column_stack([rng.standard_normal(300), rng.standard_normal(300) ** 3])
+    y = rng.poisson(np.exp(-1.0 + np.clip(x @ [0.9, 0.5], -9, 3))).astype(float)
+    df = spark.createDataFrame([(float(a), float(b), float(n), 2.0) for (a, b), n in zip(x, y)], "a double, b double, y double, e double")
+    want = newton(x, y, np.full(300, np.log(2.0)), 1.0)
+    for start in (None, [-30.0, 0.0, 0.0], [5.0, -3.0, 2.0], [0.0, 40.0, -40.0]):
+        assert np.allclose(M.fit_poisson(df, ["a", "b"], "y", "e", 1.0, start=start), want, atol=1e-7)
+
+
+def test_poisson_fit_without_an_answer_is_an_error(spark):
+    rows = [(1.0, 2.0, 3.0, 1.0), (2.0, 4.0, 1.0, 1.0), (3.0, 6.0, 5.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, y double, e double")
+    with pytest.raises(ValueError, match="need a ridge"):
+        M.fit_poisson(df, ["a", "b"], "y", "e", 0.0)
+    with pytest.raises(ValueError, match="no events"):
+        M.fit_poisson(df.withColumn("y", F.lit(0.0)), ["a"], "y", "e")
+    nan = spark.createDataFrame([*rows, (float("nan"), 1.0, 2.0, 1.0), (1.0, 1.0, 2.0, 0.0), (None, 1.0, 2.0, 1.0)], df.schema)
+    assert np.allclose(M.fit_poisson(nan, ["a"], "y", "e"), M.fit_poisson(df, ["a"], "y", "e"))
+
+
+def test_fire_model_equals_a_plain_fit(spark):
+    """The rows of the registered query on a table where plain Newton steps diverge."""
+    from zonalis.plans import area_pipelines as P
+    from zonalis.plans import catalogue, q_pipelines_more
+
+    v = catalogue.Views(spark, "/root/testdata/sf0.01")
+    areas, count, seasons, wind = q_pipelines_more.fire_inputs(v)
+    rows, z = P.fire_features(P.with_wind(areas, wind, 0.5), count(1993, 1997), {"sud": ["00"], "est": ["01"]}, 0.5, 5)
+    d = rows.select("code", "events", "exposure", *z).toPandas()
+    beta = newton(d[z].to_numpy(float), d["events"].to_numpy(float), np.log(d["exposure"].to_numpy(float)), 1.0)
+    rate = dict(zip(d["code"], np.exp(beta[0] + d[z].to_numpy(float) @ beta[1:]) * P.PER_KM2_DECADE))
+    out = catalogue.queries()["p26_fire_model"](spark, "/root/testdata/sf0.01").collect()
+    assert len(out) == len(rate) and all(abs(r["rate"] - rate[r["code"]]) < 0.0006 for r in out)
+    assert all(r["auc_rate"] is not None and 0 <= r["capture"] <= 1 for r in out)
+
+
 def test_nearest_returns_every_point(spark):
     points = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0), ("c", 3e9, 0.0), ("d", float("nan"), 0.0)], "id string, x double, y double")
     sites = spark.createDataFrame([(1, 3.0, 4.0), (2, None, 0.0)], "site bigint, sx double, sy double")

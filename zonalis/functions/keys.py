@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType
 
 CODE = r"^(\d{5}|2[AB]\d{3})$"
 #: Prefixes of areas outside the mainland.
@@ -35,8 +36,8 @@ def joined_code(dep: Column, town: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Decimal comma, percent sign and blanks allowed; NULL for anything else (K5)."""
-    return F.translate(F.trim(text), ",%  ", ".").try_cast("double")
+    """Decimal comma, percent sign and blanks allowed; NULL for anything else, NaN and infinities too (K5)."""
+    return finite(F.translate(F.trim(text), ",%  ", ".").try_cast("double"))
 
 
 def suppressed_number(text: Column, markers: Sequence[str] = ("s", "ND", "NA", "")) -> Column:
@@ -171,8 +172,14 @@ def capitalised(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, F.lit(2), F.length(text))))
 
 
-def without_nan(value: Column) -> Column:
-    return F.when(~F.isnan(value), value)
+def finite(value: Column) -> Column:
+    """``value``, NULL where it is NaN or infinite: neither is a value."""
+    return F.when(F.abs(value) < float("inf"), value)
+
+
+def finite_of(df: DataFrame, column: str) -> Column:
+    """A column's values: finite() of a floating one, any other as it is."""
+    return finite(F.col(column)) if isinstance(df.select(column).schema[0].dataType, (FloatType, DoubleType)) else F.col(column)
 
 
 def moment_label(ts: Column) -> Column:
@@ -183,7 +190,7 @@ def moment_label(ts: Column) -> Column:
 def declared_number(text: Column) -> Column:
     """A declared numeric as published: four decimals at most, NULL where it doesn't parse."""
     value = F.trim(text).try_cast("double")
-    return F.when(~F.isnan(value), F.bround(value, 4))
+    return F.bround(finite(value), 4)
 
 
 #: Accented letters and their plain forms; ligatures are handled apart.

@@ -2,76 +2,130 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.operators.ranking import average_rank, distributed_row_number, with_ranks
+from zonalis.functions.keys import finite_of
+from zonalis.operators.ranking import average_rank, distributed_row_number, quantiles, with_ranks
 from zonalis.operators.spatial import pairs_within
 from zonalis.runtime import cut
 
 
-def neighbour_rate(areas: DataFrame, radius: float, years: int, key: str = "code", scale: float = 10_000.0) -> DataFrame:
+def neighbour_rate(areas: DataFrame, radius: float, years: int, key: str = "code", scale: float = 10_000.0, rates: Mapping[str, str] | None = None) -> DataFrame:
     """``(key, rate)``: events of the neighbours per area and year, itself excluded, 0 without neighbours.
 
-    ``areas(key, x, y, events, area)``.
+    ``areas(key, x, y, events, area)``. ``rates`` names several columns of events in one pass: rate -> column.
     """
-    others = areas.select(F.col(key).alias("__o"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("events").alias("__e"), F.col("area").alias("__a"))
+    rates = rates or {"rate": "events"}
+    others = areas.select(F.col(key).alias("__o"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("area").alias("__a"), *[F.col(c).alias(f"__e{i}") for i, c in enumerate(rates.values())])
     near = pairs_within(areas.select(key, "x", "y"), others, radius).where(F.col(key) != F.col("__o"))
-    sums = near.groupBy(key).agg((F.sum("__e") * scale / (F.sum("__a") * years)).alias("rate"))
-    return areas.select(key).join(sums, key, "left").fillna({"rate": 0.0})
+    sums = near.groupBy(key).agg(*[(F.sum(f"__e{i}") * scale / (F.sum("__a") * years)).alias(name) for i, name in enumerate(rates)])
+    return areas.select(key).join(sums, key, "left").fillna(dict.fromkeys(rates, 0.0))
 
 
 def standardised(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[tuple[float, float]]]:
-    """Adds z_<column> by mean and sample deviation, and returns these."""
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(c).alias(f"s{i}") for i, c in enumerate(columns)]).first()
+    """Adds z_<column> by mean and sample deviation, and returns these (M26); NaN and infinities don't count."""
+    value = {c: finite_of(df, c) for c in columns}
+    row = df.agg(*[F.avg(value[c]).alias(f"m{i}") for i, c in enumerate(columns)], *[F.stddev_samp(value[c]).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     scales = [(row[f"m{i}"], row[f"s{i}"] or 1.0) for i in range(len(columns))]
-    return df.withColumns({f"z_{c}": (F.col(c) - m) / s for c, (m, s) in zip(columns, scales)}), scales
+    return df.withColumns({f"z_{c}": (value[c] - m) / s for c, (m, s) in zip(columns, scales)}), scales
 
 
-def _normal_sums(terms: Sequence[Column], weight: Column, target: Column) -> list[Column]:
-    k = len(terms)
-    out = [F.sum(weight * terms[i] * terms[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)]
-    return out + [F.sum(weight * terms[i] * target).alias(f"b{i}") for i in range(k)]
+def linear(terms: Sequence[Column], beta: Sequence[float]) -> Column:
+    return sum((F.lit(float(b)) * t for b, t in zip(beta, terms)), F.lit(0.0))
 
 
-def _system(row, k: int) -> tuple[np.ndarray, np.ndarray]:
-    a = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            a[i, j] = a[j, i] = row[f"a{i}_{j}"]
-    return a, np.array([row[f"b{i}"] for i in range(k)])
+#: Step lengths that one pass tries.
+STEPS = tuple(0.5**i for i in range(10))
 
 
-def linear(terms: Sequence[Column], beta: Sequence[float]) -> Column:
-    return sum((F.lit(float(b)) * t for b, t in zip(beta, terms)), F.lit(0.0))
+def _poisson_sums(rows: DataFrame, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Over ``rows(o, y, features...)``: the loss at each of ``points``, and Hessian and gradient at the first.
 
+    A task returns one row of sums.
+    """
 
-def fit_poisson(df: DataFrame, features: Sequence[str], y: str, exposure: str, ridge: float = 1.0, tolerance: float = 1e-9, rounds: int = 100) -> np.ndarray:
+    def partial(batches):
+        total = 0.0
+        for batch in batches:
+            o, y, *f = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack([np.ones(len(y)), *f])
+            # A step too far overflows; its loss is then infinite, and it isn't taken.
+            with np.errstate(all="ignore"):
+                eta = x @ points.T + o[:, None]
+                mu = np.exp(eta)
+                hessian = (x * mu[:, :1]).T @ x
+                total = total + np.concatenate([(mu - y[:, None] * eta).sum(axis=0), hessian.ravel(), x.T @ (y - mu[:, 0])])
+        if not np.isscalar(total):
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
+
+    m, k = points.shape
+    parts = [np.array(r["v"]) for r in rows.mapInArrow(partial, "v array<double>").collect()]
+    v = np.sum(parts, axis=0) if parts else np.zeros(m + k * k + k)
+    return v[:m], v[m : m + k * k].reshape(k, k), v[m + k * k :]
+
+
+def fit_poisson(df: DataFrame, features: Sequence[str], y: str, exposure: str, ridge: float = 1.0, tolerance: float = 1e-9, rounds: int = 100, start: Sequence[float] | None = None) -> np.ndarray:
     """Poisson regression with log link and offset log(exposure), ridge on all but the intercept.
 
-    Each round of reweighted least squares is one aggregation of (k + 1)(k + 4) / 2 sums; the driver solves a
-    system of k + 1 unknowns. An error if it turns non-finite or does not settle.
+    Damped Newton steps: one pass of sums gives the penalised loss at every length of STEPS along the step, and the
+    next system at its full length; only where a shorter one is taken, a second gives the system there. The loss is
+    convex, so it falls every round and a start that overshoots does no harm. The driver solves systems of k + 1
+    unknowns. Rows with a NULL or non-finite value, or no exposure, don't count. ValueError without events, where
+    features depend on each other without a ridge, or if the fit does not settle in ``rounds`` rounds.
     """
-    rows = df.select(*features, F.col(y).alias("__y"), F.log(exposure).alias("__o"), F.col(exposure).alias("__x")).cache()
+    rows = df.select(F.when(F.col(exposure) > 0, F.log(exposure)).cast("double").alias("__o"), F.col(y).cast("double").alias("__y"), *[F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features)])
+    rows = rows.where(" and ".join(f"abs(`{c}`) < double('infinity')" for c in rows.columns)).cache()
+    k = len(features) + 1
+    penalty = np.array([0.0] + [ridge] * len(features))
+
+    def at(points: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Losses at the points, and the Newton step at the first."""
+        losses, hessian, gradient = _poisson_sums(rows, np.array(points))
+        losses = np.where(np.isfinite(losses), losses + [0.5 * penalty @ p**2 for p in points], np.inf)
+        try:
+            step = np.linalg.solve(hessian + np.diag(penalty), gradient - penalty * points[0]) if np.isfinite(hessian).all() else np.full(k, np.nan)
+        except np.linalg.LinAlgError:
+            step = np.full(k, np.nan)
+        return losses, step
+
     try:
-        terms = [F.lit(1.0), *[F.col(f) for f in features]]
-        start = rows.agg(F.sum("__y").alias("y"), F.sum("__x").alias("x")).first()
-        beta = np.zeros(len(terms))
-        beta[0] = np.log(start["y"] / start["x"])
-        penalty = np.diag([0.0] + [ridge] * len(features))
+        total = rows.agg(F.sum("__y").alias("y"), F.sum(F.exp("__o")).alias("x")).first()
+        if not total["y"] or total["y"] <= 0:
+            raise ValueError("the fit has no events")
+        null = np.zeros(k)
+        null[0] = np.log(total["y"] / total["x"])
+        losses, step = at([null])
+        beta, loss = null, losses[0]
+        if start is not None:
+            beta = np.asarray(start, float)
+            losses, step = at([beta])
+            while not losses[0] <= loss and np.abs(beta - null).max() > tolerance:
+                # A start worse than the model without features moves towards it.
+                beta = null + (beta - null) / 4
+                losses, step = at([beta])
+            loss = losses[0]
         for _ in range(rounds):
-            eta = linear(terms, beta)
-            mu = F.exp(eta + F.col("__o"))
-            a, b = _system(rows.agg(*_normal_sums(terms, mu, eta + (F.col("__y") - mu) / mu)).first(), len(terms))
-            new = np.linalg.solve(a + penalty, b)
-            if not np.isfinite(new).all():
-                raise ValueError("the fit has a coefficient that is not finite")
-            if np.abs(new - beta).max() < tolerance:
-                return new
-            beta = new
+            if not np.isfinite(step).all():
+                raise ValueError("the fit has no finite step: features that depend on each other need a ridge")
+            if np.abs(step).max() < tolerance:
+                return beta + step
+            points = [beta + t * step for t in STEPS]
+            tried, ahead = at(points)
+            # Below the rounding of the sums a full step counts as falling.
+            if tried[0] <= loss + 1e-11 * (abs(loss) + 1):
+                beta, loss, step = points[0], tried[0], ahead
+                continue
+            best = int(np.argmin(tried))
+            if tried[best] >= loss:
+                step = step * STEPS[-1]
+                continue
+            beta, loss = points[best], tried[best]
+            step = at([beta])[1]
         raise ValueError(f"the fit did not settle in {rounds} rounds")
     finally:
         rows.unpersist()
@@ -104,6 +158,24 @@ def top_capture(df: DataFrame, score: str, count: str, key: str, share: float =
     return rows.agg(F.try_divide(F.sum(F.when(F.col("__rn") <= most, F.col(count))), F.sum(count)).alias("capture"))
 
 
+def season_quality(areas: DataFrame, hits: DataFrame, scores: Sequence[str], best: str, share: float = 0.1, key: str = "code", season: str = "year") -> DataFrame:
+    """``(season, hit, auc_<score>..., capture)`` of seasons that the fit has not seen.
+
+    ``areas(key, scores)``, ``hits(key, season, n)``. An area with a count above 0 is hit; ``capture`` is the share of
+    the hit areas among those whose ``best`` reaches its ``1 - share`` quantile. Areas rank once for all seasons.
+    """
+    ranked = areas.select(key, *scores)
+    for score in scores:
+        ranked = with_ranks(ranked, score, **{f"__r_{score}": average_rank()})
+    edge = quantiles(areas, [best], [1 - share]).select(F.col("q")[0].alias("__edge"))
+    whole = areas.agg(F.count("*").alias("__all")).crossJoin(F.broadcast(edge))
+    hit = hits.where("n > 0").select(key, season).distinct().join(ranked, key).crossJoin(F.broadcast(whole))
+    n1 = F.count("*")
+    n0 = F.first("__all") - n1
+    aucs = [F.try_divide(F.sum(f"__r_{score}") - n1 * (n1 + 1) / 2, n1 * n0).alias(f"auc_{score}") for score in scores]
+    return hit.groupBy(season).agg(n1.alias("hit"), *aucs, (F.count_if(F.col(best) >= F.col("__edge")) / n1).alias("capture"))
+
+
 def _ols(n: Column, sx: Column, sy: Column, sxx: Column, sxy: Column) -> tuple[Column, Column]:
     b = F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
     return F.try_divide(sy - b * sx, n), b

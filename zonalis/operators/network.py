@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from zonalis.operators.graph_components import connected_components
+from zonalis.operators.routing import quickest
 from zonalis.runtime import cut
 
 
@@ -122,38 +123,6 @@ def track_graph(lines: DataFrame, stops: DataFrame, speeds: DataFrame, junction:
     return cut(edges), at
 
 
-def quickest(edges: DataFrame, sources: DataFrame, penalty: float = 1.0) -> DataFrame:
-    """``(source, node, cost, metres, path)``: quickest way from every source over undirected edges.
-
-    ``edges(src, dst, piece, seconds, lgv, length)``, ``sources(source)``; high-speed edges cost ``penalty`` times their
-    seconds. Sources may bring a ``penalty`` of their own each, which the result then carries too. All sources relax at
-    once; only nodes that got quicker in a round spread in the next, until none does, which takes as many rounds as the
-    quickest way of most pieces has. Ties go to the shorter list of pieces. Negative seconds are an error, since rounds
-    might never end.
-    """
-    own = "penalty" in sources.columns
-    if not own:
-        sources = sources.withColumn("penalty", F.lit(float(penalty)))
-    one_way = edges.select("src", "dst", "piece", F.col("seconds").alias("w"), F.coalesce("lgv", F.lit(False)).alias("lgv"), "length")
-    both = cut(one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "piece", "w", "lgv", "length")))
-    if not both.where("w < 0").isEmpty():
-        raise ValueError("an edge takes less than no time")
-    none = F.array().cast("array<bigint>")
-    start = sources.select("source", "penalty", F.col("source").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("n"), none.alias("path"), F.lit(0.0).alias("metres"), F.lit(True).alias("fresh"))
-    best = cut(start.distinct())
-    order = F.struct("cost", "n", "path", "metres", "fresh")
-    weight = F.col("w") * F.when(F.col("lgv"), F.col("penalty")).otherwise(F.lit(1.0))
-    while True:
-        front = best.where("fresh")
-        if front.isEmpty():
-            return best.select("source", *(["penalty"] if own else []), "node", "cost", "metres", "path")
-        step = front.join(both, front["node"] == both["src"]).select(
-            "source", "penalty", F.col("dst").alias("node"), (F.col("cost") + weight).alias("cost"), (F.col("n") + 1).alias("n"), F.array_append("path", F.col("piece").cast("bigint")).alias("path"),
-            (F.col("metres") + F.col("length")).alias("metres"), F.lit(True).alias("fresh"))
-        every = best.withColumn("fresh", F.lit(False)).unionByName(step)
-        best = cut(every.groupBy("source", "penalty", "node").agg(F.min(order).alias("m")).select("source", "penalty", "node", "m.*"))
-
-
 def judged_hops(hops: DataFrame, routes: DataFrame, detour: float = 2.5, slack: float = 20_000.0, keys: tuple[str, ...] = ("source", "node")) -> DataFrame:
     """Hops with their route, or the reason to draw them straight.
 
@@ -180,7 +149,8 @@ def routed_hops(edges: DataFrame, calls: DataFrame, stops: DataFrame, fast: str,
     hops = pairs.join(here, "a", "left").join(there, "b", "left").withColumn("crow", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
     hops = cut(hops.select("grp", "a", "b", "source", "node", "crow"))
     hops = hops.withColumn("penalty", F.when(F.col("grp") == "fast", F.lit(1.0)).otherwise(F.lit(float(penalty))))
-    ways = quickest(edges, hops.select("source", "penalty").where("source is not null").distinct())
+    wanted = hops.where("source is not null and node is not null").select("source", "penalty", "node").distinct()
+    ways = quickest(edges, wanted.select("source", "penalty").distinct(), wanted=wanted)
     judged = judged_hops(hops, ways, keys=("source", "penalty", "node")).drop("penalty")
     off = F.when(F.col("source").isNull() | F.col("node").isNull(), F.lit("stop off the network"))
     judged = cut(judged.withColumn("straight", F.coalesce(off, "straight")))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonalis.functions.keys import finite, finite_of
 from zonalis.runtime import cut, shuffle_partitions
 
 
@@ -31,14 +32,19 @@ def _offsets(counts: DataFrame) -> DataFrame:
     return counts.withColumn("__before", before)
 
 
+def present(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a value in ``column``; NaN and infinities are none."""
+    return df.where(finite_of(df, column).isNotNull())
+
+
 def value_ranks(df: DataFrame, column: str) -> DataFrame:
-    """``(value, cnt, before, total)`` of each distinct non-NULL value: how often it occurs, how many rows are smaller.
+    """``(value, cnt, before, total)`` of each distinct value (NULL, NaN and infinities are none): how often it occurs, how many rows are smaller.
 
     Distinct values have no ties, so a range partitioning of the counts yields every rank rule: mid-rank
     percentile, average rank, first position, share strictly below.
     """
     spark = df.sparkSession
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("cnt"))
+    counts = present(df, column).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("cnt"))
     ranged = cut(counts.repartitionByRange(shuffle_partitions(spark), "value").withColumn("__part", F.spark_partition_id()))
     over = W.partitionBy("__part").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
     within = ranged.withColumn("__in", F.coalesce(F.sum("cnt").over(over), F.lit(0)))
@@ -55,7 +61,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
     values and nothing grows with them but the ranges.
     """
     spark = df.sparkSession
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), finite(F.col(c).cast("double")).alias("value")) for c in columns])
     long = df.select(F.explode(cells).alias("c")).select("c.*").where("value is not null")
     counts = long.groupBy("column", "value").agg(F.count("*").alias("cnt"))
     ranged = cut(counts.repartitionByRange(shuffle_partitions(spark), "column", "value").withColumn("__part", F.spark_partition_id()))
@@ -83,7 +89,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
 
 
 def with_ranks(df: DataFrame, column: str, **rules: Column) -> DataFrame:
-    """Adds rank columns computed from ``cnt``, ``before`` and ``total``; NULL values have NULL ranks."""
+    """Adds rank columns computed from ``cnt``, ``before`` and ``total``; rows without a value have NULL ranks."""
     ranks = value_ranks(df, column).withColumnRenamed("value", "__value")
     joined = df.join(ranks, F.col(column) == F.col("__value"), "left")
     return joined.withColumns(rules).drop("__value", "cnt", "before", "total")
@@ -109,7 +115,7 @@ def share_below() -> Column:
 
 def group_position(df: DataFrame, column: str, group: str, weight: str) -> DataFrame:
     """``(group, position, n)``: weighted mean position (share_below) of a group's rows among all."""
-    ranked = with_ranks(df.where(F.col(column).isNotNull()), column, __b=share_below())
+    ranked = with_ranks(present(df, column), column, __b=share_below())
     return ranked.groupBy(group).agg((F.sum(F.col("__b") * F.col(weight)) / F.sum(weight)).alias("position"), F.count("*").alias("n"))
 
 
@@ -130,7 +136,7 @@ def fold(key: Column, folds: int = 10) -> Column:
 
 def top_share(df: DataFrame, column: str, key: str, k: int) -> DataFrame:
     """``(key, column, share)``: the ``k`` largest rows, ties by key, and their percentage of the whole."""
-    rows = df.where(F.col(column).isNotNull()).select(key, column)
+    rows = present(df, column).select(key, column)
     top = rows.orderBy(F.col(column).desc(), key).limit(k)
     whole, part = rows.agg(F.sum(column).alias("__w")), top.agg(F.sum(column).alias("__p"))
     out = top.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(part))
@@ -139,13 +145,13 @@ def top_share(df: DataFrame, column: str, key: str, k: int) -> DataFrame:
 
 def movers(df: DataFrame, a: str, b: str, key: str, k: int, digits: int = 6) -> DataFrame:
     """``(key, move)``: the ``k`` rows whose positions by two columns differ most, ties by key."""
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(key, a, b)
+    both = present(present(df, a), b).select(key, a, b)
     ranked = with_ranks(with_ranks(both, a, __a=share_below()), b, __b=share_below())
     return ranked.select(key, F.round(F.col("__a") - F.col("__b"), digits).alias("move")).orderBy(F.abs("move").desc(), key).limit(k)
 
 
 def position_profile(df: DataFrame, column: str, shares: Sequence[float], cuts: tuple[float, float] = (90.0, 10.0)) -> DataFrame:
     """``(q, high, low)``, one row: quantiles of the positions, and how many rows stand at or above and below the cuts."""
-    ranked = with_ranks(df.where(F.col(column).isNotNull()), column, __b=share_below())
+    ranked = with_ranks(present(df, column), column, __b=share_below())
     one = ranked.agg(F.count_if(F.col("__b") >= cuts[0]).alias("high"), F.count_if(F.col("__b") < cuts[1]).alias("low"))
     return quantiles(ranked, ["__b"], shares).select("q").crossJoin(F.broadcast(one))

@@ -488,37 +488,60 @@ def wind_days(daily: DataFrame, months: Sequence[int], least: float) -> DataFram
     return points.select("point", "x", "y", "days")
 
 
-def fire_model(areas: DataFrame, train: DataFrame, test: DataFrame, wind: DataFrame, regimes: Mapping[str, Sequence[str]], radius: float, years: int, size: float, smoothing: float = 5.0, ridge: float = 1.0, other: str = "nord") -> tuple[DataFrame, DataFrame]:
-    """P26. ``areas(code, x, y, area, density, weather, weather_2050)``, ``train`` and ``test(code, fires, small)``, ``wind`` of
-    wind_days(), regime -> its departments -> per area: rate now and in 2050, the factor between them, large fires,
-    neighbours' rate, wind days and regime; and one row of quality: dispersion, AUC of the model and of past fires
-    alone, top-decile capture.
-
-    ``fires`` are large ones and ``small`` all. Features are the neighbours' rates of both, fire weather, wind, density
-    and its square about the mean, and the regimes.
+def with_wind(areas: DataFrame, wind: DataFrame, size: float) -> DataFrame:
+    """``areas`` with the ``wind`` days of the nearest point of wind_days()."""
+    near = S.nearest(areas.select(F.col("code").alias("id"), "x", "y"), wind.select(F.col("point").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy")), size)
+    days = near.join(wind.select(F.col("point").alias("site"), "days"), "site").select(F.col("id").alias("code"), F.col("days").alias("wind"))
+    return areas.join(days, "code")
+
+
+def fire_features(areas: DataFrame, fires: DataFrame, regimes: Mapping[str, Sequence[str]], radius: float, years: int, other: str = "nord") -> tuple[DataFrame, list[str]]:
+    """``areas`` with events, regime, neighbours' rate, exposure and the standardised features, and their names.
+
+    ``areas(code, x, y, area, density, weather, wind)``, ``fires(code, fires, small)`` of one window of ``years``: large
+    ones and all. Features are the neighbours' rates of both, fire weather, wind, density and its square about the
+    mean, and the regimes.
     """
-    fires = train.select("code", F.col("fires").alias("events"), F.col("small").alias("every"))
-    d = areas.join(fires, "code", "left").fillna({"events": 0, "every": 0})
-    near = S.nearest(d.select(F.col("code").alias("id"), "x", "y"), wind.select(F.col("point").alias("site"), F.col("x").alias("sx"), F.col("y").alias("sy")), size)
-    d = d.join(near.join(wind.select(F.col("point").alias("site"), "days"), "site").select(F.col("id").alias("code"), F.col("days").alias("wind")), "code")
+    events = fires.select("code", F.col("fires").alias("events"), F.col("small").alias("every"))
     label = F.coalesce(*[F.when(K.department(F.col("code")).isin(*deps), F.lit(name)) for name, deps in regimes.items()], F.lit(other))
-    d = cut(d.withColumn("regime", label))
-    big = M.neighbour_rate(d, radius, years).withColumnRenamed("rate", "neighbours")
-    small = M.neighbour_rate(d.drop("events").withColumnRenamed("every", "events"), radius, years).withColumnRenamed("rate", "all_neighbours")
-    d = d.join(big, "code").join(small, "code").withColumns({"dense": F.log1p("density"), "exposure": F.col("area") * years})
+    d = cut(areas.join(events, "code", "left").fillna({"events": 0, "every": 0}).withColumn("regime", label))
+    near = M.neighbour_rate(d, radius, years, rates={"neighbours": "events", "all_neighbours": "every"})
+    d = cut(d.join(near, "code").withColumns({"dense": F.log1p("density"), "exposure": F.col("area") * years}))
     mean = d.agg(F.avg("dense")).first()[0]
     d = d.withColumns({
         "f_big": F.log(F.col("neighbours") + 1), "f_all": F.log(F.col("all_neighbours") + 10), "f_weather": F.log1p("weather"), "f_wind": F.log1p("wind"), "f_dense": F.col("dense"),
         "f_dense2": F.pow(F.col("dense") - mean, 2), **{f"f_r{i}": (F.col("regime") == name).cast("double") for i, name in enumerate(regimes)},
     })
     names = [c for c in d.columns if c.startswith("f_")]
-    scaled, _ = M.standardised(cut(d), names)
-    z = [f"z_{c}" for c in names]
-    beta = M.fit_poisson(scaled, z, "events", "exposure", ridge)
-    out = cut(M.with_prediction(scaled, z, beta, "exposure"))
-    judged = out.join(test.withColumnRenamed("fires", "later").select("code", "later"), "code", "left").fillna({"later": 0}).withColumn("hit", F.col("later") > 0)
-    past = judged.withColumn("past", F.col("events") / F.col("area"))
-    quality = M.dispersion(out, "events", len(beta)).crossJoin(M.auc(judged, "rate", "hit")).crossJoin(M.auc(past, "past", "hit").withColumnRenamed("auc", "auc_past")).crossJoin(M.top_capture(judged, "rate", "later", "code"))
+    scaled, _ = M.standardised(d, names)
+    return scaled, [f"z_{c}" for c in names]
+
+
+def fire_model(
+    areas: DataFrame, train: DataFrame, test: DataFrame, final: DataFrame, wind: DataFrame, regimes: Mapping[str, Sequence[str]], radius: float, years: tuple[int, int], size: float,
+    smoothing: float = 5.0, ridge: float = 1.0, least_gain: float | None = None, other: str = "nord",
+) -> tuple[DataFrame, DataFrame]:
+    """P26. Per area: rate now and in 2050, the factor between them, large fires, neighbours' rate, wind days and regime,
+    fitted on the ``final`` window; and for each season of ``test`` how the fit on ``train`` does.
+
+    ``areas`` of fire_features() with ``weather_2050``, ``train`` and ``final(code, fires, small)``, ``test(code, year, n)``,
+    ``wind`` of wind_days(), regime -> its departments, ``years`` of the two windows. The quality has a row per season:
+    areas hit, AUC of the rate, of the expected count and of fire weather alone, share of the hit areas in the top
+    decile, and the dispersion of the fit. ValueError where the rate beats fire weather alone on the first season by
+    less than ``least_gain``.
+    """
+    areas = cut(with_wind(areas, wind, size))
+    rows, z = fire_features(areas, train, regimes, radius, years[0], other)
+    beta = M.fit_poisson(rows, z, "events", "exposure", ridge)
+    fitted = cut(M.with_prediction(rows, z, beta, "exposure").withColumn("per_season", F.col("rate") * F.col("area")))
+    quality = M.season_quality(fitted, test, ["rate", "per_season", "weather"], "rate").crossJoin(F.broadcast(M.dispersion(fitted, "events", len(beta))))
+    quality = cut(quality.withColumnRenamed("auc_per_season", "auc_expected"))
+    if least_gain is not None:
+        gain = quality.orderBy("year").select(F.col("auc_rate") - F.col("auc_weather")).first()
+        if gain is None or gain[0] is None or gain[0] < least_gain:
+            raise ValueError(f"on the first season the model beats fire weather alone by {gain[0] if gain else None}, not by {least_gain}")
+    rows, z = fire_features(areas, final, regimes, radius, years[1], other)
+    out = cut(M.with_prediction(rows, z, M.fit_poisson(rows, z, "events", "exposure", ridge), "exposure"))
     factor = C.smoothed_factor(F.col("weather_2050"), F.col("weather"), smoothing)
     rate = F.col("rate") * PER_KM2_DECADE
     published = out.select(

@@ -97,7 +97,7 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-MODULES = ["q_scalars", "q_joins", "q_aggregates", "q_ranks", "q_scores", "q_models", "q_geometry", "q_networks", "q_contract", "q_sources", "q_more", "q_pipelines", "q_pipelines_more"]
+MODULES = ["q_scalars", "q_joins", "q_aggregates", "q_ranks", "q_scores", "q_models", "q_missing", "q_geometry", "q_networks", "q_contract", "q_sources", "q_more", "q_pipelines", "q_pipelines_more"]
 
 
 def _load() -> None:

@@ -39,6 +39,36 @@ def _(v):
     return out.crossJoin(F.broadcast(M.dispersion(out, "big", len(beta)))).select("code", "big", F.round("expected", 6).alias("expected"), F.round("dispersion", 6).alias("dispersion"))
 
 
+#: Coefficients of the rows that SQL can check: intercept, people, money, orders.
+STATED = (-0.5, 0.3, -0.2, 0.1)
+
+
+@query("m28_predicted_counts", f"""
+with c as (select code, count(*) filter (where ha > 6) as big from {{fires}} where year <= 1999 group by 1), r as (select a.code, ln(1+population) as p, acctbal as m, n_orders::double as o, coalesce(big,0)::double as big, 1e0+population/1e4 as x from {{area_stats}} a left join c on c.code=a.code),
+s as (select avg(p) as mp, stddev_samp(p) as sp, avg(m) as mm, stddev_samp(m) as sm, avg(o) as mo, stddev_samp(o) as so from r), e as (select code, big, x*exp({STATED[0]}e0+{STATED[1]}e0*(p-mp)/sp+{STATED[2]}e0*(m-mm)/sm+{STATED[3]}e0*(o-mo)/so) as expected from r, s)
+select code, big, round(expected,6) as expected, round((select sum((big-expected)**2/expected)/(count(*)-4) from e),6) as dispersion from e
+""")
+def _(v):
+    rows, _ = M.standardised(fire_rows(v), ["people", "money", "orders"])
+    out = M.with_prediction(rows, ["z_people", "z_money", "z_orders"], STATED, "exposure")
+    return out.crossJoin(F.broadcast(M.dispersion(out, "big", len(STATED)))).select("code", "big", F.round("expected", 6).alias("expected"), F.round("dispersion", 6).alias("dispersion"))
+
+
+@query("p26_m29_season_quality", """
+with a as (select code, (population*7919 % 1000)/1000e0 as rate, (population*7919 % 1000)/1000e0*(1e0+population/1000e0) as expected, (population % 40)::double as weather from {area_stats}),
+k as (select *, rank() over (order by rate) + (count(*) over (partition by rate)-1)/2.0 as r1, rank() over (order by expected) + (count(*) over (partition by expected)-1)/2.0 as r2, rank() over (order by weather) + (count(*) over (partition by weather)-1)/2.0 as r3, count(*) over () as n, (select quantile_cont(rate,0.9) from a) as edge from a),
+h as (select distinct code, year from {fires} where ha > 6 and year between 1996 and 1997)
+select year, count(*) as hit, round((sum(r1)-count(*)*(count(*)+1)/2.0)/(count(*)*(any_value(n)-count(*))),9) as auc_rate, round((sum(r2)-count(*)*(count(*)+1)/2.0)/(count(*)*(any_value(n)-count(*))),9) as auc_expected,
+round((sum(r3)-count(*)*(count(*)+1)/2.0)/(count(*)*(any_value(n)-count(*))),9) as auc_weather, round(count(*) filter (where rate >= edge)/count(*)::double,9) as capture from h join k using (code) group by 1
+""")
+def _(v):
+    rate = (F.col("population") * 7919 % 1000) / F.lit(1000.0)
+    areas = v.area_stats.select("code", rate.alias("rate"), (rate * (1.0 + F.col("population") / 1000.0)).alias("expected"), (F.col("population") % 40).cast("double").alias("weather"))
+    hits = v.fires.where("year between 1996 and 1997").groupBy("code", "year").agg(F.count_if(F.col("ha") > 6).alias("n"))
+    out = M.season_quality(areas, hits, ["rate", "expected", "weather"], "rate")
+    return out.select("year", "hit", *[F.round(c, 9).alias(c) for c in ("auc_rate", "auc_expected", "auc_weather", "capture")])
+
+
 @query("m29_auc_and_capture", """
 with c as (select a.code, a.acctbal, coalesce(f.n,0) as n from {areas} a left join (select code, count(*) filter (where ha > 9) as n from {fires} group by 1) f on a.code=f.code),
 r as (select *, rank() over (order by acctbal) + (count(*) over (partition by acctbal)-1)/2.0 as rk, n > 3 as hit from c)

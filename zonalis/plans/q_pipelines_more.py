@@ -255,15 +255,21 @@ def _(v):
     return Q.aerodromes(features, plans, {"A": "grand"}).drop("label")
 
 
-@query("p26_fire_model")
-def _(v):
-    s = v.area_stats
-    areas = s.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"), (1.0 + F.col("population") / 1000.0).alias("area"), F.col("population").cast("double").alias("density"), (F.col("population") % 40).cast("double").alias("weather"), (F.col("population") % 60 + 5).cast("double").alias("weather_2050"))
+def fire_inputs(v):
+    """Areas, counts of a window, seasons and wind days of the fire model."""
+    areas = v.area_stats.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"), (1.0 + F.col("population") / 1000.0).alias("area"), F.col("population").cast("double").alias("density"), (F.col("population") % 40).cast("double").alias("weather"), (F.col("population") % 60 + 5).cast("double").alias("weather_2050"))
     count = lambda lo, hi: v.fires.where(F.col("year").between(lo, hi)).groupBy("code").agg(F.count_if(F.col("ha") > 6).alias("fires"), F.count("*").alias("small"))
+    seasons = v.fires.where("year between 1996 and 1997").groupBy("code", "year").agg(F.count_if(F.col("ha") > 6).alias("n"))
     days = v.climate_days.select("point", "year", "month", (F.col("tx") / 5).alias("wind"))
     wind = P.wind_days(days.join(v.venues.select(F.col("venue_id").alias("point"), F.col("lon").alias("x"), F.col("lat").alias("y")), "point").where("year between 1993 and 1997"), range(1, 13), 5.0)
-    rates, quality = P.fire_model(areas, count(1995, 1999), count(2000, 2001), wind, {"sud": ["00"], "est": ["01"]}, 0.5, 5, 0.5)
-    return rates.crossJoin(F.broadcast(quality.select(F.round("auc", 6).alias("auc"), F.round("capture", 6).alias("capture"))))
+    return areas, count, seasons, wind
+
+
+@query("p26_fire_model")
+def _(v):
+    areas, count, seasons, wind = fire_inputs(v)
+    rates, quality = P.fire_model(areas, count(1993, 1995), seasons, count(1993, 1997), wind, {"sud": ["00"], "est": ["01"]}, 0.5, (3, 5), 0.5)
+    return rates.crossJoin(F.broadcast(quality.where("year = 1996").select(*[F.round(c, 6).alias(c) for c in ("auc_rate", "auc_expected", "auc_weather", "capture", "dispersion")])))
 
 
 @query("p25_climate_table", """

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions.keys import finite, finite_of
 from zonalis.operators.ranking import distributed_row_number
 from zonalis.runtime import shuffle_partitions
 
@@ -32,16 +33,17 @@ def write_features(df: DataFrame, properties: Sequence[str], path: str, rings: s
 
 
 def stat_columns(df: DataFrame, columns: Sequence[str], key: str = "code") -> DataFrame:
-    """``(field, key, value)`` of every numeric column that has any value (O3)."""
-    present = df.agg(*[F.count(c).alias(c) for c in columns]).first().asDict() if columns else {}
+    """``(field, key, value)`` of every numeric column that has any value; NaN and infinities are NULL (O3)."""
+    slim = df.select(key, *[finite(F.col(c).cast("double")).alias(c) for c in columns])
+    present = slim.agg(*[F.count(c).alias(c) for c in columns]).first().asDict() if columns else {}
     kept = [c for c in columns if present[c]]
-    slim = df.select(key, *[F.col(c).cast("double").alias(c) for c in kept])
+    slim = slim.select(key, *kept)
     return slim.unpivot(key, kept, "field", "value")
 
 
 def coverage(df: DataFrame, columns: Sequence[str], thin: float = 0.25) -> DataFrame:
-    """``(field, n, share, thin)`` of each column (O3)."""
-    row = df.agg(F.count("*").alias("__n"), *[F.count(c).alias(c) for c in columns])
+    """``(field, n, share, thin)`` of each column; NaN and infinities don't count (O3)."""
+    row = df.agg(F.count("*").alias("__n"), *[F.count(finite_of(df, c)).alias(c) for c in columns])
     items = [F.struct(F.lit(c).alias("field"), F.col(c).alias("n"), F.try_divide(F.col(c), F.col("__n")).alias("share")) for c in columns]
     return row.select(F.explode(F.array(*items)).alias("s")).select("s.*").withColumn("thin", F.col("share") < thin)
 
