@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -42,3 +43,30 @@ def test_large_groups_equal_brute_force(spark, monkeypatch, frequent):
             w[at] = f"x{i}_{at}"
         rows.append((i, " ".join(w)))
     assert kept(spark, rows) == jaccard.brute_kept(rows)
+
+
+def near_copies(words, seed=1, every=200):
+    rng = np.random.default_rng(seed)
+    text = [f"w{i}" for i in rng.integers(0, 50_000, words)]
+    other = list(text)
+    for i in range(0, words, every):
+        other[i] = f"changed{i}"
+    return " ".join(text), " ".join(other)
+
+
+def test_long_near_copies_travel_in_proportion(spark):
+    """Bytes of the rows that meet in cells: a histogram goes once to a cell, not with every token."""
+    a, b = near_copies(100_000)
+    keyed = spark.createDataFrame([(1, a), (2, b)], "key bigint, text string")
+    met = jaccard._meetings(jaccard.sketches(keyed).select("sig", "n", "bins", "prefix"), 0.8)
+    row = met.selectExpr("sum(coalesce(length(bins), 0)) as bins", "sum(8 + 8 + 8 + 4 + 4) as rest", "count(bins) as k").first()
+    assert row["bins"] + row["rest"] < 5 * (len(a) + len(b)) and row["k"] < 40
+
+
+def test_long_texts_keep_one_of_each_group(spark):
+    a, b = near_copies(20_000)
+    c, d = near_copies(20_000, 2)
+    half = " ".join(a.split()[:10_000] + c.split()[:10_000])
+    rows = [(1, a), (2, b), (3, c), (4, d), (5, half), (6, a + " end"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in jaccard.keep_one(docs).collect()) == jaccard.brute_kept(rows) == [1, 3, 5, 7]

@@ -77,3 +77,14 @@ def test_tokens_of_awkward_rows(spark):
     rows = corpus_pipeline.tokens(spark, awkward(spark), "").collect()
     assert len(rows) == 10 and all(r["n_tokens"] == 0 for r in rows if r["doc_id"] in (3, 4))
     assert corpus_pipeline.tokens(spark, awkward(spark).where("key = 0"), "").count() == 0
+
+
+@pytest.mark.parametrize("at", range(5))
+def test_stages_pass_map_columns_on(spark, at):
+    stage = corpus_pipeline.STAGES[at][1]
+    docs = awkward(spark).selectExpr("*", "map('a', doc_id) as extra", "array(struct(map(1, text) as m)) as nested")
+    out = stage(spark, docs, "")
+    if at < 4:
+        assert out.columns == docs.columns and all(r["extra"] == {"a": r["doc_id"]} for r in out.collect())
+    else:
+        assert out.count() == 10

@@ -4,8 +4,8 @@ Equal sets are one row throughout. Candidates come from two searches. SimHash fi
 anchor-point covering (operator 1), find the closest texts. Within 3 of 64 bits few texts of similarity 0.8 lie, so
 prefix tokens find the rest: sets of similarity ``least`` share a token within their first n - ceil(least n) + 1
 tokens of any common order; the order puts tokens that a sample shows to be frequent last. Sets that share a prefix
-token are compared by size, place of the token and a histogram of their hashes, whose distance never exceeds the
-number of shingles in which two sets differ. None of these drops a similar pair.
+token are compared by size, place of the token and, once a pair, a histogram of their hashes, whose distance never
+exceeds the number of shingles in which two sets differ. None of these drops a similar pair.
 
 Candidates form families. The whole sets of a family then travel once to its task (a large family's blocks to one task
 for each pair of blocks), where products of membership matrices count the shingles that every two sets share. Tasks
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.words import LOWER, HashCache, map_texts, rolling, split_words
+from zonalis.llm.words import LOWER, HashCache, hashable, map_texts, mix, rolling, split_words
 from zonalis.operators.graph_components import connected_components
 from zonalis.runtime import broadcast_if_small, cut
 
@@ -33,6 +33,8 @@ SIMILARITY = 0.8
 BASE = 0x9E3779B97F4A7C15
 #: Rows of a bucket, rows and shingles of a family that go to one block; block meets block in a task of its own.
 BLOCK, FAMILY, FAMILY_TOKENS = 1024, 1024, 1 << 20
+#: A task's tables of bucket rows are closed at so many bytes.
+TABLE_BYTES = 24 << 20
 #: Share of sets whose tokens are counted for the order, and how often a frequent token stands there.
 SAMPLE, FREQUENT, MOST = 16, 4, 200_000
 #: Keys of copies, or of rows whose sets are to be compared, of some 50 bytes each, go to every task up to so many.
@@ -149,30 +151,50 @@ def sketches(keyed: DataFrame, size: int = SHINGLE, least: float = SIMILARITY) -
     return map_texts(keyed.select("key", "text"), one, f"key {kind}, sig bigint, n int, fp bigint, bins binary, prefix array<bigint>")
 
 
-def _buckets(sets: DataFrame) -> DataFrame:
-    """``(h, sig, pos, size)``: prefix tokens, by 48 bits of them, that ``size`` > 1 sets share.
+def _partnered(token: np.ndarray, n: np.ndarray, pos: np.ndarray, least: float) -> np.ndarray:
+    """Which rows, in order of token and n, have the next or the one before of their token near enough in length, and
+    enough shingles after the shared one to be similar to it."""
+    room = n - pos >= least / (1 + least) * (n + least * n) - 1e-9
+    near = (token[1:] == token[:-1]) & (n[:-1] >= least * n[1:] - 1e-9)
+    return room & (np.append(near, False) | np.insert(near, 0, False))
 
-    Most tokens have one set and go where they arrive, so what travels is no more than token, place and set.
+
+def _buckets(sets: DataFrame, least: float) -> DataFrame:
+    """``(home, h, sig, n, pos, size)``: prefix tokens, by 48 bits of them, that ``size`` > 1 sets share.
+
+    Most tokens have one set and go where they arrive, so what travels is no more than token, place, set and length;
+    rows without a set of their length go as well. The two smallest sets of a bucket name its home: the many tokens
+    that near copies share have the same one.
     """
-    rows = sets.select("sig", F.posexplode("prefix").alias("pos", "h"))
+    rows = sets.select("sig", "n", F.posexplode("prefix").alias("pos", "h"))
     place = F.shiftleft(F.shiftrightunsigned("h", 16), 16).bitwiseOR(F.least("pos", F.lit(65_535)).cast("bigint"))
-    rows = rows.select(place.alias("a"), "sig").repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a")
+    rows = rows.select(place.alias("a"), "sig", "n").repartition(F.shiftrightunsigned("a", 16)).sortWithinPartitions("a")
 
     def run(batches):
         for table in _cells(batches, 200_000, lambda b: b.num_rows, lambda a: a.view(np.uint64) >> np.uint64(16)):
-            a = table.column("a").to_numpy().view(np.uint64)
-            starts = _starts(a >> np.uint64(16))
-            size = np.repeat(np.diff(starts), np.diff(starts))
-            at = np.flatnonzero(size > 1)
+            a, sig, n = (table.column(c).to_numpy() for c in ("a", "sig", "n"))
+            a = a.view(np.uint64)
+            token, pos, n = a >> np.uint64(16), (a & np.uint64(65_535)).astype(np.int64), n.astype(np.int64)
+            order = np.lexsort((n, token))
+            order = order[_partnered(token[order], n[order], pos[order], least)]
+            token, sig, n, pos = token[order], sig[order], n[order], pos[order]
+            if not len(token):
+                continue
+            starts = _starts(token)
+            size = np.diff(starts)
+            by = np.lexsort((sig, token))
+            first, second = sig[by[starts[:-1]]], sig[by[np.minimum(starts[:-1] + 1, len(sig) - 1)]]
+            home = mix(first.view(np.uint64)) ^ second.view(np.uint64)
+            at = np.flatnonzero(np.repeat(size, size) > 1)
             if len(at):
-                columns = [(a >> np.uint64(16))[at].view(np.int64), table.column("sig").to_numpy()[at], (a & np.uint64(65_535))[at].astype(np.int32), size[at].astype(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "sig", "pos", "size"])
+                columns = [np.repeat(home, size)[at].view(np.int64), token[at].view(np.int64), sig[at], n[at].astype(np.int32), pos[at].astype(np.int32), np.repeat(size, size)[at].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["home", "h", "sig", "n", "pos", "size"])
 
     # Negative numbers sort before positive ones, but the sets of a token stay together.
-    return rows.mapInArrow(run, "h bigint, sig bigint, pos int, size bigint")
+    return rows.mapInArrow(run, "home bigint, h bigint, sig bigint, n int, pos int, size bigint")
 
 
-def _grid(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+def _dealt(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     """``rows`` under ``cell``: a group's rows are dealt to blocks by ``sig``, and each pair of blocks is a cell.
 
     Two rows of a group share at least one cell. Cells whose hashes collide are compared together, which adds nothing
@@ -181,7 +203,26 @@ def _grid(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
     own, other = F.pmod(F.xxhash64("sig"), blocks), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
     dealt = rows.withColumn("__own", own).withColumn("__other", other)
     cell = F.xxhash64(group, F.least("__own", "__other"), F.greatest("__own", "__other"))
-    return dealt.withColumn("cell", cell).drop("__own", "__other").repartition("cell").sortWithinPartitions("cell")
+    return dealt.withColumn("cell", cell).drop("__own", "__other")
+
+
+def _meetings(sets: DataFrame, least: float) -> DataFrame:
+    """``(cell, h, sig, n, pos, bins)``: the bucket rows of each cell, and one row with the histogram (``h`` NULL) for each
+    set of a cell, so a histogram doesn't travel with every token.
+
+    Buckets of one home share a cell; those of more than BLOCK rows are dealt to cells of their own.
+    """
+    rows = cut(_buckets(sets, least))
+    small = rows.where(F.col("size") <= BLOCK).withColumn("cell", F.col("home"))
+    large = _dealt(rows.where(F.col("size") > BLOCK), "h", F.ceil(F.col("size") / BLOCK))
+    met = small.select("cell", "h", "sig", "n", "pos").unionByName(large.select("cell", "h", "sig", "n", "pos"))
+    once = met.select("cell", "sig").distinct().join(sets.select("sig", "n", "bins"), "sig")
+    once = once.select("cell", F.lit(None).cast("bigint").alias("h"), "sig", "n", F.lit(0).alias("pos"), "bins")
+    return once.unionByName(met.withColumn("bins", F.lit(None).cast("binary")))
+
+
+def _grid(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    return _dealt(rows, group, blocks).repartition("cell").sortWithinPartitions("cell")
 
 
 def _cells(batches: Iterator[pa.RecordBatch], most: int, weight: Callable[[pa.RecordBatch], int], cell_of: Callable[[np.ndarray], np.ndarray] = lambda a: a) -> Iterator[pa.Table]:
@@ -241,33 +282,51 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends[moved], ends[root[moved]]
 
 
-def _may_be_similar(n: np.ndarray, pos: np.ndarray, bins: Histograms, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which of the rows a, b can have the similarity, by length, position and histogram filter."""
-    both = n[a] + n[b]
+def _fits(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which of the rows a, b can have the similarity, by length and position filter."""
     fits = np.minimum(n[a], n[b]) >= least * np.maximum(n[a], n[b]) - 1e-9
-    fits &= np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least / (1 + least) * both - 1e-9
-    at = np.flatnonzero(fits)
-    fits[at] = bins.least_difference(a[at], b[at]) <= (1 - least) / (1 + least) * both[at] + 1e-9
-    return fits
+    return fits & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least / (1 + least) * (n[a] + n[b]) - 1e-9)
 
 
 def _bucket_edges(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of rows that share a prefix token and may be similar, at least a forest of each bucket's."""
-    cell, sig, n, pos = (table.column(c).to_numpy() for c in ("cell", "sig", "n", "pos"))
-    bins = Histograms(table.column("bins").to_pylist())
-    starts = _starts(cell)
+    """Links of a table of _meetings() between sets that share a prefix token and may be similar, at least a forest of
+    each bucket's. A pair of sets is compared once, however many tokens of small buckets it shares."""
+    is_set = np.asarray(table.column("h").is_null())
+    held = table.filter(pa.array(is_set))
+    bins = Histograms(held.column("bins").to_pylist())
+    length = held.column("n").to_numpy().astype(np.int64)
+    rows = table.filter(pa.array(~is_set))
+    cell, h, sig, n, pos = (rows.column(c).to_numpy() for c in ("cell", "h", "sig", "n", "pos"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    # Each row's set among those of its cell.
+    key = lambda cell, sig: mix(cell.view(np.uint64)) ^ sig.view(np.uint64)
+    known = key(held.column("cell").to_numpy(), held.column("sig").to_numpy())
+    order = np.argsort(known)
+    own = order[np.searchsorted(known, key(cell, sig), sorter=order)]
+    by = np.lexsort((h, cell))
+    cell, h, sig, n, pos, own = (x[by] for x in (cell, h, sig, n, pos, own))
+    starts = np.append(np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (cell[1:] != cell[:-1])])), len(h)) if len(h) else np.array([0])
     size = np.diff(starts)
-    out_a, out_b = [sig[:0]], [sig[:0]]
+    name = held.column("sig").to_numpy()
+
+    def similar(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return bins.least_difference(a, b) <= (1 - least) / (1 + least) * (length[a] + length[b]) + 1e-9
+
+    pairs = [np.zeros(0, np.int64)]
     index = np.flatnonzero(np.repeat(size <= 16, size))
     for d in range(1, 16):
         a, b = index[:-d], index[d:]
-        same = cell[a] == cell[b]
+        same = (h[a] == h[b]) & (cell[a] == cell[b])
         if not same.any():
             break
         a, b = a[same], b[same]
-        may = _may_be_similar(n, pos, bins, a, b, least)
-        out_a.append(sig[a[may]])
-        out_b.append(sig[b[may]])
+        a, b = (x[_fits(n, pos, a, b, least)] for x in (a, b))
+        x, y = np.minimum(own[a], own[b]), np.maximum(own[a], own[b])
+        pairs.append(np.unique(x[x < y] * len(name) + y[x < y]))
+    pairs = np.unique(np.concatenate(pairs))
+    a, b = np.divmod(pairs, max(len(name), 1))
+    may = similar(a, b)
+    out_a, out_b = [name[a[may]]], [name[b[may]]]
     for g in np.flatnonzero(size > 16).tolist():
         # A row is compared with those that are not in its component yet.
         at = np.arange(starts[g], starts[g + 1])
@@ -275,9 +334,10 @@ def _bucket_edges(table: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray
         for i in range(len(at) - 1):
             open_ = np.flatnonzero(label != label[i])
             open_ = open_[open_ > i]
+            open_ = open_[_fits(n, pos, np.full(len(open_), at[i]), at[open_], least)] if len(open_) else open_
             if not len(open_):
                 continue
-            found = open_[_may_be_similar(n, pos, bins, np.full(len(open_), at[i]), at[open_], least)]
+            found = open_[similar(np.full(len(open_), own[at[i]]), own[at[open_]])]
             out_a.append(np.full(len(found), sig[at[i]]))
             out_b.append(sig[at[found]])
             if len(found):
@@ -329,9 +389,9 @@ def _families(one: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     same = one.join(low, "fp").where("sig <> low").select(F.col("sig").alias("src"), F.col("low").alias("dst"))
     ends = lambda c: low.select(F.col("fp").alias(c), F.col("low").alias("__" + c))
     close = links(low.select("fp")).join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("__src").alias("src"), F.col("__dst").alias("dst"))
-    rows = _buckets(sets).join(sets.select("sig", "n", "bins"), "sig").select("h", "sig", "n", "pos", "bins", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    dealt = _grid(rows, "h", F.col("blocks")).select("cell", "sig", "n", "pos", "bins")
-    bucketed = dealt.mapInArrow(lambda batches: _forests(batches, 100_000, lambda b: b.num_rows, lambda t: _bucket_edges(t, least)), "src bigint, dst bigint")
+    met = _meetings(sets, least).repartition("cell").sortWithinPartitions("cell")
+    weight = lambda b: 128 * b.num_rows + 4 * b.column("bins").nbytes
+    bucketed = met.mapInArrow(lambda batches: _forests(batches, TABLE_BYTES, weight, lambda t: _bucket_edges(t, least)), "src bigint, dst bigint")
     return connected_components(same.unionByName(close).unionByName(bucketed)).withColumnsRenamed({"node": "sig", "component": "family"})
 
 
@@ -364,7 +424,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
     share an id but differ are told apart. Other columns may have any name. An empty table gives no rows.
     """
     i = F.col(f"`{id_col}`")
-    key = F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*hashable(docs, *docs.columns)).alias("row"))
     keyed = docs.select(key.alias("key"), F.col(f"`{text}`").alias("text"))
     sets = cut(sketches(keyed, size, least))
     classes = sets.select("key", "sig").join(components(keyed, sets, size, least), "sig", "left")

@@ -1,17 +1,14 @@
 """Mixing sources to target weights: repetition rates per source and hash-seeded copies.
 
-A document is emitted floor(rate) times and once more where its hash falls below the fraction. Documents differ in
-length by orders of magnitude, so independent draws would leave a source of few documents far from its target. Draws
-are therefore made by classes of length, from the longest down: a class draws with the fraction that the words still
-wanted make of the words still to come, so what one class draws too much or too little the next ones make up for. The
-fraction a class works with is on average the source's own. A class never draws more words than are still wanted.
+A document is emitted floor(rate) times, and once more with a probability that is exactly the fraction. Documents differ
+in length by orders of magnitude, so independent draws would leave a source of few documents far from its target. The
+draws of a source are therefore one systematic draw: its documents stand by length, those of one length by the hash of
+their id, and from an offset that the seed and the source give, each stretch of 1 / fraction documents has one copy.
+Every document's chance is the fraction whatever its length, and a source's words are off by its longest document at most.
 """
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +27,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
-def uniform(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the key's text and the seed alone: 52 bits of an MD5."""
+def draw(key: Column, seed: str = SEED) -> Column:
+    """52 bits of an MD5 of the seed and the key's text, as a number."""
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint")
+
+
+def uniform(key: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the key's text and the seed alone."""
+    return draw(key, seed).cast("double") / F.lit(float(1 << 52))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_REPEATS) -> DataFrame:
@@ -62,67 +64,50 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return table.select("source", "source_size", target.alias("target"))
 
 
-#: Draws are compared with thresholds in steps of 1 / BINS.
-BINS = 256
-#: Tables of up to so many rows, one for each source or each of its classes, are sent to every task; larger ones are
-#: joined by shuffle.
+#: Tables of up to so many rows are sent to every task; larger ones are joined by shuffle.
 BROADCAST_SOURCES = 20_000
 
 
-def length_class(size: Column) -> Column:
-    """Number of binary digits of a document's size."""
-    return F.length(F.bin(size))
-
-
-def _thresholds(bins: pd.DataFrame) -> pd.DataFrame:
-    """Of one source's ``(source, source_size, target, class, bin, words)``: the bins below which each class draws."""
-    size, target = int(bins["source_size"].iloc[0]), float(bins["target"].iloc[0])
-    to_come = size
-    wanted = target - math.floor(target / size) * size if size else 0.0
-    out = []
-    for k in sorted(bins["class"].unique(), reverse=True):
-        words = [0] * BINS
-        part = bins[bins["class"] == k]
-        for b, w in zip(part["bin"], part["words"]):
-            words[b] += int(w)
-        most = math.floor(BINS * min(wanted / to_come, 1.0) + 0.5) if to_come else 0
-        below = drawn = 0
-        while below < most and drawn + words[below] <= wanted:
-            drawn += words[below]
-            below += 1
-        wanted -= drawn
-        to_come -= sum(words)
-        out.append((bins["source"].iloc[0], k, below))
-    return pd.DataFrame(out, columns=["source", "class", "below"])
-
-
-def repetition_rates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """Every column of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (replaced where present).
+def drawn(units: DataFrame, targets: DataFrame, seed: str = SEED) -> DataFrame:
+    """``(source, size, draw)``: the distinct ``units(source, size, draw)`` that get a copy beyond floor(rate).
 
-    ``copies`` = floor(rate) plus one where the row's hash falls below its class's threshold; rate = target /
-    source_size. The hash takes the id, so reruns agree, and rows that repeat an id share its draw; rows with a NULL
-    id draw by their text. NULL texts have size 0; NULL sources are a source of their own. A source without words has
-    rate 0 and stays at one copy of each of its (empty) rows: there is nothing to mix. An empty table gives no rows.
+    Units are numbered by (source, size falling, draw) over ranges, so a hot source is many tasks' work; number i is
+    drawn where i x fraction + offset passes a whole number.
+    """
+    rate = F.col("target") / F.col("source_size")
+    offset = uniform(F.concat(F.lit("source:"), F.coalesce(F.col("s").cast("string"), F.lit("null"))), seed)
+    rates = targets.where("source_size > 0").select(F.col("source").alias("s"), (rate - F.floor(rate)).alias("fraction")).withColumn("offset", offset).where("fraction > 0")
+    same = F.col("source").eqNullSafe(F.col("s"))
+    rows = units.join(broadcast_if_small(rates.select("s"), BROADCAST_SOURCES), same, "left_semi")
+    numbered = cut(distributed_row_number(rows, [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("draw")], "at"))
+    first = numbered.groupBy(F.col("source").alias("s")).agg(F.min("at").alias("first"))
+    rates = cut(rates.join(first.withColumnRenamed("s", "s1"), F.col("s").eqNullSafe(F.col("s1"))).drop("s1"))
+    i = F.col("at") - F.col("first") + 1
+    passed = lambda i: F.floor(i * F.col("fraction") + F.col("offset"))
+    return numbered.join(broadcast_if_small(rates, BROADCAST_SOURCES), same).where(passed(i) > passed(i - 1)).select("source", "size", "draw")
+
+
+def repetition_rates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **how) -> DataFrame:
+    """Every column of ``docs`` with ``size``, ``source_size``, ``target`` and ``copies`` (replaced where present).
 
-    Two passes over the rows without a shuffle of texts: one sums words by source, class and bin of the draw, of which
-    a source has at most some 60 * BINS however many documents it has, and one joins the thresholds.
+    ``copies`` = floor(rate), and one more for the rows of drawn(); rate = target / source_size. The draw takes the id,
+    so reruns agree, and rows of one source that repeat an id and a length share its draw; rows with a NULL id draw by
+    their text. NULL texts have size 0; NULL sources are a source of their own. A source without words has rate 0 and
+    stays at one copy of each of its (empty) rows: there is nothing to mix. An empty table gives no rows.
     """
     new = ["size", "source_size", "target", "copies"]
     t = F.col(f"`{text}`")
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(t, F.lit("")).cast("binary"))))
-    rows = docs.drop(*new).withColumn("size", n_words(t))
-    rows = rows.withColumns({"__class": length_class(F.col("size")), "__bin": F.floor(uniform(key) * BINS).cast("int")})
-    bins = cut(rows.groupBy(F.col(f"`{source}`").alias("source"), F.col("__class").alias("class"), F.col("__bin").alias("bin")).agg(F.sum("size").alias("words")))
-    targets = cut(source_targets(bins.select("source", F.col("words").alias("size")), **how))
-    named = targets.withColumnRenamed("source", "s")
-    wanted = bins.join(broadcast_if_small(named, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    kind = docs.schema[source].dataType.simpleString()
-    below = cut(wanted.groupBy("source").applyInPandas(_thresholds, f"source {kind}, class int, below int"))
-    table = below.join(broadcast_if_small(named, BROADCAST_SOURCES), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    table = cut(table.withColumnsRenamed({"source": "__source", "class": "__of"}))
-    joined = rows.join(broadcast_if_small(table, BROADCAST_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col("__source")) & (F.col("__class") == F.col("__of")))
-    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")) + (F.col("__bin") < F.col("below")).cast("int")).otherwise(F.lit(1))
-    return joined.withColumn("copies", copies.cast("bigint")).drop("__source", "__of", "__class", "__bin", "below")
+    rows = docs.drop(*new).withColumn("size", n_words(t)).withColumn("__draw", draw(key, seed))
+    slim = cut(rows.select(F.col(f"`{source}`").alias("source"), "size", F.col("__draw").alias("draw")))
+    targets = cut(source_targets(slim.select("source", "size"), **how))
+    named = targets.withColumnRenamed("source", "__s")
+    extra = cut(drawn(slim.distinct(), targets, seed).select(F.col("source").alias("__of"), F.col("size").alias("__size"), F.col("draw").alias("__at"), F.lit(1).alias("__more")))
+    joined = rows.join(broadcast_if_small(named, BROADCAST_SOURCES), F.col(f"`{source}`").eqNullSafe(F.col("__s"))).drop("__s")
+    same = (F.col("__draw") == F.col("__at")) & (F.col("size") == F.col("__size")) & F.col(f"`{source}`").eqNullSafe(F.col("__of"))
+    joined = joined.join(broadcast_if_small(extra, BROADCAST_SOURCES), same, "left")
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")) + F.coalesce("__more", F.lit(0))).otherwise(F.lit(1))
+    return joined.withColumn("copies", copies.cast("bigint")).drop("__draw", "__of", "__size", "__at", "__more")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
@@ -154,38 +139,24 @@ with sized as (
 ), targets as (
   select source, source_size, least(2.0::double * source_size, weight * coalesce((select level from found), 1e300)) as target from weighed
 ), drawn as (
-  select doc_id, source, size, length(bin(size)) as class, floor(('0x' || substr(md5('mix-1:' || doc_id::varchar), 1, 13))::bigint::double / 4503599627370496.0::double * 256)::int as bin from sized
-), words as (
-  select source, class, bin, sum(size)::bigint as words from drawn group by 1, 2, 3
-), classes as (
-  select source, class, sum(words)::bigint as total, row_number() over (partition by source order by class desc) as step from words group by 1, 2
-), grid as (
-  select c.source, c.step, unnest(range(257)) as edge, c.class from classes c
-), below as (
-  select g.source, g.step, g.edge, coalesce(sum(w.words) over (partition by g.source, g.step order by g.edge), 0)::bigint as words
-  from grid g left join words w on g.source is not distinct from w.source and g.class = w.class and g.edge = w.bin + 1
-), walk as (
-  with recursive r(source, step, wanted, to_come, edge) as (
-    select source, 0::bigint, case when source_size > 0 then target - floor(target / source_size) * source_size else 0.0::double end, source_size::bigint, 0::bigint from targets
-    union all
-    select source, step, wanted - words, to_come - total, edge from (
-      select r.source, c.step, r.wanted, r.to_come, c.total, b.words, b.edge, row_number() over (partition by r.source order by b.edge desc) as pick
-      from r join classes c on r.source is not distinct from c.source and c.step = r.step + 1 join below b on b.source is not distinct from c.source and b.step = c.step
-      where b.words <= r.wanted and b.edge <= case when r.to_come > 0 then floor(256 * least(r.wanted / r.to_come, 1.0) + 0.5) else 0 end
-    ) where pick = 1
-  ) select * from r
+  select doc_id, source, size, ('0x' || substr(md5('mix-1:' || doc_id::varchar), 1, 13))::bigint as draw from sized
+), numbered as (
+  select *, dense_rank() over (partition by source order by size desc, draw) as i from drawn
+), rates as (
+  select *, case when source_size > 0 then target / source_size - floor(target / source_size) else 0.0::double end as fraction,
+    ('0x' || substr(md5('mix-1:source:' || coalesce(source, 'null')), 1, 13))::bigint::double / 4503599627370496.0::double as off from targets
 )
 select d.doc_id, d.size, t.source_size, t.target,
-  d.size * (case when t.source_size > 0 then floor(t.target / t.source_size)::bigint + case when d.bin < k.edge then 1 else 0 end else 1 end)::bigint as taken
-from drawn d join targets t on d.source is not distinct from t.source join classes c on d.source is not distinct from c.source and d.class = c.class
-  join walk k on k.source is not distinct from d.source and k.step = c.step
+  d.size * (case when t.source_size > 0 then floor(t.target / t.source_size)::bigint + case when floor(i * fraction + off) > floor((i - 1) * fraction + off) then 1 else 0 end else 1 end)::bigint as taken
+from numbered d join rates t on d.source is not distinct from t.source
 """
 
 
-def brute_copies(rows: list[tuple]) -> list[int]:
+def brute_copies(rows: list[tuple], seed: str = SEED) -> list[int]:
     """Copies of each (id, text, source) row by plain loops; for tests."""
     import hashlib
 
+    digest = lambda x: int(hashlib.md5(f"{seed}:{x}".encode()).hexdigest()[:13], 16)
     sizes = [len((t or "").split()) for _, t, _ in rows]
     names = sorted({s for *_, s in rows if s is not None}) + ([None] if any(s is None for *_, s in rows) else [])
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
@@ -201,21 +172,15 @@ def brute_copies(rows: list[tuple]) -> list[int]:
     out = [0] * len(rows)
     for s in names:
         mine = [i for i, r in enumerate(rows) if r[2] == s]
-        if not total[s]:
-            for i in mine:
-                out[i] = 1
-            continue
-        target = min(2.0 * total[s], weight[s] * level) if s not in full else 2.0 * total[s]
-        whole = int(target / total[s])
-        wanted, to_come = target - whole * total[s], total[s]
-        names_of = {i: str(rows[i][0]) if rows[i][0] is not None else "null:" + hashlib.md5((rows[i][1] or "").encode()).hexdigest() for i in mine}
-        draw = {i: int(hashlib.md5(f"mix-1:{names_of[i]}".encode()).hexdigest()[:13], 16) * 256 >> 52 for i in mine}
-        for k in sorted({len(f"{sizes[i]:b}") for i in mine}, reverse=True):
-            part = [i for i in mine if len(f"{sizes[i]:b}") == k]
-            most = int(256 * min(wanted / to_come, 1.0) + 0.5) if to_come else 0
-            edge = max(e for e in range(most + 1) if sum(sizes[i] for i in part if draw[i] < e) <= wanted)
-            for i in part:
-                out[i] = whole + (draw[i] < edge)
-            wanted -= sum(sizes[i] for i in part if draw[i] < edge)
-            to_come -= sum(sizes[i] for i in part)
+        rate = (2.0 if s in full else min(2.0 * total[s], weight[s] * level) / total[s]) if total[s] else 1.0
+        whole = int(rate)
+        ids = {i: str(rows[i][0]) if rows[i][0] is not None else "null:" + hashlib.md5((rows[i][1] or "").encode()).hexdigest() for i in mine}
+        place = {i: (-sizes[i], digest(ids[i])) for i in mine}
+        offset = digest(f"source:{'null' if s is None else s}") / (1 << 52)
+        hit = set()
+        for at, unit in enumerate(sorted(set(place.values())), 1):
+            if int(at * (rate - whole) + offset) > int((at - 1) * (rate - whole) + offset):
+                hit.add(unit)
+        for i in mine:
+            out[i] = whole + (place[i] in hit)
     return out

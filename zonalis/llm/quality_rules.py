@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.profiles import BLANK, DIGIT, JOINT, LOWER, OTHER, STOP, SYMBOL, UPPER, common_words, js_distance, profile, shares, summed, total_of
+from zonalis.llm.words import hashable
 from zonalis.runtime import broadcast_if_small, cut
 
 LEAST_WORDS = 20
@@ -30,8 +31,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     word_distance, kept)`` per row.
 
     The references are the summed histograms of every document of a language that passes the base limits; NULL
-    is a language of its own. Repeated windows within a text are told by 64-bit hashes of their words. Where a text or its language's reference is below a length guard, the distance is
-    NULL and counts for nothing. NULL and empty texts have no words and fail the base limits. Repeated rows are
+    is a language of its own. Repeated windows within a text are told by 64-bit hashes of their words. Where a text or
+    its language's reference is below a length guard, the distance is NULL and counts for nothing. NULL and empty texts have no words and fail the base limits. Repeated rows are
     judged alike and come back as often as they came. An empty table gives no rows.
     """
     counted = profile(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")), keep=("id", "lang"))
@@ -41,7 +42,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 def keep_good(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` that judge() keeps, with the columns of ``docs``; the rejected go by an anti-join."""
     t = F.col(f"`{text}`")
-    keys = {"__k1": F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]), "__k2": F.hash(t, F.lit(7))}
+    keys = {"__k1": F.xxhash64(*hashable(docs, *docs.columns)), "__k2": F.hash(t, F.lit(7))}
     keyed = docs.withColumns(keys)
     verdict = judge(keyed.select(F.struct("__k1", "__k2").alias("k"), t.alias("text"), F.col(f"`{lang}`").alias("lang")), "k")
     bad = verdict.where("not kept").select("k.__k1", "k.__k2").distinct()

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.jaccard import forest
-from zonalis.llm.words import LOWER, map_texts
+from zonalis.llm.words import LOWER, hashable, map_texts
 from zonalis.operators.graph_components import connected_components
 from zonalis.runtime import cut
 
@@ -232,7 +232,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size:
 
         return jaccard.keep_one(docs, id_col, text, size, similarity)
     i = F.col(f"`{id_col}`")
-    keyed = docs.withColumn("__key", F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")))
+    keyed = docs.withColumn("__key", F.struct(i.isNull().alias("none"), i.alias("id"), F.xxhash64(*hashable(docs, *docs.columns)).alias("row")))
     found = components(keyed.select("__key", F.col(f"`{text}`").alias("text")), "__key", "text", size)
     chosen = found.where("__key = component_id").select(F.col("__key.row").alias("__row")).distinct()
     rows = keyed.withColumn("__row", F.col("__key.row")).drop("__key").join(chosen, "__row", "left_semi")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.words import HashCache, cover, map_texts, mix, rolling, split_words
+from zonalis.llm.words import HashCache, cover, hashable, map_texts, mix, rolling, split_words
 from zonalis.runtime import broadcast_if_small, cut
 
 WINDOW = 35
@@ -100,7 +100,8 @@ def super_kmers(h: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray,
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """Rows under a 96-bit key of id and text, so repeated and NULL ids do no harm."""
     i, t = F.col(f"`{id_col}`"), F.col(f"`{text}`")
-    return docs.select(i.alias("id"), F.xxhash64(i, t).alias("rk"), F.hash(i, t, F.lit(7)).alias("rk2"), t.alias("text"))
+    (of,) = hashable(docs, id_col)
+    return docs.select(i.alias("id"), F.xxhash64(of, t).alias("rk"), F.hash(of, t, F.lit(7)).alias("rk2"), t.alias("text"))
 
 
 def _places(keyed: DataFrame, k: int, m: int) -> DataFrame:

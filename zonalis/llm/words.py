@@ -7,7 +7,9 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: A-Z to a-z and nothing else.
@@ -65,6 +67,17 @@ def cover(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind)
+    return isinstance(kind, MapType) or isinstance(kind, ArrayType) and _holds_map(kind.elementType)
+
+
+def hashable(df: DataFrame, *columns: str) -> list[Column]:
+    """The columns, those that hold a map as JSON, since Spark hashes no maps."""
+    return [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if _holds_map(df.schema[c].dataType) else F.col(f"`{c}`") for c in columns]
+
+
 #: Texts of one Arrow batch are handled in slices of about so many bytes, which bounds a task's memory.
 SLICE_BYTES = 8 << 20
 
