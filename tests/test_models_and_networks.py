@@ -138,6 +138,53 @@ def test_local_correlation_gives_up_on_few(spark):
     assert all(r["r"] > 0.9 for r in local_correlation(df, "a", "b", least=3).collect())
 
 
+def brute_local(rows, radius, least=12, rings=3):
+    from zonalis.functions.geometry import KM_PER_DEG_LAT, KM_PER_DEG_LON
+
+    lon, lat, x, y = (np.array(c) for c in zip(*[r[1:] for r in rows]))
+    out = {}
+    for i, (code, *_) in enumerate(rows):
+        d2 = ((lon - lon[i]) * (KM_PER_DEG_LON * np.cos(np.radians(lat[i])))) ** 2 + ((lat - lat[i]) * KM_PER_DEG_LAT) ** 2
+        out[code] = (None, None, None)
+        for k in range(1, rings + 1):
+            at = d2 <= (radius * k) ** 2
+            if at.sum() >= least:
+                flat = min(x[at].var(), y[at].var()) * at.sum() <= 1e-12
+                out[code] = (None if flat else np.corrcoef(x[at], y[at])[0, 1], int(at.sum()), radius * k)
+                break
+    return out
+
+
+@pytest.mark.parametrize("crowded", [4, 1000])
+def test_local_correlation_of_dense_and_lone_rows(spark, crowded):
+    """A dense town, many rows of one place, a thin country and far outliers; cells add up as their rows do."""
+    rng = np.random.default_rng(12)
+    at = [(2 + rng.normal() * 0.02, 48 + rng.normal() * 0.02) for _ in range(150)] + [(2.5, 48.2)] * 40 + [(rng.uniform(0, 6), rng.uniform(44, 50)) for _ in range(120)] + [(9.0, 42.0), (9.1, 42.0)]
+    rows = [(f"c{i}", float(a), float(b), 1e6 + float(rng.normal()), float(rng.normal() + a)) for i, (a, b) in enumerate(at)]
+    df = spark.createDataFrame(rows, "code string, lon double, lat double, p double, q double")
+    got = {r["code"]: (r["r"], r["n"], r["radius"]) for r in local_correlation(df, "p", "q", 25.0, crowded=crowded).collect()}
+    for code, (r, n, radius) in brute_local(rows, 25.0).items():
+        assert got[code][1:] == (n, radius) and (r is None) == (got[code][0] is None) and (r is None or abs(r - got[code][0]) < 1e-7)
+
+
+def test_dense_discs_meet_cells_in_place_of_rows(spark):
+    """Forty thousand rows round a hundred centres: fewer parts by an order of magnitude than rows in the discs' squares."""
+    from zonalis.operators import stats
+
+    rng = np.random.default_rng(13)
+    rows = [(i, float(2 + a), float(48 + b), float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.5, 0.5, (40_000, 2)))]
+    df = spark.createDataFrame(rows, "code int, lon double, lat double, x double, y double")
+    centres = df.where("code < 100 and abs(lon - 2) < 0.1 and abs(lat - 48) < 0.1")
+    parts = stats.disc_parts(centres, df, [25.0], "code").cache()
+    d2 = ((np.array([r[1] for r in rows]) - 2) * 111.32 * np.cos(np.radians(48))) ** 2 + ((np.array([r[2] for r in rows]) - 48) * 110.574) ** 2
+    assert parts.count() < 0.1 * centres.count() * 40_000 and (d2 < 625).sum() > 8_000
+    got = {r["code"]: r["n"] for r in parts.groupBy("code").agg(F.sum("n0").alias("n")).collect()}
+    for code, n in got.items():
+        _, lon, lat, *_ = rows[code]
+        far = [((a - lon) * (111.320 * np.cos(np.radians(lat)))) ** 2 + ((b - lat) * 110.574) ** 2 for _, a, b, *_ in rows]
+        assert n == sum(d <= 625 for d in far)
+
+
 def test_thinning():
     x, y = np.arange(100.0), np.zeros(100)
     assert keep_mask(x, y, 0.5).sum() == 2
