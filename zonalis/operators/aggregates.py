@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from zonalis.operators.ranking import grouped_quantiles
+
 
 def weighted_mean(value: Column, weight: Column) -> Column:
     """Ignores NULL values and their weights (A4)."""
@@ -33,6 +35,12 @@ def sales(rows: DataFrame, wanted: Sequence[str], least_surface: float, price: t
     return out.where(F.col("kind").isin(*wanted) & F.col("per_m2").between(*price))
 
 
+def sale_medians(kept: DataFrame, shares: Sequence[float] = (0.5,)) -> DataFrame:
+    """``(code, sales, q)`` of sales(): how many and the quantiles of their prices per m2 (A2, A3)."""
+    q = grouped_quantiles(kept, ["code"], "per_m2", shares)
+    return kept.groupBy("code").agg(F.count("*").alias("sales")).join(q.select("code", "q"), "code", "left")
+
+
 def pivot_once(df: DataFrame, keys: Sequence[str], column: str, values: Sequence, value: str) -> DataFrame:
     """Pivot with declared values; an error where a cell has two rows."""
     twice = df.groupBy(*keys, column).count().where("count > 1").limit(1).collect()

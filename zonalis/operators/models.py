@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.keys import finite_of
-from zonalis.operators.ranking import average_rank, distributed_row_number, quantiles, with_ranks
+from zonalis.operators.ranking import average_rank, distributed_row_number, grouped_quantiles, quantiles, with_ranks
 from zonalis.operators.spatial import pairs_within
 from zonalis.runtime import cut
 
@@ -206,12 +206,15 @@ def cross_validated_line(df: DataFrame, keys: Sequence[str], x: str, y: str, fol
 def monthly_factors(df: DataFrame, observed: str, grid: str, least: float = 0.5, month: str = "month") -> DataFrame:
     """Median of observed over grid by month where the grid has enough."""
     ratio = F.when(F.col(grid) >= least, F.col(observed) / F.col(grid))
-    return df.groupBy(month).agg(F.percentile(ratio, 0.5).alias("factor"), F.count(ratio).alias("n"))
-
-
-def error_summary(error: Column, observed: Column) -> list[Column]:
-    """Bias, mean and root mean square error, median relative error."""
-    return [
-        F.avg(error).alias("bias"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"),
-        F.percentile(F.when(observed != 0, F.abs(error / observed)), 0.5).alias("median_relative"),
-    ]
+    rows = df.select(month, ratio.alias("ratio"))
+    medians = grouped_quantiles(rows, [month], "ratio", [0.5]).select(month, F.col("q")[0].alias("factor"))
+    return rows.groupBy(month).agg(F.count("ratio").alias("n")).join(medians, month, "left").select(month, "factor", "n")
+
+
+def error_summary(df: DataFrame, keys: Sequence[str], error: str, observed: str) -> DataFrame:
+    """``(keys, bias, mae, rmse, median_relative)``: bias, mean and root mean square error, median relative error."""
+    e = F.col(error)
+    means = df.groupBy(*keys).agg(F.avg(e).alias("bias"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
+    relative = df.select(*keys, F.when(F.col(observed) != 0, F.abs(e / F.col(observed))).alias("relative"))
+    medians = grouped_quantiles(relative, keys, "relative", [0.5]).select(*keys, F.col("q")[0].alias("median_relative"))
+    return means.join(medians, list(keys), "left")

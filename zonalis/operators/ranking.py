@@ -88,6 +88,50 @@ def quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) ->
     return row.select("column", "n", "lo", "hi", F.array(*[at(i) for i in range(len(shares))]).alias("q"))
 
 
+def grouped_quantiles(df: DataFrame, keys: Sequence[str], column: str, shares: Sequence[float]) -> DataFrame:
+    """``(keys, n, q)`` of each group with a value in ``column``: the count and the exact quantiles, interpolated.
+
+    Distinct values are counted and dealt to ranges of (group, value), so a group of any size is several tasks' work and
+    none holds its values. A group that lies in one range is numbered there; of the others there are two rows a range at
+    most, which go to every task. NULL, NaN and infinite values are none; NULL keys are a group.
+    """
+    spark = df.sparkSession
+    rows = df.select(*keys, finite(F.col(column).cast("double")).alias("__v")).where("__v is not null")
+    counts = rows.groupBy(*keys, "__v").agg(F.count("*").alias("__k"))
+    ranged = cut(counts.repartitionByRange(shuffle_partitions(spark), *keys, "__v").withColumn("__part", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "__part").agg(F.sum("__k").alias("__s"))
+    # A part's first and last group may go on in its neighbours, no other one can.
+    edge = W.partitionBy("__part").orderBy(*[F.col(c).asc_nulls_first() for c in keys])
+    back = W.partitionBy("__part").orderBy(*[F.col(c).desc_nulls_last() for c in keys])
+    ends = cut(sums.withColumns({"__a": F.row_number().over(edge), "__z": F.row_number().over(back)}).where("__a = 1 or __z = 1"))
+    own = W.partitionBy(*keys)
+    parts = ends.withColumns({"__of": F.count("*").over(own), "__total": F.sum("__s").over(own), "__before": F.coalesce(F.sum("__s").over(own.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))})
+    parts = parts.where("__of > 1").select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__k_{i}") for i, c in enumerate(keys)], "__total", "__before")
+    here = W.partitionBy("__part", *keys)
+    placed = ranged.withColumns({"__in": F.coalesce(F.sum("__k").over(here.orderBy("__v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "__own": F.sum("__k").over(here)})
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{i}"))
+    placed = placed.join(F.broadcast(parts), same, "left")
+    placed = placed.select(*keys, "__v", "__k", (F.col("__in") + F.coalesce("__before", F.lit(0))).alias("__at"), F.coalesce("__total", "__own").alias("__n"))
+    picks = []
+    for share in shares:
+        place = F.lit(float(share)) * (F.col("__n") - 1)
+        picks += [(F.col("__at") <= end) & (end < F.col("__at") + F.col("__k")) for end in (F.floor(place), F.ceil(place))]
+    some = picks[0]
+    for p in picks[1:]:
+        some = some | p
+    # At most two rows a share and group travel on.
+    row = placed.where(some).groupBy(*keys).agg(F.max("__n").alias("n"), *[F.max(F.when(p, F.col("__v"))).alias(f"__q{i}") for i, p in enumerate(picks)])
+
+    def at(i: int) -> Column:
+        place = F.lit(float(shares[i])) * (F.col("n") - 1)
+        low, high = F.col(f"__q{2 * i}"), F.col(f"__q{2 * i + 1}")
+        return F.when(F.floor(place) == F.ceil(place), low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+
+    return row.select(*keys, "n", F.array(*[at(i) for i in range(len(shares))]).alias("q"))
+
+
 def with_ranks(df: DataFrame, column: str, **rules: Column) -> DataFrame:
     """Adds rank columns computed from ``cnt``, ``before`` and ``total``; rows without a value have NULL ranks."""
     ranks = value_ranks(df, column).withColumnRenamed("value", "__value")

@@ -15,6 +15,7 @@ from zonalis.operators import dedup as D
 from zonalis.operators import joins as J
 from zonalis.operators import models as M
 from zonalis.operators import spatial as S
+from zonalis.operators.ranking import grouped_quantiles
 from zonalis.runtime import cut
 from zonalis.sources import readers as R
 
@@ -101,13 +102,13 @@ def prices(rows: DataFrame, least_sales: int = 5, price: tuple[float, float] = (
     median price of a whole house (in hundreds), and sales; districts count for their city; blank below ``least_sales``."""
     kept = A.sales(rows, ["Maison", "Appartement"], least_surface, price).withColumn("code", K.parent_code(F.col("code")))
 
-    def median(column: str, kind: str | None, digits: int) -> Column:
-        v = F.col(column) if kind is None else F.when(F.col("kind") == kind, F.col(column))
-        return F.when(F.count(v) >= least_sales, F.bround(F.percentile(v, 0.5), digits))
-
-    return kept.groupBy("code").agg(
-        median("per_m2", None, 0).alias("price"), median("per_m2", "Maison", 0).alias("house_price"), median("per_m2", "Appartement", 0).alias("flat_price"),
-        median("value", "Maison", -2).alias("house_value"), F.count("*").alias("sales"))
+    # column -> the values whose median it is, of which kind, and the digits
+    wanted = {"price": ("per_m2", None, 0), "house_price": ("per_m2", "Maison", 0), "flat_price": ("per_m2", "Appartement", 0), "house_value": ("value", "Maison", -2)}
+    items = [F.when(F.lit(True) if kind is None else F.col("kind") == kind, F.struct(F.lit(name).alias("column"), F.col(c).cast("double").alias("v"))) for name, (c, kind, _) in wanted.items()]
+    long = kept.select("code", F.explode(F.array_compact(F.array(*items))).alias("c")).select("code", "c.*")
+    found = grouped_quantiles(long, ["code", "column"], "v", [0.5]).where(F.col("n") >= least_sales)
+    medians = found.groupBy("code").agg(*[F.max(F.when(F.col("column") == name, F.bround(F.col("q")[0], digits))).alias(name) for name, (*_, digits) in wanted.items()])
+    return kept.groupBy("code").agg(F.count("*").alias("sales")).join(medians, "code", "left").select("code", *wanted, "sales")
 
 
 #: Published age bands, ends included.

@@ -12,6 +12,7 @@ from zonalis.functions import keys as K
 from zonalis.operators import dedup as D
 from zonalis.operators import network as N
 from zonalis.operators import spatial as S
+from zonalis.operators.ranking import grouped_quantiles
 
 
 def in_metro(lon: Column, lat: Column) -> Column:
@@ -23,7 +24,7 @@ def venues(rows: DataFrame, visitors: DataFrame, kinds: Mapping[str, tuple[str,
     """P29. ``rows(id, kind, lon, lat, name)``, ``visitors(id, year, total)``, kind -> (category, weight or None for
     museums weighed by median visitors) -> one venue per category and place, the heaviest."""
     table = rows.sparkSession.createDataFrame([(k, c, w) for k, (c, w) in kinds.items()], "kind string, category string, fixed double")
-    typical = visitors.where("total > 0").groupBy("id").agg(F.percentile("total", 0.5).alias("visitors"))
+    typical = grouped_quantiles(visitors.where("total > 0"), ["id"], "total", [0.5]).select("id", F.col("q")[0].alias("visitors"))
     joined = rows.join(F.broadcast(table), "kind").join(typical, "id", "left").where(in_metro(F.col("lon"), F.col("lat")))
     weighed = joined.withColumn("weight", F.bround(F.coalesce("fixed", K.museum_weight(F.col("visitors"))), 2))
     placed = weighed.select("category", F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"), "name", "weight")

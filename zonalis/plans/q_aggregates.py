@@ -21,8 +21,8 @@ where value > 0 and nc = 1 and nt = 1 and surface >= 9 and kind in ('A','N') and
 """)
 def _(v):
     kept = A.sales(v.sale_rows, ["A", "N"], 9.0, (200.0, 20000.0))
-    n = F.count("*")
-    return kept.groupBy("code").agg(n.alias("sales"), F.round(F.percentile("per_m2", 0.5), 6).alias("median"), K.published_if(F.round(F.percentile("per_m2", 0.9), 6), n, 2).alias("p90"))
+    out = A.sale_medians(kept, [0.5, 0.9])
+    return out.select("code", "sales", F.round(F.col("q")[0], 6).alias("median"), K.published_if(F.round(F.col("q")[1], 6), F.col("sales"), 2).alias("p90"))
 
 
 @query("a4_a5_weighted_means", """

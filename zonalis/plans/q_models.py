@@ -100,7 +100,7 @@ select d.month, round(any_value(factor),6) as factor, any_value(f.n) as n, round
 def _(v):
     factors = M.monthly_factors(v.daily_grid, "tx", "precip")
     rows = v.daily_grid.join(F.broadcast(factors), "month").withColumn("err", F.col("precip") * F.col("factor") - F.col("tx"))
-    out = rows.groupBy("month").agg(F.first("factor").alias("factor"), F.first("n").alias("n"), *M.error_summary(F.col("err"), F.col("tx")))
+    out = M.error_summary(rows, ["month"], "err", "tx").join(factors, "month")
     return out.select("month", F.round("factor", 6).alias("factor"), "n", *[F.round(c, 5).alias(c) for c in ("bias", "mae", "rmse", "median_relative")])
 
 
