@@ -71,15 +71,16 @@ def largest_ring_centroid(rings: Column) -> Column:
     return F.struct(middle("x").alias("x"), middle("y").alias("y"))
 
 
-def in_polygon(x: Column, y: Column, rings: Column) -> Column:
-    """Even-odd rule over all rings, so holes count."""
+def ray_crossing(x: Column, y: Column, s: Column) -> Column:
+    """1 where the ray from (x, y) to the right crosses the segment {p, q}, else 0."""
+    p, q = s["p"], s["q"]
+    at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
+    return F.when(((p["y"] > y) != (q["y"] > y)) & (x < at), 1).otherwise(0)
 
-    def crossing(s: Column) -> Column:
-        p, q = s["p"], s["q"]
-        at = (q["x"] - p["x"]) * (y - p["y"]) / F.nullif(q["y"] - p["y"], F.lit(0.0)) + p["x"]
-        return F.when(((p["y"] > y) != (q["y"] > y)) & (x < at), 1).otherwise(0)
 
-    counts = F.transform(rings, lambda r: F.aggregate(F.transform(segments(r), crossing), F.lit(0), lambda a, v: a + v))
+def in_polygon(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd rule over all rings, so holes count."""
+    counts = F.transform(rings, lambda r: F.aggregate(F.transform(segments(r), lambda s: ray_crossing(x, y, s)), F.lit(0), lambda a, v: a + v))
     return F.aggregate(counts, F.lit(0), lambda a, v: a + v) % 2 == 1
 
 

@@ -21,16 +21,91 @@ def polygon_cells(polygons: DataFrame, size: float, rings: str = "rings") -> Dat
     return polygons.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys))
 
 
+#: Edges in a cell of a cover from which on it is split, and how many halvings below the given size.
+CROWDED_EDGES, SUB_LEVELS = 16, 6
+
+
+def _clipped(cells: DataFrame, size: float) -> DataFrame:
+    """``cells(poly, k, cx, cy, near, ys, odd)`` with what a point of the cell needs to be told inside or outside.
+
+    A point's ray runs to the right. Edges left of, above or below the cell never count. An edge to the right counts
+    whatever the point's x, so it is its two heights in ``ys`` (each height above the point flips); heights that
+    neighbouring edges share cancel, those above the whole cell flip ``odd``. Only edges that meet the cell stay whole
+    in ``near``. The cell's box is a little wider than the cell, so rounding moves no edge out of it.
+    """
+    side = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("k"))
+    low = {c: F.col(c) * side for c in ("cx", "cy")}
+    more = {c: (F.abs(low[c]) + side) * 1e-9 for c in low}
+    cells = cells.withColumns({"__w": low["cx"] - more["cx"], "__e": low["cx"] + side + more["cx"], "__s": low["cy"] - more["cy"], "__t": low["cy"] + side + more["cy"]})
+    w, e, s, t = (F.col(c) for c in ("__w", "__e", "__s", "__t"))
+    in_band = lambda g: ~((F.greatest(g["p"]["y"], g["q"]["y"]) <= s) | (F.least(g["p"]["y"], g["q"]["y"]) >= t))
+    right = F.filter("near", lambda g: in_band(g) & (F.least(g["p"]["x"], g["q"]["x"]) > e))
+    cells = cells.withColumn("__right", right)
+    before, after = lambda i: F.get("__right", i - 1)["q"], lambda i: F.get("__right", i + 1)["p"]
+    starts = F.transform("__right", lambda g, i: F.when(before(i).isNull() | (before(i) != g["p"]), g["p"]["y"]))
+    ends = F.transform("__right", lambda g, i: F.when(after(i).isNull() | (after(i) != g["q"]), g["q"]["y"]))
+    cells = cells.withColumn("__ys", F.array_compact(F.concat("ys", starts, ends)))
+    near = F.filter("near", lambda g: in_band(g) & (F.greatest(g["p"]["x"], g["q"]["x"]) >= w) & (F.least(g["p"]["x"], g["q"]["x"]) <= e) & (g["p"]["y"] != g["q"]["y"]))
+    flips = F.size(F.filter("__ys", lambda y: y >= t))
+    return cells.select("poly", "k", "cx", "cy", near.alias("near"), F.filter("__ys", lambda y: (y > s) & (y < t)).alias("ys"), ((F.col("odd") + flips) % 2).alias("odd"))
+
+
+def polygon_cover(polygons: DataFrame, size: float, most: int = CROWDED_EDGES) -> DataFrame:
+    """``(poly, cx, cy, k, sx, sy, near, ys, odd)``: cells of side ``size`` and, where they are crowded with edges, parts
+    of them, each with its own edges alone; ``near`` and ``ys`` are empty in a cell that is wholly inside.
+
+    ``polygons(poly, rings)``. A polygon starts with the few cells of about its own width and is cut into quarters; each
+    quarter keeps the edges that meet it, so a large polygon's outline never goes to all its cells, and cells inside
+    it carry no edge. A cell of more than ``most`` edges is cut on, SUB_LEVELS times at most.
+    """
+    b = G.bounds(F.col("rings"))
+    cells = polygons.select("poly", F.flatten(F.transform("rings", G.segments)).alias("near"), *[v.alias(c) for c, v in b.items()])
+    width = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")) / F.lit(float(size))
+    cells = cells.where(width >= 0).withColumn("k", F.when(width > 1, F.ceil(F.log2(width))).otherwise(F.lit(0)).cast("int"))
+    side = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("k"))
+    of = lambda axis: F.explode(F.sequence(F.floor(F.col(f"min_{axis}") / side), F.floor(F.col(f"max_{axis}") / side)))
+    cells = cells.withColumn("cx", of("x")).withColumn("cy", of("y"))
+    cells = _clipped(cells.select("poly", "k", "cx", "cy", "near", F.array().cast("array<double>").alias("ys"), F.lit(0).alias("odd")), size)
+    found = None
+    quarters = F.explode(F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)]))
+    while True:
+        plain = (F.size("near") == 0) & (F.size("ys") == 0)
+        cells = cut(cells.where(~plain | (F.col("odd") == 1)))
+        done = plain | ((F.col("k") <= 0) & (F.size("near") + F.size("ys") <= most)) | (F.col("k") <= -SUB_LEVELS)
+        found = cells.where(done) if found is None else found.unionByName(cells.where(done))
+        if cells.where(~done).isEmpty():
+            break
+        parts = cells.where(~done).withColumn("q", quarters)
+        cells = _clipped(parts.select("poly", (F.col("k") - 1).alias("k"), "q.cx", "q.cy", "near", "ys", "odd"), size)
+    # A whole cell above the given size stands for its cells of that size, a part for the cell it lies in.
+    times = F.pow(F.lit(2.0), F.abs("k")).cast("bigint")
+    base = lambda c: F.when(F.col("k") > 0, F.sequence(F.col(c) * times, F.col(c) * times + times - 1)).otherwise(F.array(F.floor(F.col(c) / times)))
+    out = found.select("poly", "k", F.col("cx").alias("sx"), F.col("cy").alias("sy"), base("cx").alias("xs"), base("cy").alias("ys0"), "near", "ys", "odd")
+    return out.withColumn("cx", F.explode("xs")).withColumn("cy", F.explode("ys0")).select("poly", "cx", "cy", "k", "sx", "sy", "near", "ys", "odd")
+
+
+def _in_cover(x: Column, y: Column, size: float) -> Column:
+    """Whether a point of a cover's cell is inside its polygon."""
+    part = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("k"))
+    here = (F.col("k") >= 0) | ((F.floor(x / part) == F.col("sx")) & (F.floor(y / part) == F.col("sy")))
+    flips = F.aggregate("near", F.lit(0), lambda n, g: n + G.ray_crossing(x, y, g)) + F.size(F.filter("ys", lambda v: v > y)) + F.col("odd")
+    return here & (flips % 2 == 1)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: str = "x", y: str = "y") -> DataFrame:
     """Left join of ``points`` with the polygons that hold them (J9). ``polygons(poly, rings)``.
 
-    Points and polygon cells meet on the cell; the ray test decides. ``size`` should be about a polygon's side,
-    so a polygon takes few cells and a cell few polygons.
+    Points and the cells of polygon_cover() meet on the cell; there the ray test runs over the cell's edges alone, with
+    the result of the whole rings. Polygons may be of any size; ``size`` is best about a usual polygon's side.
     """
-    placed = points.withColumns({"cx": _cell(F.col(x), size), "cy": _cell(F.col(y), size)})
-    cells = polygon_cells(polygons.select("poly", "rings"), size).withColumnsRenamed({"cx": "__cx", "cy": "__cy", "rings": "__rings"})
-    same = (F.col("cx") == F.col("__cx")) & (F.col("cy") == F.col("__cy"))
-    return placed.join(cells, same & G.in_polygon(F.col(x), F.col(y), F.col("__rings")), "left").select(*points.columns, "poly")
+    placed = points.withColumns({"__px": _cell(F.col(x), size), "__py": _cell(F.col(y), size)})
+    cells = polygon_cover(polygons.select("poly", "rings"), size)
+    same = (F.col("__px") == F.col("cx")) & (F.col("__py") == F.col("cy"))
+    names = [c for c in points.columns if c in cells.columns and c != "poly"]
+    placed = placed.withColumnsRenamed({c: f"__own_{c}" for c in names})
+    px, py = (F.col(f"__own_{c}" if c in names else c) for c in (x, y))
+    joined = placed.join(cells, same & _in_cover(px, py, size), "left")
+    return joined.select(*[F.col(f"__own_{c}").alias(c) if c in names else F.col(c) for c in points.columns], "poly")
 
 
 def one_polygon(matched: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,11 +114,18 @@ def one_polygon(matched: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """Lines that meet any polygon (J10). ``lines(line_id, line)``, ``polygons(poly, rings)``."""
-    boxed = lines.withColumn("rings", F.array("line"))
-    cells = polygon_cells(boxed, size).drop("rings")
-    met = cells.join(polygon_cells(polygons.select("poly", "rings"), size), ["cx", "cy"]).where(G.line_meets_polygon(F.col("line"), F.col("rings")))
-    return lines.join(met.select("line_id").distinct(), "line_id", "left_semi")
+    """Lines that meet any polygon (J10). ``lines(line_id, line)``, ``polygons(poly, rings)``.
+
+    A line meets a polygon if a vertex lies inside or a piece crosses an edge. Vertices meet polygon covers; pieces meet
+    edges on the cells of their boxes. No whole line or ring is copied.
+    """
+    corner = lines.select("line_id", F.explode("line").alias("p")).select("line_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    inside = points_in_polygons(corner, polygons, size).where("poly is not null").select("line_id")
+    boxed = lambda df: polygon_cells(df.withColumn("rings", F.array(F.array("g.p", "g.q"))), size).drop("rings")
+    pieces = boxed(lines.select("line_id", F.explode(G.segments(F.col("line"))).alias("g")))
+    edges = boxed(polygons.select(F.explode(F.flatten(F.transform("rings", G.segments))).alias("g"))).withColumnRenamed("g", "h")
+    across = pieces.join(edges, ["cx", "cy"]).where(G.segments_cross(F.col("g"), F.col("h"))).select("line_id")
+    return lines.join(inside.unionByName(across).distinct(), "line_id", "left_semi")
 
 
 def _neighbourhood(df: DataFrame, x: Column, y: Column, reach: int = 1) -> DataFrame:
