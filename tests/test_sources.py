@@ -153,3 +153,43 @@ def test_gate(spark):
     with pytest.raises(ValueError, match="bad"):
         Q.gate(spark.range(1), "bad")
     assert Q.long_names(["abc", "abcdefghijk"]) == ["abcdefghijk"]
+
+
+def test_preamble_files_are_split(spark, tmp_path):
+    """Files of many splits: lines below each file's own header, in any encoding, header-like lines below it as data."""
+    for name, encoding, n in (("a", "UTF-8", 4000), ("b", "UTF-8", 7)):
+        head = ["Titre", "", "Année;Surface", "Année;9"] if name == "a" else ["Surface;Année"]
+        rows = [f"{1990 + i % 9};{i}" if name == "a" else f"{i};{1990 + i % 9}" for i in range(n)]
+        (tmp_path / f"{name}.csv").write_text("\r\n".join([*head, *rows]), encoding=encoding)
+    (tmp_path / "c.csv").write_text("no header;here\n1;2")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = R.read_after_preamble(spark, str(tmp_path / "a.csv"), "Année;", ["Surface", "Année"])
+        assert got.rdd.getNumPartitions() > 5
+        assert sorted((int(r[0]), r[1]) for r in got.collect()) == sorted([(9, "Année"), *[(i, str(1990 + i % 9)) for i in range(4000)]])
+        assert R.read_after_preamble(spark, str(tmp_path / "b.csv"), "Surface;", ["Année"]).count() == 7
+        assert R.read_after_preamble(spark, str(tmp_path / "c.csv"), "Surface;", ["Année"]).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "latin.csv").write_bytes("x\nAnnée;Été\n1;à\n".encode("latin-1"))
+    assert [tuple(r) for r in R.read_after_preamble(spark, str(tmp_path / "latin.csv"), "Année;", ["Été"], encoding="ISO-8859-1").collect()] == [("à",)]
+
+
+def test_archives_of_more_than_two_gigabytes(spark, tmp_path):
+    """The archive follows a hole of 2.5 GB, so nothing but its directory and member may be read."""
+    import tarfile
+    import zipfile
+
+    path = tmp_path / "large file.zip"
+    with open(path, "wb") as f:
+        f.seek(2_500_000_000)
+        f.write(b"x")
+    with zipfile.ZipFile(path, "a", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("data_1.csv", "a,b\n1,2\n")
+        z.writestr("other.csv", "no")
+    with tarfile.open(tmp_path / "small.tar.gz", "w:gz") as t:
+        (tmp_path / "data_2.csv").write_text("a,b\n3,4\n")
+        t.add(tmp_path / "data_2.csv", "in/data_2.csv")
+    lines = R.read_archive_lines(spark, f"{tmp_path}/*.{{zip,gz}}", r"data_\d")
+    assert sorted((r["member"], r["number"], r["line"]) for r in lines.collect()) == [("data_1.csv", 0, "a,b"), ("data_1.csv", 1, "1,2"), ("in/data_2.csv", 0, "a,b"), ("in/data_2.csv", 1, "3,4")]
+    assert "content" not in lines._jdf.queryExecution().executedPlan().toString().replace("read_archive", "")

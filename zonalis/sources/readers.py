@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from zonalis.functions.keys import is_metropolitan, normalise_code
 from zonalis.operators.dedup import totals_only
+from zonalis.runtime import broadcast_if_small, cut, shuffle_partitions
 
 BOM = "﻿"
 
@@ -23,19 +24,29 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ";", encoding: str
     return df.toDF(*[c.replace(BOM, "").replace("ï»¿", "").strip() for c in df.columns])
 
 
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """``(file, place, line)`` of text files; blank lines go. ``place`` grows along a file.
+
+    Files are split like any text: ``place`` is the split's start and the line's number within its task.
+    """
+    reader = spark.read.schema("line string").option("sep", "\u0001").option("quote", "").option("encoding", encoding).option("maxCharsPerColumn", -1).option("nullValue", "\u0002")
+    rows = reader.csv(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "line")
+    return rows.select("file", F.struct("start", F.monotonically_increasing_id().alias("at")).alias("place"), "line")
+
+
 def read_after_preamble(spark: SparkSession, path: str, header_prefix: str, columns: Sequence[str], sep: str = ";", encoding: str = "UTF-8") -> DataFrame:
-    """Rows below the line that starts with ``header_prefix``, file by file.
+    """Rows below the first line that starts with ``header_prefix``, file by file (S2); files without one give none.
 
-    The header's place is found once per file; rows are then split in parallel over the file's lines. ``columns``
-    picks header names in order.
+    A first pass keeps each file's header and its place, a row a file; the second reads the lines in splits and drops
+    those that don't lie below. ``columns`` picks header names in order.
     """
-    text = F.decode("content", encoding)
-    files = spark.read.format("binaryFile").load(path).select("path", F.split(text, "\r?\n").alias("lines"))
-    at = F.array_position(F.transform("lines", lambda x: F.startswith(F.replace(x, F.lit(BOM), F.lit("")), F.lit(header_prefix))), True)
-    found = files.withColumn("at", at.cast("int")).where("at > 0").withColumn("header", F.split(F.element_at("lines", F.col("at")), re.escape(sep)))
-    rows = found.select("path", "header", F.explode(F.slice("lines", F.col("at") + 1, F.size("lines"))).alias("line")).where(F.trim("line") != "")
+    lines = read_lines(spark, path, encoding)
+    plain = F.replace("line", F.lit(BOM), F.lit(""))
+    heads = lines.where(F.startswith(plain, F.lit(header_prefix))).groupBy("file").agg(F.min(F.struct("place", plain.alias("line"))).alias("h"))
+    heads = cut(heads.select(F.col("file").alias("of"), F.col("h.place").alias("from"), F.transform(F.split("h.line", re.escape(sep)), lambda h: F.trim(h)).alias("header")))
+    rows = lines.join(broadcast_if_small(heads, 100_000), F.col("file") == F.col("of")).where((F.col("place") > F.col("from")) & (F.trim("line") != ""))
     cells = F.split("line", re.escape(sep))
-    pick = lambda c: F.nullif(F.trim(F.get(cells, F.array_position(F.transform("header", lambda h: F.trim(F.replace(h, F.lit(BOM), F.lit("")))), c).cast("int") - 1)), F.lit(""))
+    pick = lambda c: F.nullif(F.trim(F.get(cells, F.array_position("header", c).cast("int") - 1)), F.lit(""))
     return rows.select(*[pick(c).alias(c) for c in columns])
 
 
@@ -123,44 +134,63 @@ def line_points(coordinates: Column) -> Column:
     return F.transform(F.from_json(coordinates, POINTS), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
 
 
+def open_file(path: str):
+    """A file of a shared store as a seekable stream; nothing is read before it is asked for."""
+    from pyarrow import fs
+
+    store, name = re.match(r"(?:([a-z][a-z0-9+.-]*):(?://[^/]*)?)?(.*)", path, re.S).groups()
+    if store in (None, "file"):
+        return fs.LocalFileSystem().open_input_file(name)
+    system, _ = fs.FileSystem.from_uri(path[: len(path) - len(name)] + "/")
+    return system.open_input_file(name)
+
+
+def _members(stream) -> tuple[list[str], Callable]:
+    """The member names of a zip (from its directory at the end) or tar archive, and how to open one."""
+    import tarfile
+    import zipfile
+
+    if zipfile.is_zipfile(stream):
+        box = zipfile.ZipFile(stream)
+        return box.namelist(), box.open
+    stream.seek(0)
+    box = tarfile.open(fileobj=stream)
+    return [m.name for m in box if m.isfile()], box.extractfile
+
+
 def read_archive_lines(spark: SparkSession, path: str, member: str, latest: bool = False, encoding: str = "utf-8") -> DataFrame:
     """``(archive, member, number, line)`` of zip or tar members whose name matches a pattern.
 
-    One task reads an archive and yields its lines in batches; several archives are read in parallel. With
-    ``latest`` the last matching name wins, otherwise an archive must have exactly one.
+    Archives of any size: a task opens one where it lies, seeks to the member by the archive's directory and streams its
+    lines, so it holds some lines only. Several archives are read in parallel. With ``latest`` the last matching name
+    wins, otherwise an archive must have exactly one.
     """
 
     def run(batches):
         import io
-        import tarfile
-        import zipfile
 
+        names = ("archive", "member", "number", "line")
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                raw = io.BytesIO(content)
-                if zipfile.is_zipfile(raw):
-                    box = zipfile.ZipFile(raw)
-                    names, opened = box.namelist(), box.open
-                else:
-                    raw.seek(0)
-                    box = tarfile.open(fileobj=raw)
-                    names, opened = box.getnames(), box.extractfile
-                hits = sorted(n for n in names if re.search(member, n))
-                if not hits or len(hits) > 1 and not latest:
-                    raise ValueError(f"{name}: {len(hits)} members match {member}")
-                with opened(hits[-1]) as stream:
-                    rows, number = [], 0
-                    for line in io.TextIOWrapper(stream, encoding=encoding):
-                        rows.append((name, hits[-1], number, line.rstrip("\r\n")))
-                        number += 1
-                        if len(rows) == 20_000:
-                            yield pa.RecordBatch.from_pylist([dict(zip(("archive", "member", "number", "line"), r)) for r in rows])
-                            rows = []
-                    if rows:
-                        yield pa.RecordBatch.from_pylist([dict(zip(("archive", "member", "number", "line"), r)) for r in rows])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, number bigint, line string")
+            for path in batch.column(0).to_pylist():
+                with open_file(path) as source:
+                    found, opened = _members(source)
+                    hits = sorted(n for n in found if re.search(member, n))
+                    if not hits or len(hits) > 1 and not latest:
+                        raise ValueError(f"{path}: {len(hits)} members match {member}")
+                    with opened(hits[-1]) as stream:
+                        rows, size = [], 0
+                        for number, line in enumerate(io.TextIOWrapper(stream, encoding=encoding)):
+                            rows.append((path, hits[-1], number, line.rstrip("\r\n")))
+                            size += len(line)
+                            if len(rows) == 20_000 or size > 8 << 20:
+                                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+                                rows, size = [], 0
+                        if rows:
+                            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows])
+
+    # Spark lists the files; their content isn't read here.
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.repartition(shuffle_partitions(spark), "path").mapInArrow(run, "archive string, member string, number bigint, line string")
 
 
 def split_member(lines: DataFrame, columns: Sequence[str], sep: str = ",") -> DataFrame:
