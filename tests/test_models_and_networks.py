@@ -281,6 +281,22 @@ def test_fire_model_equals_a_plain_fit(spark):
     assert all(r["auc_rate"] is not None and 0 <= r["capture"] <= 1 for r in out)
 
 
+def test_nearest_takes_as_many_rounds_for_any_gap(spark, monkeypatch):
+    """A dense cluster, points at distances of 2^4 to 2^22 cells from it, and two sites far apart."""
+    rng = np.random.default_rng(5)
+    sites = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 8, (200, 2)))] + [(900, 3.0e6, -2.0e6), (901, -5.0e5, 0.0)]
+    points = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 8, (50, 2)))] + [(f"far{k}", float(2.0**k), float(-(1.7**k))) for k in range(3, 22)] + [("mid", 1.2e6, -1.0e6)]
+    rounds = []
+    real = S.cut
+    monkeypatch.setattr(S, "cut", lambda df: rounds.append(1) or real(df))
+    ids, at = spark.createDataFrame(points, "id string, x double, y double"), spark.createDataFrame(sites, "site bigint, sx double, sy double")
+    got = {r["id"]: (r["site"], r["distance"]) for r in S.nearest(ids, at, 0.5).collect()}
+    for name, x, y in points:
+        d, site = min((float(np.hypot(sx - x, sy - y)), i) for i, sx, sy in sites)
+        assert got[name][0] == site and abs(got[name][1] - d) <= 1e-9 * d
+    assert len(rounds) <= 9
+
+
 def test_nearest_returns_every_point(spark):
     points = spark.createDataFrame([("a", 0.0, 0.0), ("b", None, 1.0), ("c", 3e9, 0.0), ("d", float("nan"), 0.0)], "id string, x double, y double")
     sites = spark.createDataFrame([(1, 3.0, 4.0), (2, None, 0.0)], "site bigint, sx double, sy double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -144,12 +146,18 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, scale_x: floa
     return near.where(F.col("distance") <= radius).drop("cx", "cy")
 
 
+#: Doublings of the cells before the rows that are left look up where they have a neighbour at all.
+DOUBLINGS = 3
+
+
 def nearest(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     """``(id, site, distance)``: the nearest of ``sites(site, sx, sy)`` for each ``points(id, x, y)``.
 
     A point whose best site in the 3 x 3 cells is within one cell width is settled; the others try again with
-    cells twice as wide, so a dense area never compares with far sites. Ties go to the smaller site. Every point
-    returns a row; ``site`` is NULL for a point without finite coordinates and where there are no sites.
+    cells twice as wide, so a dense area never compares with far sites. After DOUBLINGS rounds the few that are left go
+    straight to the level of a pyramid of occupied cells that surely holds their nearest site, so the number of rounds
+    doesn't grow with the gap. Ties go to the smaller site. Every point returns a row; ``site`` is NULL for a point
+    without finite coordinates and where there are no sites.
     """
     found = None
     finite = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))
@@ -157,17 +165,41 @@ def nearest(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     sites = sites.where(finite("sx") & finite("sy"))
     if sites.isEmpty() or rest.isEmpty():
         return points.select("id", F.lit(None).cast(sites.schema["site"].dataType).alias("site"), F.lit(None).cast("double").alias("distance"))
-    # Ends when a cell is as wide as the data's extent, if not before.
-    while not rest.isEmpty():
+    d = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
+    best_of = lambda met: met.groupBy("id").agg(F.min(F.struct(d.alias("distance"), "site")).alias("best"))
+    for _ in range(DOUBLINGS):
         a = _neighbourhood(rest, _cell(F.col("x"), size), _cell(F.col("y"), size))
         b = sites.withColumns({"cx": _cell(F.col("sx"), size), "cy": _cell(F.col("sy"), size)})
-        d = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
-        best = a.join(b, ["cx", "cy"]).groupBy("id").agg(F.min(F.struct(d.alias("distance"), "site")).alias("best"))
-        best = cut(best.where(F.col("best.distance") <= size).select("id", "best.site", "best.distance"))
+        best = cut(best_of(a.join(b, ["cx", "cy"])).where(F.col("best.distance") <= size).select("id", "best.site", "best.distance"))
         found = best if found is None else found.unionByName(best)
         rest = cut(rest.join(best, "id", "left_anti"))
         size *= 2
-    return points.select("id").join(found, "id", "left")
+        if rest.isEmpty():
+            return points.select("id").join(found, "id", "left")
+    far = cut(best_of(_at_own_level(rest, sites, size)).select("id", "best.site", "best.distance"))
+    return points.select("id").join(found.unionByName(far), "id", "left")
+
+
+def _at_own_level(rest: DataFrame, sites: DataFrame, size: float) -> DataFrame:
+    """``rest(id, x, y)`` with all ``sites`` that can be nearest, on cells of each point's own width.
+
+    The first level whose 3 x 3 cells hold any site bounds the distance by 2.83 cell widths; cells four times as wide
+    then have the nearest site among theirs.
+    """
+    span = lambda df, x, y: df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    p, q = span(rest, "x", "y"), span(sites, "sx", "sy")
+    extent = max(max(p[1], q[1]) - min(p[0], q[0]), max(p[3], q[3]) - min(p[2], q[2]), size)
+    top = math.ceil(math.log2(extent / size)) + 1
+    width = F.lit(float(size)) * F.pow(F.lit(2.0), F.col("level"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(top)))
+    placed = lambda df, x, y: df.withColumns({"cx": F.floor(F.col(x) / width), "cy": F.floor(F.col(y) / width)})
+    occupied = placed(sites.select("sx", "sy", levels.alias("level")), "sx", "sy").select("level", "cx", "cy").distinct()
+    round_ = lambda df: _neighbourhood(df, F.floor(F.col("x") / width), F.floor(F.col("y") / width))
+    first = round_(rest.withColumn("level", levels)).join(occupied, ["level", "cx", "cy"]).groupBy("id").agg(F.least(F.min("level") + 2, F.lit(top)).alias("level"))
+    own = cut(rest.join(first, "id"))
+    used = [r["level"] for r in own.select("level").distinct().collect()]  # one row a level
+    spread = placed(sites.withColumn("level", F.explode(F.array(*map(F.lit, used)))), "sx", "sy")
+    return round_(own).join(spread, ["level", "cx", "cy"])
 
 
 def mosaic_edges(polygons: DataFrame, rings: str = "rings") -> DataFrame:

@@ -52,6 +52,18 @@ def _(v):
     return R.grid_window(cells, (4, 12), (2, 20), 5000.0)
 
 
+@query("s14_population_cells", """
+select 'CRS3035RES200mN' || (c_custkey*200)::varchar || 'E' || (c_custkey*1000)::varchar as cell, c_custkey*1000+100e0 as x, c_custkey*200+100e0 as y, (c_custkey % 90)/4e0 as pop from {customer} where c_custkey % 7 > 0 and c_custkey % 90 > 0
+""")
+def _(v):
+    """A seventh of the names lack their east, and some people are none or no number."""
+    k = F.col("c_custkey")
+    name = F.concat(F.lit("CRS3035RES200mN"), (k * 200).cast("string"), F.when(k % 7 > 0, F.concat(F.lit("E"), (k * 1000).cast("string"))).otherwise(F.lit("")))
+    rows = v.customer.select(name.alias("idcar_200m"), ((k % 90) / 4.0).cast("string").alias("ind"))
+    other = v.customer.limit(3).select(F.lit("CRS3035RES200mN200E200").alias("idcar_200m"), F.explode(F.array(F.lit("x"), F.lit("-1"), F.lit(None))).alias("ind"))
+    return R.population_cells(rows.unionByName(other))
+
+
 @query("s8_nested_events", "select event_type, count(*) as n, sum((props::json->>'k')::bigint)::bigint as k from {events} group by 1")
 def _(v):
     rows = v.events.select("event_type", F.from_json("props", "k bigint").alias("p"))

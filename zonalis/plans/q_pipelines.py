@@ -211,6 +211,22 @@ def _(v):
     return out.groupBy("category").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 0).alias("weight"))
 
 
+@query("p29_venues_in_full", """
+with r as (select case s_suppkey % 3 when 0 then 'stage' when 1 then 'museum' else 'fair' end as category, (s_suppkey % 40)/1000e0 as lon, 45 + (s_suppkey % 40)/1000e0 as lat, s_name as name,
+ round_even(case s_suppkey % 3 when 0 then 2e0 when 1 then case when s_suppkey % 4 = 0 then 1e0 else least(greatest(1+log10((1000+s_suppkey*700+(s_suppkey % 2)*50)/10000e0),0.5),6) end else 1e0 end,2) as weight from {supplier} where s_suppkey % 3 = 1 or s_suppkey <= 40)
+select category, lon, lat, name, weight from (select *, row_number() over (partition by category, lon, lat order by weight desc) as k from r) where k = 1
+""")
+def _(v):
+    """Museums share places, one of each stays; a quarter have no visitors, the others three or four years of them."""
+    k = F.col("s_suppkey")
+    kind = F.when(k % 3 == 0, "T").when(k % 3 == 1, "M").otherwise("F")
+    rows = v.supplier.where("s_suppkey % 3 = 1 or s_suppkey <= 40").select(k.cast("string").alias("id"), kind.alias("kind"), ((k % 40) / 1000.0).alias("lon"), (45 + (k % 40) / 1000.0).alias("lat"), F.col("s_name").alias("name"))
+    # Of three years the middle one counts, of four the mean of the middle two.
+    years = F.array(F.lit(-500), F.lit(0), F.lit(900), F.when(k % 2 == 1, F.lit(100)))
+    visitors = v.supplier.where("s_suppkey % 4 > 0").select(k.cast("string").alias("id"), F.explode(F.array_compact(years)).alias("year")).withColumn("total", (1000 + F.col("id").cast("bigint") * 700 + F.col("year")).cast("double"))
+    return Q.venues(rows, visitors, {"T": ("stage", 2.0), "M": ("museum", None), "F": ("fair", 1.0)})
+
+
 @query("p31_stop_service", """
 with l as (select *, max(pos) over (partition by trip) as last from {patterns}), b as (select * from l where pos < last), n as (select stop, product, count(*) as n from b group by 1,2),
 d as (select b.stop, count(distinct t.stop) as k from b join l t on b.trip=t.trip and t.pos > b.pos and t.stop <> b.stop where b.product <> '5-LOW' group by 1)

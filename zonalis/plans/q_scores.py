@@ -69,6 +69,30 @@ def _(v):
     return out.select("column", "n", *[F.round(c, 6).alias(c) for c in ("p5", "p95")], F.round("coverage", 9).alias("coverage"), "low_coverage")
 
 
+WANTED = [S.Criterion("population", "up", 2.0), S.Criterion("avg_price", "down", 1.0)]
+REFERENCES = ("00001", "00007")
+
+
+@query("m13_scenario_rows", STRETCH_SQL + f"""
+, ra as (select code, (rank() over (order by avg_price) - 1 + (count(*) over (partition by avg_price) - 1) / 2.0 + 0.5) / count(*) over () as q from {{area_stats}} where avg_price is not null),
+rp as (select code, (rank() over (order by population) - 1 + (count(*) over (partition by population) - 1) / 2.0 + 0.5) / count(*) over () as p from {{area_stats}}),
+u as (select 'abs' as method, code, case when d2 is not null then exp((2*ln(d0)+ln(d2))/3) end as score from s union all select 'rank', rp.code, case when q is not null then exp((2*ln(p)+ln(1-q))/3) end from rp left join ra on ra.code = rp.code),
+k as (select *, row_number() over (partition by method order by score desc, code) as place, rank() over (partition by method order by score desc) as r from u where score > 0),
+o as (select count(*) as overlap from k a join k b on a.code = b.code and a.method = 'abs' and b.method = 'rank' and a.place <= 100 and b.place <= 100),
+b as (select x.score as x, y.score as y from u x join u y on x.code = y.code and x.method = 'abs' and y.method = 'rank' and x.score is not null and y.score is not null),
+c as (select corr(rank_x, rank_y) as rho from (select rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as rank_x, rank() over (order by y) + (count(*) over (partition by y) - 1) / 2.0 as rank_y from b))
+select method, round(max(score),9) as best, round(quantile_cont(score,0.99),9) as p99, round(quantile_cont(score,0.9),9) as p90, round(quantile_cont(score,0.5),9) as p50, count(*) filter (where score >= 0.5) as at_least_50,
+ count(*) filter (where score >= 0.8) as at_least_80, count(*) as passing, case when method = 'abs' then (select overlap from o) end as overlap, case when method = 'abs' then round((select rho from c),9) end as rho,
+ string_agg(case when place <= 10 then code end, ',' order by place) as top, string_agg(case when code in {REFERENCES} then code || ':' || r::varchar end, ',' order by code) as seen from k group by 1
+""")
+def _(v):
+    out = S.scenario_report(v.area_stats, {"wanted": WANTED}, REFERENCES)
+    joined = lambda c, f: F.array_join(F.transform(c, f), ",")
+    return out.select(
+        "method", *[F.round(c, 9).alias(c) for c in ("best", "p99", "p90", "p50")], "at_least_50", "at_least_80", "passing", "overlap", F.round("rho", 9).alias("rho"),
+        joined("top", lambda t: t["code"]).alias("top"), joined("references", lambda t: F.concat_ws(":", t["code"], t["rank"].cast("string"))).alias("seen"))
+
+
 @query("m13_m14_scenario_report")
 def _(v):
     scenarios = {"cheap": [S.Criterion("avg_price", "down", 2.0), S.Criterion("population", "up")], "rich": [S.Criterion("spend", "up"), S.Criterion("acctbal", "up")]}
