@@ -6,6 +6,7 @@ from zonalis.functions import keys as K
 from zonalis.operators import ranking as R
 from zonalis.operators import stats as S
 from zonalis.plans.catalogue import query
+from zonalis.runtime import fresh_path
 
 SPEND = "from {area_stats} where spend is not null"
 
@@ -75,10 +76,13 @@ def _(v):
     return R.distributed_row_number(v.area_stats.where("spend is not null").select("code", "spend"), [F.col("spend").desc(), F.col("code")], "place")
 
 
-@query("w12_search_ranking", """
+SEARCH = """
 with m as (select p_partkey, p_name, p_size, lower(p_name) as f from {part}), h as (select *, case when f = 'red wi' then 0 when strpos(f,'red')=1 then 1 when regexp_matches(f,'(^| )red') and regexp_matches(f,'(^| )wi') then 2 else 3 end as rank
  from m where contains(f,'red') and contains(f,'wi')) select p_partkey, p_name, rank from h order by rank, p_size desc, p_name, p_partkey limit 60
-""")
+"""
+
+
+@query("w12_search_ranking", SEARCH)
 def _(v):
     from zonalis.plans.search import search
 
@@ -86,6 +90,17 @@ def _(v):
     return search(rows, "Red wi").select(F.col("code").cast("bigint").alias("p_partkey"), F.col("name").alias("p_name"), "rank")
 
 
+@query("w12_token_search", SEARCH)
+def _(v):
+    """The same from a written table of tokens."""
+    from zonalis.plans.search import search_tokens, write_token_table
+
+    rows = v.part.select(F.col("p_partkey").cast("string").alias("code"), F.col("p_name").alias("name"), F.col("p_size").alias("population"))
+    path = fresh_path(v.spark, "tokens")
+    write_token_table(rows, path)
+    return search_tokens(v.spark.read.parquet(path), "Red wi").select(F.col("code").cast("bigint").alias("p_partkey"), F.col("name").alias("p_name"), "rank")
+
+
 @query("w13_movers", """
 with b as (select code, spend, avg_price from {area_stats} where spend is not null and avg_price is not null), r as (select code, 100*percent_rank() over (order by spend) as a, 100*percent_rank() over (order by avg_price) as b from b)
 select code, round(a-b,6) as move from r order by abs(round(a-b,6)) desc, code limit 20
