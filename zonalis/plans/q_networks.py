@@ -71,7 +71,18 @@ def _(v):
     return N.spur_loads(N.hop_runs(v.patterns, N.rides(v.patterns, 7)))
 
 
-@query("r8_call_orders")
+@query("r8_call_orders", """
+with recursive l as (select *, max(pos) over (partition by trip) as last, arg_max(stop, pos) over (partition by trip) as terminus from {patterns}),
+k as (select b.terminus, b.trip, b.pos as from_pos, l.pos, l.stop, l.minutes - b.minutes as since from l b join l on l.trip = b.trip and l.pos > b.pos where b.stop = 7 and b.pos < b.last and b.terminus <> 7),
+h as (select *, lag(stop) over (partition by trip, from_pos order by pos) as prev from k where stop <> 7),
+s as (select terminus, stop, count(*) as runs, min(since)::bigint as fastest from h group by 1, 2), t as (select terminus, count(distinct (trip, from_pos)) as line_runs from k group by 1),
+q as (select terminus, stop, list(distinct prev) as prevs from h where prev is not null group by 1, 2),
+w as (select distinct terminus, 0 as step, []::int[] as picked, null::int as stop from s union all
+  select terminus, step + 1, list_append(picked, stop), stop from (select w.terminus, w.step, w.picked, s.stop,
+    row_number() over (partition by w.terminus order by len(list_filter(coalesce(q.prevs, []), lambda x: not list_contains(w.picked, x))) > 0, s.fastest, s.stop) as o
+    from w join s on s.terminus = w.terminus and not list_contains(w.picked, s.stop) left join q on q.terminus = s.terminus and q.stop = s.stop) where o = 1)
+select w.terminus, (w.step - 1)::bigint as place, w.stop, s.runs, s.fastest, s.runs = t.line_runs as every_run from w join s on s.terminus = w.terminus and s.stop = w.stop join t on t.terminus = w.terminus where w.step > 0
+""")
 def _(v):
     out = N.call_orders(N.rides(v.patterns, 7), 7)
     return out.select("terminus", "place", "stop", "runs", "fastest", "every_run")
