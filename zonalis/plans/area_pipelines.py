@@ -135,13 +135,6 @@ def age_structure(cube: DataFrame, least_young: float = 20.0, bands: Mapping[str
         share(F.col("very_old"), F.col("total")).alias("over_75"), F.col("median").alias("median_age"), share(F.col("old"), F.col("young"), least_young).alias("ageing_index"))
 
 
-def candidate_rows(rows: DataFrame, prefix: int, block: int, name: int, votes: int, pct: int) -> DataFrame:
-    """``(code, pos, name, votes, pct)`` of ragged result rows ``(code, cells)``."""
-    names = [f"b{i}" for i in range(block)]
-    flat = R.repeated_blocks(rows, "cells", prefix, block, names)
-    return flat.select("code", "pos", F.col(f"b{name}").alias("name"), K.number(F.col(f"b{votes}")).alias("votes"), K.number(F.col(f"b{pct}")).alias("pct"))
-
-
 def presidential(first: DataFrame, second: DataFrame, slugs: Mapping[str, str], finalists: Sequence[str]) -> DataFrame:
     """P10. ``first`` and ``second(code, turnout, name, votes, pct, pos)`` -> leader, shares, runoff, turnout.
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from zonalis.functions import geometry as G
 from zonalis.functions import keys as K
 from zonalis.operators import aggregates as A
+from zonalis.plans import area_pipelines as P
 from zonalis.plans.catalogue import query
 from zonalis.plans.q_joins import squares
 
@@ -110,8 +111,10 @@ with m as (select point, year, month, avg(tx) as tx, max(tx) as hottest, sum(cas
 select point, month, round(avg(tx),4) as tx, max(hottest) as hottest, round(min(tx),4) as coolest, round(avg(wet),4) as wet, sum(days)::bigint as days from m group by 1,2
 """)
 def _(v):
-    m = v.daily_grid.groupBy("point", "year", "month").agg(F.avg("tx").alias("tx"), F.max("tx").alias("hottest"), F.count_if(F.col("precip") >= 5).alias("wet"), F.count("*").alias("days"))
-    return m.groupBy("point", "month").agg(F.round(F.avg("tx"), 4).alias("tx"), F.max("hottest").alias("hottest"), F.round(F.min("tx"), 4).alias("coolest"), F.round(F.avg("wet"), 4).alias("wet"), F.sum("days").alias("days"))
+    m = P.month_summaries(v.climate_days, rainy=5.0).where("month <= 12")
+    days = v.daily_grid.groupBy("point", "month").agg(F.count("*").alias("days"))
+    per = m.groupBy("point", "month").agg(F.round(F.avg("tx"), 4).alias("tx"), F.max("tx_max").cast("double").alias("hottest"), F.round(F.min("tx"), 4).alias("coolest"), F.round(F.avg("rainy"), 4).alias("wet"))
+    return per.join(days, ["point", "month"])
 
 
 @query("a18_shift_histogram", """

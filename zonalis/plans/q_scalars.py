@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from zonalis.functions import keys as K
 from zonalis.operators import dedup
+from zonalis.plans import area_pipelines as P
+from zonalis.plans import feature_pipelines as Q
 from zonalis.plans.catalogue import query
 
 
@@ -191,10 +193,9 @@ select case when substr(code,1,2) >= '97' then 'outside' else 'kept' end as reas
 def _(v):
     k = F.col("c_custkey")
     rows = v.customer.select(F.lpad(((k * 977) % 100000).cast("string"), 5, "0").alias("raw"), (F.lit(-5.0) + (k * 7919 % 14000) / 1000.0 + k % 4).alias("lon"), (F.lit(41.5) + (k * 104729 % 9500) / 1000.0).alias("lat"))
-    west, south, east, north = K.METRO_BOX
-    code = K.normalise_code(F.col("raw"))
-    reason = F.when(code.isNull(), "malformed").when(~K.is_metropolitan(code), "outside").otherwise("kept")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"), F.count_if(F.col("lon").between(west, east) & F.col("lat").between(south, north)).alias("in_box"))
+    kept = P.metropolitan(rows.select("raw").distinct(), F.col("raw")).select("raw", F.lit("kept").alias("reason"))
+    told = rows.join(kept, "raw", "left").withColumn("reason", F.coalesce("reason", F.lit("outside")))
+    return told.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(Q.in_metro(F.col("lon"), F.col("lat"))).alias("in_box"))
 
 
 @query("f4_f6_f10_pinned_dimensions", """
@@ -240,6 +241,15 @@ def _(v):
     return dedup.keep_heaviest(rows, ["categorie", "x", "y"], "poids").select("categorie", "x", "y", "poids", "doubles")
 
 
+@query("d2_keep_richest", """
+select categorie, x, y, bool_or(p is not null) as rich, max(n) as doubles from (select *, count(*) over (partition by categorie, x, y) as n from (select categorie, round(lon,0)+0e0 as x, round(lat,0)+0e0 as y, case when venue_id % 4 = 0 then poids end as p from {venues})) group by 1,2,3
+""")
+def _(v):
+    rows = v.venues.select("categorie", (F.round("lon", 0) + 0.0).alias("x"), (F.round("lat", 0) + 0.0).alias("y"), F.when(F.col("venue_id") % 4 == 0, F.col("poids")).alias("p"))
+    doubles = rows.groupBy("categorie", "x", "y").agg(F.count("*").alias("doubles"))
+    return dedup.keep_richest(rows, ["categorie", "x", "y"], "p").join(doubles, ["categorie", "x", "y"]).select("categorie", "x", "y", F.col("p").isNotNull().alias("rich"), "doubles")
+
+
 @query("d5_highest_class", "select code, max(case type_local when 'A' then 1 when 'N' then 2 else 3 end) as class from {sale_rows} group by 1")
 def _(v):
     level = F.when(F.col("type_local") == "A", 1).when(F.col("type_local") == "N", 2).otherwise(3)

@@ -119,9 +119,6 @@ def read_features(spark: SparkSession, path: str, properties: str, geometry: str
     return f.select("f.properties.*", F.col("f.geometry.type").alias("geom_type"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
-POINTS = "array<array<double>>"
-
-
 def polygon_rings(coordinates: Column, geom_type: Column) -> Column:
     """JSON coordinates of a Polygon or MultiPolygon as an array of rings of {x, y}."""
     one = F.from_json(coordinates, "array<array<array<double>>>")
@@ -130,10 +127,6 @@ def polygon_rings(coordinates: Column, geom_type: Column) -> Column:
     return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))))
 
 
-def line_points(coordinates: Column) -> Column:
-    return F.transform(F.from_json(coordinates, POINTS), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-
-
 def open_file(path: str):
     """A file of a shared store as a seekable stream; nothing is read before it is asked for."""
     from pyarrow import fs
