@@ -56,7 +56,8 @@ def test_cells_carry_their_own_edges_only(spark):
     assert country.where("n = 0").count() > 1000 and country.agg(F.max("n")).first()[0] <= 16
     # 460 edges in each of the 80 x 80 cells of its box would be three million.
     assert country.agg(F.sum("n")).first()[0] < 0.02 * 460 * 80 * 80
-    assert cover.where("poly = 'coast'").agg(F.max(F.size("near"))).first()[0] <= 16
+    # Where edges lie closer than the smallest part, a part keeps some more of the 700.
+    assert cover.where("poly = 'coast'").agg(F.max(F.size("near"))).first()[0] <= 40
 
 
 def test_lines_meet_polygons_by_vertex_or_edge(spark):
