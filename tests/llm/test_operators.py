@@ -459,4 +459,4 @@ def test_sparse_sites_shrink_towards_the_whole(spark):
 
 def test_one_query_per_operator():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
