@@ -161,8 +161,10 @@ def test_local_correlation_of_dense_and_lone_rows(spark, crowded):
     rng = np.random.default_rng(12)
     at = [(2 + rng.normal() * 0.02, 48 + rng.normal() * 0.02) for _ in range(150)] + [(2.5, 48.2)] * 40 + [(rng.uniform(0, 6), rng.uniform(44, 50)) for _ in range(120)] + [(9.0, 42.0), (9.1, 42.0)]
     rows = [(f"c{i}", float(a), float(b), 1e6 + float(rng.normal()), float(rng.normal() + a)) for i, (a, b) in enumerate(at)]
-    df = spark.createDataFrame(rows, "code string, lon double, lat double, p double, q double")
+    lost = [("nan", float("nan"), 48.0, 1.0, 1.0), ("null", None, 48.0, 1.0, 1.0), ("no value", 2.0, 48.0, float("nan"), 1.0)]
+    df = spark.createDataFrame([*rows, *lost], "code string, lon double, lat double, p double, q double")
     got = {r["code"]: (r["r"], r["n"], r["radius"]) for r in local_correlation(df, "p", "q", 25.0, crowded=crowded).collect()}
+    assert got["nan"] == got["null"] == (None, None, None) and "no value" not in got
     for code, (r, n, radius) in brute_local(rows, 25.0).items():
         assert got[code][1:] == (n, radius) and (r is None) == (got[code][0] is None) and (r is None or abs(r - got[code][0]) < 1e-7)
 
