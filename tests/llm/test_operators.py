@@ -325,6 +325,26 @@ def test_substrings_equal_counting_every_window(spark, hot):
     assert substrings.remove_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [16, 512])
+def test_substrings_of_many_copies_and_repeated_rows(spark, hot):
+    words = [f"w{i}" for i in range(90)]
+    rows = [(i, " ".join(words)) for i in range(300)] + [(7, " ".join(words[20:60]))] * 120
+    rows += [(1000 + i, " ".join([f"own{i}", *words[i : i + 36], f"end{i}"])) for i in range(50)] + [(2000, " ".join(f"x{i}" for i in range(50)))]
+    got = [tuple(r) for r in substrings.remove_repeats(frame(spark, rows), hot=hot).collect()]
+    want = [(i, *w) for (i, _), w in zip(rows, substrings.brute_remove([t for _, t in rows]))]
+    assert key(got) == key(want)
+
+
+def test_windows_of_equal_hash_are_told_by_their_words():
+    class Same(substrings.Spans):
+        def of(self, h, start, end):
+            return np.zeros(len(start), np.uint64)
+
+    packed = [b"a b c d", b"b c d e", b"c b a d"]
+    rows = substrings.Sorted(np.array([1, 1, 1]), np.array([1, 1, 1]), packed, 3, Same(substrings.BASE))
+    assert rows.marks(3).tolist() == [2, 1, 0]
+
+
 def test_lz_fingerprints(spark):
     rows = [(i, t) for i, t in dict((i, t) for i, t in TEXTS if i is not None).items()]
     got = {r["doc_id"]: tuple(r)[1:7] for r in lz_fingerprints.compare_with_edits(frame(spark, rows)).collect()}

@@ -4,14 +4,13 @@ A window is WINDOW consecutive words. Its minimiser is the smallest hash of the
 consecutive windows of a text with one minimiser form a super-k-mer, ``SPAN`` windows at most. Equal windows
 have equal minimisers, so all of a window's copies meet in the minimiser's bucket.
 
-Rows of (minimiser, content hash, place) travel first. A minimiser seen once has no repeated window. One that
-several super-k-mers of one content share has only repeated ones. Only for the others does one packed string of each
-distinct content travel to the bucket, where its windows are sorted, compared word by word and counted with the
-content's multiplicity. Buckets of more than ``hot`` distinct contents are dealt to blocks that sort and count on
-their own; their distinct windows, as words, then meet by a grouped aggregation, so no task holds a crowded bucket.
-
-What decides: whether two whole super-k-mers are the same content, 128 bits of hash over the 64-bit hashes of their
-words (within one minimiser); whether windows of different contents are equal, their words, in buckets of any size.
+Places of super-k-mers travel first, as rows of (minimiser, text, start). A minimiser seen once has no repeated window.
+Every super-k-mer of the others travels as one packed string to its minimiser's bucket, where equal strings are folded,
+their windows sorted, compared word by word and counted. Buckets of more than ``hot`` super-k-mers, such as those of a
+large group of copies, are dealt to blocks that sort and count on their own; their distinct windows, as words, then meet
+by a grouped aggregation, so no task holds a crowded bucket.
+
+Words alone decide whether two windows are equal; hashes only deal them out.
 """
 
 from __future__ import annotations
@@ -22,20 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.llm.words import HashCache, cover, hashable, map_texts, mix, rolling, split_words
-from zonalis.runtime import broadcast_if_small, cut
+from zonalis.runtime import cut
 
 WINDOW = 35
 MMER = 4
 #: Windows of one super-k-mer; their marks fit one long.
 SPAN = 64
-#: Distinct contents of a minimiser that one task sorts at a time: some 200 KB of packed strings and, with their
+#: Super-k-mers of a minimiser that one task sorts at a time: some 200 KB of packed strings and, with their
 #: windows, some 2 MB of arrays.
 HOT = 512
-#: Crowded minimisers, of 16 bytes each, go to every task up to so many.
-BROADCAST_CROWDED = 100_000
 BASE = 0x9E3779B97F4A7C15
-#: Bases of the two halves of a 128-bit content hash.
-BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def _powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,19 +101,16 @@ def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
 
 def _places(keyed: DataFrame, k: int, m: int) -> DataFrame:
     """A slim row for each super-k-mer."""
-    cache, spans = HashCache(), [Spans(b) for b in BASES]
+    cache = HashCache()
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        mins, contents, rows, starts, sizes, twice = [], ([], []), [], [], [], []
+        mins, rows, starts, sizes, twice = [], [], [], [], []
         for i, t in enumerate(batch.column("text").to_pylist()):
             words = split_words(t)
             if len(words) < k:
                 continue
-            h = cache.of(words)
-            mm, start, size, again = super_kmers(h, k, m)
+            mm, start, size, again = super_kmers(cache.of(words), k, m)
             mins.append(mm)
-            for found, s in zip(contents, spans):
-                found.append(s.of(h, start, start + size + k - 1))
             rows.append(np.full(len(mm), i))
             starts.append(start)
             sizes.append(size)
@@ -126,33 +118,38 @@ def _places(keyed: DataFrame, k: int, m: int) -> DataFrame:
         if not rows:
             return None
         at = pa.array(np.concatenate(rows))
-        columns = [pa.array(np.concatenate(x).view(np.int64)) for x in (mins, *contents)] + [batch.column("rk").take(at), batch.column("rk2").take(at)]
+        columns = [pa.array(np.concatenate(mins).view(np.int64)), batch.column("rk").take(at), batch.column("rk2").take(at)]
         columns += [pa.array(np.concatenate(x).astype(np.int32)) for x in (starts, sizes)]
         columns.append(pa.array(np.concatenate(twice)))
-        return pa.RecordBatch.from_arrays(columns, names=["mm", "ch", "ch2", "rk", "rk2", "start", "size", "twice"])
+        return pa.RecordBatch.from_arrays(columns, names=["mm", "rk", "rk2", "start", "size", "twice"])
 
-    return map_texts(keyed.drop("id"), one, "mm bigint, ch bigint, ch2 bigint, rk bigint, rk2 int, start int, size int, twice boolean")
+    return map_texts(keyed.drop("id"), one, "mm bigint, rk bigint, rk2 int, start int, size int, twice boolean")
 
 
 def _pack(joined: DataFrame, k: int) -> DataFrame:
-    """The packed words of each wanted super-k-mer of the joined texts.
+    """The packed words of each wanted super-k-mer of the joined texts, ``n`` being the text's repeated rows.
 
     The id comes along unused, so that Spark sees the same exchange of texts here and in the last join and
-    runs it once. A text of repeated rows packs its super-k-mers as often; readers drop the repeats.
+    runs it once. Of repeated rows that follow each other the first packs for all; readers drop other repeats.
     """
-
-    names, kinds = ["mm", "ch", "ch2", "n", "block"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    last: list[tuple | None] = [None]
 
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        items, rows = [], []
-        for t, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist()):
+        items, keys, repeats, packed = [], [], [], []
+        for t, wanted, n, *key in zip(*(batch.column(c).to_pylist() for c in ("text", "wanted", "n", "rk", "rk2"))):
+            if key == last[0]:
+                continue
+            last[0] = key
             words = split_words(t)
             items.extend(wanted)
-            rows.extend([b" ".join(words[w["start"] : w["start"] + w["size"] + k - 1]) for w in wanted])
-        columns = [pa.array([w[c] for w in items], kind) for c, kind in zip(names, kinds)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.binary())], names=[*names, "packed"])
+            keys.extend([key] * len(wanted))
+            repeats.extend([n] * len(wanted))
+            packed.extend([b" ".join(words[w["start"] : w["start"] + w["size"] + k - 1]) for w in wanted])
+        columns = [pa.array([w[c] for w in items], kind) for c, kind in (("mm", pa.int64()), ("block", pa.int32()), ("start", pa.int32()), ("size", pa.int32()), ("crowded", pa.bool_()))]
+        columns += [pa.array([x[0] for x in keys], pa.int64()), pa.array([x[1] for x in keys], pa.int32()), pa.array(repeats, pa.int64()), pa.array(packed, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["mm", "block", "start", "size", "crowded", "rk", "rk2", "n", "packed"])
 
-    return map_texts(joined.select("id", "text", "wanted"), one, "mm bigint, ch bigint, ch2 bigint, n bigint, block int, packed binary")
+    return map_texts(joined.select("id", "text", "wanted", "n", "rk", "rk2"), one, "mm bigint, block int, start int, size int, crowded boolean, rk bigint, rk2 int, n bigint, packed binary")
 
 
 def _flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -203,16 +200,16 @@ class Sorted:
         return out.view(np.int64)
 
 
-def _buckets(batches, same: tuple[str, ...]):
-    """Tables of whole buckets, about 4,000 rows at a time, from rows sorted by ``same``; repeats of a content go."""
+def _buckets(batches):
+    """Tables of whole blocks of buckets, about 4,000 rows at a time, from sorted rows; repeats of a place go."""
     held, size = [], 0
 
-    def changes(table, names):
+    def changes(table, *names):
         columns = [table.column(c).to_numpy() for c in names]
         return np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])])
 
     def cleaned(table):
-        return table.take(pa.array(np.flatnonzero(changes(table, (*same, "ch", "ch2")))))
+        return table.take(pa.array(np.flatnonzero(changes(table, *ORDER))))
 
     for batch in batches:
         for at in range(0, batch.num_rows, 2000):
@@ -221,7 +218,7 @@ def _buckets(batches, same: tuple[str, ...]):
             if size < 4000:
                 continue
             table = pa.concat_tables(held).combine_chunks()
-            whole = int(np.flatnonzero(changes(table, same))[-1])
+            whole = int(np.flatnonzero(changes(table, "mm", "block"))[-1])
             if whole:
                 yield cleaned(table.slice(0, whole))
             held, size = [table.slice(whole)], table.num_rows - whole
@@ -229,85 +226,65 @@ def _buckets(batches, same: tuple[str, ...]):
         yield cleaned(pa.concat_tables(held).combine_chunks())
 
 
-def _marks_by_sorting(packed: DataFrame, k: int) -> DataFrame:
-    spans = Spans(BASES[0])
-
-    def run(batches):
-        for table in _buckets(batches, ("mm",)):
-            rows = Sorted(table.column("mm").to_numpy(), table.column("n").to_numpy(), table.column("packed").to_pylist(), k, spans)
-            marks = rows.marks(table.num_rows)
-            seen = marks != 0
-            columns = [pa.array(table.column(c).to_numpy()[seen]) for c in ("mm", "ch", "ch2")]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(marks[seen])], names=["mm", "ch", "ch2", "marks"])
-
-    dealt = packed.repartition("mm").sortWithinPartitions("mm", "ch", "ch2")
-    return dealt.mapInArrow(run, "mm bigint, ch bigint, ch2 bigint, marks bigint")
+#: How super-k-mers stand in their partition.
+ORDER = ["mm", "block", "rk", "rk2", "start"]
 
 
-def _marks_across_blocks(packed: DataFrame, k: int) -> DataFrame:
-    """The same for crowded buckets, whose contents are dealt to blocks.
+def _marks(packed: DataFrame, k: int) -> DataFrame:
+    """``(rk, rk2, start, size, marks)`` of super-k-mers with windows that occur twice or more.
 
-    A block sorts and counts its own windows. Each distinct one then leaves the block as one row with its words; sums
-    over the blocks tell which of those seen once in a block occur in another.
+    A block sorts and counts its own windows. Each distinct one of a crowded bucket then leaves the block as one row with
+    its words; sums over the blocks tell which of those seen once in a block occur in another.
     """
-    spans = Spans(BASES[0])
-    names = ["mm", "ch", "ch2", "marks", "window", "total", "offset"]
+    spans = Spans(BASE)
+    places, rest = ["rk", "rk2", "start", "size"], ["marks", "window", "total", "offset"]
 
     def run(batches):
-        for table in _buckets(batches, ("mm", "block")):
-            mm, ch, ch2, block = (table.column(c).to_numpy() for c in ("mm", "ch", "ch2", "block"))
+        for table in _buckets(batches):
+            mm, block = table.column("mm").to_numpy(), table.column("block").to_numpy()
             bucket = np.cumsum(np.concatenate([[True], (mm[1:] != mm[:-1]) | (block[1:] != block[:-1])]))
-            rows = Sorted(bucket, table.column("n").to_numpy(), table.column("packed").to_pylist(), k, spans)
-            marks = rows.marks(table.num_rows)
+            known: dict[tuple, int] = {}
+            of = np.array([known.setdefault(key, len(known)) for key in zip(bucket.tolist(), table.column("packed").to_pylist())], np.int64)
+            first = np.unique(of, return_index=True)[1]
+            n = np.bincount(of, weights=table.column("n").to_numpy()).astype(np.int64)
+            rows = Sorted(bucket[first], n, [p for _, p in known], k, spans)
+            marks = rows.marks(len(first))[of]
+            at = {c: table.column(c).combine_chunks() for c in places}
             seen = np.flatnonzero(marks)
             none = [pa.nulls(len(seen), t) for t in (pa.binary(), pa.int64(), pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[seen]) for c in (mm, ch, ch2)), pa.array(marks[seen]), *none], names=names)
+            yield pa.RecordBatch.from_arrays([*(at[c].take(pa.array(seen)) for c in places), pa.array(marks[seen]), *none], names=places + rest)
             words, ids = rows.words, rows.ids.tolist()
-            for part in range(0, len(rows.first), 20_000):
-                first = rows.first[part : part + 20_000]
-                row = rows.row[first]
-                windows = [b" ".join([words[i] for i in ids[at : at + k]]) for at in rows.at[first].tolist()]
-                columns = [*(pa.array(c[row]) for c in (mm, ch, ch2)), pa.nulls(len(first), pa.int64()), pa.array(windows, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows.total[part : part + 20_000]), pa.array(rows.offset[first].astype(np.int32))], names=names)
-
-    dealt = packed.repartition("mm", "block").sortWithinPartitions("mm", "block", "ch", "ch2")
-    local = cut(dealt.mapInArrow(run, "mm bigint, ch bigint, ch2 bigint, marks bigint, window binary, total bigint, offset int"))
+            row = first[rows.row[rows.first]]
+            leaving = np.flatnonzero(table.column("crowded").to_numpy()[row])
+            for i in range(0, len(leaving), 20_000):
+                group = leaving[i : i + 20_000]
+                head, place = rows.first[group], pa.array(row[group])
+                windows = pa.array([b" ".join([words[j] for j in ids[a : a + k]]) for a in rows.at[head].tolist()], pa.binary())
+                columns = [*(at[c].take(place) for c in places), pa.nulls(len(group), pa.int64()), windows, pa.array(rows.total[group]), pa.array(rows.offset[head].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=places + rest)
+
+    dealt = packed.repartition("mm", "block").sortWithinPartitions(*ORDER)
+    local = cut(dealt.mapInArrow(run, "rk bigint, rk2 int, start int, size int, marks bigint, window binary, total bigint, offset int"))
     windows = local.where("window is not null")
     elsewhere = windows.groupBy("window").agg(F.sum("total").alias("all")).where("all > 1").select("window")
     found = windows.where("total = 1").join(elsewhere, "window", "left_semi")
-    marks = found.groupBy("mm", "ch", "ch2").agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
-    return local.where("window is null").select("mm", "ch", "ch2", "marks").unionByName(marks)
+    across = found.groupBy(*places).agg(F.bit_or(F.expr("shiftleft(1L, offset)")).alias("marks"))
+    return local.where("window is null").select(*places, "marks").unionByName(across)
 
 
 def repeated_marks(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = WINDOW, m: int = MMER, hot: int = HOT) -> DataFrame:
     """``(rk, rk2, found)``: for each keyed row with repeated windows, its (start, size, marks) structs."""
     keyed = _keyed(docs, id_col, text)
     places = cut(_places(keyed, k, m))
-    ends = [f(c).alias(f"{n}{c}") for c in ("ch", "ch2") for n, f in (("lo_", F.min), ("hi_", F.max))]
-    buckets = places.groupBy("mm").agg(F.count("*").alias("c"), *ends, F.bool_or("twice").alias("any_twice"))
-    buckets = buckets.where("c > 1 or any_twice").select("mm", F.expr("c > 1 and lo_ch = hi_ch and lo_ch2 = hi_ch2").alias("same"))
-    shared = cut(places.drop("twice").join(buckets, "mm"))
-    mixed = shared.where("not same")
-    first = F.min(F.struct("rk", "rk2", "start", "size")).alias("first")
-    contents = cut(mixed.groupBy("mm", "ch", "ch2").agg(F.count("*").alias("n"), first).select("mm", "ch", "ch2", "n", "first.*"))
-    crowded = cut(contents.groupBy("mm").agg(F.count("*").alias("contents")).where(F.col("contents") > hot))
-    any_crowded = not crowded.isEmpty()
-    # Where they are few, contents need not be dealt by minimiser to set them apart.
-    crowded = broadcast_if_small(crowded, BROADCAST_CROWDED)
-    block = F.pmod(F.xxhash64("ch", "ch2"), F.ceil(F.col("contents") / hot)).cast("int")
-    item = F.struct("mm", "ch", "ch2", "n", "start", "size", "block")
-
-    def packed(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("rk", "rk2").agg(F.collect_list(item).alias("wanted"))
-        return _pack(keyed.join(wanted, ["rk", "rk2"]), k)
-
-    marks = _marks_by_sorting(packed(contents.join(crowded, "mm", "left_anti").withColumn("block", F.lit(0))), k)
-    if any_crowded:
-        marks = marks.unionByName(_marks_across_blocks(packed(contents.join(crowded, "mm").withColumn("block", block)), k))
-    every = F.lit(-1).cast("bigint").alias("marks")
-    found = shared.where("same").select("rk", "rk2", "start", "size", every)
-    found = found.unionByName(mixed.join(marks, ["mm", "ch", "ch2"]).select("rk", "rk2", "start", "size", "marks"))
-    return found.groupBy("rk", "rk2").agg(F.collect_set(F.struct("start", "size", "marks")).alias("found"))
+    buckets = places.groupBy("mm").agg(F.count("*").alias("c"), F.bool_or("twice").alias("any_twice")).where("c > 1 or any_twice")
+    shared = places.drop("twice").join(buckets.select("mm", "c"), "mm")
+    block = F.pmod(F.xxhash64("rk", "rk2", "start"), F.ceil(F.col("c") / hot)).cast("int").alias("block")
+    item = F.struct("mm", "start", "size", block, (F.col("c") > hot).alias("crowded"))
+    # Every repeated row brings the same places, so their number over that of distinct places is that of the rows.
+    wanted = shared.groupBy("rk", "rk2").agg(F.collect_set(item).alias("wanted"), F.count("*").alias("c"))
+    wanted = wanted.select("rk", "rk2", "wanted", F.expr("c div size(wanted)").alias("n"))
+    marks = _marks(_pack(keyed.join(wanted, ["rk", "rk2"]), k), k)
+    return marks.groupBy("rk", "rk2").agg(F.collect_set(F.struct("start", "size", "marks")).alias("found"))
 
 
 def _keep(words: list[bytes], found: list[dict] | None, k: int) -> np.ndarray:
