@@ -39,6 +39,7 @@ SHARED = [
     "p13_employment",
     "p15_tourist_beds",
     "p16_seasonality",
+    "q9_q10_gates_and_names",
 ]
 
 

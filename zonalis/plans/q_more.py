@@ -97,8 +97,10 @@ def _(v):
 
 @query("q9_q10_gates_and_names", "select 'c_nationkey' as name union all select 'c_mktsegment'")
 def _(v):
-    """The gate lets a table without key faults pass; then the names that a shapefile would cut."""
-    Q.gate(Q.key_faults(v.areas.select("code")).where("check = 'duplicate_key'"), "areas")
+    """The gate lets a table without key faults pass; then the names that a shapefile would cut.
+
+    Order sums have one row a code, which areas needn't have."""
+    Q.gate(Q.key_faults(v.order_sums.select("code")).where("check = 'duplicate_key'"), "order_sums")
     names = [c for c in Q.long_names(v.customer.columns) if c != "c_comment"]
     return v.spark.createDataFrame([(n,) for n in names], "name string")
 
