@@ -40,6 +40,7 @@ SHARED = [
     "p15_tourist_beds",
     "p16_seasonality",
     "q9_q10_gates_and_names",
+    "j10_lines_meeting_polygons",
 ]
 
 

@@ -97,7 +97,7 @@ select distinct code from (select code, lon, lat, unnest([0.0,0.3]) as d from {a
 def _(v):
     line = F.array(G.point(F.col("lon"), F.col("lat")), G.point(F.col("lon") + 0.3, F.col("lat")))
     lines = v.areas.select(F.col("code").alias("line_id"), line.alias("line"))
-    return S.lines_meeting_polygons(lines, squares(v), 0.5).select(F.col("line_id").alias("code"))
+    return S.lines_meeting_polygons(lines, squares(v), 0.5).select(F.col("line_id").alias("code")).distinct()
 
 
 @query("j11_nearest", """
