@@ -41,6 +41,8 @@ SHARED = [
     "p16_seasonality",
     "q9_q10_gates_and_names",
     "j10_lines_meeting_polygons",
+    "j2_join_diagnostics",
+    "q5_q6_rates_and_collisions",
 ]
 
 

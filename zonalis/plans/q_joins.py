@@ -39,7 +39,7 @@ select count(*) as rows, count(hit) as matched, count(*) - count(hit) as unmatch
 """)
 def _(v):
     table = v.customer.select(F.lpad((F.col("c_custkey") * 2).cast("string"), 5, "0").alias("code"))
-    return J.join_diagnostics(table, v.areas).withColumn("sample", F.array_join("sample", ","))
+    return J.join_diagnostics(table, v.areas).withColumn("sample", F.when(F.col("unmatched") > 0, F.array_join("sample", ",")))
 
 
 @query("j3_j5_lookup_and_gap_fill", """
