@@ -43,6 +43,7 @@ SHARED = [
     "j10_lines_meeting_polygons",
     "j2_join_diagnostics",
     "q5_q6_rates_and_collisions",
+    "j6_j7_reindex_and_remap",
 ]
 
 

@@ -68,10 +68,10 @@ select case when c_custkey % 50 = 0 then lpad((c_custkey-1)::varchar,5,'0') else
  select c_custkey from {customer} where c_custkey > 0) group by 1
 """)
 def _(v):
-    base = v.areas.where("cast(code as int) % 50 <> 0")
-    rows = v.areas.where("code > '00000'").select("code")
-    moves = v.areas.where("cast(code as int) % 50 = 0").select(F.col("code").alias("old"), F.lpad((F.col("code").cast("int") - 1).cast("string"), 5, "0").alias("new"))
-    kept = J.remapped(rows, base, moves).groupBy("code").agg(F.count("*").alias("n"))
+    key = F.col("c_custkey")
+    moves = v.customer.where(key % 50 == 0).select(key.alias("old"), (key - 1).alias("new"))
+    moved = J.remapped(v.customer.where(key > 0).select(key), v.customer.where(key % 50 != 0), moves, "c_custkey")
+    kept = moved.groupBy(customer_code(key).alias("code")).agg(F.count("*").alias("n"))
     return J.reindexed(kept, kept.select("code"))
 
 
