@@ -44,6 +44,7 @@ SHARED = [
     "j2_join_diagnostics",
     "q5_q6_rates_and_collisions",
     "j6_j7_reindex_and_remap",
+    "j9_point_in_polygon",
 ]
 
 

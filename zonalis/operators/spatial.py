@@ -111,8 +111,12 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float, x: s
 
 
 def one_polygon(matched: DataFrame, keys: list[str]) -> DataFrame:
-    """The smallest polygon code where a boundary point has several."""
-    return matched.groupBy(*keys).agg(F.min("poly").alias("poly"))
+    """The smallest polygon code where a boundary point has several.
+
+    ``keys`` name a point; points that are equal in all of them stay as many rows as they were.
+    """
+    times = matched.groupBy(*keys, "poly").agg(F.count("*").alias("__n")).groupBy(*keys).agg(F.min("poly").alias("poly"), F.max("__n").alias("__n"))
+    return times.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).drop("__n")
 
 
 def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, size: float) -> DataFrame:

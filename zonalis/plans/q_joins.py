@@ -88,7 +88,7 @@ select a.code, s.poly from {areas} a left join {squares} s on cast(floor(a.lon*2
 """)
 def _(v):
     points = v.areas.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return S.one_polygon(S.points_in_polygons(points, squares(v), 0.5), ["code"])
+    return S.one_polygon(S.points_in_polygons(points, squares(v), 0.5), ["code", "x", "y"]).select("code", "poly")
 
 
 @query("j10_lines_meeting_polygons", """
