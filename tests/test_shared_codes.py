@@ -46,6 +46,7 @@ SHARED = [
     "j6_j7_reindex_and_remap",
     "j9_point_in_polygon",
     "m11_w4_rank_classes",
+    "m13_scenario_rows",
 ]
 
 
