@@ -48,6 +48,7 @@ SHARED = [
     "m11_w4_rank_classes",
     "m13_scenario_rows",
     "m16_positional",
+    "m3_m4_agreement_and_gap",
 ]
 
 

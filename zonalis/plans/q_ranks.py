@@ -136,9 +136,8 @@ with b as (select code, spend, avg_price from {area_stats} where spend is not nu
 select code, round((spend-mx)/sx*((avg_price-my)/sy),6) as agreement, round((spend-mx)/sx-(avg_price-my)/sy,6) as gap from b, s
 """)
 def _(v):
-    a = S.agreement(v.area_stats, "spend", "avg_price").select("code", F.round("agreement", 6).alias("agreement"))
-    g = S.gap(v.area_stats, "spend", "avg_price").select("code", F.round("gap", 6).alias("gap"))
-    return a.join(g, "code")
+    both = S.gap(S.agreement(v.area_stats, "spend", "avg_price"), "spend", "avg_price")
+    return both.select("code", F.round("agreement", 6).alias("agreement"), F.round("gap", 6).alias("gap"))
 
 
 def _local_sql(radius: int) -> str:
