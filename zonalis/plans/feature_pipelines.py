@@ -139,13 +139,13 @@ def field_catalogue(fields: DataFrame) -> DataFrame:
 
 
 def inspect(point: tuple[float, float], areas: DataFrame, table: DataFrame, fields: DataFrame, places: DataFrame, size: float) -> tuple[DataFrame, DataFrame]:
-    """P40. The area that holds a point with every declared field as a row, and the nearest place.
+    """P40. The area that holds a point, the smallest code of several, with every declared field as a row, and the nearest place.
 
     ``areas(code, rings)``, ``table(code, ...)``, ``fields(field, source, label)``, ``places(site, sx, sy)``.
     """
     x, y = point
     b = G.bounds(F.col("rings"))
-    hit = areas.where((b["min_x"] <= x) & (b["max_x"] >= x) & (b["min_y"] <= y) & (b["max_y"] >= y)).where(G.in_polygon(F.lit(x), F.lit(y), F.col("rings"))).select("code")
+    hit = areas.where((b["min_x"] <= x) & (b["max_x"] >= x) & (b["min_y"] <= y) & (b["max_y"] >= y)).where(G.in_polygon(F.lit(x), F.lit(y), F.col("rings"))).agg(F.min("code").alias("code"))
     values = [c for c in table.columns if c != "code"]
     row = table.join(hit, "code").select("code", *[F.col(c).cast("string").alias(c) for c in values])
     long = row.unpivot("code", values, "field", "value").join(fields, "field").orderBy("source", "field")
