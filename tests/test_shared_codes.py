@@ -52,6 +52,8 @@ SHARED = [
     "o2_o4_documents",
     "p25_climate_table",
     "p25_snowy_days",
+    "p28_culture_reach",
+    "m19_m20_reach_scores",
 ]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.operators.ranking import share_below, with_ranks
-from zonalis.operators.spatial import pairs_within
+from zonalis.operators.spatial import sums_within
 
 
 @dataclass(frozen=True)
@@ -79,11 +79,16 @@ def register_count(flags: Sequence[Column], present: Column) -> Column:
 def reach(areas: DataFrame, venues: DataFrame, half: float = 15.0, limit: float = 45.0, key: str = "code") -> DataFrame:
     """``(key, reach)``: sum of weight * 0.5 ** (distance / half) within the limit, 0 without any.
 
-    ``areas(key, x, y)``, ``venues(rx, ry, weight)`` in one planar unit.
+    ``areas(key, x, y)``, ``venues(rx, ry, weight)`` in one planar unit. Areas of one key share the sum of them all.
     """
-    near = pairs_within(areas.select(key, "x", "y"), venues.select("rx", "ry", "weight"), limit)
-    sums = near.groupBy(key).agg(F.sum(F.col("weight") * F.pow(F.lit(0.5), F.col("distance") / half)).alias("reach"))
-    return areas.select(key).join(sums, key, "left").fillna({"reach": 0.0})
+    return areas.select(key).join(reaches(areas, venues.select("rx", "ry", F.col("weight").alias("reach")), ["reach"], half, limit, key), key)
+
+
+def reaches(areas: DataFrame, venues: DataFrame, weights: Sequence[str], half: float = 15.0, limit: float = 45.0, key: str = "code") -> DataFrame:
+    """``(key, ...)``, one row a key: reach() of several ``weights`` of ``venues(rx, ry, weights...)`` in one pass."""
+    fading = lambda distance: F.pow(F.lit(0.5), distance / half)
+    at = sums_within(areas, venues, limit, {w: (w, fading) for w in weights})
+    return areas.select(key, "x", "y").join(at, ["x", "y"], "left").groupBy(key).agg(*[F.coalesce(F.sum(w), F.lit(0.0)).alias(w) for w in weights])
 
 
 def saturating(value: Column, anchor: float) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,6 +135,15 @@ def lines_meeting_polygons(lines: DataFrame, polygons: DataFrame, size: float) -
     return lines.join(inside.unionByName(across).distinct(), "line_id", "left_semi")
 
 
+def _length(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def distance(scale_x: float = 1.0) -> Column:
+    """Between ``x, y`` and ``rx, ry``."""
+    return _length((F.col("rx") - F.col("x")) * scale_x, F.col("ry") - F.col("y"))
+
+
 def _neighbourhood(df: DataFrame, x: Column, y: Column, reach: int = 1) -> DataFrame:
     steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
     return df.withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps)).withColumns({"cx": x + F.col("__dx"), "cy": y + F.col("__dy")}).drop("__dx", "__dy")
@@ -142,14 +152,28 @@ def _neighbourhood(df: DataFrame, x: Column, y: Column, reach: int = 1) -> DataF
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, scale_x: float = 1.0) -> DataFrame:
     """Pairs of ``left(id, x, y, ...)`` and ``right(rid, rx, ry, ...)`` at most ``radius`` apart.
 
-    Cells are one radius wide; the right side goes to its nine neighbours.
+    Cells are half a radius wide; the right side goes to its 25 neighbours.
     """
-    a = left.withColumns({"cx": _cell(F.col("x"), radius), "cy": _cell(F.col("y"), radius)})
-    b = _neighbourhood(right, _cell(F.col("rx"), radius), _cell(F.col("ry"), radius))
-    near = a.join(b, ["cx", "cy"]).withColumn("distance", F.hypot((F.col("rx") - F.col("x")) * scale_x, F.col("ry") - F.col("y")))
+    cell = radius / 2
+    a = left.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)})
+    b = _neighbourhood(right, _cell(F.col("rx"), cell), _cell(F.col("ry"), cell), 2)
+    near = a.join(b, ["cx", "cy"]).withColumn("distance", distance(scale_x))
     return near.where(F.col("distance") <= radius).drop("cx", "cy")
 
 
+def sums_within(points: DataFrame, sites: DataFrame, radius: float, sums: Mapping[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
+    """``(x, y, ...)``: for each place of ``points(x, y)``, sums over the ``sites(rx, ry, weights...)`` at most ``radius``
+    away; a place without any has no row.
+
+    ``sums``: name -> weight column and its factor by distance. Rows of one place are one row on either side, with
+    their weights added, so pairs grow with the places and not with the rows that share them.
+    """
+    weights = list(dict.fromkeys(w for w, _ in sums.values()))
+    at = sites.groupBy("rx", "ry").agg(*[F.sum(w).alias(w) for w in weights])
+    near = pairs_within(points.select("x", "y").distinct(), at, radius)
+    return near.groupBy("x", "y").agg(*[F.sum(F.col(w) * f(F.col("distance"))).alias(name) for name, (w, f) in sums.items()])
+
+
 #: Doublings of the cells before the rows that are left look up where they have a neighbour at all.
 DOUBLINGS = 3
 
