@@ -54,6 +54,7 @@ SHARED = [
     "p25_snowy_days",
     "p28_culture_reach",
     "m19_m20_reach_scores",
+    "j12_within_distance",
 ]
 
 

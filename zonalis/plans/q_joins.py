@@ -115,8 +115,9 @@ select a.code, count(*) as n, round(sum(sqrt((v.lon-a.lon)**2+(v.lat-a.lat)**2))
 """)
 def _(v):
     left = v.areas.select("code", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    right = v.venues.select("venue_id", F.col("lon").alias("rx"), F.col("lat").alias("ry"))
-    return S.pairs_within(left, right, 1.0).groupBy("code").agg(F.count("*").alias("n"), F.round(F.sum("distance"), 6).alias("total"))
+    right = v.venues.select(F.col("lon").alias("rx"), F.col("lat").alias("ry"), F.lit(1).alias("one"))
+    at = S.sums_within(left, right, 1.0, {"n": ("one", lambda d: F.lit(1)), "total": ("one", lambda d: d)})
+    return left.join(at, ["x", "y"]).groupBy("code").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 6).alias("total"))
 
 
 @query("j13_j14_cell_sample", """
