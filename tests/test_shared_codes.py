@@ -55,6 +55,7 @@ SHARED = [
     "p28_culture_reach",
     "m19_m20_reach_scores",
     "j12_within_distance",
+    "j11_nearest",
 ]
 
 

@@ -181,35 +181,49 @@ DOUBLINGS = 3
 def nearest(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     """``(id, site, distance)``: the nearest of ``sites(site, sx, sy)`` for each ``points(id, x, y)``.
 
-    A point whose best site in the 3 x 3 cells is within one cell width is settled; the others try again with
-    cells twice as wide, so a dense area never compares with far sites. After DOUBLINGS rounds the few that are left go
-    straight to the level of a pyramid of occupied cells that surely holds their nearest site, so the number of rounds
-    doesn't grow with the gap. Ties go to the smaller site. Every point returns a row; ``site`` is NULL for a point
-    without finite coordinates and where there are no sites.
+    Places are searched, not rows: points at one place share its result, sites at one place are the smallest of them.
+    A place whose best site in the 3 x 3 cells is within one cell width is settled; the others try again with
+    cells twice as wide, so a dense area never compares with far sites. The first cells are as wide as leaves about one
+    site to a cell, ``size`` at most, so the pairs of a place don't grow with the sites. After DOUBLINGS rounds the few
+    that are left go straight to the level of a pyramid of occupied cells that surely holds their nearest site, so the
+    number of rounds doesn't grow with the gap. Ties go to the smaller site. Every point returns a row of its own,
+    repeated ids too; ``site`` is NULL for a point without finite coordinates and where there are no sites.
     """
+    return with_nearest(points.select("id", "x", "y"), sites, size).select("id", "site", "distance")
+
+
+def with_nearest(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
+    """``points(x, y, ...)`` with ``site`` and ``distance`` of nearest()."""
     found = None
     finite = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))
-    rest = cut(points.select("id", "x", "y").where(finite("x") & finite("y")))
-    sites = sites.where(finite("sx") & finite("sy"))
+    rest = cut(points.select("x", "y").where(finite("x") & finite("y")).distinct())
+    sites = cut(sites.where(finite("sx") & finite("sy")).groupBy("sx", "sy").agg(F.min("site").alias("site")))
     if sites.isEmpty() or rest.isEmpty():
-        return points.select("id", F.lit(None).cast(sites.schema["site"].dataType).alias("site"), F.lit(None).cast("double").alias("distance"))
-    d = F.hypot(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
-    best_of = lambda met: met.groupBy("id").agg(F.min(F.struct(d.alias("distance"), "site")).alias("best"))
+        return points.withColumns({"site": F.lit(None).cast(sites.schema["site"].dataType), "distance": F.lit(None).cast("double")})
+    size = min(float(size), _usual_gap(sites) or float(size))
+    d = _length(F.col("sx") - F.col("x"), F.col("sy") - F.col("y"))
+    best_of = lambda met: met.groupBy("x", "y").agg(F.min(F.struct(d.alias("distance"), "site")).alias("best")).select("x", "y", "best.site", "best.distance")
+    back = lambda found: points.join(found, ["x", "y"], "left").select(*points.columns, "site", "distance")
     for _ in range(DOUBLINGS):
-        a = _neighbourhood(rest, _cell(F.col("x"), size), _cell(F.col("y"), size))
-        b = sites.withColumns({"cx": _cell(F.col("sx"), size), "cy": _cell(F.col("sy"), size)})
-        best = cut(best_of(a.join(b, ["cx", "cy"])).where(F.col("best.distance") <= size).select("id", "best.site", "best.distance"))
+        a = rest.withColumns({"cx": _cell(F.col("x"), size), "cy": _cell(F.col("y"), size)})
+        b = _neighbourhood(sites, _cell(F.col("sx"), size), _cell(F.col("sy"), size))
+        best = cut(best_of(a.join(b, ["cx", "cy"])).where(F.col("distance") <= size))
         found = best if found is None else found.unionByName(best)
-        rest = cut(rest.join(best, "id", "left_anti"))
+        rest = cut(rest.join(best, ["x", "y"], "left_anti"))
         size *= 2
         if rest.isEmpty():
-            return points.select("id").join(found, "id", "left")
-    far = cut(best_of(_at_own_level(rest, sites, size)).select("id", "best.site", "best.distance"))
-    return points.select("id").join(found.unionByName(far), "id", "left")
+            return back(found)
+    return back(found.unionByName(cut(best_of(_at_own_level(rest, sites, size)))))
+
+
+def _usual_gap(sites: DataFrame) -> float | None:
+    """The width of a cell that would hold one of ``sites(sx, sy)`` if they lay evenly in their box; None at one place."""
+    s = sites.agg(F.count("*").alias("n"), (F.max("sx") - F.min("sx")).alias("w"), (F.max("sy") - F.min("sy")).alias("h")).first()
+    return max(math.sqrt(s["w"] * s["h"] / s["n"]), max(s["w"], s["h"]) / s["n"]) or None
 
 
 def _at_own_level(rest: DataFrame, sites: DataFrame, size: float) -> DataFrame:
-    """``rest(id, x, y)`` with all ``sites`` that can be nearest, on cells of each point's own width.
+    """``rest(x, y)`` with all ``sites`` that can be nearest, on cells of each place's own width.
 
     The first level whose 3 x 3 cells hold any site bounds the distance by 2.83 cell widths; cells four times as wide
     then have the nearest site among theirs.
@@ -223,8 +237,8 @@ def _at_own_level(rest: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     placed = lambda df, x, y: df.withColumns({"cx": F.floor(F.col(x) / width), "cy": F.floor(F.col(y) / width)})
     occupied = placed(sites.select("sx", "sy", levels.alias("level")), "sx", "sy").select("level", "cx", "cy").distinct()
     round_ = lambda df: _neighbourhood(df, F.floor(F.col("x") / width), F.floor(F.col("y") / width))
-    first = round_(rest.withColumn("level", levels)).join(occupied, ["level", "cx", "cy"]).groupBy("id").agg(F.least(F.min("level") + 2, F.lit(top)).alias("level"))
-    own = cut(rest.join(first, "id"))
+    first = round_(rest.withColumn("level", levels)).join(occupied, ["level", "cx", "cy"]).groupBy("x", "y").agg(F.least(F.min("level") + 2, F.lit(top)).alias("level"))
+    own = cut(rest.join(first, ["x", "y"]))
     used = [r["level"] for r in own.select("level").distinct().collect()]  # one row a level
     spread = placed(sites.withColumn("level", F.explode(F.array(*map(F.lit, used)))), "sx", "sy")
     return round_(own).join(spread, ["level", "cx", "cy"])

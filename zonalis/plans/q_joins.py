@@ -107,7 +107,8 @@ select code, venue_id as site, round(distance, 9) as distance from (select code,
 def _(v):
     points = v.areas.select(F.col("code").alias("id"), F.col("lon").alias("x"), F.col("lat").alias("y"))
     sites = v.venues.select(F.col("venue_id").alias("site"), F.col("lon").alias("sx"), F.col("lat").alias("sy"))
-    return S.nearest(points, sites, 0.5).select(F.col("id").alias("code"), "site", F.round("distance", 9).alias("distance"))
+    best = S.nearest(points, sites, 0.5).groupBy("id").agg(F.min(F.struct("distance", "site")).alias("best"))
+    return best.select(F.col("id").alias("code"), "best.site", F.round("best.distance", 9).alias("distance"))
 
 
 @query("j12_within_distance", """
