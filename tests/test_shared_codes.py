@@ -57,6 +57,7 @@ SHARED = [
     "j12_within_distance",
     "j11_nearest",
     "p21_projected_heat",
+    "m25_neighbour_rate",
 ]
 
 

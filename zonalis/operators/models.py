@@ -11,19 +11,28 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.keys import finite_of
 from zonalis.operators.ranking import average_rank, distributed_row_number, grouped_quantiles, quantiles, with_ranks
-from zonalis.operators.spatial import pairs_within
+from zonalis.operators.spatial import distance, sums_within
 from zonalis.runtime import cut
 
 
 def neighbour_rate(areas: DataFrame, radius: float, years: int, key: str = "code", scale: float = 10_000.0, rates: Mapping[str, str] | None = None) -> DataFrame:
     """``(key, rate)``: events of the neighbours per area and year, itself excluded, 0 without neighbours.
 
-    ``areas(key, x, y, events, area)``. ``rates`` names several columns of events in one pass: rate -> column.
+    ``areas(key, x, y, events, area)``. ``rates`` names several columns of events in one pass: rate -> column. All areas
+    of the disc are summed once a place, and those of the area's own key are taken off. Rows of one key are one area
+    that lies at several places: its neighbours are those of all of them.
     """
     rates = rates or {"rate": "events"}
-    others = areas.select(F.col(key).alias("__o"), F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("area").alias("__a"), *[F.col(c).alias(f"__e{i}") for i, c in enumerate(rates.values())])
-    near = pairs_within(areas.select(key, "x", "y"), others, radius).where(F.col(key) != F.col("__o"))
-    sums = near.groupBy(key).agg(*[(F.sum(f"__e{i}") * scale / (F.sum("__a") * years)).alias(name) for i, name in enumerate(rates)])
+    own = {"__a": F.col("area"), "__k": F.lit(1), **{f"__e{i}": F.col(c) for i, c in enumerate(rates.values())}}
+    sites = areas.select(F.col("x").alias("rx"), F.col("y").alias("ry"), *[c.alias(name) for name, c in own.items()])
+    at = sums_within(areas, sites, radius, {name: (name, lambda d: F.lit(1)) for name in own})
+    every = areas.select(key, "x", "y").join(at, ["x", "y"]).groupBy(key).agg(*[F.sum(name).alias(name) for name in own])
+    mine = areas.select(key, F.col("x").alias("rx"), F.col("y").alias("ry"), *[c.alias(name) for name, c in own.items()])
+    mine = areas.select(key, "x", "y").join(mine, key).where(distance() <= radius)
+    mine = mine.groupBy(key).agg(*[F.sum(name).alias(f"__own{name}") for name in own])
+    less = lambda name: F.col(name) - F.coalesce(F.col(f"__own{name}"), F.lit(0))
+    rate = lambda i: F.when(less("__k") > 0, less(f"__e{i}") * scale / (less("__a") * years))
+    sums = every.join(mine, key).select(key, *[rate(i).alias(name) for i, name in enumerate(rates)])
     return areas.select(key).join(sums, key, "left").fillna(dict.fromkeys(rates, 0.0))
 
 
