@@ -197,7 +197,7 @@ def with_nearest(points: DataFrame, sites: DataFrame, size: float) -> DataFrame:
     found = None
     finite = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))
     rest = cut(points.select("x", "y").where(finite("x") & finite("y")).distinct())
-    sites = cut(sites.where(finite("sx") & finite("sy")).groupBy("sx", "sy").agg(F.min("site").alias("site")))
+    sites = sites.where(finite("sx") & finite("sy")).groupBy("sx", "sy").agg(F.min("site").alias("site"))
     if sites.isEmpty() or rest.isEmpty():
         return points.withColumns({"site": F.lit(None).cast(sites.schema["site"].dataType), "distance": F.lit(None).cast("double")})
     size = min(float(size), _usual_gap(sites) or float(size))
