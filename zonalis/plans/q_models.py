@@ -112,9 +112,11 @@ select code, month, round(tx,5) as tx, round(precip,4) as precip from a union al
 def _(v):
     cell = lambda c: F.rint(c) + 0.0
     points = v.venues.select(F.col("venue_id").alias("point"), cell("lon").alias("gx"), cell("lat").alias("gy"))
-    placed = v.areas.select("code", "population", cell("lon").alias("gx"), cell("lat").alias("gy")).join(points, ["gx", "gy"])
+    # People and points meet as sums of a cell, not one by one.
+    people = v.areas.groupBy("code", cell("lon").alias("gx"), cell("lat").alias("gy")).agg(F.sum("population").alias("people"))
     monthly = v.daily_grid.groupBy("point", "month").agg(F.avg("tx").alias("tx"), F.sum("precip").alias("precip"))
-    w = F.col("population")
-    table = placed.join(monthly, "point").groupBy("code", "month").agg(*[(F.sum(F.col(c) * w) / F.sum(w)).alias(c) for c in ("tx", "precip")])
+    cells = points.join(monthly, "point").groupBy("gx", "gy", "month").agg(F.sum("tx").alias("tx"), F.sum("precip").alias("precip"), F.count("*").alias("n"))
+    w = F.col("people")
+    table = people.join(cells, ["gx", "gy"]).groupBy("code", "month").agg(*[(F.sum(F.col(c) * w) / F.sum(F.col("n") * w)).alias(c) for c in ("tx", "precip")])
     year = table.groupBy("code").agg(F.lit(13).alias("month"), F.max("tx").alias("tx"), F.sum("precip").alias("precip"))
     return table.unionByName(year).select("code", "month", F.round("tx", 5).alias("tx"), F.round("precip", 4).alias("precip"))
