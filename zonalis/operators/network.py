@@ -170,7 +170,7 @@ def used_pieces(hops: DataFrame) -> DataFrame:
 
 
 def rides(calls: DataFrame, origin: Column | int, car: str | None = None) -> DataFrame:
-    """Later calls of every trip that boards at ``origin`` (R7): trip, product, terminus, stop, minutes since.
+    """Later calls of every trip that boards at ``origin`` (R7): trip, product, terminus, stop, the stop before, minutes since.
 
     ``calls(trip, product, pos, stop, minutes)``, optional ``no_pickup`` and ``no_drop``. The first call always
     boards, the last always sets down and doesn't board.
@@ -179,14 +179,14 @@ def rides(calls: DataFrame, origin: Column | int, car: str | None = None) -> Dat
         if flag not in calls.columns:
             calls = calls.withColumn(flag, F.lit(False))
     w = W.partitionBy("trip")
-    full = calls.withColumns({"last": F.max("pos").over(w), "terminus": F.max_by("stop", "pos").over(w)})
+    full = calls.withColumns({"last": F.max("pos").over(w), "terminus": F.max_by("stop", "pos").over(w), "prev": F.lag("stop").over(w.orderBy("pos"))})
     boards = full.where((F.col("stop") == origin) & (F.col("pos") < F.col("last")) & (~F.col("no_pickup") | (F.col("pos") == 1)))
     if car is not None:
         boards = boards.where(F.col("product") != car)
     boards = boards.select("trip", "product", "terminus", F.col("pos").alias("from_pos"), F.col("minutes").alias("start"))
-    after = full.select("trip", "pos", "stop", "minutes", (F.col("no_drop") & (F.col("pos") < F.col("last"))).alias("no_drop"))
+    after = full.select("trip", "pos", "stop", "prev", "minutes", (F.col("no_drop") & (F.col("pos") < F.col("last"))).alias("no_drop"))
     joined = boards.join(after, "trip").where("pos > from_pos")
-    return joined.select("trip", "product", "terminus", "from_pos", "pos", "stop", (F.col("minutes") - F.col("start")).alias("since"), "no_drop")
+    return joined.select("trip", "product", "terminus", "from_pos", "pos", "stop", "prev", (F.col("minutes") - F.col("start")).alias("since"), "no_drop")
 
 
 def destinations(later: DataFrame, origin: Column | int) -> DataFrame:
@@ -195,12 +195,9 @@ def destinations(later: DataFrame, origin: Column | int) -> DataFrame:
     return reached.groupBy("stop").agg(F.count("*").alias("runs"), F.min("since").alias("fastest"), F.array_sort(F.collect_set("product")).alias("products"))
 
 
-def hop_runs(calls: DataFrame, later: DataFrame) -> DataFrame:
-    """Runs per product and pair of consecutive stops ridden."""
-    w = W.partitionBy("trip").orderBy("pos")
-    before = calls.select("trip", "pos", F.lag("stop").over(w).alias("prev"))
-    joined = later.join(before, ["trip", "pos"])
-    return joined.groupBy("product", F.least("prev", "stop").alias("a"), F.greatest("prev", "stop").alias("b")).agg(F.count("*").alias("runs"))
+def hop_runs(later: DataFrame) -> DataFrame:
+    """Runs per product and pair of consecutive stops ridden (R7), of rides()."""
+    return later.groupBy("product", F.least("prev", "stop").alias("a"), F.greatest("prev", "stop").alias("b")).agg(F.count("*").alias("runs"))
 
 
 def call_orders(later: DataFrame, origin: Column | int) -> DataFrame:
@@ -214,8 +211,10 @@ def call_orders(later: DataFrame, origin: Column | int) -> DataFrame:
     kept = line.where(~F.col("no_drop") & (F.col("stop") != origin))
     w = W.partitionBy("trip", "from_pos").orderBy("pos")
     stops = kept.groupBy("terminus", "stop").agg(F.count("*").alias("runs"), F.min("since").alias("fastest"))
+    # The stop before among those kept, not among all calls.
     pairs = kept.withColumn("prev", F.lag("stop").over(w)).where("prev is not null").select("terminus", "prev", "stop").distinct()
-    totals = line.groupBy("terminus").agg(F.count_distinct("trip", "from_pos").alias("line_runs"))
+    # A trip's rides lie together, so they are told apart where they are.
+    totals = line.select("terminus", "trip", "from_pos").distinct().groupBy("terminus").agg(F.count("*").alias("line_runs"))
 
     def order(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         follow: dict = {}

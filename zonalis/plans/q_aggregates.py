@@ -191,8 +191,10 @@ def _(v):
     p = rail.select("trip", F.col("stop"), "pos")
     q = rail.select("trip", F.col("stop").alias("to"), F.col("pos").alias("later"))
     pairs = p.join(q, "trip").where("pos < later")
-    per = pairs.groupBy("stop").agg(F.count_distinct("trip").alias("departures"), F.count_distinct(F.when(F.col("to") != F.col("stop"), F.col("to"))).alias("destinations"))
-    return per
+    # A trip's calls lie together: its stops and theirs are told apart there, and only pairs of stops travel.
+    ahead = pairs.groupBy("trip", "stop").agg(F.collect_set("to").alias("ahead")).select("stop", F.posexplode_outer("ahead").alias("at", "to"))
+    hops = ahead.groupBy("stop", "to").agg(F.count_if(F.coalesce("at", F.lit(0)) == 0).alias("departures"))
+    return hops.groupBy("stop").agg(F.sum("departures").alias("departures"), F.count_if(F.col("to") != F.col("stop")).alias("destinations"))
 
 
 @query("a30_areas_and_lengths_by_class", """

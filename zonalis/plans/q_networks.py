@@ -68,7 +68,7 @@ h as (select l.product, least(prev,l.stop) as a, greatest(prev,l.stop) as b, cou
 select product, stop, max(runs) as runs from (select product, a as stop, runs from h union all select product, b, runs from h) group by 1,2
 """)
 def _(v):
-    return N.spur_loads(N.hop_runs(v.patterns, N.rides(v.patterns, 7)))
+    return N.spur_loads(N.hop_runs(N.rides(v.patterns, 7)))
 
 
 @query("r8_call_orders", """
@@ -94,6 +94,6 @@ h as (select l.product, least(prev,l.stop) as a, greatest(prev,l.stop) as b, cou
 select product, piece, sum(runs)::bigint as runs from (select product, runs, unnest(range(a, b)) as piece from h where b > a) group by 1,2
 """)
 def _(v):
-    hops = N.hop_runs(v.patterns, N.rides(v.patterns, 7))
+    hops = N.hop_runs(N.rides(v.patterns, 7))
     paths = hops.where("b > a").select("a", "b").distinct().withColumn("path", F.sequence(F.col("a"), F.col("b") - 1).cast("array<bigint>"))
     return N.piece_loads(hops, paths)
