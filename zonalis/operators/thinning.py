@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.operators.ranking import distributed_row_number
-from zonalis.runtime import cut
+from zonalis.runtime import cut, tasks_for
 
 
 def keep_mask(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
@@ -32,6 +35,68 @@ def keep_mask(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
     return keep
 
 
+def keep_masks(starts: np.ndarray, x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """keep_mask() of many lines that lie one behind the other from ``starts`` on: a round splits the chords of all."""
+    keep = np.zeros(len(x), bool)
+    a, b = np.asarray(starts), np.append(starts[1:], len(x)) - 1
+    keep[a] = keep[b] = True
+    while True:
+        inner = b - a >= 2
+        a, b = a[inner], b[inner]
+        if not len(a):
+            return keep
+        n = b - a - 1
+        first = np.cumsum(n) - n
+        chord = np.repeat(np.arange(len(a)), n)
+        at = np.arange(len(chord)) + (a + 1 - first)[chord]
+        dx, dy = x[b] - x[a], y[b] - y[a]
+        px, py = x[at] - x[a][chord], y[at] - y[a][chord]
+        length = np.hypot(dx, dy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            away = np.where(length[chord] > 0, np.abs(px * dy[chord] - py * dx[chord]) / length[chord], np.hypot(px, py))
+        top = np.maximum.reduceat(away, first)
+        split = top > tolerance
+        tops = np.flatnonzero((away == top[chord]) & split[chord])
+        mid = at[tops[np.diff(chord[tops], prepend=-1) > 0]]
+        keep[mid] = True
+        a, b = np.concatenate([a[split], mid]), np.concatenate([mid, b[split]])
+
+
+def _whole_lines(placed: DataFrame, tolerance: float) -> DataFrame:
+    """Lines that fit a task, each thinned where its points come together in order."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def thin(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            mask = keep_masks(starts, rows["x"].to_numpy(), rows["y"].to_numpy(), tolerance)
+            yield from rows.filter(pa.array(mask)).combine_chunks().to_batches()
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            line = batch["line"]
+            # Points of the last line so far wait for the rest of it.
+            if held and held[-1]["line"][-1] != line[0]:
+                yield from thin(*_with_starts(pa.Table.from_batches(held)))
+                held = []
+            rest = _with_starts(pa.Table.from_batches([batch]))[1][-1]
+            if rest:
+                yield from thin(*_with_starts(pa.Table.from_batches([*held, batch.slice(0, rest)])))
+                held = []
+            held.append(batch.slice(rest))
+        if held:
+            yield from thin(*_with_starts(pa.Table.from_batches(held)))
+
+    ordered = placed.where("line is not null").repartition(tasks_for(placed), "line").sortWithinPartitions("line", "__pos")
+    return ordered.mapInArrow(run, placed.schema).select("line", F.col("__pos").alias("pos"), "x", "y")
+
+
+def _with_starts(rows: pa.Table) -> tuple[pa.Table, np.ndarray]:
+    """The rows, and where each of their lines starts."""
+    codes = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in rows["line"].dictionary_encode().unify_dictionaries().chunks])
+    return rows, np.flatnonzero(np.diff(codes, prepend=-1))
+
+
 #: Points between the ends of a chord that one task thins; longer chords are halved by distributed rounds.
 PART = 100_000
 
@@ -39,12 +104,18 @@ PART = 100_000
 def thinned(points: DataFrame, tolerance: float, part: int = PART) -> DataFrame:
     """``points(line, pos, x, y)`` without those that lie within the tolerance of their line, as ``(line, pos, x, y)``.
 
-    ``pos``, of any type that has an order, is not repeated in a line. A chord with more than ``part`` points between its ends is split
+    ``pos``, of any type that has an order, is not repeated in a line. Lines of at most ``part`` points between their ends
+    are thinned where their points come together, many at once. Of longer ones a chord with more than ``part`` points between its ends is split
     at its farthest point, found by a grouped maximum; what is left is thinned a chord to a task. Both do what thinning
     the whole line at once does, whatever its length. Points without coordinates go.
     """
     kind = points.schema["line"].dataType.simpleString()
     placed = points.select("line", F.col("pos").alias("__pos"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where("x is not null and y is not null")
+    long_lines = cut(placed.groupBy("line").agg(F.count("*").alias("n")).where(F.col("n") > part + 2).select("line"))
+    if long_lines.isEmpty():
+        return _whole_lines(placed, tolerance)
+    short = _whole_lines(placed.join(long_lines, "line", "left_anti"), tolerance)
+    placed = placed.join(long_lines, "line", "left_semi")
     rows = cut(distributed_row_number(placed, [F.col("line"), F.col("__pos")], "pos"))
     names_of = rows.select("line", "pos", "__pos")
     rows = rows.drop("__pos")
@@ -82,4 +153,5 @@ def thinned(points: DataFrame, tolerance: float, part: int = PART) -> DataFrame:
         return chord[keep_mask(chord["x"].to_numpy(float), chord["y"].to_numpy(float), tolerance)][["line", "pos"]]
 
     stay = kept.unionByName(whole.groupBy("line", "lo", "hi").applyInPandas(thin, f"line {kind}, pos bigint")).distinct()
-    return rows.select("line", "pos", "x", "y").join(stay, ["line", "pos"], "left_semi").join(names_of, ["line", "pos"]).select("line", F.col("__pos").alias("pos"), "x", "y")
+    out = rows.select("line", "pos", "x", "y").join(stay, ["line", "pos"], "left_semi").join(names_of, ["line", "pos"])
+    return short.unionByName(out.select("line", F.col("__pos").alias("pos"), "x", "y"))
