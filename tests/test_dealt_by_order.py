@@ -1,10 +1,13 @@
 """Line items and their orders are dealt to tasks of a bounded number of rows, with the rows of the SQL."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from tests.test_queries import ORACLE, QUERIES, con, rows  # noqa: F401
 from zonalis import runtime
+from zonalis.operators import network
 from zonalis.plans.catalogue import Views
 
 
@@ -24,3 +27,15 @@ def test_dealt_rows_equal_sql(spark, sf, con, small_tasks, name):  # noqa: F811
     df, got = QUERIES[name](spark, sf), con.execute(ORACLE[name])
     names = [d[0] for d in got.description]
     assert rows(df.columns, df.collect()) == rows(names, got.fetchall())
+
+
+def tasks_of_orders(df):
+    """Into how many tasks the plan of ``df`` deals line items by order."""
+    return {int(n) for n in re.findall(r"hashpartitioning\(l_orderkey#\d+L?, (\d+)\)", df._jdf.queryExecution().executedPlan().toString())}
+
+
+def test_r4_r5_r6_hops_are_found_in_bounded_tasks(spark, sf, small_tasks, monkeypatch):
+    written = []
+    monkeypatch.setattr(network, "cut", lambda df: written.append(tasks_of_orders(df)) or runtime.cut(df))
+    QUERIES["r4_r5_r6_routed_hops"](spark, sf)
+    assert written[0] and min(written[0]) >= 12
