@@ -187,6 +187,21 @@ def test_dense_discs_meet_cells_in_place_of_rows(spark):
         assert n == sum(d <= 625 for d in far)
 
 
+def test_local_correlation_searches_each_place_once(spark, monkeypatch):
+    """Ten rows a place are one centre and one row of the search; ten rows of one place hide no neighbours."""
+    from zonalis.operators import stats
+
+    rng = np.random.default_rng(14)
+    at = rng.uniform(-0.3, 0.3, (30, 2))
+    rows = [(f"c{i}_{j}", float(2 + a), float(48 + b), 1e6 + float(rng.normal()), float(rng.normal())) for i, (a, b) in enumerate(at) for j in range(10)]
+    df, seen, real = spark.createDataFrame(rows, "code string, lon double, lat double, p double, q double"), [], stats.disc_moments
+    monkeypatch.setattr(stats, "disc_moments", lambda centres, *rest: seen.append(centres.count()) or real(centres, *rest))
+    got = {r["code"]: (r["r"], r["n"], r["radius"]) for r in stats.local_correlation(df, "p", "q", 25.0, crowded=4).collect()}
+    assert seen[0] == 30 and len(got) == 300
+    for code, (r, n, radius) in brute_local(rows, 25.0).items():
+        assert got[code][1:] == (n, radius) and abs(r - got[code][0]) < 1e-7
+
+
 def test_thinning():
     x, y = np.arange(100.0), np.zeros(100)
     assert keep_mask(x, y, 0.5).sum() == 2

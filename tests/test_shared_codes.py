@@ -58,6 +58,8 @@ SHARED = [
     "j11_nearest",
     "p21_projected_heat",
     "m25_neighbour_rate",
+    "m5_local_correlation",
+    "m5_local_correlation_widening",
 ]
 
 
