@@ -15,7 +15,7 @@ from zonalis.plans import feature_pipelines as Q
 from zonalis.plans.catalogue import query
 from zonalis.plans.q_joins import squares
 from zonalis.plans.registry import processed
-from zonalis.runtime import fresh_path
+from zonalis.runtime import cut, fresh_path
 from zonalis.sources import readers as R
 from zonalis.sources import sinks as O
 
@@ -159,7 +159,7 @@ x as (select product, s, runs, unnest(s) as stop, unnest(range(len(s))) as place
 select product, string_agg(n.number::varchar, ',' order by place) as stops, any_value(runs) as runs from x join n on x.stop = n.stop group by product, s
 """)
 def _(v):
-    lines = A.collapsed_sequences(v.patterns).withColumn("flags", F.transform("stops", lambda s: F.lit(0)))
+    lines = cut(A.collapsed_sequences(v.patterns)).withColumn("flags", F.transform("stops", lambda s: F.lit(0)))
     names = v.patterns.select("stop").distinct().select("stop", F.lit(None).cast("string").alias("name"))
     areas = names.select("stop", F.lit("area").alias("name"), F.lit(2.0).alias("lon"), F.lit(48.0).alias("lat"))
     documents = O.network_documents(lines)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.keys import finite, finite_of
 from zonalis.operators.ranking import distributed_row_number
-from zonalis.runtime import shuffle_partitions
+from zonalis.runtime import shuffle_partitions, tasks_for
 
 
 def write_area_table(df: DataFrame, path: str, key: str = "code") -> None:
@@ -91,10 +91,12 @@ def network_stops(patterns: DataFrame, areas: DataFrame, names: DataFrame) -> Da
 
 def numbered_patterns(documents: DataFrame, stops: DataFrame) -> DataFrame:
     """network_documents() rows with ``stops`` as numbers of network_stops()."""
+    tasks, order = tasks_for(documents), [F.col("runs").desc(), F.col("product"), F.col("stops")]
     placed = documents.withColumn("__d", F.xxhash64("product", "stops")).select("*", F.posexplode("stops").alias("__at", "stop")).join(stops.select("stop", "number"), "stop")
     keys = ["__d", "product", "times", "runs", "flags"]
-    rows = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "number"))).alias("s"))
-    return rows.select("product", F.col("s.number").alias("stops"), "times", "runs", "flags").orderBy(F.col("runs").desc(), "product", "stops")
+    # Dealt by their number, so neither the groups nor the sort of a task grow with the patterns.
+    rows = placed.repartition(tasks, "__d").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "number"))).alias("s"))
+    return rows.select("product", F.col("s.number").alias("stops"), "times", "runs", "flags").repartitionByRange(tasks, *order).sortWithinPartitions(*order)
 
 
 #: Draw order of layer types.
