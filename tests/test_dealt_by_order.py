@@ -22,7 +22,7 @@ def test_no_task_gathers_more_rows_when_the_table_grows(spark, sf, small_tasks,
     assert max(r["count"] for r in per.collect()) <= 1000
 
 
-@pytest.mark.parametrize("name", ["w7_consecutive_hops", "a28_sequence_collapse", "u1_u2_unions", "o5_network_documents"])
+@pytest.mark.parametrize("name", ["w7_consecutive_hops", "a28_sequence_collapse", "u1_u2_unions", "o5_network_documents", "r7_direct_reach"])
 def test_dealt_rows_equal_sql(spark, sf, con, small_tasks, name):  # noqa: F811
     df, got = QUERIES[name](spark, sf), con.execute(ORACLE[name])
     names = [d[0] for d in got.description]
@@ -41,6 +41,11 @@ def test_r4_r5_r6_hops_are_found_in_bounded_tasks(spark, sf, small_tasks, monkey
     assert written[0] and min(written[0]) >= 12
 
 
+def test_r7_rides_are_found_in_bounded_tasks(spark, sf, small_tasks):
+    tasks = tasks_of_orders(QUERIES["r7_direct_reach"](spark, sf))
+    assert tasks and min(tasks) >= 12
+
+
 def test_o5_patterns_are_collapsed_once_and_sorted_in_bounded_tasks(spark, sf, small_tasks):
     df = QUERIES["o5_network_documents"](spark, sf)
     assert not [f for f in df.inputFiles() if f.endswith("lineitem.parquet")]
