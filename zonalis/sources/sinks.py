@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.keys import finite, finite_of
 from zonalis.operators.ranking import distributed_row_number
-from zonalis.runtime import shuffle_partitions, tasks_for
+from zonalis.runtime import broadcast_if_small, shuffle_partitions, tasks_for
 
 
 def write_area_table(df: DataFrame, path: str, key: str = "code") -> None:
@@ -89,10 +89,14 @@ def network_stops(patterns: DataFrame, areas: DataFrame, names: DataFrame) -> Da
     return joined.select("number", "stop", name.alias("name"), F.round("lon", 5).alias("lon"), F.round("lat", 5).alias("lat"))
 
 
+#: Numbered stops up to so many go to every task.
+BROADCAST_STOPS = 200_000
+
+
 def numbered_patterns(documents: DataFrame, stops: DataFrame) -> DataFrame:
     """network_documents() rows with ``stops`` as numbers of network_stops()."""
     tasks, order = tasks_for(documents), [F.col("runs").desc(), F.col("product"), F.col("stops")]
-    placed = documents.withColumn("__d", F.xxhash64("product", "stops")).select("*", F.posexplode("stops").alias("__at", "stop")).join(stops.select("stop", "number"), "stop")
+    placed = documents.withColumn("__d", F.xxhash64("product", "stops")).select("*", F.posexplode("stops").alias("__at", "stop")).join(broadcast_if_small(stops.select("stop", "number"), BROADCAST_STOPS), "stop")
     keys = ["__d", "product", "times", "runs", "flags"]
     # Dealt by their number, so neither the groups nor the sort of a task grow with the patterns.
     rows = placed.repartition(tasks, "__d").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "number"))).alias("s"))
