@@ -62,6 +62,13 @@ def test_r4_r5_r6_hops_stay_in_bounded_tasks_where_partitions_are_joined(spark,
     assert written[0] and min(written[0]) >= 12
 
 
+def test_r7_rides_stay_in_bounded_tasks_where_partitions_are_joined(spark, sf, con, many_partitions):  # noqa: F811
+    df, got = QUERIES["r7_direct_reach"](spark, sf), con.execute(ORACLE["r7_direct_reach"])
+    tasks = fixed_tasks_of_orders(df)
+    assert tasks and min(tasks) >= 12
+    assert rows(df.columns, df.collect()) == rows([d[0] for d in got.description], got.fetchall())
+
+
 def test_r7_rides_are_found_in_bounded_tasks(spark, sf, small_tasks):
     tasks = tasks_of_orders(QUERIES["r7_direct_reach"](spark, sf))
     assert tasks and min(tasks) >= 12
