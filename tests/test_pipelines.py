@@ -171,3 +171,23 @@ def test_projects_and_piezometers(spark):
     assert rows(Q.rail_projects(lines, country, {"tram": "tramway"}, 1.0), "line_id", "mode", "highspeed") == [("in", "tramway", True)]
     p = spark.createDataFrame([("b1", "2023-05-01", 2.0, 48.0), ("b1", "2019-01-01", 2.0, 48.0), ("b2", None, 2.0, 48.0)], "code_bss string, date_fin_mesure string, x double, y double")
     assert rows(Q.piezometers(p, "2022-01-01"), "code_bss") == [("b1",)]
+
+
+def test_station_errors_join_months_not_keys(spark):
+    """The keys of a month stay side by side in the join; a pair counts where both sides have a value."""
+    keys = (*P.CORRECTED, "rainy")
+    kinds = ", ".join(f"{k} double" for k in keys)
+    value = lambda year, add: [None if year == 2 and add else float(i + year + add) for i in range(len(keys))]
+    monthly = spark.createDataFrame([(1, y, 5, *value(y, 0)) for y in (1, 2, 3)], f"point int, year int, month int, {kinds}")
+    obs = spark.createDataFrame([(7, y, 5, *value(y, 1)) for y in (1, 2, 3)], f"post int, year int, month int, {kinds}")
+    stations = spark.createDataFrame([(7, 1, 0.5)], "post int, point int, dz double")
+    seen = []
+    keep = P.cut
+    P.cut = lambda df: (seen.append(df.count()), keep(df))[1]
+    try:
+        out = P.station_errors(monthly, obs, stations, 2)
+    finally:
+        P.cut = keep
+    assert seen == [1], "one row a station and month travels, not one a key"
+    assert {r["key"]: (r["month"], r["post"], r["dz"], r["obs"], r["grid"]) for r in out.collect()} == {k: (5, 7, 0.5, i + 3.0, i + 2.0) for i, k in enumerate(keys)}
+    assert P.station_errors(monthly, obs, stations, 3).count() == 0

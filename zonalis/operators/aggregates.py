@@ -87,24 +87,36 @@ def interpolated_counts(table: DataFrame, wanted: DataFrame, keys: Sequence[str]
     return out.withColumn("days", F.col("__a") * (1 - F.col("__part")) + F.col("__b") * F.col("__part")).drop("__a", "__b", "__lo", "__part")
 
 
-def with_days_at_shift(rows: DataFrame, daily: DataFrame, keys: Sequence[str], value: str, shift: Column, step: float, low: float, high: float, threshold: float) -> DataFrame:
-    """``rows(keys, ...)`` with ``days``: shift_counts() of ``daily`` interpolated at each row's ``shift``, 0 for keys
-    without a day, NULL without a shift (A18, M34).
-
-    A group's histogram travels as one array of at most (high - low) / step + 1 bins, so no table of all shifts is made.
-    """
+def day_bins(daily: DataFrame, keys: Sequence[str], value: str, step: float, low: float, high: float, threshold: float) -> DataFrame:
+    """``(keys, __bins)``: a group's histogram of shift_counts() as one array of at most (high - low) / step + 1 bins."""
     first = F.ceil((F.lit(threshold) - F.col(value)) / step - 1e-9)
     lo, hi = round(low / step), round(high / step)
     binned = daily.withColumn("__bin", F.greatest(first, F.lit(lo)).cast("int")).where(F.col("__bin") <= hi).groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
-    bins = binned.groupBy(*keys).agg(F.collect_list(F.struct("__bin", "__n")).alias("__bins"))
+    return binned.groupBy(*keys).agg(F.collect_list(F.struct("__bin", "__n")).alias("__bins"))
+
+
+def with_days_of_bins(rows: DataFrame, shift: Column, step: float, low: float, high: float) -> DataFrame:
+    """``rows`` with ``days`` in place of their day_bins(): the counts interpolated at each row's ``shift``, 0 without bins,
+    NULL without a shift (A18, M34)."""
+    lo, hi = round(low / step), round(high / step)
     at = F.least(F.greatest((shift - low) / step, F.lit(0.0)), F.lit((high - low) / step))
-    out = rows.withColumn("__at", F.when(shift.isNotNull(), at)).join(bins, list(keys), "left")
+    out = rows.withColumn("__at", F.when(shift.isNotNull(), at))
     place = F.least(F.floor("__at"), F.lit(hi - lo - 1))
     upto = lambda last: F.aggregate(F.coalesce("__bins", F.array().cast("array<struct<__bin:int,__n:bigint>>")), F.lit(0).cast("bigint"), lambda n, b: n + F.when(b["__bin"] <= last, b["__n"]).otherwise(0))
     part = F.col("__at") - place
     return out.withColumn("days", upto(place + lo) * (1 - part) + upto(place + lo + 1) * part).drop("__at", "__bins")
 
 
+def with_days_at_shift(rows: DataFrame, daily: DataFrame, keys: Sequence[str], value: str, shift: Column, step: float, low: float, high: float, threshold: float) -> DataFrame:
+    """``rows(keys, ...)`` with ``days``: shift_counts() of ``daily`` interpolated at each row's ``shift``, 0 for keys
+    without a day, NULL without a shift (A18, M34).
+
+    A group's histogram travels as one array, so no table of all shifts is made.
+    """
+    bins = day_bins(daily, keys, value, step, low, high, threshold)
+    return with_days_of_bins(rows.join(bins, list(keys), "left"), shift, step, low, high)
+
+
 def histogram_median(df: DataFrame, keys: Sequence[str], age: str, count: str) -> DataFrame:
     """Median of single-year counts, interpolated within the year where half is reached, one decimal."""
     w = W.partitionBy(*keys).orderBy(age)
