@@ -365,3 +365,34 @@ def test_routed_hops_query_equals_dijkstra(spark, sf):
             assert r["outcome"] == "route far longer than the crow flies"
     used = {n for r in got.values() for n in r["numbers"] or []}
     assert used == set(range(len(used))) and used
+
+
+def test_sums_within_deal_their_cells(spark):
+    """Few bytes can have many pairs; they are not left to the one task that adaptive execution would make of them."""
+    points = spark.range(400).selectExpr("id % 20 * 1.0 as x", "id div 20 * 1.0 as y")
+    sites = points.selectExpr("x as rx", "y as ry", "1.0D as w")
+    seen = []
+    real = S.pairs_within
+    S.pairs_within = lambda *a, **k: seen.append(real(*a, **k)) or seen[-1]
+    try:
+        out = S.sums_within(points, sites, 2.0, {"n": ("w", lambda d: F.lit(1))})
+    finally:
+        S.pairs_within = real
+    assert seen[0].rdd.getNumPartitions() == 4
+    assert out.count() == 400 and out.agg(F.max("n")).first()[0] == 13.0
+
+
+def test_wind_days_read_the_days_once(spark, tmp_path):
+    from zonalis.plans import area_pipelines as P
+
+    reads = spark.sparkContext.accumulator(0)
+    days = [(1, 0.0, 0.0, y, m, 6.0 * (m % 2)) for y in (1, 2) for m in (1, 2, 3)]
+
+    def counted(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    schema = "point int, x double, y double, year int, month int, wind double"
+    out = P.wind_days(spark.createDataFrame(days, schema).mapInArrow(counted, schema), (1, 2, 3), 5.0).collect()
+    assert [(r["point"], r["days"]) for r in out] == [(1, 2.0)] and reads.value == len(days)

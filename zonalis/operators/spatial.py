@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions import geometry as G
-from zonalis.runtime import cut
+from zonalis.runtime import cut, shuffle_partitions
 
 
 def _cell(v: Column, size: float) -> Column:
@@ -149,13 +149,16 @@ def _neighbourhood(df: DataFrame, x: Column, y: Column, reach: int = 1) -> DataF
     return df.withColumn("__dx", F.explode(steps)).withColumn("__dy", F.explode(steps)).withColumns({"cx": x + F.col("__dx"), "cy": y + F.col("__dy")}).drop("__dx", "__dy")
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius: float, scale_x: float = 1.0) -> DataFrame:
+def pairs_within(left: DataFrame, right: DataFrame, radius: float, scale_x: float = 1.0, tasks: int | None = None) -> DataFrame:
     """Pairs of ``left(id, x, y, ...)`` and ``right(rid, rx, ry, ...)`` at most ``radius`` apart.
 
-    Cells are half a radius wide; the right side goes to its 25 neighbours.
+    Cells are half a radius wide; the right side goes to its 25 neighbours. ``tasks`` deals the cells to so many, where
+    few bytes have many pairs: adaptive execution would join their partitions, or a broadcast leave them to few tasks.
     """
     cell = radius / 2
     a = left.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)})
+    if tasks:
+        a = a.repartition(tasks, "cx", "cy").hint("merge")
     b = _neighbourhood(right, _cell(F.col("rx"), cell), _cell(F.col("ry"), cell), 2)
     near = a.join(b, ["cx", "cy"]).withColumn("distance", distance(scale_x))
     return near.where(F.col("distance") <= radius).drop("cx", "cy")
@@ -170,7 +173,7 @@ def sums_within(points: DataFrame, sites: DataFrame, radius: float, sums: Mappin
     """
     weights = list(dict.fromkeys(w for w, _ in sums.values()))
     at = sites.groupBy("rx", "ry").agg(*[F.sum(w).alias(w) for w in weights])
-    near = pairs_within(points.select("x", "y").distinct(), at, radius)
+    near = pairs_within(points.select("x", "y").distinct(), at, radius, tasks=shuffle_partitions(points.sparkSession))
     return near.groupBy("x", "y").agg(*[F.sum(F.col(w) * f(F.col("distance"))).alias(name) for name, (w, f) in sums.items()])
 
 
