@@ -396,3 +396,11 @@ def test_wind_days_read_the_days_once(spark, tmp_path):
     schema = "point int, x double, y double, year int, month int, wind double"
     out = P.wind_days(spark.createDataFrame(days, schema).mapInArrow(counted, schema), (1, 2, 3), 5.0).collect()
     assert [(r["point"], r["days"]) for r in out] == [(1, 2.0)] and reads.value == len(days)
+
+
+def test_equally_near_lines_go_to_the_smaller_one(spark):
+    """A point midway between two lines, whose distances differ in the last bits only."""
+    lines = spark.createDataFrame([("b", 0.0, 0.1, 1.0, 0.1), ("a", 0.0, 0.5, 1.0, 0.5)], "lid string, x0 double, y0 double, x1 double, y1 double")
+    points = spark.createDataFrame([(i, 0.5, 0.3 + e) for i, e in enumerate((-1e-16, 0.0, 1e-16, -1e-3))], "pid int, x double, y double")
+    got = {r["pid"]: r["lid"] for r in N.snapped_points(points, lines, 0.3).collect()}
+    assert got == {0: "a", 1: "a", 2: "a", 3: "b"}

@@ -43,9 +43,9 @@ def nearby_lines(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame
 
 
 def snapped_points(points: DataFrame, lines: DataFrame, limit: float) -> DataFrame:
-    """The nearest of nearby_lines() of each point, ties to the smaller line (R2)."""
-    near = nearby_lines(points, lines, limit)
-    return near.groupBy("pid").agg(F.min(F.struct("away", "lid", "along", "px", "py")).alias("m")).select("pid", "m.lid", "m.away", "m.along", "m.px", "m.py")
+    """The nearest of nearby_lines() of each point, ties (to twelve digits) to the smaller line (R2)."""
+    near = nearby_lines(points, lines, limit).withColumn("tie", F.round("away", 12))
+    return near.groupBy("pid").agg(F.min(F.struct("tie", "lid", "away", "along", "px", "py")).alias("m")).select("pid", "m.lid", "m.away", "m.along", "m.px", "m.py")
 
 
 def station_lines(stops: DataFrame, lines: DataFrame, limit: float, extra: float) -> DataFrame:
